@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # White space as Python's ``\s`` defines it for str, spelled out
 # so that Java's ASCII-only ``\s`` is not used.
@@ -44,9 +45,11 @@ def as_column(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _compose(values: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(values, form="NFC")
+    # Arrow's own utf8_normalize leaves NFC text decomposed, hence unicodedata.
+    composed = [None if v is None else unicodedata.normalize("NFC", v) for v in values.to_pylist()]
+    return pa.array(composed, pa.string())
 
 
 def nfc(col: Column | str) -> Column:

@@ -41,7 +41,7 @@ def attach_cached(items: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def cache_hits(items: DataFrame, cache: DataFrame) -> DataFrame:
-    return items.join(cache.select("content_hash", "embedding"), "content_hash")
+    return attach_cached(items, cache).filter(F.col("cached_embedding").isNotNull())
 
 
 def cache_misses(items: DataFrame, cache: DataFrame) -> DataFrame:

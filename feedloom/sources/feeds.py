@@ -175,10 +175,13 @@ def split_bad_lines(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records.filter(~bad).drop(BAD_LINE), records.filter(bad).select(F.col(BAD_LINE).alias("line"))
 
 
-def newer_than(items: DataFrame, since: datetime | Column, inclusive: bool = False) -> DataFrame:
+def newer_than(
+    items: DataFrame, since: datetime | Column, inclusive: bool = False, keep_undated: bool = False
+) -> DataFrame:
     bound = F.lit(utc(since)) if isinstance(since, datetime) else since
     at = F.col("published_at")
-    return items.filter(at >= bound if inclusive else at > bound)
+    new = at >= bound if inclusive else at > bound
+    return items.filter(new | at.isNull() if keep_undated else new)
 
 
 def matches_any(col: Column | str, terms: Sequence[str]) -> Column:
@@ -194,6 +197,7 @@ def fetch_since(
     keywords: Sequence[str] | None = None,
     newest: int | None = None,
     max_tokens: int = 1500,
+    keep_undated: bool = False,
 ) -> DataFrame:
     """Items of a feed newer than ``since``.
 
@@ -201,6 +205,7 @@ def fetch_since(
     ``newest`` is the page size of the feed's service: with it, only that many
     newest items per feed are taken, before or after the time filter as that
     service does. Landed files hold whole pages already, so the default takes all.
+    ``keep_undated`` passes on items whose time cannot be read, for the constraint check.
     """
     if keywords is not None:
         records = records.filter(matches_any("text", keywords))
@@ -208,7 +213,7 @@ def fetch_since(
     cap = newest is not None and feed.capped
     if cap and feed.caps_before_since:
         items = newest_per_feed(items, ["source", "feed"], newest)
-    items = newer_than(items, since, feed.includes_since)
+    items = newer_than(items, since, feed.includes_since, keep_undated)
     if cap and not feed.caps_before_since:
         items = newest_per_feed(items, ["source", "feed"], newest)
     return items

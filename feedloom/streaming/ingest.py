@@ -128,7 +128,7 @@ class IngestJob:
         records, bad = split_bad_lines(parse_lines(lines, feed))
         items = fetch_since(
             records, feed, since, self.keywords if feed.includes_since else None, self.newest,
-            self.settings.max_text_tokens,
+            self.settings.max_text_tokens, keep_undated=True,
         )
         valid, invalid = split_valid(items.drop("feed"), tuple(self.feeds))
         rejected = bad.withColumn("violations", F.array(F.lit("malformed line"))).unionByName(
