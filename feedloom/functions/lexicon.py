@@ -24,6 +24,7 @@ WORD_BREAK = r"[^\p{L}\p{N}]+"
 def classify_lexicon(text: Column | str) -> Column:
     """Classification of a text; NULL for NULL or empty text."""
     c = as_column(text)
+    symbols = F.when(c.contains("$"), F.regexp_extract_all(c, F.lit(TICKER_PATTERN), F.lit(1)))
     marked = sorted({w for ws in TOPIC_WORDS.values() for w in ws} | set(POSITIVE_WORDS) | set(NEGATIVE_WORDS))
 
     def label(hits: Column) -> Column:
@@ -39,7 +40,7 @@ def classify_lexicon(text: Column | str) -> Column:
             F.signum(score).cast("int").alias("sentiment"),
             F.when(score > 0, "bullish").when(score < 0, "bearish").otherwise("neutral").alias("stance"),
             F.least(F.abs(score), F.lit(2)).alias("impact"),
-            F.array_distinct(F.regexp_extract_all(c, F.lit(TICKER_PATTERN), F.lit(1))).alias("tickers"),
+            F.coalesce(F.array_distinct(symbols), F.array().cast("array<string>")).alias("tickers"),
             F.transform(
                 F.array_distinct(F.regexp_extract_all(c, F.lit(rf"\b({'|'.join(ORGANISATIONS)})\b"), F.lit(1))),
                 lambda name: F.struct(F.lit("ORG").alias("type"), name.alias("text")),

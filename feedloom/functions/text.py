@@ -10,16 +10,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# White space as Python's ``\s`` defines it for str, spelled out
-# so that Java's ASCII-only ``\s`` is not used.
-SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# White space as Python's ``\s`` defines it for str. Java needs the
+# Unicode flag and the four separators U+001C to U+001F on top.
+SPACE = r"\s\x1c-\x1f"
 # What the cleaner removes.
-URL_PATTERN = rf"https?://[^{SPACE}]+"
+URL_PATTERN = rf"(?U)https?://[^{SPACE}]+"
 EMOJI_PATTERN = (
     r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}]+"
 )
 REPOST_PATTERN = r"^RT @[^:]+: "
-SPACE_PATTERN = rf"[{SPACE}]+"
+SPACE_PATTERN = rf"(?U)[{SPACE}]+"
 
 # Blocks whose characters NFC leaves alone and which never compose with a
 # neighbour (checked against unicodedata in the tests). Text made of these only
@@ -38,7 +38,9 @@ NFC_SAFE_BLOCKS = (
     (0xFE0F, 0xFE0F),
     (0x1F300, 0x1FAFF),
 )
-NFC_UNSAFE = "[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in NFC_SAFE_BLOCKS) + "]"
+_SAFE = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in NFC_SAFE_BLOCKS)
+# The first range is tested first and most characters fail it.
+NFC_UNSAFE = rf"[\x{{300}}-\x{{10FFFF}}&&[^{_SAFE}]]"
 
 
 def as_column(col: Column | str) -> Column:

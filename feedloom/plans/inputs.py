@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.session import apply_settings
+from feedloom.session import apply_settings, spread
 
 AS_OF = datetime(2024, 2, 1, tzinfo=timezone.utc)
 SINCE = "2024-01-15 00:00:00"
@@ -31,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return apply_settings(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for heavy row-wise work."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def stamp(col: Column | str) -> Column:
     return F.date_format(col, STAMP)
 
@@ -46,7 +51,8 @@ def decorated_text() -> Column:
 
 
 def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", decorated_text().alias("text"))
+    docs = work_table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
+    return docs.select("doc_id", decorated_text().alias("text"))
 
 
 def phrase(number: Column | str) -> Column:
@@ -54,15 +60,23 @@ def phrase(number: Column | str) -> Column:
     return F.element_at(F.array(*map(F.lit, PHRASES)), place.cast("int"))
 
 
+def source_of_lang() -> Column:
+    return F.create_map(*[F.lit(x) for pair in SOURCE_OF_LANG.items() for x in pair])[F.col("lang")]
+
+
+def posted_at(number: str) -> Column:
+    return F.lit(AS_OF) - F.make_dt_interval(mins=F.col(number).cast("int"))
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as unclean posts of the four feeds."""
-    by_lang = F.create_map(*[F.lit(x) for pair in SOURCE_OF_LANG.items() for x in pair])
-    return table(spark, sf_dir, "documents").select(
+    docs = work_table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text", "n_chars")
+    return docs.select(
         "doc_id",
-        by_lang[F.col("lang")].alias("source"),
+        source_of_lang().alias("source"),
         F.col("doc_id").cast("string").alias("source_id"),
         F.col("source").alias("author"),
-        (F.lit(AS_OF) - F.make_dt_interval(mins=F.col("doc_id").cast("int"))).alias("published_at"),
+        posted_at("doc_id").alias("published_at"),
         F.concat(decorated_text(), F.lit(" "), phrase("doc_id")).alias("body"),
         F.to_json(F.struct("doc_id", "n_chars")).alias("raw"),
     )
@@ -105,8 +119,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with vectors, and documents stored without one, which a search passes over."""
-    plain = posts(spark, sf_dir).select(
-        "source", F.concat(F.lit("d"), "source_id").alias("source_id"), "published_at", F.col("raw").alias("text")
+    plain = table(spark, sf_dir, "documents").select(
+        source_of_lang().alias("source"),
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"),
+        posted_at("doc_id").alias("published_at"),
+        F.to_json(F.struct("doc_id", "n_chars")).alias("text"),
     )
     return vectors(spark, sf_dir).unionByName(plain, allowMissingColumns=True)
 
@@ -154,6 +171,6 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit('{"sentiment":'), sentiment, F.lit(',"stance":"up","impact":'), impact, F.lit("}")),
         F.concat(F.lit("["), F.lit("{"), head, F.lit("}]")),
     ]
-    return table(spark, sf_dir, "events").select(
+    return work_table(spark, sf_dir, "events", "event_id", "user_id", "event_type").select(
         "event_id", F.element_at(F.array(*forms), (F.col("event_id") % len(forms) + 1).cast("int")).alias("answer")
     )

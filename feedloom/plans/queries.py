@@ -14,7 +14,7 @@ from feedloom.functions import vectors as vec
 from feedloom.operators import constraints, dedup, inference, marks, merge, ranking, search
 from feedloom.plans import enrich as enrichment
 from feedloom.plans import inputs
-from feedloom.plans.inputs import AS_OF, SINCE, stamp, table
+from feedloom.plans.inputs import AS_OF, SINCE, stamp, table, work_table
 from feedloom.schemas import ITEMS, PAYLOAD
 from feedloom.sources import feeds
 from feedloom.sources.store import lookup_by_source_id
@@ -71,7 +71,7 @@ def collapse_whitespace(spark, sf_dir):
 
 @query
 def truncate_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.truncate_tokens("text", 1500).alias("text"))
+    return work_table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.truncate_tokens("text", 1500).alias("text"))
 
 
 @query
@@ -81,7 +81,7 @@ def ensure_max_length(spark, sf_dir):
 
 @query
 def detect_language(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", language.detect_language("text").alias("detected"))
+    return work_table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", language.detect_language("text").alias("detected"))
 
 
 @query
@@ -128,6 +128,10 @@ def _item_view(items: DataFrame) -> DataFrame:
     return items.select("source", "source_id", "author", stamp("published_at").alias("published_at"), "lang", "text", "raw")
 
 
+def _feed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return work_table(spark, sf_dir, "events", "event_id", "event_type", "ts", "user_id")
+
+
 @query
 def map_channel_message(spark, sf_dir):
     kind = F.col("event_type")
@@ -137,13 +141,13 @@ def map_channel_message(spark, sf_dir):
         F.when(kind != "view", inputs.event_text()).alias("message"),
         F.col("user_id").alias("sender_id"),
     )
-    records = table(spark, sf_dir, "events").select(kind.alias("channel"), message.alias("message"))
+    records = _feed_events(spark, sf_dir).select(kind.alias("channel"), message.alias("message"))
     return _item_view(feeds.map_channel_message(records))
 
 
 @query
 def map_search_post(spark, sf_dir):
-    records = table(spark, sf_dir, "events").select(
+    records = _feed_events(spark, sf_dir).select(
         F.col("event_id").alias("id"),
         inputs.event_text().alias("text"),
         F.when(F.col("event_type") == "click", F.lit("")).otherwise(F.lit("xx")).alias("lang"),
@@ -157,7 +161,7 @@ def map_search_post(spark, sf_dir):
 def map_submission(spark, sf_dir):
     kind = F.col("event_type")
     event_id = F.col("event_id").cast("string")
-    records = table(spark, sf_dir, "events").select(
+    records = _feed_events(spark, sf_dir).select(
         event_id.alias("id"),
         F.when(kind != "error", F.concat(F.lit("t3_"), event_id)).alias("name"),
         F.when(kind != "signup", F.concat(F.lit("Title of "), kind)).alias("title"),
@@ -173,7 +177,7 @@ def map_submission(spark, sf_dir):
 @query
 def map_status(spark, sf_dir):
     kind = F.col("event_type")
-    records = table(spark, sf_dir, "events").select(
+    records = _feed_events(spark, sf_dir).select(
         F.col("event_id").cast("string").alias("id"),
         F.when(kind != "error", inputs.event_text()).alias("content"),
         F.when(kind == "click", F.lit("en")).alias("language"),
@@ -191,11 +195,11 @@ def ingest_since(spark, sf_dir):
 
 @query
 def ingest_keyword_or(spark, sf_dir):
-    records = table(spark, sf_dir, "documents").select(
+    records = work_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "n_chars").select(
         F.col("doc_id").alias("id"),
         "text",
         "lang",
-        inputs.iso(F.lit(AS_OF) - F.make_dt_interval(mins=F.col("doc_id").cast("int"))).alias("created_at"),
+        inputs.iso(inputs.posted_at("doc_id")).alias("created_at"),
         F.col("n_chars").alias("author_id"),
     )
     items = feeds.fetch_since(
@@ -414,7 +418,7 @@ def no_pause(seconds: float) -> None:
 
 @query
 def classify_two_pass(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = work_table(spark, sf_dir, "documents", "doc_id", "text")
     c = F.col("classification")
     return inference.classify_two_pass(docs, RuleChat, pause=no_pause).select(
         "doc_id", "asked_twice", c.sentiment.alias("sentiment"), c.impact.alias("impact"),
@@ -423,7 +427,7 @@ def classify_two_pass(spark, sf_dir):
 
 
 def _phrased(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return work_table(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", F.concat("text", F.lit(" "), inputs.phrase("doc_id")).alias("text")
     )
 
@@ -449,7 +453,7 @@ def _entries(vector: str) -> list[Column]:
 
 @query
 def embed_hashing(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(
+    docs = work_table(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", inference.embed("text", inference.HashingEmbedder).embedding.alias("v")
     )
     return docs.select("doc_id", F.posexplode("v")).filter("col > 0").select("doc_id", *_entries("v"))

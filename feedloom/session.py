@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings; all can be changed on a running session.
 REQUIRED_CONF = {
@@ -37,3 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="feedloom-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy row-wise work on an input of very few splits.
+
+    A large input has more splits than cores and is returned as it is, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
