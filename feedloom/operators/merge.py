@@ -49,40 +49,49 @@ def reduce_batch(
 
 
 def merge_versions(
-    current: DataFrame,
+    current: DataFrame | None,
     batches: DataFrame,
     key: Sequence[str] = KEY,
     payload: Sequence[str] = (),
     keep_existing_on_null: bool = False,
 ) -> DataFrame:
-    """Apply reduced batches to the current table.
+    """Apply reduced batches to the current table (None: there is none yet).
 
     ``current`` has one row per key with ``created_at`` and ``updated_at``.
-    ``batches`` has one row per key and batch with ``batch_time``,
-    ``batch_key`` and ``flips`` (see ``reduce_batch``). A key is created with its first batch; ``updated_at`` is the
-    time of the last batch that changed any payload field. Rows of ``current``
-    that no batch touches are passed on without being shuffled when the touched
-    keys are few (Spark measures them and broadcasts below its threshold).
+    ``batches`` has one row per key and batch with ``batch_time``, ``batch_key`` and
+    ``flips`` (see ``reduce_batch``); it is read twice, so give a written table. A
+    key is created with its first batch; ``updated_at`` is the time of the last
+    batch that changed any payload field. Rows of ``current`` that no batch touches
+    are passed on without being shuffled when the touched keys are few (Spark
+    measures them and broadcasts below its threshold).
 
     The window runs over one key: at most one row per waiting batch.
     """
     fields = [c for c in payload if c not in key]
-    touched_keys = batches.select(*key).distinct()
-    untouched = current.join(touched_keys, list(key), "left_anti")
-    touched = current.join(touched_keys, list(key), "left_semi")
-
     labels = [c for c in LABELS if c in fields]
     if keep_existing_on_null and not labels:
         raise ValueError("keep_existing_on_null needs label columns in the payload")
-    base = touched.withColumns(
-        {"batch_time": F.col("created_at"), "batch_key": F.lit(""), "flips": F.lit(False)}
-    )
-    if keep_existing_on_null:
-        known = F.when(F.col(labels[-1]).isNotNull(), F.struct(*labels))
-        base = base.withColumn("labelled", known)
-    versions = base.unionByName(batches, allowMissingColumns=True)
 
-    w = Window.partitionBy(*key).orderBy(F.col("batch_key") != "", "batch_time", "batch_key")
+    versions = batches.withColumn("_later", F.lit(True))
+    if current is not None:
+        touched_keys = batches.select(*key).distinct()
+        base = current.join(touched_keys, list(key), "left_semi").withColumns(
+            {
+                "batch_time": F.col("created_at"),
+                "batch_key": F.lit(""),
+                "flips": F.lit(False),
+                "_later": F.lit(False),
+            }
+        )
+        if keep_existing_on_null:
+            known = F.when(F.col(labels[-1]).isNotNull(), F.struct(*labels))
+            base = base.withColumn("labelled", known)
+        versions = base.unionByName(versions, allowMissingColumns=True)
+    else:
+        stamps = {c: F.lit(None).cast("timestamp") for c in ("created_at", "updated_at")}
+        versions = versions.withColumns(stamps)
+
+    w = Window.partitionBy(*key).orderBy("_later", "batch_time", "batch_key")
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if keep_existing_on_null:
         carried = F.last("labelled", ignorenulls=True).over(so_far)
@@ -90,27 +99,30 @@ def merge_versions(
             {c: F.when(F.col("_labels").isNotNull(), F.col(f"_labels.{c}")).otherwise(F.col(c)) for c in labels}
         ).drop("_labels", "labelled")
 
-    row = F.struct(*fields)
-    versions = versions.withColumn("_row", row).withColumns(
+    versions = versions.withColumn("_row", F.struct(*fields)).withColumns(
         {"_before": F.lag("_row").over(w), "_next": F.lead("batch_key").over(w)}
     )
     changed = F.col("_before").isNull() | ~F.col("_before").eqNullSafe(F.col("_row")) | F.col("flips")
-    stamp = F.when(F.col("batch_key") == "", F.col("updated_at")).when(changed, F.col("batch_time"))
+    stamp = F.when(~F.col("_later"), F.col("updated_at")).when(changed, F.col("batch_time"))
     merged = (
-        versions.withColumn("_stamp", stamp)
+        versions.withColumns({"_stamp": stamp, "_start": F.coalesce("created_at", "batch_time")})
         .withColumns(
             {
-                "created_at": F.first(F.coalesce("created_at", "batch_time")).over(so_far),
+                "created_at": F.first("_start").over(so_far),
                 "updated_at": F.last("_stamp", ignorenulls=True).over(so_far),
             }
         )
         .filter(F.col("_next").isNull())
     )
+    if current is None:
+        extra = [c for c in batches.columns if c not in ("batch_time", "batch_key", "flips", "labelled")]
+        return merged.select(*extra, "created_at", "updated_at")
+    untouched = current.join(touched_keys, list(key), "left_anti")
     return untouched.unionByName(merged.select(*current.columns))
 
 
 def upsert(
-    current: DataFrame,
+    current: DataFrame | None,
     batch: DataFrame,
     batch_time: Column,
     key: Sequence[str] = KEY,
@@ -120,9 +132,14 @@ def upsert(
 ) -> DataFrame:
     """The table after one batch of rows, later rows winning."""
     labels = [c for c in LABELS if c in payload] if keep_existing_on_null else []
-    reduced = reduce_batch(batch, key, payload, order, labels).withColumns(
-        {"batch_time": batch_time, "batch_key": F.lit("batch")}
-    )
-    if "id" in current.columns:
+    reduced = reduce_batch(batch, key, payload, order, labels)
+    if current is None or "id" in current.columns:
         reduced = reduced.withColumn("id", item_id(key))
-    return merge_versions(current, reduced, key, payload, keep_existing_on_null)
+    if current is None:
+        # One batch into an empty table: its reduced rows are the table.
+        if keep_existing_on_null:
+            kept = {c: F.coalesce(F.col(f"labelled.{c}"), F.col(c)) for c in labels}
+            reduced = reduced.withColumns(kept).drop("labelled")
+        return reduced.drop("flips").withColumns({"created_at": batch_time, "updated_at": batch_time})
+    stamped = reduced.withColumns({"batch_time": batch_time, "batch_key": F.lit("batch")})
+    return merge_versions(current, stamped, key, payload, keep_existing_on_null)

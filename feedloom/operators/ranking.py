@@ -31,14 +31,14 @@ def top_k_per_group(
     )
 
 
-def position_in_group(df: DataFrame, group: Sequence[str], order: str, width: int = 1 << 20) -> DataFrame:
+def position_in_group(df: DataFrame, group: Sequence[str], order: str, run_bits: int = 20) -> DataFrame:
     """Add ``position``, the 1-based place of a row in its group by the integer column ``order``.
 
-    A group may hold a third of all rows, so it is cut into runs of ``width``
-    values of ``order``. Rows are numbered inside a run, and runs are offset by
+    A group may hold a third of all rows, so it is cut into runs of
+    2**``run_bits`` values of ``order``. Rows are numbered inside a run, and runs are offset by
     the sizes of those before them, which come from a count of the runs.
     """
-    runs = df.withColumn("_run", F.floor(F.col(order) / F.lit(width)))
+    runs = df.withColumn("_run", F.shiftright(order, run_bits))
     sizes = runs.groupBy(*group, "_run").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(*group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -54,11 +54,11 @@ def position_in_group(df: DataFrame, group: Sequence[str], order: str, width: in
 
 
 def chunk_batches(
-    df: DataFrame, group: Sequence[str], order: str, value: str, size: int, width: int = 1 << 20
+    df: DataFrame, group: Sequence[str], order: str, value: str, size: int, run_bits: int = 20
 ) -> DataFrame:
     """Consecutive values of a group in arrays of ``size``; the last one may be shorter."""
-    placed = position_in_group(df.select(*group, order, value), group, order, width)
-    chunk = F.floor((F.col("position") - 1) / size).alias("chunk_id")
+    placed = position_in_group(df.select(*group, order, value), group, order, run_bits)
+    chunk = F.expr(f"(position - 1) div {size}").alias("chunk_id")
     entry = F.struct("position", F.col(value).alias("value"))
     return (
         placed.groupBy(*group, chunk)

@@ -15,7 +15,7 @@ from feedloom.operators import constraints, dedup, inference, marks, merge, rank
 from feedloom.plans import enrich as enrichment
 from feedloom.plans import inputs
 from feedloom.plans.inputs import AS_OF, SINCE, stamp, table, work_table
-from feedloom.schemas import ITEMS, PAYLOAD
+from feedloom.schemas import PAYLOAD
 from feedloom.sources import feeds
 from feedloom.sources.store import lookup_by_source_id
 
@@ -542,8 +542,7 @@ def enrich_items(spark, sf_dir):
         "source", "source_id", "author", "published_at", body.alias("text"), "raw"
     ).withColumn("lang", language.detect_language("text"))
     rows = enrichment.enrich(enrichment.prepare(items))
-    empty = spark.createDataFrame([], ITEMS)
-    stored = merge.upsert(empty, rows, F.lit(AS_OF), merge.KEY, PAYLOAD, ("published_at", "content_hash"))
+    stored = merge.upsert(None, rows, F.lit(AS_OF), merge.KEY, PAYLOAD, ("published_at", "content_hash"))
     return stored.select(
         "id", "source", "source_id", "author", stamp("published_at").alias("published_at"), "lang", "text", "raw",
         joined("topics").alias("topics"), "sentiment", "stance", "impact",

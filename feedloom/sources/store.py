@@ -110,7 +110,9 @@ class ItemStore:
             log, [*self.key, "batch", "batch_time"], PAYLOAD, BATCH_ORDER, labels
         ).withColumnRenamed("batch", "batch_key")
         reduced = reduced.withColumn("id", item_id(self.key))
-        return merge_versions(self.base(version), reduced, self.key, PAYLOAD, self.keep_existing_on_null)
+        base = self.base(version) if version >= 0 else None
+        merged = merge_versions(base, reduced, self.key, PAYLOAD, self.keep_existing_on_null)
+        return merged.select(*ITEMS.fieldNames())
 
     def current(self) -> DataFrame:
         """The item table now: one row per key."""
