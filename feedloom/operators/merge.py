@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,14 +39,16 @@ def reduce_batch(
     """
     order_by = F.struct(*order)
     fields = [c for c in payload if c not in key]
-    aggregates = [
-        F.max_by(F.struct(*fields), order_by).alias("_row"),
-        (F.min("_print") != F.max("_print")).alias("flips"),
-    ]
+    # With ``keep``, missing labels do not count as a change.
+    prints = {"_print": fingerprint([c for c in fields if c not in keep])}
+    aggregates = [F.max_by(F.struct(*fields), order_by).alias("_row")]
     if keep:
         known = F.when(F.col(keep[-1]).isNotNull(), F.struct(*keep))
         aggregates.append(F.max_by(known, F.when(known.isNotNull(), order_by)).alias("labelled"))
-    reduced = batch.withColumn("_print", fingerprint(fields)).groupBy(*key).agg(*aggregates)
+        prints["_label_print"] = F.when(known.isNotNull(), fingerprint(keep))
+    differ = [F.coalesce(F.min(c) != F.max(c), F.lit(False)) for c in prints]
+    aggregates.append(reduce(or_, differ).alias("flips"))
+    reduced = batch.withColumns(prints).groupBy(*key).agg(*aggregates)
     return reduced.select(*key, "_row.*", "flips", *(["labelled"] if keep else []))
 
 
