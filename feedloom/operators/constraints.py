@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,15 +23,15 @@ def unknown_sources(items: DataFrame, known: Sequence[str] = SOURCES) -> DataFra
     return items.filter(~F.coalesce(F.col("source").isin(list(known)), F.lit(False)))
 
 
-def violations(columns: Sequence[str], known: Sequence[str] = SOURCES) -> Column:
-    """Names of the rules a row breaks, over the given columns."""
+def violations(columns: Mapping[str, str], known: Sequence[str] = SOURCES) -> Column:
+    """Names of the rules a row breaks; ``columns`` maps an item field to the column to check."""
     rules = [
-        F.when(F.col(c).isNull(), f"{c} missing") for c in REQUIRED if c in columns
+        F.when(F.col(columns[f]).isNull(), f"{f} missing") for f in REQUIRED if f in columns
     ] + [
-        F.when(F.length(c) > n, f"{c} longer than {n}") for c, n in MAX_LENGTHS.items() if c in columns
+        F.when(F.length(columns[f]) > n, f"{f} longer than {n}") for f, n in MAX_LENGTHS.items() if f in columns
     ]
     if "source" in columns:
-        rules.append(F.when(~F.col("source").isin(list(known)), "source unknown"))
+        rules.append(F.when(~F.col(columns["source"]).isin(list(known)), "source unknown"))
     return F.array_compact(F.array(*rules))
 
 
@@ -39,8 +39,11 @@ def repeated_keys(items: DataFrame, key: Sequence[str]) -> DataFrame:
     return items.groupBy(*key).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
 
 
-def split_valid(items: DataFrame, known: Sequence[str] = SOURCES) -> tuple[DataFrame, DataFrame]:
+def split_valid(
+    items: DataFrame, known: Sequence[str] = SOURCES, columns: Mapping[str, str] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(rows that pass, rows that fail with their ``violations``)."""
-    checked = items.withColumn("violations", violations(items.columns, known))
+    columns = columns or {c: c for c in items.columns}
+    checked = items.withColumn("violations", violations(columns, known))
     passed = checked.filter(F.size("violations") == 0).drop("violations")
     return passed, checked.filter(F.size("violations") > 0)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,11 +47,11 @@ def position_in_group(df: DataFrame, group: Sequence[str], order: str, run_bits:
         *group, "_run", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
     )
     inside = Window.partitionBy(*group, "_run").orderBy(order)
-    return (
-        runs.withColumn("_place", F.row_number().over(inside))
-        .join(offsets, [*group, "_run"])
-        .withColumn("position", F.col("_place") + F.col("_offset"))
-        .drop("_run", "_place", "_offset")
+    placed = runs.withColumn("_place", F.row_number().over(inside))
+    # Null-safe, so that rows without a group stay.
+    same = reduce(and_, [placed[c].eqNullSafe(offsets[c]) for c in [*group, "_run"]])
+    return placed.join(offsets, same).select(
+        *[placed[c] for c in df.columns], (F.col("_place") + F.col("_offset")).alias("position")
     )
 
 

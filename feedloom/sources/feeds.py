@@ -45,7 +45,7 @@ def _to_items(
         source_id.cast("string").alias("source_id"),
         author.cast("string").alias("author"),
         published_at.alias("published_at"),
-        (given_lang if given_lang is not None else F.lit(None).cast("string")).alias("_lang"),
+        (given_lang if given_lang is not None else F.lit(None).cast("string")).alias("given_lang"),
         clean_post(body, max_tokens).alias("text"),
         raw.alias("raw"),
         (feed if feed is not None else F.lit(source)).alias("feed"),
@@ -55,10 +55,11 @@ def _to_items(
         "source_id",
         "author",
         "published_at",
-        F.coalesce(F.nullif("_lang", F.lit("")), detect_language("text")).alias("lang"),
+        F.coalesce(F.nullif("given_lang", F.lit("")), detect_language("text")).alias("lang"),
         "text",
         "raw",
         "feed",
+        "given_lang",
     )
 
 
@@ -125,6 +126,12 @@ def map_status(records: DataFrame, max_tokens: int = 1500) -> DataFrame:
     )
 
 
+# Where the constraints of mapped items are read: none of these needs the cleaned
+# text or a detected language, so setting rows aside does not repeat that work.
+CHECKED = {"source": "source", "source_id": "source_id", "author": "author",
+           "published_at": "published_at", "raw": "raw", "lang": "given_lang"}
+
+
 @dataclass(frozen=True)
 class Feed:
     """One kind of landed feed."""

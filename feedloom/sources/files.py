@@ -22,9 +22,10 @@ def committed(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(status.getPath().getParent().toString() for status in fs.globStatus(where) or [])
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    where, fs = _filesystem(spark, path)
-    return fs.exists(where)
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        where, fs = _filesystem(spark, folder)
+        fs.delete(where, True)
 
 
 def remove_all_but_newest(spark: SparkSession, pattern: str, keep: int) -> None:

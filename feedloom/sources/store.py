@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from feedloom.functions.times import utc
 from feedloom.operators.merge import KEY, item_id, merge_versions, reduce_batch
 from feedloom.schemas import ITEMS, LABELS, NORMALIZED, PAYLOAD
-from feedloom.sources.files import committed, remove_all_but_newest
+from feedloom.sources.files import committed, remove, remove_all_but_newest
 
 LOG = T.StructType(
     [T.StructField(c, ITEMS[c].dataType) for c in PAYLOAD if c != "source"]
@@ -187,6 +187,16 @@ class BatchTable:
     def read_batch(self, source: str, batch_key: str) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path(source, batch_key))
 
+    def replace_all(self, rows: DataFrame, source: str, batch_key: str) -> None:
+        """Write what was read from all batches as one, then drop those.
+
+        For tables in which a row seen twice does no harm: until the old folders are
+        gone, readers see both. Do not run it beside the query of the same source.
+        """
+        merged = committed(self.spark, self.path(source, "*"))
+        self.write(rows, source, batch_key)
+        remove(self.spark, merged)
+
     def forget_old(self, source: str, keep: int) -> None:
         remove_all_but_newest(self.spark, self.path(source, "*"), keep)
 

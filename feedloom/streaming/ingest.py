@@ -25,7 +25,7 @@ from feedloom.operators.constraints import split_valid
 from feedloom.operators.inference import EmbeddingProvider, HashingEmbedder
 from feedloom.plans.enrich import Classifier, enrich, prepare, with_lexicon
 from feedloom.schemas import JobSettings
-from feedloom.sources.feeds import FEEDS, Feed, fetch_since, parse_lines, split_bad_lines, stream_lines
+from feedloom.sources.feeds import CHECKED, FEEDS, Feed, fetch_since, parse_lines, split_bad_lines, stream_lines
 from feedloom.sources.store import MARKS, PREPARED, REJECTS, VECTORS, BatchTable, ItemStore
 
 logger = logging.getLogger(__name__)
@@ -130,12 +130,21 @@ class IngestJob:
             records, feed, since, self.keywords if feed.includes_since else None, self.newest,
             self.settings.max_text_tokens, keep_undated=True,
         )
-        valid, invalid = split_valid(items.drop("feed"), tuple(self.feeds))
+        valid, invalid = split_valid(items, tuple(self.feeds), CHECKED)
         rejected = bad.withColumn("violations", F.array(F.lit("malformed line"))).unionByName(
             invalid.select(F.col("raw").alias("line"), "violations")
         )
         self.rejects.write(rejected, source, batch_key)
-        self.prepared.write(prepare(valid), source, batch_key)
+        self.prepared.write(prepare(valid.drop("feed", "given_lang")), source, batch_key)
+
+    def compact_vectors(self, source: str) -> None:
+        """Put the stored vectors of a source into one batch, sorted by hash."""
+        now = self.clock()
+        rows = self.vectors.read(source)
+        newest = rows.groupBy("content_hash").agg(
+            F.max_by("embedding", "written_at").alias("embedding"), F.max("written_at").alias("written_at")
+        )
+        self.vectors.replace_all(newest.sortWithinPartitions("content_hash"), source, f"all-{now:%Y%m%dT%H%M%S%f}")
 
     # ---- queries -------------------------------------------------------------
 

@@ -124,5 +124,5 @@ def test_union(spark):
 @pytest.mark.parametrize("source", sorted(FEEDS))
 def test_item_shape_is_common(spark, tmp_path, source):
     items = FEEDS[source].to_items(spark.createDataFrame([], FEEDS[source].schema), 10)
-    assert items.columns == ["source", "source_id", "author", "published_at", "lang", "text", "raw", "feed"]
+    assert items.columns == ["source", "source_id", "author", "published_at", "lang", "text", "raw", "feed", "given_lang"]
     assert dict(items.dtypes)["published_at"] == "timestamp"

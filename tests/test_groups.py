@@ -86,7 +86,7 @@ def test_top_k_per_group(spark):
 
 
 def test_chunks_over_many_runs(spark):
-    rows = posts()
+    rows = [(None if s == "telegram" else s, *rest) for s, *rest in posts()]
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     got = {(r.source, r.chunk_id): r["values"] for r in ranking.chunk_batches(df, ["source"], "seq", "seq", 7, run_bits=4).collect()}
     want = {}

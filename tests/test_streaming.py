@@ -172,4 +172,6 @@ def test_old_vectors_are_not_looked_up(job, tmp_path):
     land(landing, "2.json", [submission(2, 20, "one")])
     job.run_once({"reddit": str(landing)})
     assert job.vectors.read("reddit").count() == 2
+    job.compact_vectors("reddit")
+    assert job.vectors.read("reddit").count() == 1
     assert texts(job) == {"t3_1": "one", "t3_2": "one"}
