@@ -90,10 +90,6 @@ def search_result_view(hits: DataFrame) -> DataFrame:
     )
 
 
-def _key_order(batch: pa.Table, key: Sequence[str]) -> pa.Table:
-    return batch.take(pc.sort_indices(batch, [(k, "ascending") for k in key]))
-
-
 def _best_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the ``k`` highest scores per column; rows come in tie-break order."""
     if len(scores) <= k:
@@ -106,38 +102,65 @@ def _best_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(above | (tied & (np.cumsum(tied, axis=0) <= room)))
 
 
+class _Best:
+    """Running top ``k`` per query of one task; holds at most a few times k rows per query."""
+
+    def __init__(self, keys: list[str], queries: list[tuple[np.ndarray, np.ndarray]], n: int, k: int) -> None:
+        self.keys, self.queries, self.n, self.k = keys, queries, n, k
+        self.found: list[pd.DataFrame] = []
+        # No score below this can enter the result any more.
+        self.floor = np.full(n, -np.inf)
+
+    def add(self, table: pa.Table) -> None:
+        scores = np.full((table.num_rows, self.n), -np.inf)
+        for rows, matrix in rows_by_length(table["embedding"].combine_chunks()):
+            for columns, queries in self.queries:
+                scores[np.ix_(rows, columns)] = cosine_matrix(matrix, queries)
+        enough = self.n * self.k
+        hits = scores >= self.floor - 10.0**-SCORE_DIGITS
+        if np.count_nonzero(hits) <= enough:
+            rows, cols = np.nonzero(hits)
+        else:
+            order = pc.sort_indices(table, [(c, "ascending") for c in self.keys]).to_numpy()
+            rows, cols = _best_rows(scores[order].round(SCORE_DIGITS), self.k)
+            rows = order[rows]
+        if len(rows):
+            found = table.select(self.keys).take(pa.array(rows)).to_pandas()
+            found["_q"], found["score"] = cols.astype(np.int32), scores[rows, cols].round(SCORE_DIGITS)
+            self.found.append(found)
+        if sum(map(len, self.found)) >= 2 * enough or np.isneginf(self.floor).all():
+            self.cut()
+
+    def cut(self) -> pd.DataFrame:
+        rows = pd.concat(self.found) if self.found else pd.DataFrame(columns=[*self.keys, "_q", "score"])
+        rows = rows.sort_values(["_q", "score", *self.keys], ascending=[True, False] + [True] * len(self.keys))
+        rows = rows.groupby("_q", sort=False).head(self.k)
+        worst = rows.groupby("_q")["score"].agg(["size", "min"])
+        full = worst[worst["size"] == self.k]
+        self.floor[full.index.to_numpy(dtype=np.int64)] = full["min"].to_numpy(dtype=np.float64)
+        self.found = [rows]
+        return rows
+
+
 def _search_block(
     items: DataFrame, key: Sequence[str], ids: list, vectors: list[list[float]], k: int
 ) -> DataFrame:
     """Best ``k`` items per query and partition, for one block of queries."""
-    sc = items.sparkSession.sparkContext
     by_length: dict[int, list[int]] = {}
     for i, v in enumerate(vectors):
         by_length.setdefault(len(v), []).append(i)
-    block = sc.broadcast(
+    block = items.sparkSession.sparkContext.broadcast(
         [(np.asarray(rows), np.asarray([vectors[i] for i in rows], dtype=np.float64)) for rows in by_length.values()]
     )
-    keys = list(key)
+    keys, n = list(key), len(ids)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pd.DataFrame | None = None
+        running = _Best(keys, block.value, n, k)
         for batch in batches:
-            table = _key_order(pa.Table.from_batches([batch]), keys)
-            scores = np.full((table.num_rows, len(ids)), -np.inf)
-            for rows, matrix in rows_by_length(table["embedding"].combine_chunks()):
-                for columns, queries in block.value:
-                    scores[np.ix_(rows, columns)] = cosine_matrix(matrix, queries).round(SCORE_DIGITS)
-            rows, cols = _best_rows(scores, k)
-            found = table.select(keys).take(pa.array(rows)).to_pandas()
-            found["_q"], found["score"] = cols, scores[rows, cols]
-            merged = found if kept is None else pd.concat([kept, found])
-            merged = merged.sort_values(["_q", "score", *keys], ascending=[True, False] + [True] * len(keys))
-            kept = merged.groupby("_q", sort=False).head(k)
-        if kept is not None:
-            kept = kept[np.isfinite(kept["score"])]
-            yield pa.RecordBatch.from_pandas(
-                kept[keys + ["_q", "score"]].astype({"_q": "int32"}), schema=None, preserve_index=False
-            )
+            running.add(pa.Table.from_batches([batch]))
+        rows = running.cut()
+        if len(rows):
+            yield pa.RecordBatch.from_pandas(rows[[*keys, "_q", "score"]], preserve_index=False)
 
     schema = T.StructType(
         [items.schema[c] for c in keys] + [T.StructField("_q", T.IntegerType()), T.StructField("score", T.DoubleType())]

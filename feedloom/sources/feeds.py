@@ -156,13 +156,16 @@ FEEDS: dict[str, Feed] = {
 
 
 def parse_lines(lines: DataFrame, feed: Feed) -> DataFrame:
-    """Text lines (column ``value``) to records; a bad line fills ``_corrupt_record``."""
+    """Text lines (column ``value``) to records; a bad line fills ``_corrupt_record``.
+
+    ``inline`` unpacks the parsed record in a generator, which later filters are not
+    pushed through, so a line is parsed once and not once per use of a field.
+    """
     schema = T.StructType(feed.schema.fields + [T.StructField(BAD_LINE, T.StringType())])
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE})
     return (
         lines.filter(F.length(F.trim("value")) > 0)
-        .select(F.col("value").alias(RAW_LINE), parsed.alias("_r"))
-        .select(RAW_LINE, "_r.*")
+        .select(F.col("value").alias(RAW_LINE), F.inline(F.array(parsed)))
     )
 
 
