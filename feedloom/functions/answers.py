@@ -58,11 +58,11 @@ def _is_string(v: Column, path: str) -> Column:
     return F.coalesce(_kind(v, path) == "STRING", F.lit(False))
 
 
-def _validate(v: Column) -> Column:
-    topics, tickers, entities = (_elements(v, f"$.{k}") for k in ("topics", "tickers", "entities"))
-    sentiment = _typed(v, "$.sentiment", "BIGINT", SENTIMENTS)
-    stance = _typed(v, "$.stance", "STRING", STANCES)
-    impact = _typed(v, "$.impact", "BIGINT", IMPACTS)
+def _validate(v: Column, root: str) -> Column:
+    topics, tickers, entities = (_elements(v, f"{root}.{k}") for k in ("topics", "tickers", "entities"))
+    sentiment = _typed(v, f"{root}.sentiment", "BIGINT", SENTIMENTS)
+    stance = _typed(v, f"{root}.stance", "STRING", STANCES)
+    impact = _typed(v, f"{root}.impact", "BIGINT", IMPACTS)
     sound = (
         sentiment.isNotNull()
         & stance.isNotNull()
@@ -97,16 +97,15 @@ def _validate(v: Column) -> Column:
 def parse_classification(answer: Column | str) -> Column:
     """Answer text to a classification; any fault gives NULL for the whole record.
 
-    The text must be one JSON value. The parser stops after the first value, so
-    the text is read as the only element of an array and as the only value of an
-    object: no trailing part can close both.
+    The text must be one JSON value. The parser stops after the first value, so the
+    text is read twice, as the element of an array and as the member of an object.
+    Anything after the value would have to go on as an array and as an object.
     """
     c = as_column(answer)
     as_element = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
     as_member = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
-    one_value = as_member.isNotNull() & F.try_variant_get(as_element, "$[1]", "variant").isNull()
-    value = F.when(one_value, F.try_variant_get(as_element, "$[0]", "variant"))
-    return F.transform(F.array(value), _validate)[0].cast(CLASSIFICATION)
+    one_value = F.when(as_element.isNotNull(), as_member)
+    return F.transform(F.array(one_value), lambda v: _validate(v, "$.v"))[0].cast(CLASSIFICATION)
 
 
 def flatten_classification(classification: Column | str = "classification") -> list[Column]:
