@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from feedloom.functions.answers import list_or_empty
 from feedloom.functions.times import days_before
 from feedloom.functions.vectors import SCORE_DIGITS, cosine_matrix, cosine_to, has_vector, rows_by_length
+from feedloom.operators.inference import EmbeddingProvider, call_with_retry
 from feedloom.operators.ranking import top_k_per_group
 
 # Query vectors handed to the tasks at once; larger sets are searched block by block.
@@ -78,6 +79,19 @@ def semantic_search(
     return scored.orderBy(F.col("score").desc(), *tie_break).limit(limit)
 
 
+def search_by_text(
+    items: DataFrame,
+    query: str,
+    embedder: Callable[[], EmbeddingProvider],
+    filters: SearchFilters | None = None,
+    limit: int = 20,
+    as_of: datetime | None = None,
+) -> DataFrame:
+    """``semantic_search`` for a text: the one query is embedded on the driver."""
+    vector = call_with_retry(lambda: embedder().embed([query]))[0]
+    return semantic_search(items, [float(x) for x in vector], filters, limit, as_of)
+
+
 def search_result_view(hits: DataFrame) -> DataFrame:
     """What a user sees of a hit."""
     return hits.select(

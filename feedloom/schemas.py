@@ -12,7 +12,6 @@ SOURCES = ("telegram", "twitter", "reddit", "truth_social")
 SENTIMENTS = (-1, 0, 1)
 STANCES = ("bullish", "bearish", "neutral")
 IMPACTS = (0, 1, 2)
-TOPICS = ("crypto", "macro", "regulation", "markets")
 
 STRINGS = T.ArrayType(T.StringType())
 VECTOR = T.ArrayType(T.FloatType())
@@ -68,10 +67,6 @@ LABELS = ("tickers", "entities", "topics", "sentiment", "stance", "impact")
 # The fields an upsert overwrites; id and created_at stay.
 PAYLOAD = tuple(f.name for f in NORMALIZED.fields) + LABELS + ("embedding",)
 
-MESSAGES = T.ArrayType(
-    T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
-)
-
 CHANNEL_MESSAGE = T.StructType(
     [
         T.StructField("channel", T.StringType()),
@@ -126,7 +121,3 @@ class JobSettings:
 
     fetch_interval_seconds: int = 120
     max_text_tokens: int = 1500
-    batch_size: int = 50
-    search_limit: int = 20
-    newest_per_feed: int = 100
-    classify_max_tokens: int = 300

@@ -53,6 +53,8 @@ class IngestJob:
     # How far back stored vectors are looked up. An older text is embedded anew,
     # with the same result; the bound keeps a batch from reading the whole history.
     vector_lookback: timedelta | None = None
+    # Tasks that call the models. Slow models need more than the size of the texts suggests.
+    model_tasks: int | None = None
     clock: Callable[[], datetime] = utc_now
     store: ItemStore | None = None
     feeds: Mapping[str, Feed] = field(default_factory=lambda: FEEDS)
@@ -114,6 +116,8 @@ class IngestJob:
         if not self.prepared.has(source, batch_key):
             self._prepare_batch(lines, feed, batch_key, now)
         unique = self.prepared.read_batch(source, batch_key)
+        if self.model_tasks is not None:
+            unique = unique.repartition(self.model_tasks)
         cache = self.vectors.read(source, without=batch_key)
         if self.vector_lookback is not None:
             cache = cache.filter(F.col("written_at") >= F.lit(utc(now) - self.vector_lookback))

@@ -5,7 +5,6 @@ from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from feedloom.functions import vectors
 from feedloom.operators import search
@@ -41,6 +40,15 @@ def test_filters_keep_one(items):
     assert [h.source_id for h in hits] == ["1"] and hits[0].score == pytest.approx(1.0)
 
 
+class Fixed:
+    def embed(self, texts):
+        return [np.array([1.0, 0.0], dtype=np.float32) for _ in texts]
+
+
+def test_search_by_text(items):
+    assert ids(search.search_by_text(items, "bitcoin", Fixed, limit=2)) == ["1", "3"]
+
+
 def test_no_filter_skips_missing_vectors(items):
     assert ids(search.semantic_search(items, [1.0, 0.0])) == ["1", "3", "2"]
     assert ids(search.semantic_search(items, [1.0, 0.0], limit=1)) == ["1"]

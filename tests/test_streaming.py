@@ -41,7 +41,7 @@ def land(folder, name, records):
 def job(spark, tmp_path):
     return IngestJob(
         spark, str(tmp_path / "store"), classifier=partial(classify_two_pass, provider=providers.GoodChat),
-        embedder=providers.PairEmbedder, clock=Clock(), settings=JobSettings(),
+        embedder=providers.PairEmbedder, clock=Clock(), settings=JobSettings(), model_tasks=2,
     )
 
 
