@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -19,6 +18,10 @@ EMOJI_PATTERN = (
     r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}]+"
 )
 REPOST_PATTERN = r"^RT @[^:]+: "
+# URLs and emoji in one pass. No URL starts inside an emoji run and none can arise by
+# removing one, so this equals removing first the URLs and then the emoji. The wide
+# range is tested before the blocks.
+URL_OR_EMOJI_PATTERN = URL_PATTERN + r"|[\x{10000}-\x{10FFFF}&&" + EMOJI_PATTERN[:-1] + "]+"
 SPACE_PATTERN = rf"(?U)[{SPACE}]+"
 
 # Blocks whose characters NFC leaves alone and which never compose with a
@@ -69,7 +72,8 @@ def strip_emoji(col: Column | str) -> Column:
 
 
 def strip_rt_prefix(col: Column | str) -> Column:
-    return F.regexp_replace(as_column(col), REPOST_PATTERN, "")
+    c = as_column(col)
+    return F.when(c.startswith("RT @"), F.regexp_replace(c, REPOST_PATTERN, "")).otherwise(c)
 
 
 def collapse_whitespace(col: Column | str) -> Column:
@@ -78,8 +82,8 @@ def collapse_whitespace(col: Column | str) -> Column:
 
 def normalize_text(col: Column | str) -> Column:
     """NFC, then URLs, emoji, repost marker and white space, in this order."""
-    steps = (nfc, strip_urls, strip_emoji, strip_rt_prefix, collapse_whitespace)
-    return reduce(lambda c, step: step(c), steps, as_column(col))
+    bare = F.regexp_replace(nfc(col), URL_OR_EMOJI_PATTERN, "")
+    return collapse_whitespace(strip_rt_prefix(bare))
 
 
 def first_tokens(col: Column | str, max_tokens: int) -> Column:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 import sys
 import unicodedata
@@ -35,6 +36,23 @@ def test_normalize_cases(spark):
     assert values(spark, [c[0] for c in CASES], text.normalize_text) == [c[1] for c in CASES]
 
 
+def test_normalize_random_strings(spark):
+    """Against the five steps done one after the other in Python."""
+    rng = random.Random(2)
+    parts = ["RT @", "a", ":", ": ", " ", "\n", NBSP, FS, "http", "https", "://", "s", "x.y", "\N{GRINNING FACE}", "\N{ROCKET}",
+             "\N{ROLLING ON THE FLOOR LAUGHING}", "\N{REGIONAL INDICATOR SYMBOL LETTER U}", "e", ACUTE, "\N{VARIATION SELECTOR-16}"]
+    emoji = re.compile("[\U0001F600-\U0001F64F\U0001F300-\U0001F5FF\U0001F680-\U0001F6FF\U0001F1E0-\U0001F1FF]+")
+
+    def steps(t):
+        t = re.sub(r"https?://\S+", "", unicodedata.normalize("NFC", t))
+        t = re.sub(r"^RT @[^:]+: ", "", emoji.sub("", t))
+        return re.sub(r"\s+", " ", t).strip()
+
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(5000)]
+    texts += ["RT @" + t for t in texts[:1000]] + ["http" + t for t in texts[:1000]]
+    assert values(spark, texts, text.normalize_text) == [steps(t) for t in texts]
+
+
 def test_space_class_equals_python(spark):
     probe = [f"a{chr(c)}b" for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF and (c < 0x3100 or c % 977 == 0)]
     expected = [re.sub(r"\s+", " ", p).strip() for p in probe]
@@ -58,8 +76,6 @@ def test_nfc_safe_blocks():
 
 
 def test_nfc_random_strings(spark):
-    import random
-
     rng = random.Random(7)
     pool = [chr(c) for a, b in ((0x20, 0x17F), (0x300, 0x345), (0x1100, 0x11FF), (0x2120, 0x212B), (0xAC00, 0xAC20), (0x3040, 0x30FF)) for c in range(a, b + 1)]
     strings = ["".join(rng.choices(pool, k=rng.randint(0, 8))) for _ in range(3000)]
