@@ -180,6 +180,7 @@ def _search_block(
         [items.schema[c] for c in keys] + [T.StructField("_q", T.IntegerType()), T.StructField("score", T.DoubleType())]
     )
     found = items.select(*keys, "embedding").mapInArrow(best, schema)
+    # One short row per query of the block, which is bounded by QUERY_BLOCK_BYTES.
     names = items.sparkSession.createDataFrame(list(enumerate(ids)), "_q int, query_id string")
     return found.join(F.broadcast(names), "_q").drop("_q")
 
