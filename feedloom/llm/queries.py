@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, decontaminate, minhash, packing, vectors, warc
+from feedloom.llm import chat, decontaminate, minhash, packing, quality, toxicity, vectors, warc
 from feedloom.llm.common import table
 
 
@@ -34,6 +34,14 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -79,7 +87,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_minhash": op5_minhash,
+    "op6_quality": op6_quality,
     "op7_vectors": op7_vectors,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat": op10_chat,
