@@ -33,7 +33,7 @@ from feedloom.llm.quality import training_labels
 
 SAMPLE_ROWS = 20_000
 MAX_ENTRIES = 2_000
-STEMS = (3, 4, 5, 6, 7, 8)
+STEMS = (4, 5, 6, 7, 8)
 
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 LOOK_ALIKES = {
@@ -183,8 +183,8 @@ def learn(
     sample_rows: int = SAMPLE_ROWS,
     exceptions: tuple[str, ...] = (),
     least_documents: int = 4,
-    least_ratio: float = 4.0,
-    least_deviation: float = 5.0,
+    least_ratio: float = 8.0,
+    least_deviation: float = 8.0,
 ) -> Lexicon | None:
     """A lexicon from docs (doc_id, text) and labels (doc_id, toxic); None without labels of both classes."""
     chosen = training_labels(labels, "toxic", sample_rows)
