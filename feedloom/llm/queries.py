@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, decontaminate, minhash, packing, quality, toxicity, vectors, warc
+from feedloom.llm import chat, decontaminate, minhash, packing, pii, quality, toxicity, vectors, warc
 from feedloom.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -87,6 +91,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
+    "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
     "op5_minhash": op5_minhash,
     "op6_quality": op6_quality,

@@ -223,13 +223,12 @@ def learn(
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
-    """Ridge logistic regression by Newton steps; both classes count alike, so 0.5 is where they are equally likely."""
-    share = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
+    """Ridge logistic regression by Newton steps."""
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (share * (p - y)) + ridge * w
-        h = (x * (share * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        g = x.T @ (p - y) + ridge * w
+        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w -= step * min(1, 3 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-8:
