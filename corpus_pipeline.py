@@ -1,8 +1,65 @@
-"""A stub until its stages are there."""
+"""A training corpus from raw documents: quality, near duplicates, benchmark leaks, personal data, sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
+``documents``, others included; the last returns the packed pieces of the documents that the fourth wrote. Nulls, empty
+texts, repeated rows and empty tables follow the operators: rows without id stay through the second and third stage, and of
+rows with equal id one stays.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from feedloom.llm import decontaminate, minhash, packing, pii, quality
+from feedloom.llm.common import new_folder, table
+from feedloom.llm.queries import vocabulary
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier does not reject."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id."""
+    return minhash.without_near_duplicates(docs)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that do not contain a benchmark item."""
+    found = decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with personal data replaced by its kind; ``n_chars`` follows the text."""
+    clean = pii.redacted(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in sequences of 1024 tokens."""
+    return packing.pack_documents(docs, vocabulary(), with_ids=False)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near_duplicates", one_of_each_group),
+    ("decontamination", no_benchmark),
+    ("personal_data", no_personal_data),
+    ("packing", packed),
+]
+
+# Not expressible in SQL: the classifier is fitted, the tokens are those of a vocabulary file.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = new_folder(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

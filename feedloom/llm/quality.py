@@ -244,20 +244,25 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, buckets: int, cost: flo
     return Model(np.column_stack([weights, scales * scales]).astype(np.float64), bias, slope, offset)
 
 
+def text_scores(texts: pa.Array, model: Model) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, rows, scores) for slices of the texts."""
+    weights = model.weights if model.weights.ndim == 2 else np.column_stack([model.weights, model.weights])
+    for first, rows, bucket, owner in indicators(texts, len(weights)):
+        total = np.bincount(owner, weights[bucket, 0], rows)
+        norm = np.sqrt(np.bincount(owner, weights[bucket, 1], rows))
+        margin = total / np.maximum(norm, 1e-12) + model.intercept
+        yield first, rows, 1 / (1 + np.exp(-np.clip(model.slope * margin + model.offset, -30, 30)))
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row of docs (doc_id, text). The model has a fixed size and is broadcast."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.weights, model.intercept, model.slope, model.offset))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, intercept, slope, offset = shared.value
-        weights = weights if weights.ndim == 2 else np.column_stack([weights, weights])
+        own = Model(*shared.value)
         for batch in batches:
-            for first, rows, bucket, owner in indicators(batch.column(1), len(weights)):
-                total = np.bincount(owner, weights[bucket, 0], rows)
-                norm = np.sqrt(np.bincount(owner, weights[bucket, 1], rows))
-                margin = total / np.maximum(norm, 1e-12) + intercept
-                value = 1 / (1 + np.exp(-np.clip(slope * margin + offset, -30, 30)))
+            for first, rows, value in text_scores(batch.column(1), own):
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(first, rows), "score": value})
 
     small_batches(spark)
@@ -271,3 +276,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     return scored(docs, model).select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs (with all their columns) whose text scores at least ``threshold``."""
+    model = fit(docs, labels, "quality", sample_rows)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept, model.slope, model.offset))
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for batch in batches:
+            for first, rows, score in text_scores(batch.column(at), own):
+                yield batch.slice(first, rows).filter(pa.array(score >= threshold))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(keep, docs.schema)

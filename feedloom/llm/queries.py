@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, decontaminate, minhash, packing, pii, quality, toxicity, vectors, warc
+from feedloom.llm import chat, decontaminate, minhash, packing, pii, quality, suffixes, toxicity, vectors, warc
 from feedloom.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_bytes(table(spark, sf_dir, "documents"), length=50)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -96,6 +100,7 @@ QUERIES = {
     "op5_minhash": op5_minhash,
     "op6_quality": op6_quality,
     "op7_vectors": op7_vectors,
+    "op8_suffixes": op8_suffixes,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat": op10_chat,
 }
