@@ -6,10 +6,11 @@ document needs about one step per shingle and the registers of a document are le
 With 16 bands of 4 registers, two sets of similarity 0.85 share no band with a probability of 7e-6.
 
 Equal sets (a 128-bit key) are one node. In each bucket of a band the member that most other documents
-collide with leads and is compared with the rest, which links most of a group of copies in pairs that are as
-many as its members. Members of different components are then compared with further leaders, as many per bucket
-as keep a round's pairs in proportion to the rows, until all of a bucket's pairs across components are decided:
-no bucket has a cap and no group is ever held by one task.
+collide with leads and is compared with the rest, which links most of a group of copies in as many pairs as it has
+members. What is left are buckets whose members are not yet of one component. Two sets of similarity t share one of
+their (1 - t) n + 1 rarest shingles, so there only members of different components that share such a prefix shingle are
+compared. That misses no link, has no cap, and holds no group in one task: a variant with too many shingles of its own meets nobody,
+and members of one component never meet.
 
 Defined results: words are split at ASCII white space, A-Z in lower case; fewer words than ``width`` are one
 shingle; null, empty and blank texts have none, link with nothing and are kept, as are rows without id; rows of one
@@ -30,8 +31,6 @@ from feedloom.llm.common import connected_components, small_batches, written
 from feedloom.llm.words import mix, text_shingles
 
 BANDS, BAND_ROWS = 16, 4
-# Pairs of a round, per row of the buckets.
-PAIRS_PER_ROW = 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 _HALF = np.uint64(32)
@@ -128,14 +127,38 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.mapInArrow(compare, f"u {kind}, v {kind}").distinct()
 
 
-def _leaders(members: DataFrame, limit: int) -> DataFrame:
-    """(band, u, comp_u, n_u): the ``limit`` members of each bucket that most documents collide with."""
-    if limit == 1:
-        best = members.groupBy("band").agg(F.max(F.struct("popular", (-F.col("doc")).alias("last"), "doc", "comp", "n")).alias("m"))
-        return best.select("band", F.col("m.doc").alias("u"), F.col("m.comp").alias("comp_u"), F.col("m.n").alias("n_u"))
-    order = Window.partitionBy("band").orderBy(F.desc("popular"), "doc")
-    ranked = members.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit)
-    return ranked.select("band", F.col("doc").alias("u"), F.col("comp").alias("comp_u"), F.col("n").alias("n_u"))
+def _leaders(members: DataFrame) -> DataFrame:
+    """(band, leader, n_leader): the member of each bucket that most documents collide with."""
+    best = members.groupBy("band").agg(F.max(F.struct("popular", (-F.col("doc")).alias("last"), "doc", "n")).alias("m"))
+    return best.select("band", F.col("m.doc").alias("leader"), F.col("m.n").alias("n_leader"))
+
+
+def _prefix_pairs(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v): members (doc, comp) of different components that share one of the rarest shingles of both."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, rows, value, owner in text_shingles(batch.column(1), width):
+                docs = batch.column(0).slice(first, rows).take(pa.array(owner))
+                n = np.bincount(owner, minlength=rows)[owner]
+                for i in range(0, len(value), 100_000):
+                    j = slice(i, i + 100_000)
+                    yield pa.RecordBatch.from_pydict({"doc": docs[j], "n": n[j].astype(np.int64), "s": value[j].view(np.int64)})
+
+    kind = members.schema["doc"].dataType.simpleString()
+    own = texts.join(members.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    shingles = written(own.mapInArrow(explode, f"doc {kind}, n long, s long"), "shingles")
+    often = written(shingles.groupBy("s").agg(F.count("*").alias("df")), "often")
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy("df", "s"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    prefix = shingles.join(often, "s").withColumn("rank", rank).where((F.col("rank") <= length) & (F.col("df") > 1))
+    prefix = written(prefix.select("s", "doc", "n").join(members, "doc"), "prefix")
+    # Per shingle, the members of the component that has most of them meet only the others.
+    most = prefix.groupBy("s", "comp").count().groupBy("s").agg(F.max(F.struct("count", "comp")).alias("m")).select("s", F.col("m.comp").alias("main"))
+    most = written(most, "most")
+    few = prefix.join(most, "s").where("comp <> main").select("s", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
+    met = written(few, "few").join(prefix, "s").where(f"comp <> comp_a and 100 * least(n, n_a) >= {percent} * greatest(n, n_a)")
+    return met.select(F.least("a", "doc").alias("u"), F.greatest("a", "doc").alias("v")).distinct()
 
 
 def near_duplicates(
@@ -153,42 +176,25 @@ def near_duplicates(
     buckets = written(rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     members = written(rows.join(buckets, "band"), "members")
     popular = members.groupBy("doc").agg(F.sum("size").alias("popular"))
-    live = written(members.join(popular, "doc").select("band", "doc", "n", "popular", F.col("doc").alias("comp")), "live")
+    live = written(members.join(popular, "doc").select("band", "doc", "n", "popular"), "live")
     texts = docs.select("doc_id", "text").join(popular.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
     texts = written(texts, "texts")
-    edges = tested = components = None
-    limit = 1
-    while True:
-        leaders = written(_leaders(live, limit), "leaders")
-        pairs = (
-            leaders.join(live, "band")
-            .where("comp <> comp_u and 100 * least(n, n_u) >= {0} * greatest(n, n_u)".format(percent))
-            .select(F.least("u", "doc").alias("u"), F.greatest("u", "doc").alias("v"))
-            .where("u <> v")
-            .distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = written(pairs, "pairs")
-        found = written(_verified(pairs, texts, width, percent), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = found if edges is None else edges.unionByName(found)
-        components = written(connected_components(edges), "components")
-        # A leader's pairs are all decided; a bucket is done when the others are of one component.
-        rest = live.join(leaders.select("band", F.col("u").alias("doc")), ["band", "doc"], "left_anti")
-        rest = rest.join(components.withColumnRenamed("node", "doc"), "doc", "left").select(
-            "band", "doc", "n", "popular", F.coalesce("component", "comp").alias("comp")
-        )
-        rest = written(rest, "rest")
-        open_buckets = written(rest.groupBy("band").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high"), "open")
-        live = written(rest.join(open_buckets.select("band"), "band", "left_semi"), "live")
-        left = open_buckets.agg(
-            F.sum("size").alias("rows"), *[F.sum(F.least("size", F.lit(2**k)) * F.col("size")).alias(f"p{k}") for k in range(24)]
-        ).first()
-        if not left["rows"]:
-            break
-        allowed = PAIRS_PER_ROW * max(left["rows"], live.sparkSession.sparkContext.defaultParallelism * 1000)
-        limit = max(2**k for k in range(24) if k == 0 or left[f"p{k}"] <= allowed)
+    leaders = written(_leaders(live), "leaders")
+    pairs = (
+        leaders.join(live, "band")
+        .where(f"doc <> leader and 100 * least(n, n_leader) >= {percent} * greatest(n, n_leader)")
+        .select(F.least("leader", "doc").alias("u"), F.greatest("leader", "doc").alias("v"))
+        .distinct()
+    )
+    edges = written(_verified(written(pairs, "pairs"), texts, width, percent), "links")
+    first = written(connected_components(edges), "first").withColumnRenamed("node", "doc")
+    grouped = live.join(first, "doc", "left").select("band", "doc", F.coalesce("component", "doc").alias("comp"))
+    grouped = written(grouped, "grouped")
+    unsettled = grouped.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    rest = grouped.join(unsettled.select("band"), "band", "left_semi").select("doc", "comp").distinct()
+    more = written(_prefix_pairs(written(rest, "rest"), texts, width, percent), "more-pairs")
+    edges = edges.unionByName(written(_verified(more, texts, width, percent), "more-links"))
+    components = written(connected_components(edges), "components")
     by_key = nodes.select(*keys, "doc").join(components.withColumnRenamed("node", "doc"), "doc", "left")
     by_key = written(by_key.select(*keys, F.coalesce("component", "doc").alias("component_id")), "classes")
     return (
