@@ -103,10 +103,12 @@ class Model:
     offset: float
 
 
-def _ratios(columns: np.ndarray, labels: np.ndarray, buckets: int, smoothing: float) -> np.ndarray:
-    yes = np.bincount(columns[labels == 1], minlength=buckets) + smoothing
-    no = np.bincount(columns[labels == 0], minlength=buckets) + smoothing
-    return np.log(yes / yes.sum()) - np.log(no / no.sum())
+def _ratios(rows: list[np.ndarray], labels: np.ndarray, buckets: int, smoothing: float) -> np.ndarray:
+    """The log-count ratio of each indicator, from the documents of the two classes that have it."""
+    counts = np.full((2, buckets), smoothing)
+    for row, label in zip(rows, labels):
+        counts[label, row] += 1  # a row has each indicator once
+    return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
 def dual_coordinate_descent(
@@ -120,8 +122,7 @@ def dual_coordinate_descent(
     y = np.where(labels > 0, 1.0, -1.0)
     share = np.array([(labels == 0).mean(), (labels == 1).mean()])
     upper = cost * 0.5 / share[labels.astype(int)]
-    values = [scales[r] for r in rows]
-    values = [v / max(np.sqrt(v @ v), 1e-12) for v in values]
+    shrink = np.array([1 / max(np.sqrt(scales[r] @ scales[r]), 1e-12) for r in rows])
     weights, bias, alpha = np.zeros(len(scales)), 0.0, np.zeros(len(rows))
     order = np.random.default_rng(seed)
     active = np.arange(len(rows))
@@ -129,7 +130,8 @@ def dual_coordinate_descent(
         order.shuffle(active)
         worst, kept = 0.0, []
         for i in active:
-            r, v = rows[i], values[i]
+            r = rows[i]
+            v = scales[r] * shrink[i]
             gradient = y[i] * (weights[r] @ v + bias) - 1
             if (alpha[i] == 0 and gradient > 1) or (alpha[i] == upper[i] and gradient < -1):
                 continue
@@ -216,19 +218,17 @@ def fit(
     got = sample.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(gather, "doc_id long, label int, found binary").toArrow()
     order = np.argsort(got["doc_id"].to_numpy(zero_copy_only=False), kind="stable")
     classes = got["label"].to_numpy()[order]
-    found = got["found"].to_pylist()
-    rows = [np.frombuffer(found[i], "<i4").astype(np.int64) for i in order]
+    found = got["found"].combine_chunks()
+    rows = [np.frombuffer(found[i].as_buffer(), "<i4") for i in order.tolist()]  # views of what was gathered
     if len(set(classes)) < 2:
         return Model(np.zeros(buckets), 0.0, 0.0, 0.0)
     return fit_rows(rows, classes, buckets, cost, passes, smoothing)
 
 
 def fit_rows(rows: list[np.ndarray], labels: np.ndarray, buckets: int, cost: float, passes: int, smoothing: float) -> Model:
-    def machine(chosen: np.ndarray) -> tuple[np.ndarray, float]:
+    def machine(chosen: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
         own = [rows[i] for i in chosen]
-        sizes = np.array([len(r) for r in own])
-        flat = np.concatenate(own) if own else np.zeros(0, np.int64)
-        scales = _ratios(flat, np.repeat(labels[chosen], sizes), buckets, smoothing)
+        scales = _ratios(own, labels[chosen], buckets, smoothing)
         weights, bias = dual_coordinate_descent(own, scales, labels[chosen], cost, passes)
         return weights * scales, bias, scales
 

@@ -100,14 +100,17 @@ def _features(total: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log1p(total), np.log1p(1000 * total / np.maximum(words, 1)), np.ones(len(total))])
 
 
-def _count_terms(rows: DataFrame) -> DataFrame:
-    """(term, toxic, clean): in how many labelled documents (doc_id, text, label) each word and stem occurs."""
+def _count_terms(rows: DataFrame, exceptions: list[str]) -> DataFrame:
+    """(term, toxic, clean): in how many labelled documents (text, label) each word and stem occurs outside exceptions."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = (Counter(), Counter())
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = set(folded(text).split())
+                text = folded(text)
+                for phrase in exceptions:
+                    text = text.replace(phrase, " ")
+                words = set(text.split())
                 terms = {f" {w} " for w in words}
                 for n in STEMS:
                     terms |= {f" {w[:n]}" for w in words if len(w) >= n}
@@ -201,7 +204,7 @@ def learn(
     chance = (F.col("clean") + 1) * (number[1] / number[0])
     deviation = (F.col("toxic") - chance) / F.sqrt(chance + 1)
     terms = (
-        _count_terms(rows)
+        _count_terms(rows, [folded(p) for p in exceptions])
         .where((F.col("toxic") >= least_documents) & (deviation >= least_deviation) & (weight >= float(np.log(least_ratio))))
         .select("term", weight.alias("weight"))
         .orderBy(F.desc("weight"), "term")

@@ -9,9 +9,9 @@ near copies costs products but no rows. Comparing all pairs remains quadratic in
 of a pair, the window that of distant blocks.
 
 Defined results: null or empty vectors, those with null or non-finite parts, and zero vectors link with nothing, keep
-their row and are their own component; vectors of different lengths never link; rows of one id are one
-vector group, linked as any of them; rows without id link with nothing; other columns are ignored; an empty
-table gives no rows.
+their row and are their own component; vectors of different lengths never link; rows of one id are
+vectors of their own that are told apart by their values; rows without id link with nothing; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
