@@ -58,7 +58,7 @@ def near_copies(seed=3):
         for _ in range(rng.randrange(0, 9)):
             words[rng.randrange(len(words))] = f"n{k}x{rng.randrange(99)}"
         rows.append((100 + k, " ".join(words)))
-    rows += [(300, bases[0].upper()), (301, bases[0]), (302, bases[0]), (5, bases[0] + " "), (400, ""), (401, None)]
+    rows += [(300, bases[0].upper()), (301, bases[0]), (302, bases[0]), (99, bases[0] + " "), (400, ""), (401, None)]
     rows += [(402, " \t\n"), (403, "one Two"), (404, "ONE two"), (405, "one two three"), (406, "é" * 70_000)]
     return rows
 
