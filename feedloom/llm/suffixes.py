@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import small_batches, written
-from feedloom.llm.words import mix, slices, span_hashes
+from feedloom.llm.words import mix, prefix_sums, slices, spans_of
 
 GRAM = 16
 # Text per bucket of suffixes, and suffixes that a scan holds before it sends them.
-BUCKET_BYTES = 16_000_000
-BUFFER_RUNS = 1_000_000
+BUCKET_BYTES = 8_000_000
+BUFFER_RUNS = 400_000
 # Documents whose suffixes are sampled for the splitters, and one in so many of their suffixes.
 SAMPLE_DOCS, SAMPLE_STEP = 2_000, 16
 SETTLED, PENDING, SOURCE = 1, 2, 4
@@ -86,9 +86,19 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     return row, place[first], first, last - first + 1
 
 
-def _stretch_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    """A 48-bit hash of each stretch and of the gram's place in it."""
-    return mix(span_hashes(data, first, end) + (gram - first).astype(np.uint64) * _MULT) >> np.uint64(16)
+def _hashes(
+    data: np.ndarray, offsets: np.ndarray, row: np.ndarray, place: np.ndarray, first: np.ndarray, count: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """A 48-bit hash of each run's stretch and the gram's place in it, and one byte for each side of the gram.
+
+    A window has ``length`` - 16 bytes beside its gram, so at least half of them on one side: documents that share a
+    window have the same gram and the same nearest half on one side at least.
+    """
+    total, half = prefix_sums(data), -(-(length - GRAM) // 2)
+    stretch = spans_of(total, first, first + count - 1 + length) + (place - first).astype(np.uint64) * _MULT
+    right = spans_of(total, place + GRAM, np.minimum(place + GRAM + half, offsets[row + 1]))
+    left = spans_of(total, np.maximum(place - half, offsets[row]), place)
+    return mix(stretch) >> np.uint64(16), ((right & np.uint64(255)) | (left & np.uint64(0xFF00))).astype(np.uint16)
 
 
 def _leading(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,34 +152,31 @@ def _unpack(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-# lead, next, stretch, document, text hash, first window, windows
-_RUN = ["<u8", "<u8", "<u8", "<i8", "<i8", "<u4", "<u2"]
-# document, text hash, lead, next, first window, windows, gram's distance, role
-_FLAG = ["<i8", "<i8", "<u8", "<u8", "<u4", "<u2", "<u1"]
+# lead, next, stretch, sides, document, text hash, first window, windows
+_RUN = ["<u8", "<u8", "<u8", "<u2", "<i8", "<i8", "<u4", "<u2"]
+# document, text hash, gram, first window, windows, role
+_FLAG = ["<i8", "<i8", "<u8", "<u4", "<u2", "<u1"]
+
+
+def _typed(columns: tuple[np.ndarray, ...], kinds: list[str], at: np.ndarray) -> bytes:
+    return _pack([c[at].astype(k) for c, k in zip(columns, kinds)])
 
 
 def _scan(docs: DataFrame, length: int, splitters: np.ndarray, parts: int) -> DataFrame:
     """(kind, bucket, data): kind 0, runs of a bucket of suffixes; 1, settled runs of a part of the documents."""
 
     def send(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        lead, after, stretch, doc, text, first, count = (np.concatenate(c) for c in zip(*held))
-        order = multikey_order(lead, after, stretch, doc)
-        lead, after, stretch, doc, text, first, count = (c[order] for c in (lead, after, stretch, doc, text, first, count))
+        columns = tuple(np.concatenate(c) for c in zip(*held))
+        order = multikey_order(*columns[:3], columns[4])
+        columns = tuple(c[order] for c in columns)
+        lead, after, stretch, _, doc, text, first, count = columns
         new = np.ones(len(lead), bool)
         new[1:] = (lead[1:] != lead[:-1]) | (after[1:] != after[:-1]) | (stretch[1:] != stretch[:-1])
-        least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        known = doc > least
-        bucket = _bucket(lead, after, splitters)
-        out = []
-        keep = np.flatnonzero(~known)
-        for b, at in _groups(bucket[keep]):
-            i = keep[at]
-            out.append((0, b, _pack([lead[i], after[i], stretch[i], doc[i], text[i], first[i].astype("<u4"), count[i].astype("<u2")])))
-        gone = np.flatnonzero(known)
-        for p, at in _groups(_part(doc[gone], text[gone], parts)):
-            i = gone[at]
-            role = np.full(len(i), SETTLED, "<u1")
-            out.append((1, p, _pack([doc[i], text[i], lead[i], after[i], first[i].astype("<u4"), count[i].astype("<u2"), role])))
+        known = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        keep, gone = np.flatnonzero(~known), np.flatnonzero(known)
+        out = [(0, b, _typed(columns, _RUN, keep[at])) for b, at in _groups(_bucket(lead[keep], after[keep], splitters))]
+        settled = (doc, text, np.zeros(len(doc), np.uint64), first, count, np.full(len(doc), SETTLED))
+        out += [(1, p, _typed(settled, _FLAG, gone[at])) for p, at in _groups(_part(doc[gone], text[gone], parts))]
         for s in range(0, len(out), 256):
             kind, where, data = zip(*out[s : s + 256])
             yield pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int32()), "bucket": pa.array(where, pa.int64()), "data": pa.array(data, pa.binary())})
@@ -182,9 +189,8 @@ def _scan(docs: DataFrame, length: int, splitters: np.ndarray, parts: int) -> Da
                 row, place, first, count = runs(data, offsets, length)
                 if not len(row):
                     continue
-                lead, after = _leading(data, place)
-                stretch = _stretch_hashes(data, first, first + count - 1 + length, place)
-                held.append((lead, after, stretch, ids[first_row + row], hashes[first_row + row], first - offsets[row], count))
+                stretch, sides = _hashes(data, offsets, row, place, first, count, length)
+                held.append((*_leading(data, place), stretch, sides, ids[first_row + row], hashes[first_row + row], first - offsets[row], count))
                 size += len(row)
             if size >= BUFFER_RUNS:
                 yield from send(held)
@@ -231,31 +237,44 @@ def _splitters(docs: DataFrame, length: int, buckets: int, rows: int) -> np.ndar
     return lead[np.linspace(0, len(lead), buckets + 1).astype(int)[1:-1]] if len(lead) >= buckets else lead
 
 
+def _shared(keys: list[np.ndarray], doc: np.ndarray, settled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs with equal keys: those with an earlier document, and those that such a run may have windows of."""
+    order = multikey_order(*keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+    least = np.minimum.reduceat(doc[order], starts)[group]
+    pending = ~settled[order] & (doc[order] > least)
+    source = np.logical_or.reduceat(pending, starts)[group] & ~settled[order]
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return pending[back], source[back]
+
+
 def _resolved(blocks: DataFrame, parts: int) -> DataFrame:
-    """(part, data): the roles of the runs of each bucket that any document shares with an earlier one."""
+    """(bucket, data): the roles, by part of the documents, of the runs that any document shares with an earlier one."""
 
     def resolve(group: pa.Table) -> pa.Table:
-        lead, after, stretch, doc, text, first, count = (np.concatenate(c) for c in zip(*(_unpack(b, _RUN) for b in group.column("data").to_pylist())))
-        order = multikey_order(lead, after, stretch, doc)
-        lead, after, stretch, doc, text, first, count = (c[order] for c in (lead, after, stretch, doc, text, first, count))
-        new_gram = np.ones(len(lead), bool)
-        new_gram[1:] = (lead[1:] != lead[:-1]) | (after[1:] != after[:-1])
-        new = new_gram.copy()
-        new[1:] |= stretch[1:] != stretch[:-1]
-        gram, same = np.cumsum(new_gram) - 1, np.cumsum(new) - 1
-        least = np.minimum.reduceat(doc, np.flatnonzero(new_gram))[gram]
-        head = doc[np.flatnonzero(new)][same]
-        settled = doc > head
-        pending = ~settled & (doc > least)
+        data = group.column("data").to_pylist()
+        if group.column("kind")[0].as_py() == 1:
+            return pa.table({"bucket": group.column("bucket"), "data": pa.array(data, pa.binary())})
+        columns = tuple(np.concatenate(c) for c in zip(*(_unpack(b, _RUN) for b in data)))
+        order = multikey_order(*columns[:3], columns[4])
+        lead, after, stretch, sides, doc, text, first, count = (c[order] for c in columns)
+        new = np.ones(len(lead), bool)
+        new[1:] = (lead[1:] != lead[:-1]) | (after[1:] != after[:-1]) | (stretch[1:] != stretch[:-1])
+        settled = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        right, right_source = _shared([lead, after, sides & np.uint16(255)], doc, settled)
+        left, left_source = _shared([lead, after, sides >> np.uint16(8)], doc, settled)
         # The first document of each stretch is a source for the pending ones with the same leading bytes.
-        wanted = np.logical_or.reduceat(pending, np.flatnonzero(new_gram))[gram]
-        source = wanted & ~settled
-        role = (settled * SETTLED + pending * PENDING + source * SOURCE).astype("<u1")
+        pending, source = right | left, right_source | left_source
+        role = settled * SETTLED + pending * PENDING + source * SOURCE
+        gram = np.where(settled, np.uint64(0), mix(lead + mix(after)))
         keep = np.flatnonzero(role)
-        out = [(p, _pack([c[keep[at]] for c in (doc, text, lead, after, first, count, role)])) for p, at in _groups(_part(doc[keep], text[keep], parts))]
+        out = [(p, _typed((doc, text, gram, first, count, role), _FLAG, keep[at])) for p, at in _groups(_part(doc[keep], text[keep], parts))]
         return pa.table({"bucket": pa.array([p for p, _ in out], pa.int64()), "data": pa.array([d for _, d in out], pa.binary())})
 
-    return blocks.select("bucket", "data").groupBy("bucket").applyInArrow(resolve, "bucket long, data binary")
+    return blocks.groupBy("kind", "bucket").applyInArrow(resolve, "bucket long, data binary")
 
 
 def _per_document(flags: DataFrame) -> DataFrame:
@@ -280,16 +299,15 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text_hash, flags, text in zip(*(c.to_pylist() for c in batch.columns)):
-                lead, after, first, count, role = _unpack(flags, _FLAG[2:])
+                gram, first, count, role = _unpack(flags, _FLAG[2:])
                 at = np.flatnonzero(role & (PENDING | SOURCE))
                 if not len(at):
                     continue
                 raw = text.encode()
-                gram = mix(lead[at] + mix(after[at])).view(np.int64)
                 stretch = [raw[a : a + c - 1 + length] for a, c in zip(first[at].tolist(), count[at].tolist())]
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "gram": gram,
+                        "gram": gram[at].view(np.int64),
                         "doc_id": np.full(len(at), doc, np.int64),
                         "h": np.full(len(at), text_hash, np.int64),
                         "first": first[at].astype(np.int64),
@@ -342,10 +360,10 @@ def _laid(flags: bytes | None, extra: list[int] | None, raw: bytes, length: int)
     """(bytes removed, removed runs, digest of the rest, the rest) of a text."""
     delta = np.zeros(len(raw) + 1, np.int64)
     if flags is not None:
-        _, _, first, count, role = _unpack(flags, _FLAG[2:])
+        _, first, count, role = _unpack(flags, _FLAG[2:])
         at = (role & SETTLED) > 0
         np.add.at(delta, first[at].astype(np.int64), 1)
-        np.add.at(delta, first[at].astype(np.int64) + count[at] - 1 + length, -1)
+        np.add.at(delta, first[at].astype(np.int64) + count[at].astype(np.int64) - 1 + length, -1)
     if extra is not None and len(extra):
         place = np.asarray(extra, np.int64)
         np.add.at(delta, place, 1)
@@ -366,12 +384,15 @@ def repeated_bytes(docs: DataFrame, length: int = 50, with_kept: bool = False) -
     spark = docs.sparkSession
     small_batches(spark)
     text = F.coalesce("text", F.lit(""))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    ids = F.col("doc_id").cast("long").alias("doc_id")
+    # Rows of one id are told apart by a hash of the text, where there are such rows.
+    same = docs.select(ids, F.xxhash64(text).alias("h")).groupBy("doc_id").agg((F.min("h") != F.max("h")).alias("differ"))
+    mixed = same.agg(F.bool_or("differ")).first()[0]
+    texts = docs.select(ids, (F.xxhash64(text) if mixed else F.lit(0).cast("long")).alias("h"), text.alias("text"))
     rows, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     buckets = max(1, -(-size // BUCKET_BYTES))
     splitters = _splitters(texts, length, buckets, rows)
-    scanned = written(_scan(texts, length, splitters, buckets), "runs")
-    flags = _resolved(scanned.where("kind = 0"), buckets).unionByName(scanned.where("kind = 1").select("bucket", "data"))
+    flags = _resolved(_scan(texts, length, splitters, buckets), buckets)
     per_doc = written(_per_document(flags), "flags").withColumnRenamed("doc_id", "key")
     # One exchange of the texts serves both joins; the key is never null, so that both ask for the same rows.
     keyed = texts.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")))

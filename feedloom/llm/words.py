@@ -84,15 +84,25 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, in time of the bytes and not of the spans' lengths."""
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """What ``spans_of`` needs of the bytes."""
     total = np.zeros(len(data) + 1, np.uint64)
     if len(data):
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, "base", len(data)), out=total[1:])
-    value = (total[end] - total[start]) * _power(_BASE_INVERSE, "inverse", len(data) + 1)[start]
+    return total
+
+
+def spans_of(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of the bytes whose ``prefix_sums`` these are."""
+    value = (total[end] - total[start]) * _power(_BASE_INVERSE, "inverse", len(total))[start]
     return mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, in time of the bytes and not of the spans' lengths."""
+    return spans_of(prefix_sums(data), start, end)
+
+
 def shingles(word: np.ndarray, row: np.ndarray, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of the distinct shingles, sorted by row and hash.
 
