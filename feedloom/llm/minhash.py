@@ -143,21 +143,26 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, width: int, percent: int
                 n = np.bincount(owner, minlength=rows)[owner]
                 for i in range(0, len(value), 100_000):
                     j = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_pydict({"doc": docs[j], "n": n[j].astype(np.int64), "s": value[j].view(np.int64)})
+                    yield pa.RecordBatch.from_pydict({"doc": docs[j], "n": n[j].astype(np.int32), "s": value[j].view(np.int64)})
 
     kind = members.schema["doc"].dataType.simpleString()
     own = texts.join(members.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    shingles = written(own.mapInArrow(explode, f"doc {kind}, n long, s long"), "shingles")
+    shingles = written(own.mapInArrow(explode, f"doc {kind}, n int, s long"), "shingles")
     often = written(shingles.groupBy("s").agg(F.count("*").alias("df")), "often")
-    rank = F.row_number().over(Window.partitionBy("doc").orderBy("df", "s"))
+    by_doc = Window.partitionBy("doc")
+    rank = F.row_number().over(by_doc.orderBy("df", "s"))
     length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
-    prefix = shingles.join(often, "s").withColumn("rank", rank).where((F.col("rank") <= length) & (F.col("df") > 1))
-    prefix = written(prefix.select("s", "doc", "n").join(members, "doc"), "prefix")
+    # What no other member has counts against any link: at most the rest can be shared.
+    rest = F.col("n") - F.count_if(F.col("df") == 1).over(by_doc)
+    prefix = shingles.join(often, "s").withColumns({"rank": rank, "rest": rest}).where((F.col("rank") <= length) & (F.col("df") > 1))
+    prefix = written(prefix.select("s", "doc", "n", "rest").join(members, "doc"), "prefix")
     # Per shingle, the members of the component that has most of them meet only the others.
     most = prefix.groupBy("s", "comp").count().groupBy("s").agg(F.max(F.struct("count", "comp")).alias("m")).select("s", F.col("m.comp").alias("main"))
     most = written(most, "most")
-    few = prefix.join(most, "s").where("comp <> main").select("s", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-    met = written(few, "few").join(prefix, "s").where(f"comp <> comp_a and 100 * least(n, n_a) >= {percent} * greatest(n, n_a)")
+    few = prefix.join(most, "s").where("comp <> main").select("s", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"), F.col("comp").alias("comp_a"))
+    met = written(few, "few").join(prefix, "s").where(
+        f"comp <> comp_a and {100 + percent} * least(rest, rest_a) >= {percent} * (n + n_a)"
+    )
     return met.select(F.least("a", "doc").alias("u"), F.greatest("a", "doc").alias("v")).distinct()
 
 
@@ -177,7 +182,9 @@ def near_duplicates(
     members = written(rows.join(buckets, "band"), "members")
     popular = members.groupBy("doc").agg(F.sum("size").alias("popular"))
     live = written(members.join(popular, "doc").select("band", "doc", "n", "popular"), "live")
-    texts = docs.select("doc_id", "text").join(popular.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
+    # The ids have no proven bound: joined by a shuffle at every size.
+    wanted = popular.select(F.col("doc").alias("doc_id")).hint("merge")
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
     texts = written(texts, "texts")
     leaders = written(_leaders(live), "leaders")
     pairs = (
