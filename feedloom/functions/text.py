@@ -115,8 +115,10 @@ def first_nonempty(*cols: Column | str) -> Column:
     return F.coalesce(*[F.nullif(as_column(c), F.lit("")) for c in cols], F.lit(""))
 
 
-def clean_post(col: Column | str, max_tokens: int) -> Column:
-    return first_tokens(normalize_text(col), max_tokens)
+def clean_post(col: Column | str, max_tokens: int | None = None) -> Column:
+    """Cleaned text; it is whole unless a limit is asked for."""
+    clean = normalize_text(col)
+    return clean if max_tokens is None else first_tokens(clean, max_tokens)
 
 
 def content_hash(source: Column | str, text: Column | str) -> Column:

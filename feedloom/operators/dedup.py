@@ -41,7 +41,8 @@ def attach_cached(items: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def cache_hits(items: DataFrame, cache: DataFrame) -> DataFrame:
-    return attach_cached(items, cache).filter(F.col("cached_embedding").isNotNull())
+    """Items with a stored vector; either side is read once."""
+    return items.join(newest_vectors(cache), "content_hash")
 
 
 def cache_misses(items: DataFrame, cache: DataFrame) -> DataFrame:

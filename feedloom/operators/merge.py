@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,7 +134,10 @@ def upsert(
     order: Sequence[str] = ("seq",),
     keep_existing_on_null: bool = False,
 ) -> DataFrame:
-    """The table after one batch of rows, later rows winning."""
+    """The table after one batch of rows, later rows winning.
+
+    Each side is read once: the batch is reduced to a row per key and meets the table in one outer join.
+    """
     labels = [c for c in LABELS if c in payload] if keep_existing_on_null else []
     reduced = reduce_batch(batch, key, payload, order, labels)
     if current is None or "id" in current.columns:
@@ -145,5 +148,34 @@ def upsert(
             kept = {c: F.coalesce(F.col(f"labelled.{c}"), F.col(c)) for c in labels}
             reduced = reduced.withColumns(kept).drop("labelled")
         return reduced.drop("flips").withColumns({"created_at": batch_time, "updated_at": batch_time})
-    stamped = reduced.withColumns({"batch_time": batch_time, "batch_key": F.lit("batch")})
-    return merge_versions(current, stamped, key, payload, keep_existing_on_null)
+    fields = [c for c in payload if c not in key]
+    old, new = current.alias("old"), reduced.withColumn("_new", F.lit(True)).alias("new")
+    same_key = reduce(and_, [F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")) for c in key])
+    both = old.join(new, same_key, "full_outer")
+    fresh = F.coalesce(F.col("new._new"), F.lit(False))
+    values = {c: F.col(f"new.{c}") for c in fields}
+    if labels:
+        # The batch's last known labels, else the stored ones if they are known, else none.
+        stored = F.col(f"old.{labels[-1]}").isNotNull()
+        values |= {
+            c: F.when(F.col("new.labelled").isNotNull(), F.col(f"new.labelled.{c}"))
+            .when(stored, F.col(f"old.{c}")).otherwise(F.col(f"new.{c}"))
+            for c in labels
+        }
+    differ = reduce(or_, [~F.col(f"old.{c}").eqNullSafe(values[c]) for c in fields]) | F.col("new.flips")
+    started = F.col("old.created_at")
+    stamps = {
+        "created_at": F.when(started.isNull(), batch_time).otherwise(started),
+        "updated_at": F.when(fresh & (started.isNull() | differ), batch_time).otherwise(F.col("old.updated_at")),
+    }
+    out = []
+    for c in current.columns:
+        if c in stamps:
+            out.append(stamps[c].alias(c))
+        elif c in key or c == "id":
+            out.append(F.coalesce(f"old.{c}", f"new.{c}").alias(c))
+        elif c in values:
+            out.append(F.when(fresh, values[c]).otherwise(F.col(f"old.{c}")).alias(c))
+        else:
+            out.append(F.col(f"old.{c}").alias(c))
+    return both.select(*out)

@@ -120,4 +120,5 @@ class JobSettings:
     """Parameters of an ingest job, with the defaults users know."""
 
     fetch_interval_seconds: int = 120
-    max_text_tokens: int = 1500
+    # A limit on stored text; whole texts are hashed and stored without one.
+    max_text_tokens: int | None = None

@@ -27,7 +27,7 @@ BAD_LINE = "_corrupt_record"
 RAW_LINE = "_line"
 
 
-def _to_items(
+def _raw_items(
     records: DataFrame,
     source: str,
     source_id: Column,
@@ -35,22 +35,25 @@ def _to_items(
     published_at: Column,
     author: Column,
     raw: Column,
-    max_tokens: int,
     given_lang: Column | None = None,
     feed: Column | None = None,
 ) -> DataFrame:
-    """Common shape of all feeds: clean the text first, then detect its language."""
-    cleaned = records.select(
+    """Common shape of all feeds before cleaning, so that rows are ranked and dropped without that work."""
+    return records.select(
         F.lit(source).alias("source"),
         source_id.cast("string").alias("source_id"),
         author.cast("string").alias("author"),
         published_at.alias("published_at"),
         (given_lang if given_lang is not None else F.lit(None).cast("string")).alias("given_lang"),
-        clean_post(body, max_tokens).alias("text"),
+        body.alias("body"),
         raw.alias("raw"),
         (feed if feed is not None else F.lit(source)).alias("feed"),
     )
-    return cleaned.select(
+
+
+def clean_items(rows: DataFrame, max_tokens: int | None = None) -> DataFrame:
+    """Mapped rows to items: the text is cleaned first, then its language detected. No limit keeps it whole."""
+    return rows.withColumn("text", clean_post("body", max_tokens)).select(
         "source",
         "source_id",
         "author",
@@ -69,9 +72,9 @@ def _whole_record(records: DataFrame) -> Column:
     return F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"})
 
 
-def map_channel_message(records: DataFrame, max_tokens: int = 1500) -> DataFrame:
+def raw_channel_message(records: DataFrame) -> DataFrame:
     m = F.col("message")
-    return _to_items(
+    return _raw_items(
         records.filter(m["date"].isNotNull()),
         "telegram",
         F.concat_ws(":", "channel", m["id"].cast("string")),
@@ -79,13 +82,12 @@ def map_channel_message(records: DataFrame, max_tokens: int = 1500) -> DataFrame
         parse_iso8601(m["date"]),
         m["sender_id"],
         _whole_record(records),
-        max_tokens,
         feed=F.col("channel"),
     )
 
 
-def map_search_post(records: DataFrame, max_tokens: int = 1500) -> DataFrame:
-    return _to_items(
+def raw_search_post(records: DataFrame) -> DataFrame:
+    return _raw_items(
         records,
         "twitter",
         F.col("id"),
@@ -93,13 +95,12 @@ def map_search_post(records: DataFrame, max_tokens: int = 1500) -> DataFrame:
         parse_iso8601("created_at"),
         F.col("author_id"),
         _whole_record(records),
-        max_tokens,
         given_lang=F.col("lang"),
     )
 
 
-def map_submission(records: DataFrame, max_tokens: int = 1500) -> DataFrame:
-    return _to_items(
+def raw_submission(records: DataFrame) -> DataFrame:
+    return _raw_items(
         records,
         "reddit",
         F.coalesce("name", F.col("id")),
@@ -107,13 +108,12 @@ def map_submission(records: DataFrame, max_tokens: int = 1500) -> DataFrame:
         epoch_to_timestamp("created_utc"),
         F.nullif("author", F.lit("")),
         F.to_json(F.struct("id", "subreddit", "title", "url"), {"ignoreNullFields": "false"}),
-        max_tokens,
         feed=F.col("subreddit"),
     )
 
 
-def map_status(records: DataFrame, max_tokens: int = 1500) -> DataFrame:
-    return _to_items(
+def raw_status(records: DataFrame) -> DataFrame:
+    return _raw_items(
         records,
         "truth_social",
         F.col("id"),
@@ -121,11 +121,26 @@ def map_status(records: DataFrame, max_tokens: int = 1500) -> DataFrame:
         parse_iso8601("created_at"),
         F.col("account.acct"),
         _whole_record(records),
-        max_tokens,
         given_lang=F.col("language"),
     )
 
 
+def map_channel_message(records: DataFrame, max_tokens: int | None = None) -> DataFrame:
+    return clean_items(raw_channel_message(records), max_tokens)
+
+
+def map_search_post(records: DataFrame, max_tokens: int | None = None) -> DataFrame:
+    return clean_items(raw_search_post(records), max_tokens)
+
+
+def map_submission(records: DataFrame, max_tokens: int | None = None) -> DataFrame:
+    return clean_items(raw_submission(records), max_tokens)
+
+
+def map_status(records: DataFrame, max_tokens: int | None = None) -> DataFrame:
+    return clean_items(raw_status(records), max_tokens)
+
+
 # Where the constraints of mapped items are read: none of these needs the cleaned
 # text or a detected language, so setting rows aside does not repeat that work.
 CHECKED = {"source": "source", "source_id": "source_id", "author": "author",
@@ -138,19 +153,22 @@ class Feed:
 
     source: str
     schema: T.StructType
-    to_items: Callable[[DataFrame, int], DataFrame]
+    to_raw: Callable[[DataFrame], DataFrame]
     includes_since: bool = False
     caps_before_since: bool = False
     capped: bool = True
 
+    def to_items(self, records: DataFrame, max_tokens: int | None = None) -> DataFrame:
+        return clean_items(self.to_raw(records), max_tokens)
+
 
 FEEDS: dict[str, Feed] = {
     f.source: f
     for f in (
-        Feed("telegram", schemas.CHANNEL_MESSAGE, map_channel_message, capped=False),
-        Feed("twitter", schemas.SEARCH_POST, map_search_post, includes_since=True),
-        Feed("reddit", schemas.SUBMISSION, map_submission, caps_before_since=True),
-        Feed("truth_social", schemas.STATUS, map_status, caps_before_since=True),
+        Feed("telegram", schemas.CHANNEL_MESSAGE, raw_channel_message, capped=False),
+        Feed("twitter", schemas.SEARCH_POST, raw_search_post, includes_since=True),
+        Feed("reddit", schemas.SUBMISSION, raw_submission, caps_before_since=True),
+        Feed("truth_social", schemas.STATUS, raw_status, caps_before_since=True),
     )
 }
 
@@ -200,13 +218,23 @@ def matches_any(col: Column | str, terms: Sequence[str]) -> Column:
     return reduce(or_, [text.contains(t.lower()) for t in terms], F.lit(False))
 
 
+def since_split(
+    rows: DataFrame, since: datetime | Column, inclusive: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(rows newer than ``since`` or without a readable time, late rows)."""
+    new = newer_than(rows, since, inclusive, keep_undated=True)
+    bound = F.lit(utc(since)) if isinstance(since, datetime) else since
+    at = F.col("published_at")
+    return new, rows.filter(at < bound if inclusive else at <= bound)
+
+
 def fetch_since(
     records: DataFrame,
     feed: Feed,
     since: datetime | Column,
     keywords: Sequence[str] | None = None,
     newest: int | None = None,
-    max_tokens: int = 1500,
+    max_tokens: int | None = None,
     keep_undated: bool = False,
 ) -> DataFrame:
     """Items of a feed newer than ``since``.
@@ -215,18 +243,22 @@ def fetch_since(
     ``newest`` is the page size of the feed's service: with it, only that many
     newest items per feed are taken, before or after the time filter as that
     service does. Landed files hold whole pages already, so the default takes all.
+    Rows are ranked and filtered as they came; only those that stay are cleaned.
     ``keep_undated`` passes on items whose time cannot be read, for the constraint check.
     """
-    if keywords is not None:
-        records = records.filter(matches_any("text", keywords))
-    items = feed.to_items(records, max_tokens)
+    rows = matching(records, feed, keywords)
     cap = newest is not None and feed.capped
     if cap and feed.caps_before_since:
-        items = newest_per_feed(items, ["source", "feed"], newest)
-    items = newer_than(items, since, feed.includes_since, keep_undated)
+        rows = newest_per_feed(rows, ["source", "feed"], newest)
+    rows = newer_than(rows, since, feed.includes_since, keep_undated)
     if cap and not feed.caps_before_since:
-        items = newest_per_feed(items, ["source", "feed"], newest)
-    return items
+        rows = newest_per_feed(rows, ["source", "feed"], newest)
+    return clean_items(rows, max_tokens)
+
+
+def matching(records: DataFrame, feed: Feed, keywords: Sequence[str] | None = None) -> DataFrame:
+    """Uncleaned rows of a feed, with ``keywords`` those whose text has one of them."""
+    return feed.to_raw(records if keywords is None else records.filter(matches_any("text", keywords)))
 
 
 def union_sources(parts: Sequence[DataFrame]) -> DataFrame:

@@ -7,6 +7,9 @@ when the batch is replayed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 
@@ -22,6 +25,24 @@ def committed(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(status.getPath().getParent().toString() for status in fs.globStatus(where) or [])
 
 
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders matching the glob, committed or not, sorted by name."""
+    where, fs = _filesystem(spark, pattern)
+    return sorted(status.getPath().toString() for status in fs.globStatus(where) or [])
+
+
+@contextmanager
+def claimed(spark: SparkSession, path: str) -> Iterator[None]:
+    """Hold a file that only one writer can make; a second one fails at once. After a crash, delete the file."""
+    where, fs = _filesystem(spark, path)
+    if not fs.createNewFile(where):
+        raise RuntimeError(f"another writer holds {path}")
+    try:
+        yield
+    finally:
+        fs.delete(where, False)
+
+
 def remove(spark: SparkSession, folders: list[str]) -> None:
     for folder in folders:
         where, fs = _filesystem(spark, folder)

@@ -1,12 +1,14 @@
 """Streaming ingest: one query per source, each batch stored as a whole.
 
-Order of writes in a micro-batch: rejects, prepared items, enriched rows, new vectors,
-mark. Each is one committed folder named by the batch, so a batch that is replayed
+Order of writes in a micro-batch: identity, rejects, late rows, prepared items, enriched rows, new
+vectors, mark. Each is one committed folder named by the batch, so a batch that is replayed
 after a failure finds what was written and the model is not asked again.
 
-Lateness is judged per source against the mark at the start of the batch. A source
-is one query, so its mark is one value, and a batch of a large source stays spread
-over all tasks; keyed streaming state would send the whole source to one task.
+Lateness is judged against the bound of the source's run and not against the mark of the last batch: the
+bound is the resume point when a run starts, and moves only when a run has worked off its backlog. So the result
+does not depend on how a backlog is cut into batches or in which order files land. Rows under the bound go to
+the ``late`` table. A running query is one run, and an unfinished run that restarts keeps its bound. The
+store treats all batches of a run as one (see ``ItemStore``).
 """
 
 from __future__ import annotations
@@ -25,14 +27,34 @@ from feedloom.operators.constraints import split_valid
 from feedloom.operators.inference import EmbeddingProvider, HashingEmbedder
 from feedloom.plans.enrich import Classifier, enrich, prepare, with_lexicon
 from feedloom.schemas import JobSettings
-from feedloom.sources.feeds import CHECKED, FEEDS, Feed, fetch_since, parse_lines, split_bad_lines, stream_lines
-from feedloom.sources.store import MARKS, PREPARED, REJECTS, VECTORS, BatchTable, ItemStore
+from feedloom.operators.ranking import newest_per_feed
+from feedloom.sources.feeds import (
+    CHECKED,
+    FEEDS,
+    Feed,
+    clean_items,
+    matching,
+    parse_lines,
+    since_split,
+    split_bad_lines,
+    stream_lines,
+)
+from feedloom.sources.store import IDENTITIES, LATE, MARKS, PREPARED, REJECTS, RUNS, BatchTable, ItemStore, VectorCache
 
 logger = logging.getLogger(__name__)
 
 
-# Marks kept per source; only the last ones are ever read.
-KEPT_MARKS = 10
+# Run records kept per source; only the last one is read.
+KEPT_RUNS = 10
+
+
+@dataclass(frozen=True)
+class Run:
+    """A stretch of work on a source; rows at or under its bound are late."""
+
+    name: str
+    bound: datetime
+    closed: bool
 
 
 def utc_now() -> datetime:
@@ -62,45 +84,90 @@ class IngestJob:
     def __post_init__(self) -> None:
         self.root = self.root.rstrip("/")
         self.store = self.store or ItemStore(self.spark, f"{self.root}/items")
-        self.vectors = BatchTable(self.spark, f"{self.root}/vectors", VECTORS)
+        self.vectors = VectorCache(self.spark, f"{self.root}/vectors")
         self.prepared = BatchTable(self.spark, f"{self.root}/prepared", PREPARED)
         self.marks = BatchTable(self.spark, f"{self.root}/marks", MARKS)
         self.rejects = BatchTable(self.spark, f"{self.root}/rejects", REJECTS)
+        self.late = BatchTable(self.spark, f"{self.root}/late", LATE)
+        self.runs = BatchTable(self.spark, f"{self.root}/runs", RUNS)
+        self.identities = BatchTable(self.spark, f"{self.root}/identities", IDENTITIES)
 
     # ---- marks ---------------------------------------------------------------
 
-    def mark(self, source: str, without: str | None = None) -> datetime | None:
-        """The mark written last for a source; one value."""
-        last = self.marks.read(source, without).agg(F.max_by("mark", "written_at").alias("mark"))
-        micros = last.select(F.unix_micros("mark").alias("m")).first().m
-        return None if micros is None else _from_micros(micros)
+    def mark(self, source: str) -> datetime | None:
+        """The latest time stored for a source, never beyond the clock; one value."""
+        last = self.marks.read(source).agg(F.unix_micros(F.max("mark")).alias("m")).first().m
+        return None if last is None else _from_micros(last)
+
+    def _write_mark(self, source: str, batch_key: str, mark: datetime) -> None:
+        now = utc(self.clock())
+        row = self.spark.range(1).select(F.lit(min(utc(mark), now)).alias("mark"), F.lit(now).alias("written_at"))
+        self.marks.write(row, source, batch_key)
+
+    # ---- runs ----------------------------------------------------------------
 
-    def _write_mark(self, source: str, batch_key: str, mark: datetime, at: datetime) -> None:
+    def run(self, source: str) -> Run | None:
+        """The last run of a source."""
+        row = self.runs.read(source).select(
+            F.max_by(F.struct("run", F.unix_micros("bound").alias("b"), "closed"), F.struct("written_at", "closed")).alias("r")
+        ).first().r
+        return None if row is None else Run(row.run, _from_micros(row.b), row.closed)
+
+    def _write_run(self, source: str, run: Run) -> None:
+        now = utc(self.clock())
         row = self.spark.range(1).select(
-            F.lit(utc(mark)).alias("mark"), F.lit(utc(at)).alias("written_at")
+            F.lit(run.name).alias("run"), F.lit(run.bound).alias("bound"), F.lit(run.closed).alias("closed"), F.lit(now).alias("written_at")
         )
-        self.marks.write(row, source, batch_key)
-        self.marks.forget_old(source, KEPT_MARKS)
+        self.runs.write(row, source, f"{now:%Y%m%dT%H%M%S%f}")
+        self.runs.forget_old(source, KEPT_RUNS)
 
     def resume(self, source: str, since: datetime | None = None) -> datetime | None:
-        """Fix where a source continues; NULL for a source nobody registered.
+        """Open a run, or go on with an unfinished one, and return its bound; NULL for a source nobody registered.
 
-        An explicit time wins and may go back; else the stored mark; else two
-        intervals before now. The result is stored at once.
+        An explicit time wins and may go back; an unfinished run keeps its bound; else the stored mark; else
+        two intervals before now.
         """
         if source not in self.feeds:
             logger.warning("unknown source %s", source)
             return None
-        now = self.clock()
-        start = since or self.mark(source) or default_since(now, self.settings.fetch_interval_seconds)
-        self._write_mark(source, f"resume-{now:%Y%m%dT%H%M%S%f}", start, now)
-        return utc(start)
+        now, last = utc(self.clock()), self.run(source)
+        if since is None and last is not None and not last.closed:
+            return last.bound
+        mark = self.mark(source) if last is not None else None
+        bound = utc(since) if since is not None else mark or (last.bound if last else default_since(now, self.settings.fetch_interval_seconds))
+        self._write_run(source, Run(f"{now:%Y%m%dT%H%M%S%f}", utc(bound), False))
+        return utc(bound)
+
+    def finish_run(self, source: str) -> None:
+        """The backlog is worked off: the next run starts from the mark, and the store may fold this run's batches."""
+        last = self.run(source)
+        if last is not None and not last.closed:
+            self._write_run(source, Run(last.name, last.bound, True))
+
+    def compact(self) -> int:
+        """Fold the batches of finished runs into a new version of the store and drop what they need no more."""
+        open_runs = [r.name for r in map(self.run, self.feeds) if r is not None and not r.closed]
+        version = self.store.compact(open_runs)
+        self.store.forget(open_runs)
+        for source in self.feeds:
+            if (last := self.run(source)) is not None and last.closed:
+                self.prepared.clear(source)
+                mark = self.mark(source)
+                if mark is not None:
+                    kept = self._mark_name()
+                    self._write_mark(source, kept, mark)
+                    self.marks.clear(source, keep=kept)
+        return version
+
+    def _mark_name(self) -> str:
+        return f"all-{utc(self.clock()):%Y%m%dT%H%M%S%f}"
 
     # ---- one batch -----------------------------------------------------------
 
     def process(self, lines: DataFrame, source: str, batch_key: str) -> None:
         """Store one batch of landed lines of a source."""
         feed = self.feeds[source]
+        self._check_identity(lines, source, batch_key)
         if not self.store.has_batch(source, batch_key):
             self._store_batch(lines, feed, batch_key)
         rows = self.store.read_batch(source, batch_key)
@@ -108,32 +175,50 @@ class IngestJob:
         self.vectors.write(new.withColumn("written_at", F.col("batch_time")), source, batch_key)
         latest = rows.agg(F.unix_micros(F.max("published_at")).alias("m")).first().m
         if latest is not None:
-            self._write_mark(source, batch_key, _from_micros(latest), self.clock())
+            self._write_mark(source, batch_key, _from_micros(latest))
+
+    def _check_identity(self, lines: DataFrame, source: str, batch_key: str) -> None:
+        """Refuse a batch key that was used for other lines (a new checkpoint with an old ``stream_id``)."""
+        value = F.xxhash64("value")
+        now = lines.agg(
+            F.count("*").alias("lines"), F.coalesce(F.bit_xor(value), F.lit(0)).alias("x"), F.coalesce(F.sum(value % 1_000_003), F.lit(0)).alias("s")
+        ).first()
+        identity = f"{now.lines}-{now.x & (2**64 - 1):016x}-{now.s}"
+        if self.identities.has(source, batch_key):
+            known = self.identities.read_batch(source, batch_key).first().identity
+            if known != identity:
+                raise ValueError(
+                    f"batch {batch_key} of {source} was stored with other lines; a new checkpoint needs a new stream_id"
+                )
+        elif not self.store.has_batch(source, batch_key):
+            self.identities.write(self.spark.range(1).select(F.lit(identity).alias("identity")), source, batch_key)
 
     def _store_batch(self, lines: DataFrame, feed: Feed, batch_key: str) -> None:
         source = feed.source
         now = self.clock()
+        run = self.run(source) or Run("none", default_since(now, self.settings.fetch_interval_seconds), False)
         if not self.prepared.has(source, batch_key):
-            self._prepare_batch(lines, feed, batch_key, now)
+            self._prepare_batch(lines, feed, batch_key, run)
         unique = self.prepared.read_batch(source, batch_key)
         if self.model_tasks is not None:
             unique = unique.repartition(self.model_tasks)
-        cache = self.vectors.read(source, without=batch_key)
-        if self.vector_lookback is not None:
-            cache = cache.filter(F.col("written_at") >= F.lit(utc(now) - self.vector_lookback))
+        after = None if self.vector_lookback is None else utc(now) - self.vector_lookback
+        cache = self.vectors.for_hashes(unique, source, without=batch_key, written_after=after)
         enriched = enrich(unique, cache, self.classifier, self.embedder)
-        self.store.append(enriched, source, batch_key, now)
+        self.store.append(enriched, source, batch_key, now, run.name)
 
-    def _prepare_batch(self, lines: DataFrame, feed: Feed, batch_key: str, now: datetime) -> None:
+    def _prepare_batch(self, lines: DataFrame, feed: Feed, batch_key: str, run: Run) -> None:
         source = feed.source
-        since = self.mark(source, without=batch_key) or default_since(
-            now, self.settings.fetch_interval_seconds
-        )
         records, bad = split_bad_lines(parse_lines(lines, feed))
-        items = fetch_since(
-            records, feed, since, self.keywords if feed.includes_since else None, self.newest,
-            self.settings.max_text_tokens, keep_undated=True,
-        )
+        rows = matching(records, feed, self.keywords if feed.includes_since else None)
+        cap = self.newest is not None and feed.capped
+        if cap and feed.caps_before_since:
+            rows = newest_per_feed(rows, ["source", "feed"], self.newest)
+        rows, late = since_split(rows, run.bound, feed.includes_since)
+        if cap and not feed.caps_before_since:
+            rows = newest_per_feed(rows, ["source", "feed"], self.newest)
+        self.late.write(late.withColumn("bound", F.lit(run.bound)), source, batch_key)
+        items = clean_items(rows, self.settings.max_text_tokens)
         valid, invalid = split_valid(items, tuple(self.feeds), CHECKED)
         rejected = bad.withColumn("violations", F.array(F.lit("malformed line"))).unionByName(
             invalid.select(F.col("raw").alias("line"), "violations")
@@ -141,14 +226,13 @@ class IngestJob:
         self.rejects.write(rejected, source, batch_key)
         self.prepared.write(prepare(valid.drop("feed", "given_lang")), source, batch_key)
 
+    def late_counts(self, source: str) -> DataFrame:
+        """How many rows of a source were set aside as late, per bound."""
+        return self.late.read(source).groupBy("source", "bound").agg(F.count("*").alias("n_late"))
+
     def compact_vectors(self, source: str) -> None:
-        """Put the stored vectors of a source into one batch, sorted by hash."""
-        now = self.clock()
-        rows = self.vectors.read(source)
-        newest = rows.groupBy("content_hash").agg(
-            F.max_by("embedding", "written_at").alias("embedding"), F.max("written_at").alias("written_at")
-        )
-        self.vectors.replace_all(newest.sortWithinPartitions("content_hash"), source, f"all-{now:%Y%m%dT%H%M%S%f}")
+        """One vector per hash of a source, in one batch."""
+        self.vectors.compact(source, f"all-{utc(self.clock()):%Y%m%dT%H%M%S%f}")
 
     # ---- queries -------------------------------------------------------------
 
@@ -164,12 +248,10 @@ class IngestJob:
         """Start the query of one source.
 
         ``stream_id`` names the checkpoint. Batch numbers restart with a new
-        checkpoint, so a new one needs a new ``stream_id``.
+        checkpoint, so a new one needs a new ``stream_id``; a batch of other lines under an old key is an error.
         """
-        first_run = self.mark(source) is None if source in self.feeds else True
-        if since is not None or first_run:
-            if self.resume(source, since) is None:
-                return None
+        if self.resume(source, since) is None:
+            return None
 
         def store(lines: DataFrame, batch_id: int) -> None:
             self.process(lines, source, f"{stream_id}-{batch_id:012d}")
@@ -203,6 +285,7 @@ class IngestJob:
         for source, query in queries.items():
             try:
                 query.awaitTermination()
+                self.finish_run(source)
                 outcome[source] = None
             except Exception as exc:
                 logger.exception("source %s failed", source)

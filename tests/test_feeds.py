@@ -110,9 +110,16 @@ def test_undated_rows_are_passed_on_when_asked(spark, tmp_path):
     assert feeds.fetch_since(good, FEEDS["truth_social"], T0, keep_undated=True).count() == 1
 
 
-def test_long_text_is_cut(spark, tmp_path):
-    got, _ = fetched(spark, tmp_path, "reddit", [submission(1, 1, selftext=" ".join(["w"] * 2000))])
-    assert len(got["t3_1"].text.split()) == 1500
+def test_long_text_is_cut_only_when_asked(spark, tmp_path):
+    records = [submission(1, 1, selftext=" ".join(["w"] * 2000))]
+    assert len(fetched(spark, tmp_path, "reddit", records)[0]["t3_1"].text.split()) == 2000
+    assert len(fetched(spark, tmp_path, "reddit", records, max_tokens=1500)[0]["t3_1"].text.split()) == 1500
+
+
+def test_rows_beyond_the_page_are_not_cleaned(spark):
+    rows = spark.createDataFrame([], FEEDS["reddit"].schema)
+    plan = feeds.fetch_since(rows, FEEDS["reddit"], T0, newest=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("_compose") < plan.rindex("row_number")  # printed from the top: cleaned above the ranking
 
 
 def test_union(spark):

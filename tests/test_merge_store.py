@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from feedloom.operators import merge
 from feedloom.schemas import ITEMS, LABELS, PAYLOAD
-from feedloom.sources.store import ItemStore, create_items_table, lookup_by_source_id
+from feedloom.sources.store import ItemStore, create_items_table, declare_items, lookup_by_source_id
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 BATCH = "source string, source_id string, text string, published_at timestamp, sentiment int, stance string, impact int, topics array<string>, embedding array<float>, raw string, content_hash string"
@@ -123,20 +123,20 @@ def test_store_equals_sequential(spark, tmp_path, keep):
 def test_batch_without_commit_is_invisible(spark, tmp_path):
     store = ItemStore(spark, str(tmp_path / "items"))
     store.append(spark.createDataFrame(batch(random.Random(1), 5), BATCH).withColumn("source", F.lit("reddit")), "reddit", "s0-1", T0)
-    (tmp_path / "items/log/source=reddit/batch=s0-1/_SUCCESS").unlink()
+    (tmp_path / "items/log/source=reddit/run=s0-1/batch=s0-1/_SUCCESS").unlink()
     assert store.current().count() == 0
     assert not store.has_batch("reddit", "s0-1")
 
 
 def test_insert_then_update(spark, tmp_path):
     store = ItemStore(spark, str(tmp_path / "items"))
-    row = ("reddit", "abc", "Bitcoin is rising", T0, 1, "bullish", 2, ["crypto"], [0.5, 0.25], '{"id":"abc"}', "h")
+    row = ("reddit", "q-17", "Yields climb again", T0, 1, "bullish", 1, ["macro"], [0.75, 0.125, 0.5], '{"n":17}', "h")
     store.append(spark.createDataFrame([row], BATCH), "reddit", "b1", T0)
-    first = lookup_by_source_id(store.current(), "abc").first()
-    assert first.topics == ["crypto"] and first.embedding == [0.5, 0.25] and first.tickers is None or first.tickers == []
+    first = lookup_by_source_id(store.current(), "q-17").first()
+    assert first.topics == ["macro"] and first.embedding == [0.75, 0.125, 0.5] and first.tickers is None or first.tickers == []
     changed = (*row[:4], -1, *row[5:])
     store.append(spark.createDataFrame([changed], BATCH), "reddit", "b2", T0 + timedelta(days=1))
-    second = lookup_by_source_id(store.current(), "abc").first()
+    second = lookup_by_source_id(store.current(), "q-17").first()
     assert second.sentiment == -1 and second.id == first.id and second.created_at == first.created_at
     assert second.updated_at > first.updated_at
     assert lookup_by_source_id(store.current(), "nope").count() == 0
@@ -150,6 +150,46 @@ def test_lookup_reaches_the_scan(spark, tmp_path):
     assert "EqualTo(source_id,k1)" in plan
 
 
+def test_only_touched_sources_are_rewritten(spark, tmp_path):
+    store = ItemStore(spark, str(tmp_path / "items"))
+    rng = random.Random(2)
+    rows = batch(rng, 30)
+    for source in ("reddit", "twitter"):
+        store.append(spark.createDataFrame([r for r in rows if r[0] == source], BATCH), source, "b1", T0)
+    assert store.compact() == 0
+    first = store.live_paths()
+    store.append(spark.createDataFrame([(*rows[0][:2], "new", *rows[0][3:])], BATCH), rows[0][0], "b2", T0 + timedelta(days=1))
+    assert store.compact() == 1
+    second = store.live_paths()
+    assert [s for s in first if first[s] != second[s]] == [rows[0][0]]
+    before = seen(store.current())
+    store.forget(keep_versions=1)
+    assert seen(store.current()) == before
+    declare_items(spark, "items_live", store)
+    assert seen(spark.table("items_live")) == before and len(before) > 5
+    spark.sql("DROP TABLE items_live")
+
+
+def test_two_compactions_do_not_write_one_version(spark, tmp_path):
+    store = ItemStore(spark, str(tmp_path / "items"))
+    store.append(spark.createDataFrame(batch(random.Random(1), 5), BATCH), "reddit", "b1", T0)
+    (tmp_path / "items/folded").mkdir()
+    (tmp_path / "items/folded/_writing-v=00000000").touch()
+    with pytest.raises(RuntimeError):
+        store.compact()
+    (tmp_path / "items/folded/_writing-v=00000000").unlink()
+    assert store.compact() == 0
+
+
+def test_upsert_reads_each_side_once(spark):
+    rows = spark.createDataFrame(batch(random.Random(1), 8), BATCH)
+    fields = [c for c in PAYLOAD if c in BATCH]
+    current = merge.upsert(None, rows, F.lit(T0), merge.KEY, fields, ("content_hash",))
+    merged = merge.upsert(current, rows, F.lit(T0), merge.KEY, fields, ("content_hash",))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") == 2 and plan.count("Join") == 1
+
+
 def test_create_table(spark, tmp_path):
     create_items_table(spark, "items_declared", str(tmp_path / "t"))
     fields = {f.name: f.dataType for f in spark.table("items_declared").schema.fields}

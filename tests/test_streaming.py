@@ -110,7 +110,7 @@ def test_replay_after_a_failed_model(spark, job, tmp_path):
     job.classifier = broken
     with pytest.raises(RuntimeError):
         job.process(lines, "reddit", "b")
-    assert texts(job) == {} and job.mark("reddit") == T0
+    assert texts(job) == {} and job.mark("reddit") is None and job.run("reddit").bound == T0
     job.classifier = good
     job.process(lines, "reddit", "b")
     assert texts(job) == {"t3_1": "one"}
@@ -132,19 +132,94 @@ def test_sources_do_not_stop_each_other(spark, job, tmp_path):
     )
     assert outcome["truth_social"] is None and "feed down" in str(outcome["reddit"]) and "unknown" not in outcome
     assert {(r.source, r.text) for r in job.store.current().collect()} == {("truth_social", "two")}
-    assert job.mark("reddit") == T0
+    assert not job.run("reddit").closed and job.run("truth_social").closed
 
 
 def test_resume(job):
     assert job.resume("nope") is None
     first = job.resume("reddit")
-    assert first == job.clock.now - timedelta(seconds=240)
-    assert job.resume("reddit") == first
-    assert job.resume("reddit", T0 - timedelta(days=1)) == T0 - timedelta(days=1)
-    assert job.mark("reddit") == T0 - timedelta(days=1)
+    assert first == T0 + timedelta(hours=1, seconds=1) - timedelta(seconds=240)
+    assert job.resume("reddit") == first  # an unfinished run keeps its bound
+    assert job.resume("reddit", T0 - timedelta(days=1)) == T0 - timedelta(days=1) == job.run("reddit").bound
     for _ in range(12):
+        job.finish_run("reddit")
         job.resume("reddit")
-    assert job.marks.read("reddit").count() <= 10 and job.mark("reddit") == T0 - timedelta(days=1)
+    assert job.runs.read("reddit").count() <= 10 and job.run("reddit").bound == T0 - timedelta(days=1)
+
+
+def stored(job):
+    return sorted((r.source_id, r.text, str(r.published_at), str(r.topics)) for r in job.store.current().collect())
+
+
+POSTS = [
+    [submission(1, 50, "newest first"), submission(2, 40, "same text"), submission(3, 30, "edited later")],
+    [submission(4, 10, "older, landed later"), submission(5, 5, "same text"), submission(3, 45, "edited")],
+    [submission(6, 20, "in between"), submission(7, 60, "same text"), submission(8, -5, "too old"), submission(3, 12, "first words")],
+]
+
+
+@pytest.mark.parametrize("files_per_batch", [None, 1, 2])
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 0, 1)])
+def test_content_does_not_depend_on_batches_or_landing_order(job, tmp_path, files_per_batch, order):
+    import os
+
+    landing = tmp_path / "reddit"
+    for at, i in enumerate(order):
+        land(landing, f"{i}.json", POSTS[i])
+        os.utime(landing / f"{i}.json", (at + 1, at + 1))
+    query = job.start("reddit", str(landing), since=T0, once=True, files_per_batch=files_per_batch)
+    query.awaitTermination()
+    job.finish_run("reddit")
+    wanted = {"t3_1": "newest first", "t3_3": "edited", "t3_4": "older, landed later", "t3_6": "in between", "t3_7": "same text"}
+    assert texts(job) == wanted
+    assert [r.n_late for r in job.late_counts("reddit").collect()] == [1]
+    before = stored(job)
+    assert job.compact() == 0 and stored(job) == before
+    # An older version of a key in a later run is late and counted.
+    land(landing, "9.json", [submission(3, 59, "late"), submission(9, 61, "after the mark")])
+    job.run_once({"reddit": str(landing)})
+    assert texts(job) == wanted | {"t3_9": "after the mark"}
+    assert job.late_counts("reddit").agg(F.sum("n_late")).first()[0] == 2
+    assert job.compact() == 1 and texts(job) == wanted | {"t3_9": "after the mark"}
+    assert len(list((tmp_path / "store/items/log/source=reddit").glob("run=*/batch=*"))) == 1
+
+
+def test_an_open_run_is_not_folded(job, tmp_path):
+    landing = tmp_path / "reddit"
+    land(landing, "1.json", POSTS[0])
+    job.start("reddit", str(landing), since=T0, once=True).awaitTermination()
+    assert job.compact() == -1 and len(texts(job)) == 3
+    # The run goes on after a restart: its bound has not moved.
+    land(landing, "2.json", POSTS[1])
+    job.start("reddit", str(landing), once=True).awaitTermination()
+    assert texts(job)["t3_4"] == "older, landed later" and texts(job)["t3_3"] == "edited"
+
+
+def test_a_batch_key_used_for_other_lines_is_refused(spark, job, tmp_path):
+    land(tmp_path / "a", "1.json", [submission(1, 10, "one")])
+    land(tmp_path / "b", "1.json", [submission(2, 20, "two")])
+    job.resume("reddit", T0)
+    job.process(spark.read.text(str(tmp_path / "a")), "reddit", "s0-0")
+    with pytest.raises(ValueError, match="stream_id"):
+        job.process(spark.read.text(str(tmp_path / "b")), "reddit", "s0-0")
+    assert texts(job) == {"t3_1": "one"}
+
+
+def test_a_time_in_the_future_does_not_close_a_source(job, tmp_path):
+    landing = tmp_path / "reddit"
+    land(landing, "1.json", [submission(1, 10, "one"), submission(2, 3e9, "from 2119")])
+    job.run_once({"reddit": str(landing)}, since=T0)
+    assert job.mark("reddit") <= job.clock.now
+    land(landing, "2.json", [submission(3, 3700, "an hour later")])
+    job.run_once({"reddit": str(landing)})
+    assert texts(job)["t3_3"] == "an hour later"
+
+
+def test_long_texts_are_stored_whole(job, tmp_path):
+    head = " ".join(f"w{i}" for i in range(1500))
+    land(tmp_path / "reddit", "1.json", [submission(1, 10, "", selftext=f"{head} a"), submission(2, 20, "", selftext=f"{head} b")])
+    job.run_once({"reddit": str(tmp_path / "reddit")}, since=T0)
+    assert texts(job) == {"t3_1": f"{head} a", "t3_2": f"{head} b"}
 
 
 def test_repeated_polls(job, tmp_path):
@@ -160,7 +235,8 @@ def test_repeated_polls(job, tmp_path):
     finally:
         query.stop()
     assert texts(job) == {"t3_1": "one", "t3_2": "two"}
-    assert job.store.compact() == 0
+    job.finish_run("reddit")
+    assert job.compact() == 0
     assert job.store.current().select(F.countDistinct("id")).first()[0] == 2
 
 
@@ -172,6 +248,8 @@ def test_old_vectors_are_not_looked_up(job, tmp_path):
     land(landing, "2.json", [submission(2, 20, "one")])
     job.run_once({"reddit": str(landing)})
     assert job.vectors.read("reddit").count() == 2
+    plan = job.vectors.for_hashes(job.vectors.read("reddit").limit(1), "reddit")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(prefix" in plan or "prefix#" in plan.split("PartitionFilters: [")[1].split("]")[0]
     job.compact_vectors("reddit")
     assert job.vectors.read("reddit").count() == 1
     assert texts(job) == {"t3_1": "one", "t3_2": "one"}
