@@ -7,8 +7,8 @@ With 16 bands of 4 registers, two sets of similarity 0.85 share no band with a p
 
 Equal sets (a 128-bit key) are one node. In each bucket of a band the member that most other documents
 collide with leads and is compared with the rest, which links most of a group of copies in as many pairs as it has
-members. What is left are buckets whose members are not yet of one component. Two sets of similarity t share one of
-their (1 - t) n + 1 rarest shingles, so there only members of different components that share such a prefix shingle are
+members. What is left are buckets whose members are not yet of one component. Two linked sets share so many
+shingles that one of their rarest is common, so there only members of different components that share such a prefix shingle are
 compared. That misses no link, has no cap, and holds no group in one task: a variant with too many shingles of its own meets nobody,
 and members of one component never meet.
 
@@ -155,13 +155,15 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, width: int, percent: int
     # What no other member has counts against any link: at most the rest can be shared.
     rest = F.col("n") - F.count_if(F.col("df") == 1).over(by_doc)
     prefix = shingles.join(often, "s").withColumns({"rank": rank, "rest": rest}).where((F.col("rank") <= length) & (F.col("df") > 1))
-    prefix = written(prefix.select("s", "doc", "n", "rest").join(members, "doc"), "prefix")
+    prefix = written(prefix.select("s", "doc", "n", "rest", "rank").join(members, "doc"), "prefix")
     # Per shingle, the members of the component that has most of them meet only the others.
     most = prefix.groupBy("s", "comp").count().groupBy("s").agg(F.max(F.struct("count", "comp")).alias("m")).select("s", F.col("m.comp").alias("main"))
     most = written(most, "most")
-    few = prefix.join(most, "s").where("comp <> main").select("s", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"), F.col("comp").alias("comp_a"))
+    few = prefix.join(most, "s").where("comp <> main").select("s", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"), F.col("rank").alias("rank_a"), F.col("comp").alias("comp_a"))
+    # Two sets of n and n_a shingles share at least this many if they are linked, so one of their first n - needed + 1.
+    needed = f"ceil({percent} * (n + n_a) / {100 + percent})"
     met = written(few, "few").join(prefix, "s").where(
-        f"comp <> comp_a and {100 + percent} * least(rest, rest_a) >= {percent} * (n + n_a)"
+        f"comp <> comp_a and least(rest, rest_a) >= {needed} and least(n - rank, n_a - rank_a) >= {needed} - 1"
     )
     return met.select(F.least("a", "doc").alias("u"), F.greatest("a", "doc").alias("v")).distinct()
 
