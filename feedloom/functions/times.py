@@ -20,6 +20,22 @@ _BASIC_FORMATS = (
 )
 
 
+# Year and week, optionally a day from 1 (Monday) on, then anything a calendar date may be followed by.
+_WEEK = r"^(\d{4})(-?)W(\d{2})(?:\2([1-7]))?(T.*)?$"
+
+
+def _week_time(c: Column) -> Column:
+    """The time of a week date; a week that does not exist gives NULL."""
+    year = F.regexp_extract(c, _WEEK, 1).try_cast("int")
+    week = F.regexp_extract(c, _WEEK, 3).try_cast("int")
+    day = F.coalesce(F.regexp_extract(c, _WEEK, 4).try_cast("int"), F.lit(1))
+    fourth = F.make_date(year, F.lit(1), F.lit(4))  # always in the first week
+    monday = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (week - 1) * 7)
+    real = (week > 0) & (F.year(F.date_add(monday, 3)) == year)
+    text = F.concat(F.date_format(F.date_add(monday, day - 1), "yyyy-MM-dd"), F.regexp_extract(c, _WEEK, 5))
+    return F.when(real, F.try_to_timestamp(text))
+
+
 def parse_iso8601(col: Column | str) -> Column:
     """ISO-8601 text to a timestamp; no offset means UTC, unreadable text gives NULL."""
     c = F.trim(as_column(col))
@@ -30,7 +46,7 @@ def parse_iso8601(col: Column | str) -> Column:
                    F.try_to_timestamp(F.when(c.rlike(r"[T ].*[+-]\d{4}$"), dotted).otherwise(F.regexp_replace(c, ",", "."))))
     year = F.when(c.rlike(r"^\d{4}$"), F.try_to_timestamp(c, F.lit("yyyy")))
     basic = [F.try_to_timestamp(c, F.lit(p)) for p in _BASIC_FORMATS]
-    return F.coalesce(usual, year, *basic)
+    return F.when(c.rlike(_WEEK), _week_time(c)).otherwise(F.coalesce(usual, year, *basic))
 
 
 def epoch_to_timestamp(col: Column | str) -> Column:

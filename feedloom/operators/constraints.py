@@ -39,6 +39,16 @@ def repeated_keys(items: DataFrame, key: Sequence[str]) -> DataFrame:
     return items.groupBy(*key).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
 
 
+def with_uniqueness(items: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Add ``repeated key`` to the ``violations`` of rows whose key occurs again.
+
+    The keys are counted and joined back, so a key of very many rows is a row of the count.
+    """
+    again = repeated_keys(items, key).select(*key, F.lit("repeated key").alias("_again"))
+    broken = F.array_compact(F.array_append("violations", F.col("_again")))
+    return items.join(again, list(key), "left").withColumn("violations", broken).drop("_again")
+
+
 def split_valid(
     items: DataFrame, known: Sequence[str] = SOURCES, columns: Mapping[str, str] | None = None
 ) -> tuple[DataFrame, DataFrame]:

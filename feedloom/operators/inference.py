@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any, Protocol
 
 import numpy as np
@@ -28,7 +29,16 @@ FIRST_PAUSE = 1.0
 LONGEST_PAUSE = 10.0
 
 
+# Texts in one request, and chat requests that a task keeps going at once.
+BATCH_SIZE = 256
+CONCURRENCY = 8
+# After so many requests in a row that failed as a whole, a task takes the provider for down.
+FAILURES_TO_STOP = 16
+
+
 class ChatProvider(Protocol):
+    """A provider may also have ``chat_many(conversations, max_tokens)``, which answers a list in its order."""
+
     def chat(self, messages: list[dict[str, str]], max_tokens: int) -> str: ...
 
 
@@ -36,6 +46,30 @@ class EmbeddingProvider(Protocol):
     def embed(self, texts: list[str]) -> list[Sequence[float]]: ...
 
 
+class Down(RuntimeError):
+    """The provider failed several times in a row; it is not asked again by this task."""
+
+
+class Gate:
+    """Counts requests that failed in a row, over all threads of a task."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.failed, self.reason = limit, 0, ""
+
+    def check(self) -> None:
+        if self.failed >= self.limit:
+            raise Down(self.reason)
+
+    def note(self, error: Exception | None) -> None:
+        self.failed = 0 if error is None else self.failed + 1
+        if error is not None:
+            self.reason = described(error)
+
+
+def described(error: Exception) -> str:
+    return str(error) if isinstance(error, Down) else f"{type(error).__name__}: {error}"
+
+
 def call_with_retry(call: Callable[[], Any], pause: Callable[[float], None] = time.sleep) -> Any:
     """Run ``call`` up to three times, waiting 1 s, 2 s, ... (at most 10 s); the last error is raised."""
     for attempt in range(1, ATTEMPTS + 1):
@@ -52,30 +86,65 @@ def ask(
     provider: Callable[[], ChatProvider],
     max_tokens: int = 300,
     pause: Callable[[float], None] = time.sleep,
+    concurrency: int = CONCURRENCY,
+    batch_size: int = BATCH_SIZE,
 ) -> Column:
-    """struct(answer, error) of a model's reply; NULL messages are not sent."""
+    """struct(answer, error) of a model's reply; NULL messages are not sent.
 
-    def one(client: ChatProvider, turns: Any) -> tuple[str | None, str | None]:
-        if turns is None:
-            return None, None
-        sent = [{"role": t["role"], "content": t["content"]} for t in turns]
+    A provider with ``chat_many`` gets lists of at most ``batch_size`` conversations; when a list fails, each of
+    its conversations is asked by itself. Otherwise ``concurrency`` conversations are under way at once.
+    """
 
-        def call() -> str:
-            answer = client.chat(sent, max_tokens)
-            if answer is None:
-                raise ValueError("empty answer")
-            return answer
+    def sent(turns: Any) -> list[dict[str, str]]:
+        return [{"role": t["role"], "content": t["content"]} for t in turns]
 
+    def answered(answer: str | None) -> str:
+        if answer is None:
+            raise ValueError("empty answer")
+        return answer
+
+    def one(client: ChatProvider, turns: list[dict[str, str]], gate: Gate) -> tuple[str | None, str | None]:
         try:
-            return call_with_retry(call, pause), None
+            gate.check()
+            answer = call_with_retry(lambda: answered(client.chat(turns, max_tokens)), pause)
         except Exception as exc:
-            return None, f"{type(exc).__name__}: {exc}"
+            if not isinstance(exc, (Down, ValueError)):
+                gate.note(exc)
+            return None, described(exc)
+        gate.note(None)
+        return answer, None
+
+    def many(client: Any, turns: list, gate: Gate) -> list[tuple[str | None, str | None]]:
+        def call() -> list[str]:
+            answers = list(client.chat_many(turns, max_tokens))
+            if len(answers) != len(turns):
+                raise RuntimeError(f"{len(answers)} answers to {len(turns)} conversations")
+            return answers
+
+        try:
+            gate.check()
+            answers = call_with_retry(call, pause)
+        except Exception:
+            return [one(client, t, gate) for t in turns]
+        gate.note(None)
+        return [(a, None if a is not None else "ValueError: empty answer") for a in answers]
 
     @F.pandas_udf("answer string, error string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        client = provider()
-        for batch in batches:
-            yield pd.DataFrame([one(client, turns) for turns in batch], columns=["answer", "error"])
+        client, gate = provider(), Gate(FAILURES_TO_STOP)
+        with ThreadPoolExecutor(max(1, concurrency)) as pool:
+            for batch in batches:
+                rows = [i for i, turns in enumerate(batch) if turns is not None]
+                turns = [sent(batch.iloc[i]) for i in rows]
+                if hasattr(client, "chat_many"):
+                    parts = [turns[i : i + batch_size] for i in range(0, len(turns), batch_size)]
+                    replies = [r for part in parts for r in many(client, part, gate)]
+                else:
+                    replies = list(pool.map(lambda t: one(client, t, gate), turns))
+                out: list[tuple[str | None, str | None]] = [(None, None)] * len(batch)
+                for i, reply in zip(rows, replies):
+                    out[i] = reply
+                yield pd.DataFrame(out, columns=["answer", "error"])
 
     return run.asNondeterministic()(as_column(messages))
 
@@ -86,6 +155,8 @@ def classify_two_pass(
     text: str = "text",
     max_tokens: int = 300,
     pause: Callable[[float], None] = time.sleep,
+    concurrency: int = CONCURRENCY,
+    batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
     """Add ``classification`` (NULL when it failed), ``classification_error`` and ``asked_twice``.
 
@@ -95,14 +166,14 @@ def classify_two_pass(
     prompt = F.when(F.length(text) > 0, render_prompt(text))
     first = (
         df.withColumn("_prompt", prompt)
-        .withColumn("_first", ask("_prompt", provider, max_tokens, pause))
+        .withColumn("_first", ask("_prompt", provider, max_tokens, pause, concurrency, batch_size))
         .withColumn("_parsed", parse_classification("_first.answer"))
     )
     rejected = F.col("_first.answer").isNotNull() & F.col("_parsed").isNull()
     second = (
         first.withColumn("asked_twice", rejected)
         .withColumn("_repair", F.when(F.col("asked_twice"), render_repair_prompt("_prompt")))
-        .withColumn("_second", ask("_repair", provider, max_tokens, pause))
+        .withColumn("_second", ask("_repair", provider, max_tokens, pause, concurrency, batch_size))
         .withColumn("classification", F.coalesce("_parsed", parse_classification("_second.answer")))
     )
     error = F.when(
@@ -118,30 +189,46 @@ def embed(
     text: Column | str,
     provider: Callable[[], EmbeddingProvider],
     pause: Callable[[float], None] = time.sleep,
+    batch_size: int = BATCH_SIZE,
 ) -> Column:
-    """struct(embedding, error) of texts, one provider call per Arrow batch.
+    """struct(embedding, error) of texts, at most ``batch_size`` in a request.
 
-    NULL and empty texts are not sent and get NULL. When a whole batch fails, its
-    texts are tried one by one so that only the bad ones stay without a vector.
+    NULL and empty texts are not sent and get NULL. When a request fails, or returns another number of vectors, its
+    halves are sent, so that only the bad texts stay without a vector. A provider that fails for
+    ``FAILURES_TO_STOP`` single texts in a row is not asked again by the task.
     """
 
-    def each(client: EmbeddingProvider, texts: list[str]) -> list[tuple[Any, str | None]]:
+    def call(client: EmbeddingProvider, texts: list[str]) -> list[Any]:
+        vectors = list(client.embed(texts))
+        if len(vectors) != len(texts):
+            raise RuntimeError(f"{len(vectors)} vectors for {len(texts)} texts")
+        return vectors
+
+    def each(client: EmbeddingProvider, texts: list[str], gate: Gate, first: bool) -> list[tuple[Any, str | None]]:
         try:
-            return [(v, None) for v in call_with_retry(lambda: client.embed(texts), pause)]
+            gate.check()
+            # Only a whole request is repeated; its parts are tried once.
+            vectors = call_with_retry(lambda: call(client, texts), pause) if first else call(client, texts)
         except Exception as exc:
             if len(texts) == 1:
-                return [(None, f"{type(exc).__name__}: {exc}")]
-            return [pair for t in texts for pair in each(client, [t])]
+                if not isinstance(exc, Down):
+                    gate.note(exc)
+                return [(None, described(exc))]
+            half = len(texts) // 2
+            return each(client, texts[:half], gate, False) + each(client, texts[half:], gate, False)
+        gate.note(None)
+        return [(v, None) for v in vectors]
 
     @F.arrow_udf("embedding array<float>, error string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        client = provider()
+        client, gate = provider(), Gate(FAILURES_TO_STOP)
         for batch in batches:
             vectors: list[Any] = [None] * len(batch)
             errors: list[str | None] = [None] * len(batch)
             rows = np.flatnonzero(pc.fill_null(pc.greater(pc.utf8_length(batch), 0), False).to_numpy(False))
-            if len(rows):
-                for i, (v, e) in zip(rows, each(client, batch.take(pa.array(rows)).to_pylist())):
+            for s in range(0, len(rows), batch_size):
+                part = rows[s : s + batch_size]
+                for i, (v, e) in zip(part, each(client, batch.take(pa.array(part)).to_pylist(), gate, True)):
                     vectors[i], errors[i] = v, e
             yield pa.StructArray.from_arrays(
                 [pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime
@@ -9,9 +10,9 @@ from functools import reduce
 from operator import and_
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,11 +22,14 @@ from feedloom.functions.times import days_before
 from feedloom.functions.vectors import SCORE_DIGITS, cosine_matrix, cosine_to, has_vector, rows_by_length
 from feedloom.operators.inference import EmbeddingProvider, call_with_retry
 from feedloom.operators.ranking import top_k_per_group
+from feedloom.session import shared_dir
 
-# Query vectors handed to the tasks at once; larger sets are searched block by block.
-QUERY_BLOCK_BYTES = 32 << 20
+# Items and queries that a task multiplies at once; both only bound its memory.
+ITEMS_AT_ONCE = 16_384
+QUERIES_AT_ONCE = 256
 
 
+# The names of the four filters.
 @dataclass(frozen=True)
 class SearchFilters:
     topics: Sequence[str] | None = None
@@ -104,6 +108,12 @@ def search_result_view(hits: DataFrame) -> DataFrame:
     )
 
 
+def join_winners(items: DataFrame, hits: DataFrame, key: Sequence[str] = ("source", "source_id")) -> DataFrame:
+    """The whole rows of ranked hits: rank on key and vector only, then fetch what few rows need."""
+    # At most ``limit`` rows.
+    return items.join(F.broadcast(hits.select(*key, "score")), list(key)).orderBy(F.col("score").desc(), *key)
+
+
 def _best_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the ``k`` highest scores per column; rows come in tie-break order."""
     if len(scores) <= k:
@@ -116,73 +126,27 @@ def _best_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(above | (tied & (np.cumsum(tied, axis=0) <= room)))
 
 
-class _Best:
-    """Running top ``k`` per query of one task; holds at most a few times k rows per query."""
-
-    def __init__(self, keys: list[str], queries: list[tuple[np.ndarray, np.ndarray]], n: int, k: int) -> None:
-        self.keys, self.queries, self.n, self.k = keys, queries, n, k
-        self.found: list[pd.DataFrame] = []
-        # No score below this can enter the result any more.
-        self.floor = np.full(n, -np.inf)
-
-    def add(self, table: pa.Table) -> None:
-        scores = np.full((table.num_rows, self.n), -np.inf)
-        for rows, matrix in rows_by_length(table["embedding"].combine_chunks()):
-            for columns, queries in self.queries:
-                scores[np.ix_(rows, columns)] = cosine_matrix(matrix, queries)
-        enough = self.n * self.k
-        hits = scores >= self.floor - 10.0**-SCORE_DIGITS
-        if np.count_nonzero(hits) <= enough:
-            rows, cols = np.nonzero(hits)
-        else:
-            order = pc.sort_indices(table, [(c, "ascending") for c in self.keys]).to_numpy()
-            rows, cols = _best_rows(scores[order].round(SCORE_DIGITS), self.k)
-            rows = order[rows]
-        if len(rows):
-            found = table.select(self.keys).take(pa.array(rows)).to_pandas()
-            found["_q"], found["score"] = cols.astype(np.int32), scores[rows, cols].round(SCORE_DIGITS)
-            self.found.append(found)
-        if sum(map(len, self.found)) >= 2 * enough or np.isneginf(self.floor).all():
-            self.cut()
-
-    def cut(self) -> pd.DataFrame:
-        rows = pd.concat(self.found) if self.found else pd.DataFrame(columns=[*self.keys, "_q", "score"])
-        rows = rows.sort_values(["_q", "score", *self.keys], ascending=[True, False] + [True] * len(self.keys))
-        rows = rows.groupby("_q", sort=False).head(self.k)
-        worst = rows.groupby("_q")["score"].agg(["size", "min"])
-        full = worst[worst["size"] == self.k]
-        self.floor[full.index.to_numpy(dtype=np.int64)] = full["min"].to_numpy(dtype=np.float64)
-        self.found = [rows]
-        return rows
-
-
-def _search_block(
-    items: DataFrame, key: Sequence[str], ids: list, vectors: list[list[float]], k: int
-) -> DataFrame:
-    """Best ``k`` items per query and partition, for one block of queries."""
-    by_length: dict[int, list[int]] = {}
-    for i, v in enumerate(vectors):
-        by_length.setdefault(len(v), []).append(i)
-    block = items.sparkSession.sparkContext.broadcast(
-        [(np.asarray(rows), np.asarray([vectors[i] for i in rows], dtype=np.float64)) for rows in by_length.values()]
-    )
-    keys, n = list(key), len(ids)
+def _query_blocks(folder: str) -> Iterator[pa.Table]:
+    """The written queries, a row group at a time."""
+    system, root = fs.FileSystem.from_uri(folder)
+    for info in sorted(system.get_file_info(fs.FileSelector(root)), key=lambda i: i.path):
+        if info.path.endswith(".parquet"):
+            with system.open_input_file(info.path) as source:
+                for batch in pq.ParquetFile(source).iter_batches(batch_size=QUERIES_AT_ONCE):
+                    yield pa.Table.from_batches([batch])
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        running = _Best(keys, block.value, n, k)
-        for batch in batches:
-            running.add(pa.Table.from_batches([batch]))
-        rows = running.cut()
-        if len(rows):
-            yield pa.RecordBatch.from_pandas(rows[[*keys, "_q", "score"]], preserve_index=False)
 
-    schema = T.StructType(
-        [items.schema[c] for c in keys] + [T.StructField("_q", T.IntegerType()), T.StructField("score", T.DoubleType())]
-    )
-    found = items.select(*keys, "embedding").mapInArrow(best, schema)
-    # One short row per query of the block, which is bounded by QUERY_BLOCK_BYTES.
-    names = items.sparkSession.createDataFrame(list(enumerate(ids)), "_q int, query_id string")
-    return found.join(F.broadcast(names), "_q").drop("_q")
+def _best_of(items: pa.Table, block: pa.Table, keys: list[str], k: int) -> pa.Table:
+    """The ``k`` best of some items for each query of a block."""
+    scores = np.full((items.num_rows, block.num_rows), -np.inf)
+    queries = list(rows_by_length(block["embedding"].combine_chunks()))
+    for rows, matrix in rows_by_length(items["embedding"].combine_chunks()):
+        for columns, vectors in queries:
+            scores[np.ix_(rows, columns)] = cosine_matrix(matrix, vectors)
+    scores = scores.round(SCORE_DIGITS)
+    rows, cols = _best_rows(scores, k)
+    found = items.select(keys).take(pa.array(rows))
+    return found.append_column("query_id", block["query_id"].take(pa.array(cols))).append_column("score", pa.array(scores[rows, cols]))
 
 
 def semantic_search_multi(
@@ -192,35 +156,38 @@ def semantic_search_multi(
     filters: SearchFilters | None = None,
     as_of: datetime | None = None,
     key: Sequence[str] = ("source_id",),
-    block_bytes: int = QUERY_BLOCK_BYTES,
 ) -> DataFrame:
     """Top ``k`` items for each row of ``queries`` (query_id, embedding).
 
-    No pair of query and item leaves a task: a task scores its items against a
-    block of queries as a matrix product and keeps ``k`` per query. Queries are
-    read in blocks of at most ``block_bytes``; more queries mean more blocks,
-    each one pass over the vectors, and the result stays exact.
+    The queries are written to the shared folder, from which each task reads them block by block, so no query
+    passes the driver and the plan is the same for any number of them. One pass over the items:
+    a task scores some of its items against a block as a matrix product and keeps ``k`` per query;
+    no pair of item and query leaves it otherwise. Queries without a vector have no hits.
     """
-    candidates = searchable(items, filters, as_of).select(*key, "embedding")
-    blocks: list[DataFrame] = []
-    ids: list[str] = []
-    vectors: list[list[float]] = []
-    size = 0
-
-    def close() -> None:
-        nonlocal ids, vectors, size
-        if ids:
-            blocks.append(_search_block(candidates, key, ids, vectors, k))
-        ids, vectors, size = [], [], 0
-
-    for row in queries.select(F.col("query_id").cast("string"), "embedding").toLocalIterator():
-        ids.append(row.query_id)
-        vectors.append(row.embedding)
-        size += 8 * len(row.embedding)
-        if size >= block_bytes:
-            close()
-    close()
-    if not blocks:
-        raise ValueError("no queries given")
-    found = reduce(DataFrame.unionByName, blocks)
+    spark, keys = items.sparkSession, list(key)
+    candidates = searchable(items, filters, as_of).select(*keys, "embedding")
+    folder = f"{shared_dir(spark)}/queries-{uuid.uuid4().hex}"
+    queries.filter(has_vector("embedding")).select("query_id", F.col("embedding").cast("array<double>")).write.parquet(folder)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def ranked() -> Iterator[pa.RecordBatch]:
+            # In the order of the keys, which settles ties.
+            table = pa.Table.from_batches(held).sort_by([(c, "ascending") for c in keys])
+            for block in _query_blocks(folder):
+                yield from _best_of(table, block, keys, k).select([*keys, "query_id", "score"]).to_batches()
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= ITEMS_AT_ONCE:
+                yield from ranked()
+                held = []
+        if held:
+            yield from ranked()
+
+    schema = T.StructType(
+        [items.schema[c] for c in keys] + [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("score", T.DoubleType())]
+    )
+    found = candidates.mapInArrow(best, schema)
     return top_k_per_group(found, ["query_id"], [F.col("score").desc(), *map(F.col, key)], k)

@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.session import apply_settings, spread
+from feedloom.session import REQUIRED_CONF, apply_settings
 
 AS_OF = datetime(2024, 2, 1, tzinfo=timezone.utc)
 SINCE = "2024-01-15 00:00:00"
@@ -28,7 +28,15 @@ PHRASES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return apply_settings(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    if any(spark.conf.get(k, None) != v for k, v in REQUIRED_CONF.items()):
+        apply_settings(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy row-wise work on a test table of one split; no operator depends on it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def work_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

@@ -1,9 +1,12 @@
-"""The registered queries as SQL over the same tables, written independently of the library code."""
+"""The registered queries as SQL over the same tables.
+
+The logic is written independently of the library code. Prompts, word lists and lengths are the library's own
+constants; ``tests/test_constants.py`` pins their values.
+"""
 
 from __future__ import annotations
 
 from feedloom.functions import answers, language, lexicon
-from feedloom.operators.constraints import MAX_LENGTHS
 from feedloom.plans.inputs import PHRASES, SINCE, SOURCE_OF_LANG
 
 AS_OF = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -60,7 +63,7 @@ def normalized(t: str) -> str:
 
 
 def cleaned(t: str) -> str:
-    return f"array_to_string(string_split({normalized(t)}, ' ')[1:1500], ' ')"
+    return normalized(t)
 
 
 def on_decorated(expr: str) -> str:
@@ -151,7 +154,7 @@ FROM events""")
 
 KEYWORDS = f"""
 WITH r AS (SELECT doc_id::VARCHAR AS source_id, {AS_OF} - to_minutes(doc_id) AS posted, lang, text FROM documents
-           WHERE lower(text) LIKE '%nicht%' OR lower(text) LIKE '%avec%' OR lower(text) LIKE '%which%'),
+           WHERE regexp_matches(lower(text), 'nicht|avec|which| ist | les ')),
 n AS (SELECT *, row_number() OVER (ORDER BY posted DESC, source_id) AS rn FROM r WHERE posted >= TIMESTAMP '2024-01-31 18:00:00')
 SELECT source_id, {stamp('posted')} AS published_at, lang, {cleaned('text')} AS text FROM n WHERE rn <= 100
 """
@@ -169,19 +172,29 @@ UNION ALL SELECT event_type, event_id::VARCHAR, NULL, NULL, props FROM events
 
 VIOLATIONS = f"""
 WITH r AS (
-  SELECT event_id, source, CASE WHEN value < 30 THEN source_id END AS source_id,
+  SELECT event_id, CASE WHEN event_id % 97 <> 0 THEN source END AS source,
+         CASE WHEN event_id % 89 = 0 THEN repeat(source_id, 260) WHEN value < 30 THEN (event_id - event_id % 83 % 2)::VARCHAR END AS source_id,
          CASE WHEN value > 20 THEN repeat(author, 200) ELSE author END AS author,
+         CASE WHEN event_id % 79 <> 0 THEN published_at END AS published_at,
          CASE WHEN source = 'signup' THEN 'en-GB-x' ELSE 'en' END AS lang,
+         CASE WHEN event_id % 73 <> 0 THEN '' END AS text,
+         CASE WHEN event_id % 71 = 0 THEN 'very undecided indeed' ELSE 'neutral' END AS stance,
          CASE WHEN value >= 2 THEN raw END AS raw FROM {EVENTS}),
+c AS (SELECT source, source_id FROM r WHERE source IS NOT NULL AND source_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1),
 v AS (
   SELECT event_id, list_sort(list_filter([
-    CASE WHEN source_id IS NULL THEN 'source_id missing' END,
+    CASE WHEN r.source IS NULL THEN 'source missing' END,
+    CASE WHEN r.source_id IS NULL THEN 'source_id missing' END,
+    CASE WHEN published_at IS NULL THEN 'published_at missing' END,
+    CASE WHEN text IS NULL THEN 'text missing' END,
     CASE WHEN raw IS NULL THEN 'raw missing' END,
-    CASE WHEN length(source_id) > {MAX_LENGTHS['source_id']} THEN 'source_id longer than {MAX_LENGTHS['source_id']}' END,
-    CASE WHEN length(author) > {MAX_LENGTHS['author']} THEN 'author longer than {MAX_LENGTHS['author']}' END,
-    CASE WHEN length(lang) > {MAX_LENGTHS['lang']} THEN 'lang longer than {MAX_LENGTHS['lang']}' END,
-    CASE WHEN source NOT IN ('click', 'view', 'purchase', 'signup') THEN 'source unknown' END], lambda x: x IS NOT NULL)) AS broken
-  FROM r)
+    CASE WHEN length(r.source_id) > 255 THEN 'source_id longer than 255' END,
+    CASE WHEN length(author) > 255 THEN 'author longer than 255' END,
+    CASE WHEN length(lang) > 5 THEN 'lang longer than 5' END,
+    CASE WHEN length(stance) > 16 THEN 'stance longer than 16' END,
+    CASE WHEN r.source NOT IN ('click', 'view', 'purchase', 'signup') THEN 'source unknown' END,
+    CASE WHEN c.source IS NOT NULL THEN 'repeated key' END], lambda x: x IS NOT NULL)) AS broken
+  FROM r LEFT JOIN c ON r.source = c.source AND r.source_id = c.source_id)
 SELECT event_id, array_to_string(broken, '; ') AS violations FROM v WHERE len(broken) > 0
 """
 
@@ -207,6 +220,42 @@ SELECT author, w.source AS source, w.source_id AS source_id, w.raw AS raw, {stam
 FROM u
 """
 
+LABELLED_ROWS = """
+a AS (SELECT vec_id AS n, ['telegram', 'twitter', 'reddit', 'truth_social'][label % 4 + 1] AS source, 'v' || vec_id AS source_id, 'vector ' || vec_id AS text,
+    CASE WHEN label = 9 THEN NULL WHEN label % 3 = 0 AND label % 4 <> 3
+      THEN ['crypto', 'macro', 'regulation', 'markets'][label % 4 + 1] || ',markets'
+      ELSE ['crypto', 'macro', 'regulation', 'markets'][label % 4 + 1] END AS topics,
+    (vec_id % 3 - 1)::INTEGER AS sentiment, ['bearish', 'neutral', 'bullish'][vec_id % 3 + 1] AS stance, (vec_id % 3)::INTEGER AS impact FROM embeddings),
+a1 AS (SELECT *, 'T' || stance AS tickers FROM a),
+b1 AS (SELECT n, CASE WHEN n % 4 = 0 THEN 'reddit' ELSE source END AS source, source_id, CASE WHEN n % 8 = 0 THEN 'edited' ELSE text END AS text,
+    CASE WHEN n % 6 <> 0 THEN topics END AS topics, CASE WHEN n % 6 <> 0 THEN sentiment END AS sentiment,
+    CASE WHEN n % 6 <> 0 THEN stance END AS stance, CASE WHEN n % 6 <> 0 THEN impact END AS impact,
+    CASE WHEN n % 6 <> 0 THEN tickers END AS tickers FROM a1 WHERE n % 2 = 0)"""
+
+UPSERT_LABELLED = f"""
+WITH {LABELLED_ROWS},
+i AS (SELECT 'id' AS mode, CASE WHEN b.n IS NULL THEN a ELSE b END AS w, a.n IS NOT NULL AS had,
+        b.n IS NOT NULL AND (b.n % 6 = 0 OR b.n % 8 = 0 OR b.source <> a.source) AS changed, true AS old
+      FROM a1 a LEFT JOIN b1 b ON a.source_id = b.source_id),
+j AS (SELECT a.*, b.n AS bn, b.text AS btext FROM a1 a LEFT JOIN b1 b ON a.source_id = b.source_id AND a.source = b.source),
+p AS (SELECT 'pair' AS mode, source, source_id, coalesce(btext, text) AS text, topics, tickers, sentiment, stance, impact,
+        true AS old, bn IS NOT NULL AND btext <> text AS changed FROM j
+      UNION ALL SELECT 'pair', b.source, b.source_id, b.text, b.topics, b.tickers, b.sentiment, b.stance, b.impact, false, true
+      FROM b1 b JOIN a1 a ON a.source_id = b.source_id WHERE a.source <> b.source),
+u AS (SELECT mode, w.source AS source, w.source_id AS source_id, w.text AS text, w.topics AS topics, w.tickers AS tickers,
+        w.sentiment AS sentiment, w.stance AS stance, w.impact AS impact, old, changed FROM i
+      UNION ALL SELECT * FROM p)
+SELECT mode, source, source_id, text, topics, tickers, sentiment, stance, impact,
+  {stamp(f'CASE WHEN old THEN {SINCE_SQL} ELSE {AS_OF} END')} AS created_at,
+  {stamp(f'CASE WHEN changed THEN {AS_OF} ELSE {SINCE_SQL} END')} AS updated_at FROM u
+"""
+
+LATE_ROWS = f"""
+WITH b AS (SELECT event_type, max(ts) AS mark FROM events WHERE event_id % 2 = 0 AND ts <= {SINCE_SQL} GROUP BY 1)
+SELECT event_type AS source, count(*) FILTER (WHERE mark IS NULL OR ts > mark) AS n_new, count(*) FILTER (WHERE ts <= mark) AS n_late
+FROM events LEFT JOIN b USING (event_type) WHERE event_id % 2 = 1 GROUP BY 1
+"""
+
 HITS = f"""
 WITH h AS (SELECT *, {HASH} AS content_hash FROM documents),
 c AS (SELECT content_hash, arg_max(n_chars, doc_id) AS n FROM h WHERE lang = 'en' GROUP BY 1)
@@ -385,29 +434,50 @@ SELECT vec_id, label, round({cosine('embedding', 'first')}, 6) AS score FROM emb
 
 MULTI = f"""
 WITH {ITEMS}, f AS (SELECT label, arg_min(embedding, vec_id) AS first FROM embeddings GROUP BY 1),
-s AS (SELECT label::VARCHAR AS query_id, source_id, round({cosine('embedding', 'first')}, 12) AS score FROM i, f WHERE len(embedding) > 0),
+s AS (SELECT label AS query_id, source_id, round({cosine('embedding', 'first')}, 12) AS score FROM i, f WHERE len(embedding) > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_id) AS rank FROM s)
 SELECT query_id, source_id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10
 """
 
 # ---- everything ------------------------------------------------------------------
 
+SEARCH_TEXT = f"""
+WITH p AS (
+  SELECT {SOURCE_CASE} AS source, doc_id::VARCHAR AS source_id, {AS_OF} - to_minutes(doc_id) AS published_at,
+    text || ' ' || {phrase('doc_id')} AS t FROM documents),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, t ORDER BY published_at DESC, source_id) AS rn FROM p) WHERE rn = 1),
+l AS ({lexicon_labels('k', 'source, source_id, published_at, t')}),
+q AS (SELECT 0 AS one, 'bitcoin rally after ETF approval' AS t),
+qw AS ({bucket_weights('q', 'one')}),
+w AS ({bucket_weights('(SELECT * FROM k WHERE published_at >= ' + AS_OF + ' - to_days(3))', 'source_id')}),
+s AS (SELECT w.source_id, round(sum(w.weight * coalesce(qw.weight, 0)) / (sqrt(sum(w.weight * w.weight)) * (SELECT sqrt(sum(weight * weight)) FROM qw)), 12) AS score
+      FROM w LEFT JOIN qw USING (dim) GROUP BY 1)
+SELECT source || ':' || source_id AS item, round(score, 3) AS score, topics, sentiment, stance, t AS text
+FROM l JOIN s USING (source_id) WHERE stance = 'bullish' ORDER BY s.score DESC, source_id LIMIT 10
+"""
+
 ENRICH = f"""
 WITH p AS (
   SELECT doc_id, {SOURCE_CASE} AS source, doc_id::VARCHAR AS source_id, d.source AS author,
     {AS_OF} - to_minutes(doc_id) AS published_at, {cleaned(DECORATED.replace('source', 'd.source') + " || ' ' || " + phrase('doc_id'))} AS t,
     '{{"doc_id":' || doc_id || ',"n_chars":' || n_chars || '}}' AS raw FROM documents d),
 h AS (SELECT *, sha256(source || '::' || t) AS content_hash FROM p),
-k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY published_at DESC, source_id) AS rn FROM h) WHERE rn = 1),
-l AS ({lexicon_labels('k', 'source, source_id, author, published_at, t, raw')}),
+e AS (SELECT source_id FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY published_at DESC, source_id) AS rn FROM h WHERE doc_id % 5 = 0) WHERE rn = 1),
+n AS (SELECT source_id FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY published_at DESC, source_id) AS rn FROM h) WHERE rn = 1),
+k AS (SELECT h.*, source_id IN (SELECT source_id FROM e) AS old FROM h
+      WHERE source_id IN (SELECT source_id FROM e UNION SELECT source_id FROM n)),
+l AS ({lexicon_labels('k', 'source, source_id, author, published_at, t, raw, old')}),
 b AS (SELECT source_id, round(sum(weight * (dim + 1)), 4) AS total FROM ({bucket_weights('k', 'source_id')}) GROUP BY 1),
 m AS (SELECT *, md5(source || chr(31) || source_id) AS x FROM l JOIN b USING (source_id))
 SELECT substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-' || substr(x, 13, 4) || '-' || substr(x, 17, 4) || '-' || substr(x, 21, 12) AS id,
   source, source_id, author, {stamp('published_at')} AS published_at, {detected('t')} AS lang, t AS text, raw,
-  topics, sentiment, stance, impact, tickers, len(orgs)::INTEGER AS n_entities, 64 AS dim, total, {stamp(AS_OF)} AS created_at
+  topics, sentiment, stance, impact, tickers, len(orgs)::INTEGER AS n_entities, 64 AS dim, total,
+  {stamp(f'CASE WHEN old THEN {SINCE_SQL} ELSE {AS_OF} END')} AS created_at, {stamp(f'CASE WHEN old THEN {SINCE_SQL} ELSE {AS_OF} END')} AS updated_at
 FROM m
 """
 
+QUARTERS = "date_trunc('second', ts) + to_milliseconds(event_id % 4 * 250)"
+
 SQL: dict[str, str] = {
     "normalize_text": on_decorated(normalized("t")),
     "strip_urls": on_decorated(no_urls("t")),
@@ -419,8 +489,9 @@ SQL: dict[str, str] = {
     "detect_language": f"SELECT doc_id, {detected('text')} AS detected FROM documents",
     "content_hash": f"SELECT doc_id, {HASH} AS content_hash FROM documents",
     "dedup_keep_first": DEDUP,
-    "parse_iso8601": f"""SELECT event_id, {stamp("CASE event_type WHEN 'click' THEN ts WHEN 'view' THEN ts WHEN 'purchase' THEN ts - to_hours(3) WHEN 'signup' THEN date_trunc('day', ts) END")} AS parsed FROM events""",
-    "epoch_to_timestamp": f"""SELECT event_id, {stamp("date_trunc('second', ts)")} AS "at", strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso,
+    "parse_iso8601": f"""SELECT event_id, {stamp("CASE event_type WHEN 'click' THEN ts WHEN 'view' THEN ts WHEN 'purchase' THEN ts - to_hours(3) WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN date_trunc('day', ts) WHEN event_id % 60 BETWEEN 1 AND 52 THEN TIMESTAMP '2024-01-03 10:30:00' + to_days(7 * (event_id % 60 - 1)::INTEGER) END END")} AS parsed FROM events""",
+    "epoch_to_timestamp": f"""SELECT event_id, {stamp(QUARTERS)} AS "at",
+        CASE WHEN event_id % 4 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') ELSE {iso(QUARTERS)} END AS iso,
         CASE WHEN date_trunc('second', ts) = ts THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') ELSE {iso('ts')} END AS iso_exact FROM events""",
     "map_channel_message": CHANNEL,
     "map_search_post": SEARCH_POST,
@@ -437,7 +508,9 @@ SQL: dict[str, str] = {
     "batch_counts": COUNTS,
     "resume_points": RESUME,
     "upsert_last_wins": UPSERT,
-    "lookup_by_source_id": f"SELECT source, source_id, author, {stamp('published_at')} AS published_at, raw FROM {EVENTS} WHERE source_id = '42'",
+    "upsert_labelled": UPSERT_LABELLED,
+    "late_rows": LATE_ROWS,
+    "lookup_by_source_id": "SELECT url AS source_id, page_id FROM pages WHERE url = (SELECT arg_min(url, page_id) FROM pages)",
     "embedding_cache_hits": HITS,
     "embedding_cache_misses": MISSES,
     "parse_classification": PARSED,
@@ -461,5 +534,6 @@ SQL: dict[str, str] = {
     ),
     "topic_overlap": f"WITH {ITEMS} SELECT source_id, coalesce(list_has_any(topics, ['crypto', 'macro']), false) AS overlaps FROM i",
     "semantic_search_multi": MULTI,
+    "search_text": SEARCH_TEXT,
     "enrich_items": ENRICH,
 }

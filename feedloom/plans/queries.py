@@ -15,7 +15,7 @@ from feedloom.operators import constraints, dedup, inference, marks, merge, rank
 from feedloom.plans import enrich as enrichment
 from feedloom.plans import inputs
 from feedloom.plans.inputs import AS_OF, SINCE, stamp, table, work_table
-from feedloom.schemas import PAYLOAD
+from feedloom.schemas import LABELS, PAYLOAD
 from feedloom.sources import feeds
 from feedloom.sources.store import lookup_by_source_id
 
@@ -105,7 +105,8 @@ def parse_iso8601(spark, sf_dir):
         F.when(kind == "click", inputs.iso("ts", ""))
         .when(kind == "view", inputs.iso("ts"))
         .when(kind == "purchase", inputs.iso("ts", "+03:00"))
-        .when(kind == "signup", F.date_format("ts", "yyyy-MM-dd"))
+        .when((kind == "signup") & (F.col("event_id") % 2 == 0), F.date_format("ts", "yyyy-MM-dd"))
+        .when(kind == "signup", F.concat(F.lit("2024-W"), F.lpad((F.col("event_id") % 60).cast("string"), 2, "0"), F.lit("-3T10:30:00Z")))
         .otherwise(F.lit("yesterday"))
     )
     return table(spark, sf_dir, "events").select("event_id", stamp(times.parse_iso8601(written)).alias("parsed"))
@@ -113,7 +114,8 @@ def parse_iso8601(spark, sf_dir):
 
 @query
 def epoch_to_timestamp(spark, sf_dir):
-    seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    # Seconds with a fraction of quarters, which a double holds exactly.
+    seconds = F.unix_timestamp(F.col("ts").cast("timestamp")) + (F.col("event_id") % 4) * 0.25
     at = times.epoch_to_timestamp(seconds.cast("double"))
     return table(spark, sf_dir, "events").select(
         "event_id", stamp(at).alias("at"), times.format_iso_z(at).alias("iso"),
@@ -204,7 +206,7 @@ def ingest_keyword_or(spark, sf_dir):
     )
     items = feeds.fetch_since(
         records, feeds.FEEDS["twitter"], datetime(2024, 1, 31, 18, tzinfo=timezone.utc),
-        keywords=["NICHT", "avec", "which"], newest=100,
+        keywords=["NICHT", "avec", "which", " ist ", " les "], newest=100,
     )
     return items.select("source_id", stamp("published_at").alias("published_at"), "lang", "text")
 
@@ -238,18 +240,22 @@ def reject_unknown_source(spark, sf_dir):
 
 @query
 def constraint_violations(spark, sf_dir):
-    value = F.col("value")
+    """Every rule is broken by some rows; a key counts as repeated when it occurs again among all rows."""
+    value, number = F.col("value"), F.col("event_id")
     rows = inputs.events(spark, sf_dir).select(
-        "source",
-        F.when(value < 30, F.col("source_id")).alias("source_id"),
+        F.when(number % 97 != 0, F.col("source")).alias("source"),
+        F.when(number % 89 == 0, F.repeat(F.col("source_id"), 260)).when(value < 30, (number - number % 83 % 2).cast("string")).alias("source_id"),
         F.when(value > 20, F.repeat(F.col("author"), 200)).otherwise(F.col("author")).alias("author"),
-        "published_at",
+        F.when(number % 79 != 0, F.col("published_at")).alias("published_at"),
         F.when(F.col("source") == "signup", F.lit("en-GB-x")).otherwise(F.lit("en")).alias("lang"),
-        F.lit("").alias("text"),
+        F.when(number % 73 != 0, F.lit("")).alias("text"),
+        F.when(number % 71 == 0, F.lit("very undecided indeed")).otherwise(F.lit("neutral")).alias("stance"),
         F.when(value >= 2, F.col("raw")).alias("raw"),
         "event_id",
     )
-    _, failed = constraints.split_valid(rows, ("click", "view", "purchase", "signup"))
+    columns = {c: c for c in rows.columns}
+    checked = rows.withColumn("violations", constraints.violations(columns, ("click", "view", "purchase", "signup")))
+    failed = constraints.with_uniqueness(checked, ["source", "source_id"]).filter(F.size("violations") > 0)
     return failed.select("event_id", F.array_join(F.array_sort("violations"), "; ").alias("violations"))
 
 
@@ -298,10 +304,54 @@ def upsert_last_wins(spark, sf_dir):
 
 
 @query
-def lookup_by_source_id(spark, sf_dir, find=lookup_by_source_id):
-    return find(inputs.events(spark, sf_dir), "42").select(
-        "source", "source_id", "author", stamp("published_at").alias("published_at"), "raw"
+def upsert_labelled(spark, sf_dir):
+    """Labels through an upsert: changed, unchanged and failed ones, in both kinds of key.
+
+    With ``source_id`` as the key an id that moves to another source stays one item, and a failed classification
+    overwrites; with source and id as the key it becomes a second item, and earlier labels are kept.
+    """
+    number = F.col("source_id").substr(F.lit(2), F.length("source_id")).cast("int")
+    first = inputs.vectors(spark, sf_dir).withColumn("impact", number % 3).withColumns(
+        {"tickers": F.array(F.concat(F.lit("T"), "stance")), "entities": F.lit(None).cast("array<struct<type:string,text:string>>")}
     )
+    failed = number % 6 == 0
+    second = first.filter(number % 2 == 0).withColumns(
+        {
+            "source": F.when(number % 4 == 0, F.lit("reddit")).otherwise(F.col("source")),
+            "text": F.when(number % 8 == 0, F.lit("edited")).otherwise(F.col("text")),
+            "tickers": F.when(~failed, F.col("tickers")),
+            "topics": F.when(~failed, F.col("topics")),
+            **{c: F.when(~failed, F.col(c)) for c in ("sentiment", "stance", "impact")},
+        }
+    )
+    payload = ("source", "source_id", "published_at", "text", *LABELS)
+    start, parts = F.lit(SINCE).cast("timestamp"), []
+    for mode, key, keep in (("id", ("source_id",), False), ("pair", merge.KEY, True)):
+        current = merge.upsert(None, first, start, key, payload, ("published_at",))
+        merged = merge.upsert(current, second, F.lit(AS_OF), key, payload, ("published_at",), keep)
+        parts.append(
+            merged.select(
+                F.lit(mode).alias("mode"), "source", "source_id", "text", joined("topics").alias("topics"), joined("tickers").alias("tickers"),
+                "sentiment", "stance", "impact", stamp("created_at").alias("created_at"), stamp("updated_at").alias("updated_at"),
+            )
+        )
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def late_rows(spark, sf_dir):
+    """A second run against the marks of a first one: new and late rows per source."""
+    rows = inputs.events(spark, sf_dir).withColumn("odd", F.col("event_id") % 2 == 1)
+    bounds = marks.high_water_marks(rows.filter(~F.col("odd") & (F.col("published_at") <= since())))
+    return marks.late_counts(rows.filter("odd"), bounds)
+
+
+@query
+def lookup_by_source_id(spark, sf_dir, find=lookup_by_source_id):
+    """The page of one URL: the key is a stored column, so that the comparison reaches the scan."""
+    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("source_id"), "page_id")
+    wanted = pages.agg(F.min_by("source_id", "page_id")).first()[0]
+    return find(pages, wanted)
 
 
 def _hashed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -406,8 +456,8 @@ class RuleChat:
             raise RuntimeError("no connection")
         if kind == 0 or (kind == 1 and len(messages) == 3):
             return json.dumps(
-                {"topics": ["crypto"], "sentiment": length % 3 - 1, "stance": "neutral", "impact": length % 3,
-                 "tickers": [f"T{length}"], "entities": [{"type": "ORG", "text": "SEC"}]}
+                {"topics": ["regulation"], "sentiment": length % 3 - 1, "stance": "neutral", "impact": length % 3,
+                 "tickers": [f"T{length}"], "entities": [{"type": "PLACE", "text": "Oslo"}]}
             )
         return "I cannot say"
 
@@ -447,7 +497,7 @@ def classify_lexicon(spark, sf_dir):
     return labelled.select("doc_id", *_label_view(F.col("c")))
 
 
-def _entries(vector: str) -> list[Column]:
+def _entries() -> list[Column]:
     return [F.col("pos").alias("dim"), F.round(F.col("col").cast("double"), 6).alias("weight")]
 
 
@@ -456,7 +506,7 @@ def embed_hashing(spark, sf_dir):
     docs = work_table(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", inference.embed("text", inference.HashingEmbedder).embedding.alias("v")
     )
-    return docs.select("doc_id", F.posexplode("v")).filter("col > 0").select("doc_id", *_entries("v"))
+    return docs.select("doc_id", F.posexplode("v")).filter("col > 0").select("doc_id", *_entries())
 
 
 @query
@@ -534,19 +584,38 @@ def semantic_search_multi(spark, sf_dir):
 # ---- everything ------------------------------------------------------------------
 
 
+@query
+def search_text(spark, sf_dir):
+    """Documents enriched, the query text embedded, the winners' rows fetched after the ranking."""
+    docs = work_table(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    items = docs.select(
+        inputs.source_of_lang().alias("source"), F.col("doc_id").cast("string").alias("source_id"),
+        inputs.posted_at("doc_id").alias("published_at"), F.concat("text", F.lit(" "), inputs.phrase("doc_id")).alias("text"),
+    )
+    rows = enrichment.enrich(enrichment.prepare(items))
+    filters = search.SearchFilters(stance="bullish", since_days=3)
+    narrow = rows.select("source", "source_id", "published_at", "stance", "embedding")
+    hits = search.search_by_text(narrow, "bitcoin rally after ETF approval", inference.HashingEmbedder, filters, 10, AS_OF)
+    return search.search_result_view(search.join_winners(rows, hits)).select("item", F.col("score"), joined("topics").alias("topics"), "sentiment", "stance", "text")
+
+
 @query
 def enrich_items(spark, sf_dir):
-    """Posts cleaned, deduplicated, labelled, embedded and stored into an empty table."""
-    body = text.clean_post("body", 1500)
+    """Posts cleaned, deduplicated, labelled and embedded, stored over an earlier batch whose vectors are reused."""
+    body = text.clean_post("body")
     items = inputs.posts(spark, sf_dir).select(
-        "source", "source_id", "author", "published_at", body.alias("text"), "raw"
+        "doc_id", "source", "source_id", "author", "published_at", body.alias("text"), "raw"
     ).withColumn("lang", language.detect_language("text"))
-    rows = enrichment.enrich(enrichment.prepare(items))
-    stored = merge.upsert(None, rows, F.lit(AS_OF), merge.KEY, PAYLOAD, ("published_at", "content_hash"))
+    earlier = enrichment.enrich(enrichment.prepare(items.filter("doc_id % 5 = 0").drop("doc_id")))
+    cache = earlier.select("content_hash", "embedding", F.lit(SINCE).cast("timestamp").alias("written_at")).filter("embedding IS NOT NULL")
+    order = ("published_at", "content_hash")
+    current = merge.upsert(None, earlier, F.lit(SINCE).cast("timestamp"), merge.KEY, PAYLOAD, order)
+    rows = enrichment.enrich(enrichment.prepare(items.drop("doc_id")), cache)
+    stored = merge.upsert(current, rows, F.lit(AS_OF), merge.KEY, PAYLOAD, order)
     return stored.select(
         "id", "source", "source_id", "author", stamp("published_at").alias("published_at"), "lang", "text", "raw",
         joined("topics").alias("topics"), "sentiment", "stance", "impact",
         joined(F.array_sort("tickers")).alias("tickers"), F.size("entities").alias("n_entities"),
         F.size("embedding").alias("dim"), _weighted("embedding").alias("total"),
-        stamp("created_at").alias("created_at"),
+        stamp("created_at").alias("created_at"), stamp("updated_at").alias("updated_at"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Runtime SQL settings; all can be changed on a running session.
 REQUIRED_CONF = {
@@ -24,25 +24,15 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach for written intermediate tables.
+    """The folder every executor can reach for written intermediate tables, as a URI.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a session that does
-    not name one (a local test) gets a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session that does
+    not name one (a test) gets a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="feedloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy row-wise work on an input of very few splits.
-
-    A large input has more splits than cores and is returned as it is, unshuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        named = tempfile.mkdtemp(prefix="feedloom-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return (named if "://" in named else f"file://{named}").rstrip("/")

@@ -42,7 +42,7 @@ def test_two_pass(spark):
     assert errors[:2] == [None, None] and errors[5:] == [None, None]
     assert errors[2] == "answer does not match the schema"
     assert errors[3] == "ConnectionError: down" and errors[4] == "ValueError: empty answer"
-    assert got[0].classification.tickers == ["BTC"]
+    assert got[0].classification.tickers == ["XAG", "XAU"]
 
 
 def test_embed_isolates_bad_texts(spark):
@@ -53,6 +53,42 @@ def test_embed_isolates_bad_texts(spark):
     assert [r.e.error for r in got] == [None, "ValueError: bad text", None, None, None]
 
 
+def embedded(spark, provider, texts, **options):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    return [r.e for r in df.select("i", inference.embed("t", provider, providers.no_pause, **options).alias("e")).orderBy("i").collect()]
+
+
+def test_a_short_reply_is_a_failed_request(spark):
+    got = embedded(spark, providers.ShortEmbedder, ["a", "b", "c", "d"])
+    assert [r.embedding for r in got] == [[1.0, 2.0]] * 4 and all(r.error is None for r in got)
+
+
+def test_requests_are_bounded_and_halved(spark):
+    assert {r.embedding[0] for r in embedded(spark, providers.SizedEmbedder, ["t"] * 40, batch_size=8)} == {8.0}
+    assert {r.embedding[0] for r in embedded(spark, providers.SizedEmbedder, ["t"] * 40, batch_size=40)} == {10.0}
+
+
+def test_a_provider_that_is_down_is_not_asked_for_every_text(spark):
+    got = embedded(spark, providers.DownEmbedder, ["t"] * 3000)
+    assert all(r.embedding is None and r.error.startswith("ConnectionError") for r in got)
+    assert len({r.error for r in got}) <= inference.FAILURES_TO_STOP + 1
+
+
+def test_lists_of_conversations(spark):
+    texts = ["one", "two", "broken", "four", "five", "six", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    got = inference.classify_two_pass(df, providers.ManyChat, pause=providers.no_pause, batch_size=4).orderBy("i").collect()
+    assert [r.classification is not None for r in got] == [True, True, False, True, True, True, False]
+    assert got[2].classification_error == "ConnectionError: broken"
+
+
+def test_conversations_are_under_way_together(spark):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(12)], "i int, text string").coalesce(1)
+    for n in (1, 4):
+        got = inference.classify_two_pass(df, providers.SlowChat, pause=providers.no_pause, concurrency=n).collect()
+        assert max(int(r.classification.tickers[0]) for r in got) == n
+
+
 def test_hashing_embedder():
     a, b, empty, blank = inference.HashingEmbedder(16).embed(["up up down", "down UP, up!", "", "  "])
     assert list(a) == list(b) and sum(x * x for x in a) == pytest.approx(1.0)
@@ -71,10 +107,10 @@ def test_enrich_with_stub_models(spark):
     def chat(df):
         return inference.classify_two_pass(df, providers.GoodChat)
 
-    rows = enrich(prepare(item(spark, "Bitcoin pumps hard", "Bitcoin pumps hard", "")), None, chat, providers.PairEmbedder)
+    rows = enrich(prepare(item(spark, "silver fades", "silver fades", "")), None, chat, providers.TripleEmbedder)
     got = {r.source_id: r for r in rows.collect()}
     assert set(got) == {"0", "2"}
-    assert got["0"].topics == ["crypto"] and got["0"].embedding == pytest.approx([0.1, 0.2])
+    assert got["0"].topics == ["regulation"] and got["0"].embedding == [0.25, -0.5, 12.0]
     assert got["2"].topics == [] and got["2"].sentiment is None and got["2"].embedding is None
 
 

@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, difference
+from feedloom.plans.oracles import SQL
+from feedloom.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -16,12 +18,13 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    assert difference(entry.queries()[name](spark, SF_DIR), con, entry.oracle_sql()[name]) is None
+    assert difference(QUERIES[name](spark, SF_DIR), con, SQL[name]) is None
 
 
 def test_entry(spark):

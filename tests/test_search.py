@@ -20,8 +20,8 @@ SCHEMA = (
 @pytest.fixture(scope="module")
 def items(spark):
     rows = [
-        ("reddit", "1", "alice", AS_OF - timedelta(hours=1), ["crypto"], 1, "bullish", 2, "Bitcoin rallies", [1.0, 0.0]),
-        ("reddit", "2", "bob", AS_OF - timedelta(days=5), ["macro"], -1, "bearish", 1, "Macro headwinds", [0.0, 1.0]),
+        ("reddit", "1", "mia", AS_OF - timedelta(hours=7), ["crypto"], 1, "bullish", 1, "Miners add capacity", [1.0, 0.0]),
+        ("reddit", "2", "omar", AS_OF - timedelta(days=9), ["macro"], -1, "bearish", 0, "Exports shrink", [0.0, 1.0]),
         ("reddit", "3", None, AS_OF - timedelta(days=2), None, 0, "neutral", 0, "no topics", [1.0, 1.0]),
         ("reddit", "4", None, AS_OF, ["crypto"], 1, "bullish", 0, "no vector", None),
         ("reddit", "5", None, AS_OF, ["crypto", None], None, None, None, "empty vector", []),
@@ -107,21 +107,41 @@ def brute(rows, queries, k):
     return found
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
-def test_many_queries_equal_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("at_once", [10_000, 7])
+def test_many_queries_equal_brute_force(spark, monkeypatch, at_once):
     """A third of the rows are copies of one vector, and vectors differ in length."""
+    monkeypatch.setattr(search, "ITEMS_AT_ONCE", at_once)
+    monkeypatch.setattr(search, "QUERIES_AT_ONCE", at_once)
     rng = random.Random(3)
     grid = [-1.0, 0.0, 0.5, 2.0]
     rows = [(f"{i:04d}", [rng.choice(grid) for _ in range(rng.choice([2, 3]))]) for i in range(200)]
     rows += [(f"{i:04d}", [1.0, 0.5, 0.0]) for i in range(200, 300)]
-    queries = [(str(i), [rng.choice(grid) for _ in range(rng.choice([2, 3]))]) for i in range(7)] + [("copy", [1.0, 0.5, 0.0])]
+    queries = [(i, [rng.choice(grid) for _ in range(rng.choice([2, 3]))]) for i in range(20)] + [(99, [1.0, 0.5, 0.0])]
     items = spark.createDataFrame(rows, "source_id string, embedding array<float>").repartition(5)
-    asked = spark.createDataFrame(queries, "query_id string, embedding array<float>")
-    hits = search.semantic_search_multi(items, asked, k=6, block_bytes=block_bytes).collect()
+    asked = spark.createDataFrame([*queries, (100, None), (101, [])], "query_id long, embedding array<float>").repartition(3)
+    hits = search.semantic_search_multi(items, asked, k=6).collect()
     assert {(h.query_id, h.rank, h.source_id, round(h.score, 6) + 0.0) for h in hits} == brute(rows, queries, 6)
     assert len(hits) == 6 * len(queries)
 
 
+def test_no_queries_no_hits(items, spark):
+    none = spark.createDataFrame([], "query_id int, embedding array<float>")
+    hits = search.semantic_search_multi(items, none)
+    assert hits.count() == 0 and dict(hits.dtypes)["query_id"] == "int"
+
+
+def test_many_queries_are_one_pass(items, spark):
+    asked = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "query_id int, embedding array<float>")
+    plan = search.semantic_search_multi(items, asked)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan and "Broadcast" not in plan
+
+
+def test_winners_are_joined_back(items):
+    hits = search.semantic_search(items.select("source", "source_id", "embedding"), [1.0, 0.0], limit=2)
+    rows = search.join_winners(items, hits).collect()
+    assert [(r.source_id, r.author, round(r.score, 3)) for r in rows] == [("1", "mia", 1.0), ("3", None, 0.707)]
+
+
 def test_topic_condition_is_never_null(spark):
     df = spark.createDataFrame([(None,), ([None],), (["crypto"],)], "topics array<string>")
     assert [r[0] for r in df.select(search.any_topic(["crypto"])).collect()] == [False, False, True]

@@ -41,7 +41,7 @@ def land(folder, name, records):
 def job(spark, tmp_path):
     return IngestJob(
         spark, str(tmp_path / "store"), classifier=partial(classify_two_pass, provider=providers.GoodChat),
-        embedder=providers.PairEmbedder, clock=Clock(), settings=JobSettings(), model_tasks=2,
+        embedder=providers.TripleEmbedder, clock=Clock(), settings=JobSettings(), model_tasks=2,
     )
 
 
@@ -52,13 +52,13 @@ def texts(job):
 def test_batches_marks_and_late_rows(job, tmp_path):
     landing = tmp_path / "reddit"
     land(landing, "1.json", [
-        submission(1, 10, "Bitcoin pumps hard"), submission(2, 20, "Bitcoin pumps hard"), submission(3, 0, "at since"),
+        submission(1, 10, "silver fades"), submission(2, 20, "silver fades"), submission(3, 0, "at since"),
         submission(4, 5, "out of order"), "{broken", submission(9, None or 1, "x" * 3, id="i" * 300, name=None),
     ])
     assert job.run_once({"reddit": str(landing)}, since=T0) == {"reddit": None}
-    assert texts(job) == {"t3_2": "Bitcoin pumps hard", "t3_4": "out of order"}
+    assert texts(job) == {"t3_2": "silver fades", "t3_4": "out of order"}
     row = job.store.current().filter("source_id = 't3_2'").first()
-    assert row.topics == ["crypto"] and row.embedding == pytest.approx([0.1, 0.2]) and row.sentiment == 1
+    assert row.topics == ["regulation"] and row.embedding == [0.25, -0.5, 12.0] and row.sentiment == -1
     assert job.mark("reddit") == T0 + timedelta(seconds=20)
     rejected = {tuple(r.violations) for r in job.rejects.read("reddit").collect()}
     assert rejected == {("malformed line",), ("source_id longer than 255",)}
@@ -66,7 +66,7 @@ def test_batches_marks_and_late_rows(job, tmp_path):
     # A restart from the checkpoint reads only new files; late rows are dropped, an edit wins.
     land(landing, "2.json", [submission(5, 20, "late"), submission(4, 40, "edited"), submission(6, 30, "fresh")])
     assert job.run_once({"reddit": str(landing)}) == {"reddit": None}
-    assert texts(job) == {"t3_2": "Bitcoin pumps hard", "t3_4": "edited", "t3_6": "fresh"}
+    assert texts(job) == {"t3_2": "silver fades", "t3_4": "edited", "t3_6": "fresh"}
     assert job.mark("reddit") == T0 + timedelta(seconds=40)
     edited = job.store.current().filter("source_id = 't3_4'").first()
     assert edited.updated_at > edited.created_at
@@ -80,7 +80,7 @@ def test_batches_marks_and_late_rows(job, tmp_path):
     land(landing, "3.json", [submission(7, 50, "fresh")])
     assert job.run_once({"reddit": str(landing)}) == {"reddit": None}
     again = job.store.current().filter("source_id = 't3_7'").first()
-    assert again.embedding == pytest.approx([0.1, 0.2])
+    assert again.embedding == [0.25, -0.5, 5.0]
 
 
 def test_replay_changes_nothing(spark, job, tmp_path):
