@@ -15,6 +15,41 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM g""",
+    "op5_minhash": r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON r.a = l.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, doc_id = c AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(c) AS c FROM r GROUP BY 1) USING (doc_id)""",
+    "op7_vectors": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0
+      WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON r.a = l.a)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept
+FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1) USING (vec_id)
+JOIN (SELECT a AS vec_id, min(c) AS c FROM r GROUP BY 1) USING (vec_id)""",
+    "op8_suffixes": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, (2 * p + 1)::BIGINT, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM d)),
+m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+o AS (SELECT doc_id, p, lag(p) OVER x AS before, lead(p) OVER x AS after FROM w JOIN m USING (s) WHERE doc_id > first
+      WINDOW x AS (PARTITION BY doc_id ORDER BY p)),
+a AS (SELECT doc_id, p AS a, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k FROM o WHERE before IS NULL OR p > before + 50),
+z AS (SELECT doc_id, p + 50 AS z, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k FROM o WHERE after IS NULL OR after > p + 50),
+i AS (SELECT doc_id, k, a, z FROM a JOIN z USING (doc_id, k)),
+g AS (SELECT doc_id, k, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY k), 0) AS f FROM i
+      UNION ALL SELECT doc_id, 1 + coalesce(max(k), 0), any_value(len(h) // 2), coalesce(max(z), 0) FROM d LEFT JOIN i USING (doc_id) GROUP BY doc_id),
+t AS (SELECT doc_id, string_agg(substr(h, (2 * f + 1)::BIGINT, (2 * (a - f))::BIGINT), '' ORDER BY k) AS kept FROM g JOIN d USING (doc_id) GROUP BY 1),
+c AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM i GROUP BY 1)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)""",
     "op9_decontaminate": r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM benchmark),
