@@ -35,4 +35,6 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="feedloom-")
         spark.conf.set("spark.checkpoint.dir", named)
-    return (named if "://" in named else f"file://{named}").rstrip("/")
+    where = spark._jvm.org.apache.hadoop.fs.Path(named)
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
