@@ -16,6 +16,7 @@ from feedloom.plans import enrich as enrichment
 from feedloom.plans import inputs
 from feedloom.plans.inputs import AS_OF, SINCE, stamp, table, work_table
 from feedloom.schemas import LABELS, PAYLOAD
+from feedloom.session import staged
 from feedloom.sources import feeds
 from feedloom.sources.store import lookup_by_source_id
 
@@ -606,11 +607,14 @@ def enrich_items(spark, sf_dir):
     items = inputs.posts(spark, sf_dir).select(
         "doc_id", "source", "source_id", "author", "published_at", body.alias("text"), "raw"
     ).withColumn("lang", language.detect_language("text"))
-    earlier = enrichment.enrich(enrichment.prepare(items.filter("doc_id % 5 = 0").drop("doc_id")))
+    # As the ingest does, each step is written: what is read again is not made again.
+    items = staged(items, "posts")
+    earlier = staged(enrichment.enrich(enrichment.prepare(items.filter("doc_id % 5 = 0").drop("doc_id"))), "earlier")
     cache = earlier.select("content_hash", "embedding", F.lit(SINCE).cast("timestamp").alias("written_at")).filter("embedding IS NOT NULL")
     order = ("published_at", "content_hash")
     current = merge.upsert(None, earlier, F.lit(SINCE).cast("timestamp"), merge.KEY, PAYLOAD, order)
-    rows = enrichment.enrich(enrichment.prepare(items.drop("doc_id")), cache)
+    unique = staged(enrichment.prepare(items.drop("doc_id")), "prepared")
+    rows = enrichment.enrich(unique, cache)
     stored = merge.upsert(current, rows, F.lit(AS_OF), merge.KEY, PAYLOAD, order)
     return stored.select(
         "id", "source", "source_id", "author", stamp("published_at").alias("published_at"), "lang", "text", "raw",

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings; all can be changed on a running session.
 REQUIRED_CONF = {
@@ -38,3 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark._jvm.org.apache.hadoop.fs.Path(named)
     full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
     return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back: what is read twice is computed once."""
+    path = f"{shared_dir(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
