@@ -456,13 +456,15 @@ SELECT source || ':' || source_id AS item, round(score, 3) AS score, topics, sen
 FROM l JOIN s USING (source_id) WHERE stance = 'bullish' ORDER BY s.score DESC, source_id LIMIT 10
 """
 
-ENRICH = f"""
+def enriched(earlier: str) -> str:
+    """Items after a first batch of the documents that ``earlier`` holds for and a second one of all."""
+    return f"""
 WITH p AS (
   SELECT doc_id, {SOURCE_CASE} AS source, doc_id::VARCHAR AS source_id, d.source AS author,
     {AS_OF} - to_minutes(doc_id) AS published_at, {cleaned(DECORATED.replace('source', 'd.source') + " || ' ' || " + phrase('doc_id'))} AS t,
     '{{"doc_id":' || doc_id || ',"n_chars":' || n_chars || '}}' AS raw FROM documents d),
 h AS (SELECT *, sha256(source || '::' || t) AS content_hash FROM p),
-e AS (SELECT source_id FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY published_at DESC, source_id) AS rn FROM h WHERE doc_id % 5 = 0) WHERE rn = 1),
+e AS (SELECT source_id FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY published_at DESC, source_id) AS rn FROM h WHERE {earlier}) WHERE rn = 1),
 n AS (SELECT source_id FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY published_at DESC, source_id) AS rn FROM h) WHERE rn = 1),
 k AS (SELECT h.*, source_id IN (SELECT source_id FROM e) AS old FROM h
       WHERE source_id IN (SELECT source_id FROM e UNION SELECT source_id FROM n)),
@@ -476,6 +478,7 @@ SELECT substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-' || substr(x, 13, 4) || '
 FROM m
 """
 
+
 QUARTERS = "date_trunc('second', ts) + to_milliseconds(event_id % 4 * 250)"
 
 SQL: dict[str, str] = {
@@ -535,5 +538,6 @@ SQL: dict[str, str] = {
     "topic_overlap": f"WITH {ITEMS} SELECT source_id, coalesce(list_has_any(topics, ['crypto', 'macro']), false) AS overlaps FROM i",
     "semantic_search_multi": MULTI,
     "search_text": SEARCH_TEXT,
-    "enrich_items": ENRICH,
+    "enrich_items": enriched("false"),
+    "enrich_into_store": enriched("doc_id % 5 = 0"),
 }

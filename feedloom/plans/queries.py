@@ -600,15 +600,36 @@ def search_text(spark, sf_dir):
     return search.search_result_view(search.join_winners(rows, hits)).select("item", F.col("score"), joined("topics").alias("topics"), "sentiment", "stance", "text")
 
 
+def _cleaned_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = inputs.posts(spark, sf_dir).select(
+        "doc_id", "source", "source_id", "author", "published_at", text.clean_post("body").alias("text"), "raw"
+    )
+    return posts.withColumn("lang", language.detect_language("text"))
+
+
+def _stored_view(stored: DataFrame) -> DataFrame:
+    return stored.select(
+        "id", "source", "source_id", "author", stamp("published_at").alias("published_at"), "lang", "text", "raw",
+        joined("topics").alias("topics"), "sentiment", "stance", "impact",
+        joined(F.array_sort("tickers")).alias("tickers"), F.size("entities").alias("n_entities"),
+        F.size("embedding").alias("dim"), _weighted("embedding").alias("total"),
+        stamp("created_at").alias("created_at"), stamp("updated_at").alias("updated_at"),
+    )
+
+
 @query
 def enrich_items(spark, sf_dir):
+    """Posts cleaned, deduplicated, labelled, embedded and stored into an empty table."""
+    rows = enrichment.enrich(enrichment.prepare(_cleaned_posts(spark, sf_dir).drop("doc_id")))
+    stored = merge.upsert(None, rows, F.lit(AS_OF), merge.KEY, PAYLOAD, ("published_at", "content_hash"))
+    return _stored_view(stored)
+
+
+@query
+def enrich_into_store(spark, sf_dir):
     """Posts cleaned, deduplicated, labelled and embedded, stored over an earlier batch whose vectors are reused."""
-    body = text.clean_post("body")
-    items = inputs.posts(spark, sf_dir).select(
-        "doc_id", "source", "source_id", "author", "published_at", body.alias("text"), "raw"
-    ).withColumn("lang", language.detect_language("text"))
     # As the ingest does, each step is written: what is read again is not made again.
-    items = staged(items, "posts")
+    items = staged(_cleaned_posts(spark, sf_dir), "posts")
     earlier = staged(enrichment.enrich(enrichment.prepare(items.filter("doc_id % 5 = 0").drop("doc_id"))), "earlier")
     cache = earlier.select("content_hash", "embedding", F.lit(SINCE).cast("timestamp").alias("written_at")).filter("embedding IS NOT NULL")
     order = ("published_at", "content_hash")
@@ -616,10 +637,4 @@ def enrich_items(spark, sf_dir):
     unique = staged(enrichment.prepare(items.drop("doc_id")), "prepared")
     rows = enrichment.enrich(unique, cache)
     stored = merge.upsert(current, rows, F.lit(AS_OF), merge.KEY, PAYLOAD, order)
-    return stored.select(
-        "id", "source", "source_id", "author", stamp("published_at").alias("published_at"), "lang", "text", "raw",
-        joined("topics").alias("topics"), "sentiment", "stance", "impact",
-        joined(F.array_sort("tickers")).alias("tickers"), F.size("entities").alias("n_entities"),
-        F.size("embedding").alias("dim"), _weighted("embedding").alias("total"),
-        stamp("created_at").alias("created_at"), stamp("updated_at").alias("updated_at"),
-    )
+    return _stored_view(stored)
