@@ -10,6 +10,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from feedloom.llm import decontaminate, minhash, pii, suffixes
 
 SCHEMA = "doc_id long, text string, extra string, label int, h long, key string"
@@ -94,6 +95,22 @@ def test_near_duplicates_of_nothing_and_of_rows_without_id(spark):
     assert kept.columns == frame(spark, []).columns
 
 
+def test_the_stage_drops_near_duplicates_from_four_fifths_on(spark):
+    rng = random.Random(80)
+    rows = []
+    for k in range(60):  # changing m words apart changes 5 m of 200 shingles: similarity 0.74 to 0.95
+        words = [f"u{k}x{j}" for j in range(204)]
+        rows.append((2 * k, " ".join(words)))
+        for at in rng.sample(range(10, 200, 10), rng.choice([1, 3, 4, 4, 4, 5, 6])):
+            words[at] = f"v{k}x{at}"
+        rows.append((2 * k + 1, " ".join(words)))
+    sets = {i: shingle_set(t) for i, t in rows}
+    alike = {i: 100 * len(sets[i] & sets[i - 1]) / len(sets[i] | sets[i - 1]) for i in sets if i % 2}
+    assert any(80 <= x < 85 for x in alike.values()) and any(x < 80 for x in alike.values())
+    got = {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, frame(spark, rows), "").collect()}
+    assert got == {i for i in sets if i % 2 == 0 or alike[i] < 80}
+
+
 def test_super_minhash_estimates_and_stops_early():
     rng = np.random.default_rng(0)
     values = rng.integers(0, 2**63, 1200, dtype=np.uint64)
