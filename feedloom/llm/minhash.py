@@ -104,8 +104,31 @@ def signed_documents(docs: DataFrame, width: int, bands: int, band_rows: int) ->
     return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n_shingles long, key_a long, key_b long, bands array<long>")
 
 
+def _distinct_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(doc_id, key, text): one row for each shingle set of an id, however often and in whatever spelling it is repeated."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, rows, value, owner in text_shingles(batch.column(1), width):
+                key = np.zeros(rows, np.uint64)
+                np.add.at(key, owner, mix(value ^ _STEP))
+                part = batch.slice(first, rows)
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "key": pa.array(key.view(np.int64)), "text": part.column(1)})
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    rows = texts.select("doc_id", "text").mapInArrow(keyed, f"doc_id {kind}, key long, text string")
+    return rows.groupBy("doc_id", "key").agg(F.min("text").alias("text"))
+
+
+def _ordered(doc: str, key: str, other: str, other_key: str) -> list:
+    """Columns (u, ku, v, kv): two documents and the keys of their sets, the smaller document first."""
+    a, b = F.struct(F.col(doc).alias("d"), F.col(key).alias("k")), F.struct(F.col(other).alias("d"), F.col(other_key).alias("k"))
+    low, high = F.least(a, b), F.greatest(a, b)
+    return [low["d"].alias("u"), low["k"].alias("ku"), high["d"].alias("v"), high["k"].alias("kv")]
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets have 100 * shared >= percent * together."""
+    """(u, v) of the pairs (u, ku, v, kv) whose full sets have 100 * shared >= percent * together."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(maxsize=64)
@@ -121,51 +144,54 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["u", "v"])
 
     kind = pairs.schema["u"].dataType.simpleString()
-    left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
-    right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
-    both = pairs.join(right, "v").join(left, "u").select("u", "v", "text_u", "text_v")
+    left = texts.select(F.col("doc_id").alias("u"), F.col("key").alias("ku"), F.col("text").alias("text_u"))
+    right = texts.select(F.col("doc_id").alias("v"), F.col("key").alias("kv"), F.col("text").alias("text_v"))
+    both = pairs.join(right, ["v", "kv"]).join(left, ["u", "ku"]).select("u", "v", "text_u", "text_v")
     return both.mapInArrow(compare, f"u {kind}, v {kind}").distinct()
 
 
 def _leaders(members: DataFrame) -> DataFrame:
-    """(band, leader, n_leader): the member of each bucket that most documents collide with."""
-    best = members.groupBy("band").agg(F.max(F.struct("popular", (-F.col("doc")).alias("last"), "doc", "n")).alias("m"))
-    return best.select("band", F.col("m.doc").alias("leader"), F.col("m.n").alias("n_leader"))
+    """(band, leader, n_leader, key_leader): the member of each bucket that most documents collide with."""
+    best = members.groupBy("band").agg(F.max(F.struct("popular", (-F.col("doc")).alias("last"), "doc", "n", "key")).alias("m"))
+    return best.select("band", F.col("m.doc").alias("leader"), F.col("m.n").alias("n_leader"), F.col("m.key").alias("key_leader"))
 
 
 def _prefix_pairs(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(u, v): members (doc, comp) of different components that share one of the rarest shingles of both."""
+    """(u, ku, v, kv): members (doc, comp) of different components that share one of the rarest shingles of both.
+
+    Shingles are counted and ranked per set (doc, key), so repeated rows and other texts of an id change nothing.
+    """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, rows, value, owner in text_shingles(batch.column(1), width):
-                docs = batch.column(0).slice(first, rows).take(pa.array(owner))
+            for first, rows, value, owner in text_shingles(batch.column(2), width):
+                docs, keys = (batch.column(c).slice(first, rows).take(pa.array(owner)) for c in (0, 1))
                 n = np.bincount(owner, minlength=rows)[owner]
                 for i in range(0, len(value), 100_000):
                     j = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_pydict({"doc": docs[j], "n": n[j].astype(np.int32), "s": value[j].view(np.int64)})
+                    yield pa.RecordBatch.from_pydict({"doc": docs[j], "key": keys[j], "n": n[j].astype(np.int32), "s": value[j].view(np.int64)})
 
     kind = members.schema["doc"].dataType.simpleString()
-    own = texts.join(members.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    shingles = written(own.mapInArrow(explode, f"doc {kind}, n int, s long"), "shingles")
+    own = texts.join(members.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "key", "text")
+    shingles = written(own.mapInArrow(explode, f"doc {kind}, key long, n int, s long"), "shingles")
     often = written(shingles.groupBy("s").agg(F.count("*").alias("df")), "often")
-    by_doc = Window.partitionBy("doc")
+    by_doc = Window.partitionBy("doc", "key")
     rank = F.row_number().over(by_doc.orderBy("df", "s"))
     length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
     # What no other member has counts against any link: at most the rest can be shared.
     rest = F.col("n") - F.count_if(F.col("df") == 1).over(by_doc)
     prefix = shingles.join(often, "s").withColumns({"rank": rank, "rest": rest}).where((F.col("rank") <= length) & (F.col("df") > 1))
-    prefix = written(prefix.select("s", "doc", "n", "rest", "rank").join(members, "doc"), "prefix")
+    prefix = written(prefix.select("s", "doc", "key", "n", "rest", "rank").join(members, "doc"), "prefix")
     # Per shingle, the members of the component that has most of them meet only the others.
     most = prefix.groupBy("s", "comp").count().groupBy("s").agg(F.max(F.struct("count", "comp")).alias("m")).select("s", F.col("m.comp").alias("main"))
     most = written(most, "most")
-    few = prefix.join(most, "s").where("comp <> main").select("s", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"), F.col("rank").alias("rank_a"), F.col("comp").alias("comp_a"))
+    few = prefix.join(most, "s").where("comp <> main").select("s", F.col("doc").alias("a"), F.col("key").alias("key_a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"), F.col("rank").alias("rank_a"), F.col("comp").alias("comp_a"))
     # Two sets of n and n_a shingles share at least this many if they are linked, so one of their first n - needed + 1.
     needed = f"ceil({percent} * (n + n_a) / {100 + percent})"
     met = written(few, "few").join(prefix, "s").where(
         f"comp <> comp_a and least(rest, rest_a) >= {needed} and least(n - rank, n_a - rank_a) >= {needed} - 1"
     )
-    return met.select(F.least("a", "doc").alias("u"), F.greatest("a", "doc").alias("v")).distinct()
+    return met.select(*_ordered("a", "key_a", "doc", "key")).distinct()
 
 
 def near_duplicates(
@@ -179,20 +205,20 @@ def near_duplicates(
     keys = ["key_a", "key_b", "n_shingles"]
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     nodes = written(usable.groupBy(*keys).agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands")), "nodes")
-    rows = nodes.select(F.explode("bands").alias("band"), "doc", F.col("n_shingles").alias("n"))
+    rows = nodes.select(F.explode("bands").alias("band"), "doc", F.col("n_shingles").alias("n"), F.col("key_a").alias("key"))
     buckets = written(rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     members = written(rows.join(buckets, "band"), "members")
     popular = members.groupBy("doc").agg(F.sum("size").alias("popular"))
-    live = written(members.join(popular, "doc").select("band", "doc", "n", "popular"), "live")
+    live = written(members.join(popular, "doc").select("band", "doc", "n", "key", "popular"), "live")
     # The ids have no proven bound: joined by a shuffle at every size.
     wanted = popular.select(F.col("doc").alias("doc_id")).hint("merge")
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    texts = written(texts, "texts")
+    texts = written(_distinct_sets(texts, width), "texts")
     leaders = written(_leaders(live), "leaders")
     pairs = (
         leaders.join(live, "band")
         .where(f"doc <> leader and 100 * least(n, n_leader) >= {percent} * greatest(n, n_leader)")
-        .select(F.least("leader", "doc").alias("u"), F.greatest("leader", "doc").alias("v"))
+        .select(*_ordered("leader", "key_leader", "doc", "key"))
         .distinct()
     )
     edges = written(_verified(written(pairs, "pairs"), texts, width, percent), "links")

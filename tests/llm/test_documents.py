@@ -95,6 +95,20 @@ def test_near_duplicates_of_nothing_and_of_rows_without_id(spark):
     assert kept.columns == frame(spark, []).columns
 
 
+def test_repeated_rows_do_not_hide_links(spark, monkeypatch):
+    # All in one bucket, led by a document that is near nobody: only rare shingles can find the links.
+    monkeypatch.setattr(minhash, "band_hashes", lambda sig, bands: np.tile(np.arange(bands, dtype=np.uint64), (len(sig), 1)))
+    rng = random.Random(8)
+    rows = [(0, prose(rng, 190, 10**6))]
+    for k in range(1, 5):
+        words = prose(rng, 190, 10**6).split()
+        near = [*words[:90], f"c{k}", *words[91:140], f"d{k}", *words[141:]]
+        rows += [(10 * k, " ".join(words))] * 40 + [(10 * k + 1, " ".join(near))] * (1 if k == 1 else 40)
+    rows += [(20, prose(rng, 190, 10**6)), (41, " ".join(near).upper())]
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {(0, 0)} | {(10 * k + i, 10 * k) for k in range(1, 5) for i in (0, 1)}
+
+
 def test_the_stage_drops_near_duplicates_from_four_fifths_on(spark):
     rng = random.Random(80)
     rows = []
