@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import new_folder, small_batches, written
 
 MAGIC = b"\x1f\x8b\x08"
+RECORD_START = b"WARC/1."
 SPLIT_BYTES = 16_000_000
 READ_BYTES = 1_000_000
 RECORD_SCHEMA = (
@@ -123,7 +124,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) ->
 
 def _fields(head: bytes) -> dict[str, str] | None:
     """The header of a record; None if these bytes are none."""
-    if not head.startswith(b"WARC/1."):
+    if not head.startswith(RECORD_START):
         return None
     lines = head.decode("utf-8", "replace").split("\r\n")[1:]
     found = dict(x.split(": ", 1) for x in lines if ": " in x)
@@ -132,7 +133,7 @@ def _fields(head: bytes) -> dict[str, str] | None:
 
 def _member(file, at: int, size: int) -> tuple[dict[str, str], bytes, int] | None:
     """(header, block, end) of the gzip member at a place; None if there is no record."""
-    inflate, data, fields, place = zlib.decompressobj(31), bytearray(), None, at
+    inflate, data, fields, place, searched = zlib.decompressobj(31), bytearray(), None, at, 0
     while not inflate.eof:
         if place >= size:
             return None
@@ -143,8 +144,12 @@ def _member(file, at: int, size: int) -> tuple[dict[str, str], bytes, int] | Non
         except zlib.error:
             return None
         if fields is None:
-            stop = data.find(b"\r\n\r\n")
-            if stop < 0 and len(data) < 65_536 and not inflate.eof:
+            # A header of any length is read to its end; what does not begin like a record is given up at once.
+            if not data.startswith(RECORD_START[: len(data)]):
+                return None
+            stop = data.find(b"\r\n\r\n", max(0, searched - 3))
+            searched = len(data)
+            if stop < 0 and not inflate.eof:
                 continue
             fields = _fields(bytes(data[:stop])) if stop >= 0 else None
             if fields is None:

@@ -53,6 +53,14 @@ def test_archives_round_trip_in_small_ranges(spark):
     assert warc.round_trip(spark, frame.limit(0)).count() == 0
 
 
+def test_a_long_url_is_read_back(spark):
+    url = "data:" + "".join(random.Random(4).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=200_000))
+    rows = spark.createDataFrame([(1, "a", b"x"), (2, url, b"y"), (3, "c", b"z")], "page_id long, url string, payload binary")
+    files = warc.write_archives(rows.coalesce(1), new_folder(spark, "test-warc"))
+    got = {r.record_id: (r.target_uri, bytes(r.payload)) for r in warc.read_archives(files, split_bytes=50_000).collect()}
+    assert got == {"1": ("a", b"x"), "2": (url, b"y"), "3": ("c", b"z")}
+
+
 def test_smaller_payloads_are_all_responses(spark):
     rows = spark.createDataFrame([(1, "u", b"ab"), (2, "u", b"ab"), (3, "u", b"abc"), (4, "u", b"abc")], "page_id long, url string, payload binary")
     got = {r.record_id: (r.record_type, r.refers_to) for r in warc.round_trip(spark, rows, min_revisit_bytes=3).collect()}
