@@ -32,8 +32,10 @@ LONGEST_PAUSE = 10.0
 # Texts in one request, and chat requests that a task keeps going at once.
 BATCH_SIZE = 256
 CONCURRENCY = 8
-# After so many requests in a row that failed as a whole, a task takes the provider for down.
+# After so many single texts in a row that failed, the provider seems down: no more pauses, and embed asks whole requests first.
 FAILURES_TO_STOP = 16
+# Sent to learn whether a provider is up that has not answered any text yet.
+PROBE = "text"
 
 
 class ChatProvider(Protocol):
@@ -46,19 +48,22 @@ class EmbeddingProvider(Protocol):
     def embed(self, texts: list[str]) -> list[Sequence[float]]: ...
 
 
-class Down(RuntimeError):
-    """The provider failed several times in a row; it is not asked again by this task."""
+class Gate:
+    """Counts requests that failed in a row, over all threads of a task.
 
+    While it is closed every text is still asked, only without pauses; the first answer opens it.
+    """
 
-class Gate:
-    """Counts requests that failed in a row, over all threads of a task."""
+    def __init__(self, limit: int, pause: Callable[[float], None]) -> None:
+        self.limit, self.failed, self.reason, self._pause = limit, 0, "", pause
 
-    def __init__(self, limit: int) -> None:
-        self.limit, self.failed, self.reason = limit, 0, ""
+    @property
+    def closed(self) -> bool:
+        return self.failed >= self.limit
 
-    def check(self) -> None:
-        if self.failed >= self.limit:
-            raise Down(self.reason)
+    def pause(self, seconds: float) -> None:
+        if not self.closed:
+            self._pause(seconds)
 
     def note(self, error: Exception | None) -> None:
         self.failed = 0 if error is None else self.failed + 1
@@ -67,7 +72,7 @@ class Gate:
 
 
 def described(error: Exception) -> str:
-    return str(error) if isinstance(error, Down) else f"{type(error).__name__}: {error}"
+    return f"{type(error).__name__}: {error}"
 
 
 def call_with_retry(call: Callable[[], Any], pause: Callable[[float], None] = time.sleep) -> Any:
@@ -92,7 +97,8 @@ def ask(
     """struct(answer, error) of a model's reply; NULL messages are not sent.
 
     A provider with ``chat_many`` gets lists of at most ``batch_size`` conversations; when a list fails, each of
-    its conversations is asked by itself. Otherwise ``concurrency`` conversations are under way at once.
+    its conversations is asked by itself. Otherwise ``concurrency`` conversations are under way at once. After
+    ``FAILURES_TO_STOP`` failures in a row there are no pauses until the next answer; every conversation is asked all the same.
     """
 
     def sent(turns: Any) -> list[dict[str, str]]:
@@ -105,10 +111,9 @@ def ask(
 
     def one(client: ChatProvider, turns: list[dict[str, str]], gate: Gate) -> tuple[str | None, str | None]:
         try:
-            gate.check()
-            answer = call_with_retry(lambda: answered(client.chat(turns, max_tokens)), pause)
+            answer = call_with_retry(lambda: answered(client.chat(turns, max_tokens)), gate.pause)
         except Exception as exc:
-            if not isinstance(exc, (Down, ValueError)):
+            if not isinstance(exc, ValueError):
                 gate.note(exc)
             return None, described(exc)
         gate.note(None)
@@ -122,8 +127,7 @@ def ask(
             return answers
 
         try:
-            gate.check()
-            answers = call_with_retry(call, pause)
+            answers = call_with_retry(call, gate.pause)
         except Exception:
             return [one(client, t, gate) for t in turns]
         gate.note(None)
@@ -131,7 +135,7 @@ def ask(
 
     @F.pandas_udf("answer string, error string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        client, gate = provider(), Gate(FAILURES_TO_STOP)
+        client, gate = provider(), Gate(FAILURES_TO_STOP, pause)
         with ThreadPoolExecutor(max(1, concurrency)) as pool:
             for batch in batches:
                 rows = [i for i, turns in enumerate(batch) if turns is not None]
@@ -194,8 +198,9 @@ def embed(
     """struct(embedding, error) of texts, at most ``batch_size`` in a request.
 
     NULL and empty texts are not sent and get NULL. When a request fails, or returns another number of vectors, its
-    halves are sent, so that only the bad texts stay without a vector. A provider that fails for
-    ``FAILURES_TO_STOP`` single texts in a row is not asked again by the task.
+    halves are sent, so that only the bad texts stay without a vector. After ``FAILURES_TO_STOP`` single texts in a row
+    that failed, each further request is still sent; if it fails, a text that was answered before and the last of the
+    request decide: the request is halved if one of them is answered, and has failed as a whole if the provider is down.
     """
 
     def call(client: EmbeddingProvider, texts: list[str]) -> list[Any]:
@@ -204,31 +209,42 @@ def embed(
             raise RuntimeError(f"{len(vectors)} vectors for {len(texts)} texts")
         return vectors
 
-    def each(client: EmbeddingProvider, texts: list[str], gate: Gate, first: bool) -> list[tuple[Any, str | None]]:
+    def up(client: EmbeddingProvider, last: str, gate: Gate, known: list[str]) -> bool:
+        for text, wait in ((known[0], pause), (last, gate.pause)):
+            try:
+                call_with_retry(lambda: call(client, [text]), wait)
+            except Exception:
+                continue
+            gate.note(None)
+            return True
+        return False
+
+    def each(client: EmbeddingProvider, texts: list[str], gate: Gate, first: bool, known: list[str]) -> list[tuple[Any, str | None]]:
         try:
-            gate.check()
             # Only a whole request is repeated; its parts are tried once.
-            vectors = call_with_retry(lambda: call(client, texts), pause) if first else call(client, texts)
+            vectors = call_with_retry(lambda: call(client, texts), gate.pause) if first else call(client, texts)
         except Exception as exc:
             if len(texts) == 1:
-                if not isinstance(exc, Down):
-                    gate.note(exc)
+                gate.note(exc)
                 return [(None, described(exc))]
+            if gate.closed and not up(client, texts[-1], gate, known):
+                return [(None, gate.reason)] * len(texts)
             half = len(texts) // 2
-            return each(client, texts[:half], gate, False) + each(client, texts[half:], gate, False)
+            return each(client, texts[:half], gate, False, known) + each(client, texts[half:], gate, False, known)
         gate.note(None)
+        known[0] = texts[0]
         return [(v, None) for v in vectors]
 
     @F.arrow_udf("embedding array<float>, error string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        client, gate = provider(), Gate(FAILURES_TO_STOP)
+        client, gate, known = provider(), Gate(FAILURES_TO_STOP, pause), [PROBE]
         for batch in batches:
             vectors: list[Any] = [None] * len(batch)
             errors: list[str | None] = [None] * len(batch)
             rows = np.flatnonzero(pc.fill_null(pc.greater(pc.utf8_length(batch), 0), False).to_numpy(False))
             for s in range(0, len(rows), batch_size):
                 part = rows[s : s + batch_size]
-                for i, (v, e) in zip(part, each(client, batch.take(pa.array(part)).to_pylist(), gate, True)):
+                for i, (v, e) in zip(part, each(client, batch.take(pa.array(part)).to_pylist(), gate, True, known)):
                     vectors[i], errors[i] = v, e
             yield pa.StructArray.from_arrays(
                 [pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())],

@@ -74,6 +74,18 @@ def test_a_provider_that_is_down_is_not_asked_for_every_text(spark):
     assert len({r.error for r in got}) <= inference.FAILURES_TO_STOP + 1
 
 
+def test_many_bad_texts_take_none_of_the_later_ones(spark):
+    texts = ["down"] * 20 + ["good"] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    for n in (1, 8):
+        got = inference.classify_two_pass(df, providers.MoodyChat, pause=providers.no_pause, concurrency=n).orderBy("i").collect()
+        assert [r.classification is not None for r in got] == [t == "good" for t in texts]
+    texts = ["bad"] * 90 + ["good"] * 50 + ["bad"] * 3 + ["good"] * 7
+    for size in (256, 20):
+        got = embedded(spark, providers.PickyEmbedder, texts, batch_size=size)
+        assert [r.embedding is not None for r in got] == [t == "good" for t in texts]
+
+
 def test_lists_of_conversations(spark):
     texts = ["one", "two", "broken", "four", "five", "six", None]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
