@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
 ``documents``, others included; the last returns the packed pieces of the documents that the fourth wrote. Nulls, empty
-texts, repeated rows and empty tables follow the operators: rows without id stay through the second and third stage, and of
-rows with equal id one stays.
+texts, repeated rows and empty tables follow the operators. The second and third stage judge each text by itself, with or
+without id: other texts of an id are documents of their own, and of rows with equal id and text one stays.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm import decontaminate, minhash, packing, pii, quality
-from feedloom.llm.common import new_folder, table
+from feedloom.llm.common import new_folder, row_key, table
 from feedloom.llm.queries import vocabulary
 
 
@@ -26,13 +26,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     24 bands of 4: two sets of similarity 0.80 share no band with a probability of 3e-6.
     """
-    return minhash.without_near_duplicates(docs, percent=80, bands=24)
+    return minhash.one_of_each_group(docs, percent=80, bands=24)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that do not contain a benchmark item."""
-    found = decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    units = docs.select(row_key().alias("doc_id"), docs["text"])
+    found = decontaminate.contained_items(units, table(spark, sf_dir, "benchmark"))
+    found = found.select(F.col("doc_id").alias("_unit")).distinct()
+    return docs.withColumn("_unit", row_key()).join(found, "_unit", "left_anti").select(*docs.columns)
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

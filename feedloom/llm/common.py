@@ -33,6 +33,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_ARROW_BATCH))
 
 
+def row_key() -> Column:
+    """A 64-bit key of (doc_id, text): equal for repeated rows, different for other texts of an id and for rows without id."""
+    return F.xxhash64("doc_id", "text", F.col("doc_id").isNull(), F.col("text").isNull())
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for the rows whose labels are never learned from."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import connected_components, small_batches, written
+from feedloom.llm.common import connected_components, row_key, small_batches, written
 from feedloom.llm.words import mix, text_shingles
 
 BANDS, BAND_ROWS = 16, 4
@@ -249,3 +249,21 @@ def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     kept = near_duplicates(docs, **options).where("kept and doc_id is not null").select("doc_id").distinct()
     one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null"))
+
+
+def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
+    """docs, of each group of near duplicates only the text with the smallest id; rows without id come last.
+
+    Each text of an id is judged by itself, and rows without id as well. Rows of equal id and text count as one; rows
+    without id and without words all stay.
+    """
+    units = written(docs.select(row_key().alias("doc_id"), "doc_id", "text").toDF("unit", "doc_id", "text"), "units")
+    parts = near_duplicates(units.select(F.col("unit").alias("doc_id"), "text"), **options)
+    parts = written(parts.select(F.col("doc_id").alias("unit"), "component_id").distinct(), "unit-groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "unit")
+    firsts = units.select("unit", "doc_id").distinct().join(parts, "unit").groupBy("component_id").agg(F.min(order).alias("m")).select(F.col("m.unit").alias("_unit"))
+    wordless = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # Of repeated rows the one of the least hash of all columns, so a replay keeps the same.
+    rows = docs.where(~wordless).groupBy(row_key().alias("_unit")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
+    one = rows.join(written(firsts, "firsts"), "_unit", "left_semi").select("_row.*")
+    return one.unionByName(docs.where(wordless))

@@ -125,6 +125,24 @@ def test_the_stage_drops_near_duplicates_from_four_fifths_on(spark):
     assert got == {i for i in sets if i % 2 == 0 or alike[i] < 80}
 
 
+def test_the_stages_judge_each_text_of_an_id_and_rows_without_id(spark):
+    rng = random.Random(55)
+    texts = [prose(rng, 60, 10**6) for _ in range(8)]
+    rows = [(7, t) for t in texts[:4]] * 2 + [(None, texts[4]), (None, texts[5]), (9, texts[5]), (8, texts[0]), (None, None), (None, None), (3, None)]
+    got = corpus_pipeline.one_of_each_group(spark, frame(spark, rows), "").collect()
+    want = [(7, t) for t in texts[:4]] + [(None, texts[4]), (9, texts[5]), (None, None), (None, None), (3, None)]
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(want)
+
+
+def test_the_stage_finds_benchmark_items_in_rows_without_id(spark, tmp_path):
+    rng = random.Random(56)
+    a, b, item = prose(rng, 60, 10**6), prose(rng, 60, 10**6), prose(rng, 20, 10**6)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"{a} {item}"), (None, a), (5, f"{b} {item}"), (5, b), (6, None), (None, None)]
+    got = corpus_pipeline.no_benchmark(spark, frame(spark, rows), str(tmp_path)).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter([(None, a), (5, b), (6, None), (None, None)])
+
+
 def test_super_minhash_estimates_and_stops_early():
     rng = np.random.default_rng(0)
     values = rng.integers(0, 2**63, 1200, dtype=np.uint64)
