@@ -8,8 +8,8 @@ of its patterns. A pattern needs ``min_support`` different seeds or found instan
 ``min_confidence`` become spans of its kind. A frequent word is an aggregate that is combined before the shuffle,
 and only confident patterns are joined back.
 
-A span's start is a sum over the matches before it, made by a window over narrow rows (match and neighbouring
-words), so a text with many matches is linear. The patterns are the usual ones with possessive loops and fixed
+A span's start is a sum over the matches before it, made by a window over narrow rows, so a text with many
+matches is linear; so is the place of its word, and the words around it are looked up in the split text. The patterns are the usual ones with possessive loops and fixed
 starts: same matches, but neither recursion nor repeated scans on long runs.
 
 Defined results: null texts are empty; texts without matches have no span; rows are told apart by id and text, and
@@ -34,10 +34,13 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
+BLANKS = r"\s+"
 CANDIDATE = r"(?<!\S)\S*[0-9@]\S*"
 _OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-# So many characters on each side of a match are looked at for its words.
-CONTEXT = 48
+# Longer words and instances are told apart by a hash.
+WORD_CHARS = 100
+# The score of a found instance stays below that of a seed.
+HIGHEST_FOUND = 0.999999
 
 
 def _luhn(digits: Column) -> Column:
@@ -63,39 +66,73 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _matched(text: Column, pattern: str, possible: Column) -> Column:
-    """The matches of a pattern with the length and the edges of the text before each, and one entry for the rest."""
+    """The matches of a pattern with the length and the blanks of the text before each. No match has blanks at its ends."""
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     entries = F.transform(
         F.arrays_zip(gaps.alias("gap"), found.alias("value")),
         lambda x: F.struct(
-            F.length(x["gap"]).alias("skip"), F.right(x["gap"], F.lit(CONTEXT)).alias("tail"), F.left(x["gap"], F.lit(CONTEXT)).alias("head"), x["value"].alias("value")
+            F.length(x["gap"]).alias("skip"), (F.size(F.split(x["gap"], BLANKS, -1)) - 1).alias("blanks"), x["value"].alias("value")
         ),
     )
     return F.when(possible, entries)
 
 
 def _placed(rows: DataFrame, column: str) -> DataFrame:
-    """(doc_id, h, start, end, value, before, after) of the matches in a column made by ``_matched``."""
+    """(doc_id, h, start, end, value, word, last) of the matches in a column made by ``_matched``.
+
+    ``word`` and ``last`` are the places of its first and last word in the text split at blanks.
+    """
     each = rows.where(F.col(column).isNotNull()).select("doc_id", "h", F.posexplode(column).alias("pos", "m")).select("doc_id", "h", "pos", "m.*")
     order = Window.partitionBy("doc_id", "h").orderBy("pos")
     upto = F.sum(F.col("skip") + F.coalesce(F.length("value"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    placed = each.select("*", upto.alias("end"), F.lead("head").over(order).alias("next"))
-    before = F.lower(F.regexp_extract("tail", r"(?:(?<!\S)(\S++)\s++)?(\S++)\s*$", 0))
+    inside = F.coalesce(F.size(F.split("value", BLANKS, -1)) - 1, F.lit(0))
+    each = each.withColumn("inside", F.when(F.col("value").isNull(), 0).otherwise(inside))
+    last = F.sum(F.col("blanks") + F.col("inside")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    placed = each.select("*", upto.alias("end"), last.alias("last"))
     return placed.where("value is not null").select(
         "doc_id",
         "h",
         (F.col("end") - F.length("value")).alias("start"),
         "end",
         "value",
-        F.split(F.trim(before), r"\s+").alias("before"),
-        F.lower(F.regexp_extract("next", r"^\s*(\S+)", 1)).alias("after"),
+        (F.col("last") - F.col("inside")).alias("word"),
+        "last",
+    )
+
+
+def _short(text: Column) -> Column:
+    return F.when(F.length(text) > WORD_CHARS, F.sha2(text, 256)).otherwise(text)
+
+
+def _with_context(matches: DataFrame, docs: DataFrame) -> DataFrame:
+    """matches with the two words before and the word after each, whatever they hold."""
+    columns = [c for c in matches.columns if c not in ("doc_id", "h")]
+    per_text = matches.groupBy("doc_id", "h").agg(F.collect_list(F.struct(*columns)).alias("m"))
+    a = docs.select("doc_id", row_hash().alias("h"), F.split("text", BLANKS, -1).alias("words")).alias("a")
+    both = a.join(written(per_text, "per-text").alias("b"), F.expr("a.h = b.h and a.doc_id <=> b.doc_id")).select("a.doc_id", "a.h", "words", "m")
+
+    def word(i: Column) -> Column:
+        return F.when(i >= 0, _short(F.lower(F.get("words", F.greatest(i, F.lit(0))))))
+
+    around = F.transform(
+        "m",
+        lambda m: F.struct(
+            *[m[c].alias(c) for c in columns if c not in ("word", "last")],
+            F.filter(F.array(word(m["word"] - 2), word(m["word"] - 1)), lambda w: w != "").alias("before"),
+            F.coalesce(word(m["last"] + 1), F.lit("")).alias("after"),
+        ),
     )
+    return both.select("doc_id", "h", F.inline(around))
+
+
+def row_hash() -> Column:
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
 
 
 def _patterns(before: Column, after: Column) -> Column:
     """The lexical patterns of a place: the word before, the two before, and the words on both sides."""
-    last = F.element_at(before, -1)
+    last = F.coalesce(F.get(before, F.size(before) - 1), F.lit(""))
     return F.array_distinct(
         F.filter(
             F.array(
@@ -108,13 +145,14 @@ def _patterns(before: Column, after: Column) -> Column:
     )
 
 
-def _expanded(seeds: DataFrame, others: DataFrame, min_support: int, min_confidence: float, rounds: int) -> DataFrame:
+def _expanded(docs: DataFrame, seeds: DataFrame, others: DataFrame, min_support: int, min_confidence: float, rounds: int) -> DataFrame:
     """(doc_id, h, kind, start, end) of the candidates that confident patterns reach.
 
     ``seeds`` has a kind, ``others`` has none. Instances are values; occurrences link them to patterns.
     """
-    occurs = seeds.unionByName(others.withColumn("kind", F.lit(None).cast("string"))).select(
-        "doc_id", "h", "start", "end", "kind", F.lower("value").alias("instance"), F.explode(_patterns(F.col("before"), F.col("after"))).alias("pattern")
+    both = seeds.unionByName(others.withColumn("kind", F.lit(None).cast("string"))).withColumn("value", _short(F.lower("value")))
+    occurs = _with_context(both, docs).select(
+        "doc_id", "h", "start", "end", "kind", F.col("value").alias("instance"), F.explode(_patterns(F.col("before"), F.col("after"))).alias("pattern")
     )
     occurs = written(occurs, "occurrences")
     graph = written(occurs.select("instance", "pattern").distinct(), "graph")
@@ -127,8 +165,8 @@ def _expanded(seeds: DataFrame, others: DataFrame, min_support: int, min_confide
         confident = held.where(F.col("support") >= min_support).join(degree, "pattern").withColumn("confidence", confidence)
         confident = written(confident.where(F.col("confidence") >= min_confidence).select("pattern", "kind", "confidence"), "confident")
         miss = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
-        reached = graph.join(confident, "pattern").groupBy("instance", "kind").agg((1 - miss).alias("score"))
-        scores = written(scores.where("score = 1").unionByName(reached.where("score < 1")).groupBy("instance", "kind").agg(F.max("score").alias("score")), "scores")
+        reached = graph.join(confident, "pattern").groupBy("instance", "kind").agg(F.least(1 - miss, F.lit(HIGHEST_FOUND)).alias("score"))
+        scores = written(scores.where("score = 1").unionByName(reached).groupBy("instance", "kind").agg(F.max("score").alias("score")), "scores")
     best = occurs.where("kind is null").drop("kind").join(confident, "pattern")
     return best.groupBy("doc_id", "h", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
 
@@ -144,7 +182,7 @@ def find_spans(docs: DataFrame, min_support: int = 4, min_confidence: float = 0.
     rows = written(
         docs.select(
             "doc_id",
-            F.xxhash64("doc_id", text).alias("h"),
+            row_hash().alias("h"),
             *[_matched(text, p, possible[k]).alias(k) for k, p in PATTERNS.items()],
             _matched(text, CANDIDATE, digits | at).alias("token"),
         ),
@@ -163,8 +201,8 @@ def find_spans(docs: DataFrame, min_support: int = 4, min_confidence: float = 0.
     lead = F.length(F.regexp_extract("value", r"^([^A-Za-z0-9]*)", 1))
     tokens = tokens.withColumns({"core": core, "start": F.col("start") + lead})
     looks = (F.length(F.regexp_replace("core", "[^0-9]", "")) >= 6) | F.contains("core", F.lit("@"))
-    tokens = tokens.where(looks & (F.length("core") <= 100)).select(
-        "doc_id", "h", "start", (F.col("start") + F.length("core")).alias("end"), F.col("core").alias("value"), "before", "after"
+    tokens = tokens.where(looks).select(
+        "doc_id", "h", "start", (F.col("start") + F.length("core")).alias("end"), F.col("core").alias("value"), "word", "last"
     )
     a, b = tokens.alias("a"), seeds.alias("b")
     clear = a.join(
@@ -172,7 +210,7 @@ def find_spans(docs: DataFrame, min_support: int = 4, min_confidence: float = 0.
         F.expr("a.h = b.h and a.doc_id <=> b.doc_id and a.start < b.end and b.start < a.end"),
         "left_anti",
     )
-    new = _expanded(seeds, written(clear, "candidates"), min_support, min_confidence, rounds)
+    new = _expanded(docs, seeds, written(clear, "candidates"), min_support, min_confidence, rounds)
     spans = seeds.select("doc_id", "h", "kind", "start", "end", F.lit(True).alias("base")).unionByName(
         new.select("doc_id", "h", "kind", "start", "end", F.lit(False).alias("base"))
     )

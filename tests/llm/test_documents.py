@@ -314,6 +314,25 @@ def test_contexts_of_seeds_discover_an_identifier(spark):
     assert got[51].spans == "" and got[52].spans == ""
 
 
+def test_an_identifier_of_many_contexts_supports_its_patterns(spark):
+    # Under "rare" four seeds, x and y: 4 of 6 are too few until x, confident from 40 other contexts, counts as well.
+    words = [f"ctx{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    rows = [(100 * k + i, f"the {w} p{k}q{i}@mail.example end") for k, w in enumerate([*words, "rare"]) for i in range(4)]
+    rows += [(10_000 + k, f"the {w} 0049-1234567 end") for k, w in enumerate([*words, "rare"])] + [(20_000, "the rare 0049-7654321 end")]
+    got = {r.doc_id: r.spans for r in pii.personal_data(frame(spark, rows)).collect()}
+    assert got[20_000] == "email:9:21" and got[10_040] == "email:9:21"
+
+
+def test_contexts_are_words_whatever_they_hold(spark):
+    rows = [(i, f"well {i} Tel. 030 +49 123 456 7{i:03d} today w{i}") for i in range(20)]
+    rows += [(50, "Tel. 030 1234567 today"), (51, "so Tel. 030 " + "5" * 120 + " 1@"), (52, "Tel. 031 1234567 x")]
+    long = "c" * 60
+    rows += [(60 + i, f"a{long} b{i}@mail.example") for i in range(5)] + [(70, f"a{long} 0049-7777777"), (71, f"b{long} 0049-8888888")]
+    got = {r.doc_id: r.spans for r in pii.personal_data(frame(spark, rows)).collect()}
+    assert got[50] == "phone:9:16" and got[51] == "phone:12:132" and got[52] == ""
+    assert got[70] == "email:62:74" and got[71] == ""
+
+
 def test_redaction_replaces_runs_of_spans(spark):
     rows = [(1, "é😀 a@b.c, 1.2.3.4 end"), (2, None), (3, "clean"), (None, "x a@b.c"), (4, "+1.2.3.4.5678901 z")]
     got = pii.redacted(frame(spark, rows)).collect()
