@@ -4,6 +4,29 @@ from __future__ import annotations
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
+def clusters_sql(k: int = 40, rounds: int = 5, size: int = 64, salt: str = "2:") -> str:
+    """All rounds written out: vectors, then centroids and distances by turns."""
+    steps = [
+        f"""v AS MATERIALIZED (SELECT vec_id, x, row_number() OVER (ORDER BY vec_id, x) AS r FROM (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = {size}))""",
+        f"""c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h, x) - 1)::INT AS cluster, x AS c
+  FROM (SELECT sha256('{salt}' || vec_id) AS h, x FROM v WHERE vec_id IS NOT NULL) ORDER BY h, x LIMIT {k})""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(x) AS x, min(struct_pack(d := d, cluster := cluster)) AS m FROM (
+  SELECT r, vec_id, x, cluster, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v CROSS JOIN c{i}) GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""e{i} AS (SELECT m.cluster AS cluster, unnest(range(1, {size + 1})) AS p, unnest(x) AS y FROM a{i}),
+f{i} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS c FROM
+  (SELECT cluster, p, sum(y) AS s, count(*) AS n FROM e{i} GROUP BY cluster, p) GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(f{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN f{i} USING (cluster))""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, m.cluster AS cluster, m.d AS distance, sum(m.d) OVER (PARTITION BY m.cluster)::BIGINT AS cluster_inertia,
+  sum(m.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON cluster = m.cluster"""
+
+
 SQL = {
     "op1_warc": f"""
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
@@ -72,4 +95,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY rn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   (sum(upto) FILTER (WHERE role = 'assistant' OR rn = total))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id""",
+    "op12_centroids": clusters_sql(),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, decontaminate, minhash, packing, pii, quality, suffixes, toxicity, vectors, warc
+from feedloom.llm import chat, clusters, decontaminate, minhash, packing, pii, quality, secret_scan, suffixes, toxicity, vectors, warc, whitening
 from feedloom.llm.common import table
 
 
@@ -15,6 +15,12 @@ def vocabulary() -> packing.Vocabulary:
     return packing.Vocabulary(files.path("byte_bpe_50k.json"), files.path("byte_bpe_50k.tiktoken"), files.PATTERN)
 
 
+def rank_file() -> secret_scan.RankFile:
+    import public_tokenizers as files
+
+    return secret_scan.RankFile(files.path("byte_bpe_50k.tiktoken"), files.PATTERN)
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("payload"))
     return warc.round_trip(spark, pages, min_revisit_bytes=0).select(
@@ -92,6 +98,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(table(spark, sf_dir, "embeddings"), k=40, rounds=5, size=64, salt="2:")
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"), rank_file())
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -103,4 +121,7 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat": op10_chat,
+    "op11_whitening": op11_whitening,
+    "op12_centroids": op12_centroids,
+    "op13_secrets": op13_secrets,
 }
