@@ -11,6 +11,8 @@ from feedloom.session import shared_dir
 
 # A Python task gets so many rows at once; its working memory follows their bytes.
 ROWS_PER_ARROW_BATCH = 1000
+# So many 64-bit keys, about 32 MB as a hash table, are sent to every executor at most.
+BROADCAST_KEYS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +46,15 @@ def held_out(doc_id: Column | str) -> Column:
 
 
 
+def having_key(rows: DataFrame, key: Column, keys: DataFrame, keep: bool = True) -> DataFrame:
+    """The rows whose 64-bit key is among ``keys`` (one long column k, distinct), or with ``keep=False`` the others.
+
+    Up to ``BROADCAST_KEYS`` keys are broadcast and the rows stay where they are; more are met by a shuffle.
+    """
+    keys = written(keys, "keys")
+    side = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("merge")
+    return rows.withColumn("_key", key).join(side.withColumnRenamed("k", "_key"), "_key", "left_semi" if keep else "left_anti").select(*rows.columns)
+
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of the edges (u, v): the smallest node that it reaches.

@@ -18,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import written
+from feedloom.llm.common import having_key, written
 
 BLANKS = " \t\n\x0b\x0c\r"
-# A signature table of more rows is joined by a shuffle and not broadcast (24 bytes a row).
+# A signature table is broadcast in slices of about so many rows (28 bytes each, ids of texts aside).
 BROADCAST_ROWS = 1_000_000
 
 
@@ -82,20 +82,28 @@ def contained_items(
     """(doc_id, item_id, n_item_shingles, n_shared, containment) of the pairs with containment >= threshold."""
     sets = written(item_shingles(items, width), "items")
     widths = sorted(r[0] for r in sets.select("width").distinct().collect())  # at most ``width`` numbers
-    wanted = written(signatures(sets, permutations, min_hits, threshold), "signatures")
-    few = wanted.count() <= BROADCAST_ROWS
+    wanted = signatures(sets, permutations, min_hits, threshold)
+    h = F.lit(None).cast("long")
+    for w in widths:
+        h = F.when(F.col("width") == w, word_hash(F.col("s"), w)).otherwise(h)
+    wanted = written(wanted.select(h.alias("h"), "item_id", "key", "needed"), "signatures")
     texts = docs.where("doc_id is not null").select("doc_id", "text")
+    # One pass over the texts for all widths: hashes of other widths are other numbers.
+    each = [shingles_of("w", w, True) for w in widths] or [F.array().cast("array<bigint>")]
+    hashes = texts.select("doc_id", words_of(F.col("text")).alias("w")).select("doc_id", F.explode(F.concat(*each)).alias("h"))
+    # All of an item's shingles are in one slice; a slice is small enough to be broadcast.
+    slices = max(1, -(-wanted.count() // BROADCAST_ROWS))
     found = None
-    for w in widths:
-        own = wanted.where(F.col("width") == w).select(word_hash(F.col("s"), w).alias("h"), "item_id", "key", "needed")
-        hashes = texts.select("doc_id", words_of(F.col("text")).alias("w")).select("doc_id", F.explode(shingles_of("w", w, True)).alias("h"))
-        hits = hashes.join(F.broadcast(own) if few else own, "h").groupBy("doc_id", "item_id", "key", "needed").agg(F.count_distinct("h").alias("n"))
+    for i in range(slices):
+        own = wanted.where(F.pmod(F.xxhash64("item_id", "key"), F.lit(slices)) == i)
+        hits = hashes.join(F.broadcast(own), "h").groupBy("doc_id", "item_id", "key", "needed").agg(F.count_distinct("h").alias("n"))
         hits = hits.where("n >= needed").select("doc_id", "item_id", "key")
         found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = texts.limit(0).select("doc_id", F.lit(None).cast(sets.schema["item_id"].dataType).alias("item_id"), F.lit(0).cast("long").alias("key"))
-    pairs = written(found, "candidates").join(sets, ["item_id", "key"])
-    checked = pairs.join(texts, "doc_id").select(
+    found = written(found, "candidates")
+    # Only the texts of candidates move to meet their items.
+    pairs = found.join(sets, ["item_id", "key"])
+    few = having_key(texts, F.xxhash64("doc_id"), found.select(F.xxhash64("doc_id").alias("k")).distinct())
+    checked = pairs.join(few, "doc_id").select(
         "doc_id", "item_id", "shingles", "width", words_of(F.col("text")).alias("w")
     )
     shared = None

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import connected_components, row_key, small_batches, written
+from feedloom.llm.common import connected_components, having_key, row_key, small_batches, written
 from feedloom.llm.words import mix, text_shingles
 
 BANDS, BAND_ROWS = 16, 4
@@ -257,13 +257,18 @@ def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     Each text of an id is judged by itself, and rows without id as well. Rows of equal id and text count as one; rows
     without id and without words all stay.
     """
-    units = written(docs.select(row_key().alias("doc_id"), "doc_id", "text").toDF("unit", "doc_id", "text"), "units")
+    units = docs.select(row_key().alias("doc_id"), "doc_id", "text").toDF("unit", "doc_id", "text")
     parts = near_duplicates(units.select(F.col("unit").alias("doc_id"), "text"), **options)
     parts = written(parts.select(F.col("doc_id").alias("unit"), "component_id").distinct(), "unit-groups")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "unit")
-    firsts = units.select("unit", "doc_id").distinct().join(parts, "unit").groupBy("component_id").agg(F.min(order).alias("m")).select(F.col("m.unit").alias("_unit"))
     wordless = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = units.groupBy("unit").agg(F.min("doc_id").alias("doc_id"), F.count_if(~wordless).alias("n"))
+    rows = written(rows.join(parts, "unit"), "unit-rows")
+    firsts = rows.groupBy("component_id").agg(F.min(order).alias("m")).select("component_id", F.col("m.unit").alias("first"))
+    judged = written(rows.join(firsts, "component_id").select(F.col("unit").alias("k"), "n", (F.col("unit") == F.col("first")).alias("kept")), "judged")
+    # Most rows are the only one of their text and no near copy: they stay where they are.
+    alone = having_key(docs, row_key(), judged.where("not kept or n > 1").select("k"), keep=False)
     # Of repeated rows the one of the least hash of all columns, so a replay keeps the same.
-    rows = docs.where(~wordless).groupBy(row_key().alias("_unit")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
-    one = rows.join(written(firsts, "firsts"), "_unit", "left_semi").select("_row.*")
-    return one.unionByName(docs.where(wordless))
+    repeated = having_key(docs, row_key(), judged.where("kept and n > 1").select("k")).groupBy(row_key().alias("_unit"))
+    one = repeated.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
+    return alone.unionByName(one)

@@ -9,7 +9,8 @@ of its patterns. A pattern needs ``min_support`` different seeds or found instan
 and only confident patterns are joined back.
 
 A span's start is a sum over the matches before it, made by a window over narrow rows, so a text with many
-matches is linear; so is the place of its word, and the words around it are looked up in the split text. The patterns are the usual ones with possessive loops and fixed
+matches is linear; so is the place of its word. The words around a match are taken in the scan, where the text is,
+so nothing but matches and those words is shuffled. The patterns are the usual ones with possessive loops and fixed
 starts: same matches, but neither recursion nor repeated scans on long runs.
 
 Defined results: null texts are empty; texts without matches have no span; rows are told apart by id and text, and
@@ -65,21 +66,42 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _matched(text: Column, pattern: str, possible: Column) -> Column:
-    """The matches of a pattern with the length and the blanks of the text before each. No match has blanks at its ends."""
+def _matched(text: Column, pattern: str, possible: Column, around: Column | None = None) -> Column:
+    """The matches of a pattern with the length and the blanks of the text before each. No match has blanks at its ends.
+
+    ``around`` has one more entry for each match.
+    """
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = [gaps.alias("gap"), found.alias("value")] + ([] if around is None else [around.alias("around")])
     entries = F.transform(
-        F.arrays_zip(gaps.alias("gap"), found.alias("value")),
+        F.arrays_zip(*parts),
         lambda x: F.struct(
-            F.length(x["gap"]).alias("skip"), (F.size(F.split(x["gap"], BLANKS, -1)) - 1).alias("blanks"), x["value"].alias("value")
+            F.length(x["gap"]).alias("skip"),
+            (F.size(F.split(x["gap"], BLANKS, -1)) - 1).alias("blanks"),
+            x["value"].alias("value"),
+            *([] if around is None else [x["around"].alias("around")]),
         ),
     )
     return F.when(possible, entries)
 
 
+def _around(words: str, possible: Column) -> Column:
+    """For each word that holds a digit or an @: the two words before and the word after it, whatever they hold."""
+    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).rlike("[0-9@]"))
+
+    def word(i: Column) -> Column:
+        return F.when(i >= 0, _short(F.lower(F.get(words, F.greatest(i, F.lit(0))))))
+
+    around = F.transform(
+        places,
+        lambda i: F.struct(F.filter(F.array(word(i - 2), word(i - 1)), lambda w: w != "").alias("before"), F.coalesce(word(i + 1), F.lit("")).alias("after")),
+    )
+    return F.when(possible, around)
+
+
 def _placed(rows: DataFrame, column: str) -> DataFrame:
-    """(doc_id, h, start, end, value, word, last) of the matches in a column made by ``_matched``.
+    """(doc_id, h, start, end, value, word, last) of the matches in a column made by ``_matched``, and ``around`` if it has that.
 
     ``word`` and ``last`` are the places of its first and last word in the text split at blanks.
     """
@@ -98,6 +120,7 @@ def _placed(rows: DataFrame, column: str) -> DataFrame:
         "value",
         (F.col("last") - F.col("inside")).alias("word"),
         "last",
+        *[c for c in ("around",) if c in placed.columns],
     )
 
 
@@ -105,25 +128,24 @@ def _short(text: Column) -> Column:
     return F.when(F.length(text) > WORD_CHARS, F.sha2(text, 256)).otherwise(text)
 
 
-def _with_context(matches: DataFrame, docs: DataFrame) -> DataFrame:
-    """matches with the two words before and the word after each, whatever they hold."""
-    columns = [c for c in matches.columns if c not in ("doc_id", "h")]
-    per_text = matches.groupBy("doc_id", "h").agg(F.collect_list(F.struct(*columns)).alias("m"))
-    a = docs.select("doc_id", row_hash().alias("h"), F.split("text", BLANKS, -1).alias("words")).alias("a")
-    both = a.join(written(per_text, "per-text").alias("b"), F.expr("a.h = b.h and a.doc_id <=> b.doc_id")).select("a.doc_id", "a.h", "words", "m")
+def _with_context(seeds: DataFrame, tokens: DataFrame) -> DataFrame:
+    """seeds with ``before`` and ``after``. A seed begins and ends in words with a digit or an @, which are tokens."""
+    near = tokens.select("doc_id", "h", "word", "around")
+    same = "a.h = b.h and a.doc_id <=> b.doc_id"
+    first = seeds.alias("a").join(near.alias("b"), F.expr(f"{same} and a.word = b.word")).select("a.*", "b.around.before")
+    return first.alias("a").join(near.alias("b"), F.expr(f"{same} and a.last = b.word")).select("a.*", "b.around.after").drop("word", "last")
 
-    def word(i: Column) -> Column:
-        return F.when(i >= 0, _short(F.lower(F.get("words", F.greatest(i, F.lit(0))))))
 
-    around = F.transform(
-        "m",
-        lambda m: F.struct(
-            *[m[c].alias(c) for c in columns if c not in ("word", "last")],
-            F.filter(F.array(word(m["word"] - 2), word(m["word"] - 1)), lambda w: w != "").alias("before"),
-            F.coalesce(word(m["last"] + 1), F.lit("")).alias("after"),
-        ),
-    )
-    return both.select("doc_id", "h", F.inline(around))
+def _clear(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The tokens that overlap no seed: a running maximum of the seeds' ends, and the next seed's start."""
+    both = tokens.withColumn("seed", F.lit(False)).unionByName(seeds.select("doc_id", "h", "start", "end").withColumn("seed", F.lit(True)), allowMissingColumns=True)
+    order = Window.partitionBy("doc_id", "h").orderBy("start", F.desc("seed"))
+    reach = F.max(F.when(F.col("seed"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # The least start of the seeds behind: seeds are in order, so the last one's row knows it.
+    coming = F.min(F.when(F.col("seed"), F.col("start"))).over(Window.partitionBy("doc_id", "h").orderBy(F.desc("start"), "seed").rowsBetween(Window.unboundedPreceding, 0))
+    marked = both.withColumns({"_reach": reach, "_coming": coming})
+    free = ~F.col("seed") & (F.coalesce("_reach", F.lit(0)) <= F.col("start")) & (F.col("_coming").isNull() | (F.col("_coming") >= F.col("end")))
+    return marked.where(free).drop("seed", "_reach", "_coming")
 
 
 def row_hash() -> Column:
@@ -145,13 +167,13 @@ def _patterns(before: Column, after: Column) -> Column:
     )
 
 
-def _expanded(docs: DataFrame, seeds: DataFrame, others: DataFrame, min_support: int, min_confidence: float, rounds: int) -> DataFrame:
+def _expanded(seeds: DataFrame, others: DataFrame, min_support: int, min_confidence: float, rounds: int) -> DataFrame:
     """(doc_id, h, kind, start, end) of the candidates that confident patterns reach.
 
-    ``seeds`` has a kind, ``others`` has none. Instances are values; occurrences link them to patterns.
+    ``seeds`` has a kind, ``others`` has none; both have the words around. Instances are values; occurrences link them to patterns.
     """
     both = seeds.unionByName(others.withColumn("kind", F.lit(None).cast("string"))).withColumn("value", _short(F.lower("value")))
-    occurs = _with_context(both, docs).select(
+    occurs = both.select(
         "doc_id", "h", "start", "end", "kind", F.col("value").alias("instance"), F.explode(_patterns(F.col("before"), F.col("after"))).alias("pattern")
     )
     occurs = written(occurs, "occurrences")
@@ -179,12 +201,14 @@ def find_spans(docs: DataFrame, min_support: int = 4, min_confidence: float = 0.
     text = F.coalesce("text", F.lit(""))
     digits, at = text.rlike("[0-9]"), F.contains(text, F.lit("@"))
     possible = {"email": at, "ip": digits, "card": digits, "phone": F.contains(text, F.lit("+"))}
+    # The words are a column of their own, split once a row; only matches and the words around them are written.
+    split = docs.select("doc_id", "text", F.when(digits | at, F.split(text, BLANKS, -1)).alias("words"))
     rows = written(
-        docs.select(
+        split.select(
             "doc_id",
             row_hash().alias("h"),
             *[_matched(text, p, possible[k]).alias(k) for k, p in PATTERNS.items()],
-            _matched(text, CANDIDATE, digits | at).alias("token"),
+            _matched(text, CANDIDATE, digits | at, _around("words", digits | at)).alias("token"),
         ),
         "matches",
     )
@@ -194,23 +218,17 @@ def find_spans(docs: DataFrame, min_support: int = 4, min_confidence: float = 0.
         DataFrame.unionByName,
         [_placed(once.select("doc_id", "h", k), k).where(_valid(k, F.col("value"))).withColumn("kind", F.lit(k)) for k in KINDS],
     )
-    seeds = written(seeds, "seeds")
+    tokens = written(_placed(once.select("doc_id", "h", "token"), "token"), "tokens")
+    seeds = written(_with_context(seeds, tokens), "seeds")
     # Candidates: without signs at their ends, and clear of every base span.
-    tokens = _placed(once.select("doc_id", "h", "token"), "token")
     core = F.regexp_extract("value", r"^([^A-Za-z0-9]*)(.*?)[^A-Za-z0-9]*$", 2)
     lead = F.length(F.regexp_extract("value", r"^([^A-Za-z0-9]*)", 1))
     tokens = tokens.withColumns({"core": core, "start": F.col("start") + lead})
     looks = (F.length(F.regexp_replace("core", "[^0-9]", "")) >= 6) | F.contains("core", F.lit("@"))
     tokens = tokens.where(looks).select(
-        "doc_id", "h", "start", (F.col("start") + F.length("core")).alias("end"), F.col("core").alias("value"), "word", "last"
-    )
-    a, b = tokens.alias("a"), seeds.alias("b")
-    clear = a.join(
-        b,
-        F.expr("a.h = b.h and a.doc_id <=> b.doc_id and a.start < b.end and b.start < a.end"),
-        "left_anti",
+        "doc_id", "h", "start", (F.col("start") + F.length("core")).alias("end"), F.col("core").alias("value"), "around.before", "around.after"
     )
-    new = _expanded(docs, seeds, written(clear, "candidates"), min_support, min_confidence, rounds)
+    new = _expanded(seeds, written(_clear(tokens, seeds), "candidates"), min_support, min_confidence, rounds)
     spans = seeds.select("doc_id", "h", "kind", "start", "end", F.lit(True).alias("base")).unionByName(
         new.select("doc_id", "h", "kind", "start", "end", F.lit(False).alias("base"))
     )
@@ -253,7 +271,9 @@ def redacted(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     )
     cuts = merged.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("_cuts"))
     cuts = written(cuts, "cuts").withColumnsRenamed({"doc_id": "_doc_id", "h": "_h"})
-    rows = docs.withColumn("_hash", F.xxhash64("doc_id", F.coalesce(text, F.lit(""))))
+    # Every span holds a digit or an @, so most texts need not move to meet their cuts.
+    may = F.coalesce(F.col(text).rlike("[0-9@]"), F.lit(False))
+    rows = docs.where(may).withColumn("_hash", F.xxhash64("doc_id", F.coalesce(text, F.lit(""))))
     both = rows.join(cuts, (F.col("_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left")
     parts = F.transform(
         "_cuts",
@@ -263,4 +283,5 @@ def redacted(docs: DataFrame, text: str = "text", **options) -> DataFrame:
         ),
     )
     rest = F.substr(F.col(text), F.element_at("_cuts", -1)["end"] + 1, F.length(text))
-    return both.withColumn(text, F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(F.concat(F.array_join(parts, ""), rest))).select(*docs.columns)
+    clean = F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(F.concat(F.array_join(parts, ""), rest))
+    return both.withColumn(text, clean).select(*docs.columns).unionByName(docs.where(~may))

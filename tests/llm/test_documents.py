@@ -333,6 +333,86 @@ def test_contexts_are_words_whatever_they_hold(spark):
     assert got[70] == "email:62:74" and got[71] == ""
 
 
+def expanded_by_hand(rows, min_support=4, min_confidence=0.75, rounds=3):
+    """All spans of each row: the base ones, and those of the rounds in plain Python."""
+
+    def short(w):
+        return hashlib.sha256(w.encode()).hexdigest() if len(w) > 100 else w
+
+    def context(words, first, last):
+        before = [short(words[i].lower()) for i in (first - 2, first - 1) if i >= 0]
+        before = [w for w in before if w]
+        after = short(words[last + 1].lower()) if last + 1 < len(words) else ""
+        out = [f"1 {before[-1]}"] if before else []
+        out += [f"2 {' '.join(before)}"] if len(before) > 1 else []
+        return set(out + ([f"3 {before[-1]} {after}"] if before and after else []))
+
+    occurs = []  # (row, start, end, kind or None, instance, patterns)
+    for r, text in enumerate(rows):
+        text = text or ""
+        words = re.split(r"[ \t\n\x0b\f\r]+", text)
+        place = lambda at: len(re.findall(r"[ \t\n\x0b\f\r]+", text[:at]))
+        base = [s.split(":") for s in base_spans(text)]
+        base = [(k, int(a), int(b)) for k, a, b in base]
+        occurs += [(r, a, b, k, short(text[a:b].lower()), context(words, place(a), place(b))) for k, a, b in base]
+        for m in re.finditer(r"[^ \t\n\x0b\f\r]*[0-9@][^ \t\n\x0b\f\r]*", text):
+            core = re.match(r"([^A-Za-z0-9]*)(.*?)[^A-Za-z0-9]*$", m[0])
+            a, b = m.start() + len(core[1]), m.start() + len(core[1]) + len(core[2])
+            if (len(re.sub("[^0-9]", "", core[2])) >= 6 or "@" in core[2]) and not any(a < d and c < b for _, c, d in base):
+                occurs.append((r, a, b, None, short(core[2].lower()), context(words, place(m.start()), place(m.start()))))
+    graph = {(i, p) for *_, i, ps in occurs for p in ps}
+    degree = collections.Counter(p for _, p in graph)
+    seeds = {(i, k): 1.0 for _, _, _, k, i, ps in occurs if k and ps}
+    scores, confident = dict(seeds), {}
+    for _ in range(rounds):
+        held = collections.defaultdict(list)
+        for i, p in graph:
+            for (j, k), s in scores.items():
+                if i == j:
+                    held[p, k].append(s)
+        confident = {key: sum(s) / degree[key[0]] for key, s in held.items() if sum(x >= min_confidence for x in s) >= min_support}
+        confident = {key: c for key, c in confident.items() if c >= min_confidence}
+        miss = collections.defaultdict(lambda: 1.0)
+        for i, p in graph:
+            for (q, k), c in confident.items():
+                if p == q:
+                    miss[i, k] *= max(1 - c, 1e-9)
+        found = {key: min(1 - m, 0.999999) for key, m in miss.items()}
+        scores = {key: max(seeds.get(key, 0), found.get(key, 0)) for key in {*seeds, *found}}
+    out = [[f"{k}:{a}:{b}" for r, a, b, k, *_ in occurs if r == n and k] for n in range(len(rows))]
+    for r, a, b, k, _, ps in occurs:
+        best = max(((c, kind) for (p, kind), c in confident.items() if p in ps), default=None)
+        if k is None and best:
+            out[r].append(f"{best[1]}:{a}:{b}")
+    return [collections.Counter(o) for o in out]
+
+
+def test_the_rounds_equal_plain_python(spark):
+    rng = random.Random(21)
+    lead = ["call", "mail", "host", "pay", "ref", "see", "the", "at 030", "Tel.", "(id"]
+    kinds = [
+        ("mail to", lambda: f"u{rng.randrange(40)}@mail.example"),
+        ("host", lambda: ".".join(str(rng.randrange(300)) for _ in range(4))),
+        ("call", lambda: f"+49 {rng.randrange(100, 140)} {rng.randrange(10**5, 10**5 + 30)}"),
+        ("call", lambda: f"0049-{rng.randrange(10**6, 10**6 + 20)},"),
+        ("mail to", lambda: rng.choice(["user@localhost", "c" * 120 + "@", "x@"])),
+        ("pay", lambda: rng.choice(["4041894974608795", "a1b2c3d4e5f6", "plain", "12"])),
+    ]
+
+    def phrase():
+        usual, value = rng.choice(kinds)
+        return f"{usual if rng.random() < 0.9 else rng.choice(lead)} {value()} {rng.choice(['now', 'end', 'é🙂', ''])}"
+
+    rows = []
+    for _ in range(150):
+        rows.append(rng.choice(["", " ", "\n"]) + rng.choice([" ", "  ", "\n"]).join(phrase() for _ in range(rng.randrange(0, 6))))
+    rows = list(dict.fromkeys(rows)) + [None]
+    got = {r.doc_id: collections.Counter(s for s in r.spans.split(",") if s) for r in pii.personal_data(frame(spark, list(enumerate(rows)))).collect()}
+    want = expanded_by_hand(rows)
+    assert [got[i] for i in range(len(rows))] == want
+    assert sum(map(len, want)) > sum(len(base_spans(t or "")) for t in rows) + 20
+
+
 def test_redaction_replaces_runs_of_spans(spark):
     rows = [(1, "é😀 a@b.c, 1.2.3.4 end"), (2, None), (3, "clean"), (None, "x a@b.c"), (4, "+1.2.3.4.5678901 z")]
     got = pii.redacted(frame(spark, rows)).collect()
