@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm import decontaminate, minhash, packing, pii, quality
-from feedloom.llm.common import new_folder, row_key, table
+from feedloom.llm.common import having_key, new_folder, row_key, table
 from feedloom.llm.queries import vocabulary
 
 
@@ -33,8 +33,7 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The documents that do not contain a benchmark item."""
     units = docs.select(row_key().alias("doc_id"), docs["text"])
     found = decontaminate.contained_items(units, table(spark, sf_dir, "benchmark"))
-    found = found.select(F.col("doc_id").alias("_unit")).distinct()
-    return docs.withColumn("_unit", row_key()).join(found, "_unit", "left_anti").select(*docs.columns)
+    return having_key(docs, row_key(), found.select(F.col("doc_id").alias("k")).distinct(), keep=False)
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
