@@ -3,6 +3,10 @@
 A provider is made by a picklable factory, once per Python worker, so a model is
 loaded once and not per batch. Calls are retried with growing pauses, and a
 failing row yields an error text while the others go on.
+
+A failure counts as the row's own only if the provider answers something else: after some failures in a row, and after the
+last rows of a task's batch if those failed, a text that was answered before is sent again. If that fails too, the provider
+is down and the task fails, so nothing is stored and the batch comes again, by Spark's retries or with the next poll.
 """
 
 from __future__ import annotations
@@ -20,7 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.answers import parse_classification, render_prompt, render_repair_prompt
+from feedloom.functions.answers import (
+    SYSTEM_PROMPT,
+    USER_PROMPT_HEAD,
+    USER_PROMPT_TAIL,
+    parse_classification,
+    render_prompt,
+    render_repair_prompt,
+)
 from feedloom.functions.text import as_column
 
 # Attempts per call and seconds between them.
@@ -32,12 +43,16 @@ LONGEST_PAUSE = 10.0
 # Texts in one request, and chat requests that a task keeps going at once.
 BATCH_SIZE = 256
 CONCURRENCY = 8
-# After so many single texts in a row that failed, the provider seems down: no more pauses, and embed asks whole requests first.
+# After so many single texts in a row that failed, the provider is asked for one that it should be able to answer.
 FAILURES_TO_STOP = 16
 # Sent to learn whether a provider is up that has not answered any text yet.
 PROBE = "text"
 
 
+class ProviderDown(RuntimeError):
+    """The provider answers nothing, not even what it answered before."""
+
+
 class ChatProvider(Protocol):
     """A provider may also have ``chat_many(conversations, max_tokens)``, which answers a list in its order."""
 
@@ -49,27 +64,25 @@ class EmbeddingProvider(Protocol):
 
 
 class Gate:
-    """Counts requests that failed in a row, over all threads of a task.
-
-    While it is closed every text is still asked, only without pauses; the first answer opens it.
-    """
+    """Counts requests that failed in a row, over all threads of a task, and asks whether the provider is up."""
 
     def __init__(self, limit: int, pause: Callable[[float], None]) -> None:
-        self.limit, self.failed, self.reason, self._pause = limit, 0, "", pause
-
-    @property
-    def closed(self) -> bool:
-        return self.failed >= self.limit
-
-    def pause(self, seconds: float) -> None:
-        if not self.closed:
-            self._pause(seconds)
+        self.limit, self.failed, self.reason, self.pause = limit, 0, "", pause
 
     def note(self, error: Exception | None) -> None:
         self.failed = 0 if error is None else self.failed + 1
         if error is not None:
             self.reason = described(error)
 
+    def check(self, known_good: Callable[[], Any], at_end: bool = False) -> None:
+        """After ``limit`` failures in a row, or after any ``at_end``: fail unless the provider answers ``known_good``."""
+        if self.failed >= (1 if at_end else self.limit):
+            try:
+                call_with_retry(known_good, self.pause)
+            except Exception as exc:
+                raise ProviderDown(f"{self.reason}; then {described(exc)} for a text that should be answered") from exc
+            self.failed = 0
+
 
 def described(error: Exception) -> str:
     return f"{type(error).__name__}: {error}"
@@ -97,9 +110,10 @@ def ask(
     """struct(answer, error) of a model's reply; NULL messages are not sent.
 
     A provider with ``chat_many`` gets lists of at most ``batch_size`` conversations; when a list fails, each of
-    its conversations is asked by itself. Otherwise ``concurrency`` conversations are under way at once. After
-    ``FAILURES_TO_STOP`` failures in a row there are no pauses until the next answer; every conversation is asked all the same.
+    its conversations is asked by itself. Otherwise ``concurrency`` conversations are under way at once. Raises
+    ``ProviderDown`` when failures are not the conversations' own.
     """
+    at_once = max(FAILURES_TO_STOP, concurrency)
 
     def sent(turns: Any) -> list[dict[str, str]]:
         return [{"role": t["role"], "content": t["content"]} for t in turns]
@@ -136,15 +150,25 @@ def ask(
     @F.pandas_udf("answer string, error string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         client, gate = provider(), Gate(FAILURES_TO_STOP, pause)
+        known = [probe_messages()]
+
+        def known_good() -> Any:
+            return answered(client.chat(known[0], max_tokens))
+
         with ThreadPoolExecutor(max(1, concurrency)) as pool:
             for batch in batches:
                 rows = [i for i, turns in enumerate(batch) if turns is not None]
                 turns = [sent(batch.iloc[i]) for i in rows]
-                if hasattr(client, "chat_many"):
-                    parts = [turns[i : i + batch_size] for i in range(0, len(turns), batch_size)]
-                    replies = [r for part in parts for r in many(client, part, gate)]
-                else:
-                    replies = list(pool.map(lambda t: one(client, t, gate), turns))
+                lists = hasattr(client, "chat_many")
+                step = batch_size if lists else at_once
+                replies = []
+                for i in range(0, len(turns), step):
+                    part = turns[i : i + step]
+                    new = many(client, part, gate) if lists else list(pool.map(lambda t: one(client, t, gate), part))
+                    known[0] = next((t for t, (_, error) in zip(part, new) if error is None), known[0])
+                    gate.check(known_good)
+                    replies += new
+                gate.check(known_good, at_end=True)
                 out: list[tuple[str | None, str | None]] = [(None, None)] * len(batch)
                 for i, reply in zip(rows, replies):
                     out[i] = reply
@@ -153,6 +177,10 @@ def ask(
     return run.asNondeterministic()(as_column(messages))
 
 
+def probe_messages() -> list[dict[str, str]]:
+    return [{"role": "system", "content": SYSTEM_PROMPT}, {"role": "user", "content": USER_PROMPT_HEAD + PROBE + USER_PROMPT_TAIL}]
+
+
 def classify_two_pass(
     df: DataFrame,
     provider: Callable[[], ChatProvider],
@@ -198,9 +226,8 @@ def embed(
     """struct(embedding, error) of texts, at most ``batch_size`` in a request.
 
     NULL and empty texts are not sent and get NULL. When a request fails, or returns another number of vectors, its
-    halves are sent, so that only the bad texts stay without a vector. After ``FAILURES_TO_STOP`` single texts in a row
-    that failed, each further request is still sent; if it fails, a text that was answered before and the last of the
-    request decide: the request is halved if one of them is answered, and has failed as a whole if the provider is down.
+    halves are sent, so that only the bad texts stay without a vector. Raises ``ProviderDown`` when failures are not the
+    texts' own. A provider may name the size of its requests itself (``batch_size``).
     """
 
     def call(client: EmbeddingProvider, texts: list[str]) -> list[Any]:
@@ -209,16 +236,6 @@ def embed(
             raise RuntimeError(f"{len(vectors)} vectors for {len(texts)} texts")
         return vectors
 
-    def up(client: EmbeddingProvider, last: str, gate: Gate, known: list[str]) -> bool:
-        for text, wait in ((known[0], pause), (last, gate.pause)):
-            try:
-                call_with_retry(lambda: call(client, [text]), wait)
-            except Exception:
-                continue
-            gate.note(None)
-            return True
-        return False
-
     def each(client: EmbeddingProvider, texts: list[str], gate: Gate, first: bool, known: list[str]) -> list[tuple[Any, str | None]]:
         try:
             # Only a whole request is repeated; its parts are tried once.
@@ -226,9 +243,8 @@ def embed(
         except Exception as exc:
             if len(texts) == 1:
                 gate.note(exc)
+                gate.check(lambda: call(client, known))
                 return [(None, described(exc))]
-            if gate.closed and not up(client, texts[-1], gate, known):
-                return [(None, gate.reason)] * len(texts)
             half = len(texts) // 2
             return each(client, texts[:half], gate, False, known) + each(client, texts[half:], gate, False, known)
         gate.note(None)
@@ -238,14 +254,16 @@ def embed(
     @F.arrow_udf("embedding array<float>, error string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         client, gate, known = provider(), Gate(FAILURES_TO_STOP, pause), [PROBE]
+        size = getattr(client, "batch_size", batch_size)
         for batch in batches:
             vectors: list[Any] = [None] * len(batch)
             errors: list[str | None] = [None] * len(batch)
             rows = np.flatnonzero(pc.fill_null(pc.greater(pc.utf8_length(batch), 0), False).to_numpy(False))
-            for s in range(0, len(rows), batch_size):
-                part = rows[s : s + batch_size]
+            for s in range(0, len(rows), size):
+                part = rows[s : s + size]
                 for i, (v, e) in zip(part, each(client, batch.take(pa.array(part)).to_pylist(), gate, True, known)):
                     vectors[i], errors[i] = v, e
+            gate.check(lambda: call(client, known), at_end=True)
             yield pa.StructArray.from_arrays(
                 [pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())],
                 names=["embedding", "error"],
@@ -260,6 +278,9 @@ WORD_BREAK = r"[^\pL\pN]+"
 class HashingEmbedder:
     """Bag of words hashed into ``dim`` buckets, scaled to unit length; needs no model."""
 
+    # Nothing is sent anywhere, so whole Arrow batches are taken at once.
+    batch_size = 1 << 16
+
     def __init__(self, dim: int = 64) -> None:
         self.dim = dim
 

@@ -263,6 +263,14 @@ class BatchTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
+    def read_with_batch(self, source: str) -> DataFrame:
+        """Committed rows of a source with the key of their batch."""
+        schema = T.StructType([*self.schema.fields, T.StructField("batch", T.StringType())])
+        paths = committed(self.spark, self.path(source, "*"))
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/source={source}").parquet(*paths)
+
     def has(self, source: str, batch_key: str) -> bool:
         return bool(committed(self.spark, self.path(source, batch_key)))
 
@@ -357,3 +365,4 @@ RUNS = T.StructType(
     ]
 )
 IDENTITIES = T.StructType([T.StructField("identity", T.StringType())])
+COUNTS = T.StructType([T.StructField(c, T.LongType()) for c in ("stored", "reused", "failed", "late", "rejected", "latest")])

@@ -7,8 +7,11 @@ after a failure finds what was written and the model is not asked again.
 Lateness is judged against the bound of the source's run and not against the mark of the last batch: the
 bound is the resume point when a run starts, and moves only when a run has worked off its backlog. So the result
 does not depend on how a backlog is cut into batches or in which order files land. Rows under the bound go to
-the ``late`` table. A running query is one run, and an unfinished run that restarts keeps its bound. The
-store treats all batches of a run as one (see ``ItemStore``).
+the ``late`` table. A poll is one run, and an unfinished run that restarts keeps its bound; a batch never joins a
+finished run, which may be folded already. The store treats all batches of a run as one (see ``ItemStore``).
+
+What a batch kept, set aside, reused and failed on is counted by the jobs that write it (``observe``) and read without a
+second pass.
 """
 
 from __future__ import annotations
@@ -18,12 +21,13 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from feedloom.functions.times import default_since, utc
 from feedloom.operators.constraints import split_valid
+from feedloom.operators.dedup import mark_hash
 from feedloom.operators.inference import EmbeddingProvider, HashingEmbedder
 from feedloom.plans.enrich import Classifier, enrich, prepare, with_lexicon
 from feedloom.schemas import JobSettings
@@ -39,7 +43,7 @@ from feedloom.sources.feeds import (
     split_bad_lines,
     stream_lines,
 )
-from feedloom.sources.store import IDENTITIES, LATE, MARKS, PREPARED, REJECTS, RUNS, BatchTable, ItemStore, VectorCache
+from feedloom.sources.store import COUNTS, IDENTITIES, LATE, MARKS, PREPARED, REJECTS, RUNS, BatchTable, ItemStore, VectorCache
 
 logger = logging.getLogger(__name__)
 
@@ -47,6 +51,16 @@ logger = logging.getLogger(__name__)
 # Run records kept per source; only the last one is read.
 KEPT_RUNS = 10
 
+OBSERVED = ("stored", "reused", "failed", "latest", "late", "rejected")
+
+
+def _stored_counts() -> dict[str, Column]:
+    failed = F.col("classification_error").isNotNull() | F.col("embedding_error").isNotNull()
+    return {
+        "stored": F.count("*"), "reused": F.count_if(F.col("embedding_reused")), "failed": F.count_if(failed),
+        "latest": F.unix_micros(F.max("published_at")),
+    }
+
 
 @dataclass(frozen=True)
 class Run:
@@ -91,6 +105,7 @@ class IngestJob:
         self.late = BatchTable(self.spark, f"{self.root}/late", LATE)
         self.runs = BatchTable(self.spark, f"{self.root}/runs", RUNS)
         self.identities = BatchTable(self.spark, f"{self.root}/identities", IDENTITIES)
+        self.counts = BatchTable(self.spark, f"{self.root}/counts", COUNTS)
 
     # ---- marks ---------------------------------------------------------------
 
@@ -138,6 +153,14 @@ class IngestJob:
         self._write_run(source, Run(f"{now:%Y%m%dT%H%M%S%f}", utc(bound), False))
         return utc(bound)
 
+    def open_run(self, source: str) -> Run:
+        """The run that a new batch belongs to; a finished one is followed by a new one."""
+        last = self.run(source)
+        if last is None or last.closed:
+            self.resume(source)
+            last = self.run(source)
+        return last
+
     def finish_run(self, source: str) -> None:
         """The backlog is worked off: the next run starts from the mark, and the store may fold this run's batches."""
         last = self.run(source)
@@ -168,14 +191,29 @@ class IngestJob:
         """Store one batch of landed lines of a source."""
         feed = self.feeds[source]
         self._check_identity(lines, source, batch_key)
+        seen: dict[str, int | None] = {}
         if not self.store.has_batch(source, batch_key):
-            self._store_batch(lines, feed, batch_key)
+            seen = self._store_batch(lines, feed, batch_key)
         rows = self.store.read_batch(source, batch_key)
         new = rows.filter(F.col("embedding").isNotNull() & ~F.col("embedding_reused"))
         self.vectors.write(new.withColumn("written_at", F.col("batch_time")), source, batch_key)
-        latest = rows.agg(F.unix_micros(F.max("published_at")).alias("m")).first().m
-        if latest is not None:
-            self._write_mark(source, batch_key, _from_micros(latest))
+        if not self.counts.has(source, batch_key) or "stored" in seen:
+            # A replay has no observed values for what an earlier attempt wrote: only then the tables are read.
+            seen = self._counted_again(source, batch_key, rows) | seen if len(seen) < len(OBSERVED) else seen
+            self.counts.write(self.spark.range(1).select(*[F.lit(seen[c]).cast("long").alias(c) for c in COUNTS.fieldNames()]), source, batch_key)
+        else:
+            seen = self.counts.read_batch(source, batch_key).first().asDict()
+        if seen["latest"] is not None:
+            self._write_mark(source, batch_key, _from_micros(seen["latest"]))
+
+    def _counted_again(self, source: str, batch_key: str, rows: DataFrame) -> dict[str, int | None]:
+        tables = {"rejected": self.rejects, "late": self.late}
+        counts = {name: t.read_batch(source, batch_key).count() for name, t in tables.items()}
+        return counts | rows.agg(*[c.alias(n) for n, c in _stored_counts().items()]).first().asDict()
+
+    def batch_metrics(self, source: str) -> DataFrame:
+        """(batch, stored, reused, failed, late, rejected, latest) of every batch of a source."""
+        return self.counts.read_with_batch(source)
 
     def _check_identity(self, lines: DataFrame, source: str, batch_key: str) -> None:
         """Refuse a batch key that was used for other lines (a new checkpoint with an old ``stream_id``)."""
@@ -193,21 +231,23 @@ class IngestJob:
         elif not self.store.has_batch(source, batch_key):
             self.identities.write(self.spark.range(1).select(F.lit(identity).alias("identity")), source, batch_key)
 
-    def _store_batch(self, lines: DataFrame, feed: Feed, batch_key: str) -> None:
-        source = feed.source
+    def _store_batch(self, lines: DataFrame, feed: Feed, batch_key: str) -> dict[str, int | None]:
+        source, seen = feed.source, {}
+        run = self.open_run(source)
         now = self.clock()
-        run = self.run(source) or Run("none", default_since(now, self.settings.fetch_interval_seconds), False)
         if not self.prepared.has(source, batch_key):
-            self._prepare_batch(lines, feed, batch_key, run)
+            seen = self._prepare_batch(lines, feed, batch_key, run)
         unique = self.prepared.read_batch(source, batch_key)
         if self.model_tasks is not None:
             unique = unique.repartition(self.model_tasks)
         after = None if self.vector_lookback is None else utc(now) - self.vector_lookback
         cache = self.vectors.for_hashes(unique, source, without=batch_key, written_after=after)
         enriched = enrich(unique, cache, self.classifier, self.embedder)
-        self.store.append(enriched, source, batch_key, now, run.name)
+        counted = Observation()
+        self.store.append(enriched.observe(counted, *[c.alias(n) for n, c in _stored_counts().items()]), source, batch_key, now, run.name)
+        return seen | counted.get
 
-    def _prepare_batch(self, lines: DataFrame, feed: Feed, batch_key: str, run: Run) -> None:
+    def _prepare_batch(self, lines: DataFrame, feed: Feed, batch_key: str, run: Run) -> dict[str, int | None]:
         source = feed.source
         records, bad = split_bad_lines(parse_lines(lines, feed))
         rows = matching(records, feed, self.keywords if feed.includes_since else None)
@@ -217,14 +257,43 @@ class IngestJob:
         rows, late = since_split(rows, run.bound, feed.includes_since)
         if cap and not feed.caps_before_since:
             rows = newest_per_feed(rows, ["source", "feed"], self.newest)
-        self.late.write(late.withColumn("bound", F.lit(run.bound)), source, batch_key)
+        late_rows, rejected_rows = Observation(), Observation()
+        self.late.write(late.withColumn("bound", F.lit(run.bound)).observe(late_rows, F.count("*").alias("late")), source, batch_key)
         items = clean_items(rows, self.settings.max_text_tokens)
         valid, invalid = split_valid(items, tuple(self.feeds), CHECKED)
         rejected = bad.withColumn("violations", F.array(F.lit("malformed line"))).unionByName(
             invalid.select(F.col("raw").alias("line"), "violations")
         )
-        self.rejects.write(rejected, source, batch_key)
+        self.rejects.write(rejected.observe(rejected_rows, F.count("*").alias("rejected")), source, batch_key)
         self.prepared.write(prepare(valid.drop("feed", "given_lang")), source, batch_key)
+        return late_rows.get | rejected_rows.get
+
+    # ---- failed model calls ----------------------------------------------------
+
+    def ask_again(self, source: str) -> int:
+        """Ask the models again for stored items of a source that have a text but no labels or no vector.
+
+        The answers are a batch and a run of their own; call it between two polls. Returns the number of items.
+        """
+        last = self.run(source)
+        if last is not None and not last.closed:
+            raise ValueError(f"the run of {source} is not finished")
+        items = self.store.current().filter((F.col("source") == source) & (F.length("text") > 0))
+        items = items.filter(F.col("embedding").isNull() | F.col("sentiment").isNull())
+        batch_key = f"again-{utc(self.clock()):%Y%m%dT%H%M%S%f}"
+        # Written first: what is asked does not change while it is read twice.
+        self.prepared.write(mark_hash(items), source, batch_key)
+        rows = self.prepared.read_batch(source, batch_key)
+        cache = self.vectors.for_hashes(rows, source)
+        run = self.open_run(source)
+        counted = Observation()
+        enriched = enrich(rows, cache, self.classifier, self.embedder).observe(counted, F.count("*").alias("n"))
+        self.store.append(enriched, source, batch_key, self.clock(), run.name)
+        stored = self.store.read_batch(source, batch_key)
+        new = stored.filter(F.col("embedding").isNotNull() & ~F.col("embedding_reused"))
+        self.vectors.write(new.withColumn("written_at", F.col("batch_time")), source, batch_key)
+        self.finish_run(source)
+        return counted.get["n"]
 
     def late_counts(self, source: str) -> DataFrame:
         """How many rows of a source were set aside as late, per bound."""
@@ -247,7 +316,9 @@ class IngestJob:
     ) -> StreamingQuery | None:
         """Start the query of one source.
 
-        ``stream_id`` names the checkpoint. Batch numbers restart with a new
+        With ``once`` it works off what has landed and ends; ``finish_run`` closes its run. Without, it polls: each
+        poll takes all that has landed, unless ``files_per_batch`` cuts it, and is a run of its own (with
+        ``files_per_batch`` the run goes on until ``finish_run``). ``stream_id`` names the checkpoint. Batch numbers restart with a new
         checkpoint, so a new one needs a new ``stream_id``; a batch of other lines under an old key is an error.
         """
         if self.resume(source, since) is None:
@@ -255,6 +326,8 @@ class IngestJob:
 
         def store(lines: DataFrame, batch_id: int) -> None:
             self.process(lines, source, f"{stream_id}-{batch_id:012d}")
+            if not once and not files_per_batch:
+                self.finish_run(source)
 
         writer = (
             stream_lines(self.spark, landing, files_per_batch)

@@ -59,6 +59,24 @@ class DownEmbedder:
         raise ConnectionError(f"down after {DownEmbedder.asked}")
 
 
+class TiringEmbedder:
+    """Answers five requests, then none."""
+
+    def __init__(self):
+        self.left = 5
+
+    def embed(self, texts):
+        self.left -= 1
+        if self.left < 0:
+            raise ConnectionError("gone")
+        return [[1.0]] * len(texts)
+
+
+class DownChat:
+    def chat(self, messages, max_tokens):
+        raise ConnectionError("down")
+
+
 class ManyChat:
     """Answers lists of conversations; a list with a text of the word broken fails as a whole."""
 

@@ -68,10 +68,19 @@ def test_requests_are_bounded_and_halved(spark):
     assert {r.embedding[0] for r in embedded(spark, providers.SizedEmbedder, ["t"] * 40, batch_size=40)} == {10.0}
 
 
-def test_a_provider_that_is_down_is_not_asked_for_every_text(spark):
-    got = embedded(spark, providers.DownEmbedder, ["t"] * 3000)
-    assert all(r.embedding is None and r.error.startswith("ConnectionError") for r in got)
-    assert len({r.error for r in got}) <= inference.FAILURES_TO_STOP + 1
+def test_a_provider_that_is_down_fails_the_task(spark):
+    for n in (1, 3000):
+        with pytest.raises(Exception, match="ProviderDown: ConnectionError: down after"):
+            embedded(spark, providers.DownEmbedder, ["t"] * n)
+    df = spark.createDataFrame([(i, "t") for i in range(40)], "i int, text string").coalesce(1)
+    for n in (1, 8):
+        with pytest.raises(Exception, match="ProviderDown: ConnectionError"):
+            inference.classify_two_pass(df, providers.DownChat, pause=providers.no_pause, concurrency=n).collect()
+
+
+def test_a_provider_that_goes_down_fails_the_task(spark):
+    with pytest.raises(Exception, match="ProviderDown"):
+        embedded(spark, providers.TiringEmbedder, ["t"] * 100, batch_size=8)
 
 
 def test_many_bad_texts_take_none_of_the_later_ones(spark):

@@ -13,6 +13,7 @@ import providers
 from feedloom.operators.inference import classify_two_pass
 from feedloom.schemas import JobSettings
 from feedloom.streaming.ingest import IngestJob
+from feedloom.streaming.supervise import Supervisor
 
 T0 = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
 
@@ -158,8 +159,7 @@ POSTS = [
 ]
 
 
-@pytest.mark.parametrize("files_per_batch", [None, 1, 2])
-@pytest.mark.parametrize("order", [(0, 1, 2), (2, 0, 1)])
+@pytest.mark.parametrize("files_per_batch, order", [(None, (0, 1, 2)), (1, (2, 0, 1)), (2, (0, 1, 2))])
 def test_content_does_not_depend_on_batches_or_landing_order(job, tmp_path, files_per_batch, order):
     import os
 
@@ -253,3 +253,144 @@ def test_old_vectors_are_not_looked_up(job, tmp_path):
     job.compact_vectors("reddit")
     assert job.vectors.read("reddit").count() == 1
     assert texts(job) == {"t3_1": "one", "t3_2": "one"}
+
+
+def statuses(*rows):
+    return [{"id": str(i), "content": text, "created_at": f"2024-01-01T12:00:{s:02d}Z"} for i, s, text in rows]
+
+
+def test_a_failing_source_recovers_and_stops_no_other(job, tmp_path):
+    land(tmp_path / "reddit", "1.json", [submission(1, 10, "one")])
+    land(tmp_path / "truth_social", "1.json", statuses((1, 5, "two")))
+    process, calls = job.process, []
+
+    def failing(lines, source, batch_key):
+        calls.append(source)
+        if source == "reddit" and calls.count("reddit") <= 2:
+            raise RuntimeError("feed down")
+        process(lines, source, batch_key)
+
+    job.process = failing
+    landings = {"reddit": str(tmp_path / "reddit"), "truth_social": str(tmp_path / "truth_social"), "unknown": "x", "telegram": str(tmp_path / "nothing")}
+    boss = Supervisor(job, landings, interval=0.2, first_pause=0.05, since=T0)
+    (tmp_path / "nothing").mkdir()
+    health = boss.run(polls=2)
+    assert set(health) == {"reddit", "truth_social", "telegram"}
+    assert (health["reddit"].failures, health["reddit"].failures_in_a_row, health["reddit"].last_error) == (2, 0, None)
+    assert health["truth_social"].failures == 0 and all(h.polls >= 2 for h in health.values())
+    assert calls.count("reddit") == 3 and calls.count("truth_social") == 1
+    assert {(r.source, r.text) for r in job.store.current().collect()} == {("reddit", "one"), ("truth_social", "two")}
+    assert job.run("reddit").closed and job.run("truth_social").closed
+    # The log of a polling source is folded between polls.
+    boss = Supervisor(job, {"reddit": str(tmp_path / "reddit")}, interval=0.05, compact_every=1)
+    land(tmp_path / "reddit", "2.json", [submission(2, 20, "three")])
+    boss.run(polls=1)
+    assert job.store.version() >= 0 and job.store._waiting(job.store.version()) == []
+    assert boss.pause_after(1) == 1.0 and boss.pause_after(3) == 4.0 and boss.pause_after(99) == 900.0
+
+
+def test_a_missing_folder_is_a_failed_poll(job, tmp_path):
+    land(tmp_path / "reddit", "1.json", [submission(1, 10, "one")])
+    boss = Supervisor(job, {"reddit": str(tmp_path / "reddit"), "truth_social": str(tmp_path / "later")}, interval=0.05, first_pause=0.05, since=T0)
+    boss.step()
+    assert boss.health["truth_social"].failures == 1 and "later" in boss.health["truth_social"].last_error
+    land(tmp_path / "later", "1.json", statuses((1, 5, "two")))
+    health = boss.run(polls=1)
+    assert health["truth_social"].polls == 1 and health["truth_social"].failures_in_a_row == 0
+    assert len(texts(job)) == 2
+
+
+@pytest.mark.parametrize("fold", [False, True])
+def test_content_does_not_depend_on_folds_between_polls(job, tmp_path, fold):
+    landing = tmp_path / "reddit"
+    job.settings = JobSettings(fetch_interval_seconds=1)
+    query = job.start("reddit", str(landing_with(landing, "1.json", [submission(11, 10, "equal"), submission(5, 5, "x")])), since=T0)
+    try:
+        query.processAllAvailable()
+        if fold:
+            job.finish_run("reddit")
+            job.compact()
+        land(landing, "2.json", [submission(12, 20, "equal"), submission(5, 15, "y"), submission(6, 9, "late")])
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert texts(job) == {"t3_11": "equal", "t3_12": "equal", "t3_5": "y"}
+    assert job.run("reddit").closed and job.late.read("reddit").count() == 1
+    row = job.store.current().filter("source_id = 't3_5'").first()
+    assert row.updated_at > row.created_at
+    job.compact()
+    assert texts(job) == {"t3_11": "equal", "t3_12": "equal", "t3_5": "y"} and job.store._waiting(job.store.version()) == []
+
+
+def landing_with(folder, name, records):
+    land(folder, name, records)
+    return folder
+
+
+def test_a_batch_never_joins_a_finished_run(spark, job, tmp_path):
+    land(tmp_path / "a", "1.json", [submission(1, 10, "one")])
+    land(tmp_path / "b", "1.json", [submission(2, 20, "one"), submission(3, 8, "late")])
+    job.resume("reddit", T0)
+    job.process(spark.read.text(str(tmp_path / "a")), "reddit", "s0-0")
+    first = job.run("reddit").name
+    job.finish_run("reddit")
+    job.compact()
+    job.process(spark.read.text(str(tmp_path / "b")), "reddit", "s0-1")
+    assert job.run("reddit").name > first and job.run("reddit").bound == T0 + timedelta(seconds=10)
+    assert texts(job) == {"t3_1": "one", "t3_2": "one"}
+
+
+def test_an_outage_stores_nothing_and_the_replay_is_whole(job, tmp_path):
+    landing = landing_with(tmp_path / "reddit", "1.json", [submission(i, i, f"text {i}") for i in range(1, 30)])
+    job.embedder = providers.DownEmbedder
+    job.classifier = partial(classify_two_pass, provider=providers.GoodChat, pause=providers.no_pause)
+    outcome = job.run_once({"reddit": str(landing)}, since=T0)
+    assert "ProviderDown" in str(outcome["reddit"]) and texts(job) == {} and job.mark("reddit") is None
+    job.embedder = providers.TripleEmbedder
+    assert job.run_once({"reddit": str(landing)}) == {"reddit": None}
+    rows = job.store.current().collect()
+    assert len(rows) == 29 and all(r.embedding is not None and r.sentiment == -1 for r in rows)
+
+
+def test_failed_items_are_asked_again(job, tmp_path):
+    landing = landing_with(tmp_path / "reddit", "1.json", [submission(1, 10, "bad one"), submission(2, 20, "good"), submission(3, 30, "never")])
+    job.embedder = providers.PickyEmbedder
+    job.classifier = partial(classify_two_pass, provider=providers.MoodyChat, pause=providers.no_pause)
+    job.run_once({"reddit": str(landing)}, since=T0)
+    before = {r.source_id: r for r in job.store.current().collect()}
+    assert before["t3_1"].embedding is None and before["t3_3"].sentiment is None
+    job.compact()
+    job.embedder = providers.TripleEmbedder
+    job.classifier = partial(classify_two_pass, provider=providers.GoodChat)
+    assert job.ask_again("reddit") == 2
+    after = {r.source_id: r for r in job.store.current().collect()}
+    assert after["t3_1"].embedding == [0.25, -0.5, 7.0] and after["t3_3"].sentiment == -1
+    assert after["t3_2"] == before["t3_2"] and after["t3_3"].embedding == before["t3_3"].embedding
+    assert job.ask_again("reddit") == 0 and job.mark("reddit") == T0 + timedelta(seconds=30)
+    job.compact()
+    assert {r.source_id: r.text for r in job.store.current().collect()} == {"t3_1": "bad one", "t3_2": "good", "t3_3": "never"}
+
+
+def test_observed_counts_equal_the_tables(spark, job, tmp_path):
+    job.embedder = providers.PickyEmbedder
+    job.classifier = partial(classify_two_pass, provider=providers.MoodyChat, pause=providers.no_pause)
+    landing = landing_with(tmp_path / "reddit", "1.json", [submission(1, 10, "bad one"), submission(2, 20, "good"), submission(3, 21, "good"), submission(4, -1, "old"), "{broken"])
+    job.run_once({"reddit": str(landing)}, since=T0)
+    land(landing, "2.json", [submission(5, 30, "good"), submission(6, 31, "never"), submission(7, 5, "late"), submission(8, 6, "late too")])
+    job.run_once({"reddit": str(landing)})
+    got = {r.batch: r for r in job.batch_metrics("reddit").collect()}
+    for batch, row in got.items():
+        stored = job.store.read_batch("reddit", batch).collect()
+        assert row.stored == len(stored) and row.reused == sum(r.embedding_reused for r in stored)
+        assert row.failed == sum(r.classification_error is not None or r.embedding_error is not None for r in stored)
+        assert row.late == job.late.read_batch("reddit", batch).count() and row.rejected == job.rejects.read_batch("reddit", batch).count()
+        assert row.latest == max(int(r.published_at.timestamp() * 1e6) for r in stored)
+    assert [(r.stored, r.reused, r.failed, r.late, r.rejected) for _, r in sorted(got.items())] == [(2, 0, 1, 1, 1), (2, 1, 1, 2, 0)]
+    # A replay whose prepared rows were there already counts the same, from the tables.
+    batch = sorted(got)[1]
+    job.prepared.clear("none")
+    from feedloom.sources.files import remove
+
+    remove(spark, [job.counts.path("reddit", batch), *job.store._stored("reddit", batch)])
+    job.process(spark.read.text(str(landing / "2.json")), "reddit", batch)
+    assert job.counts.read_batch("reddit", batch).first().asDict() == {k: v for k, v in got[batch].asDict().items() if k != "batch"}
