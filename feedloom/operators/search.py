@@ -27,6 +27,8 @@ from feedloom.session import shared_dir
 # Items and queries that a task multiplies at once; both only bound its memory.
 ITEMS_AT_ONCE = 16_384
 QUERIES_AT_ONCE = 256
+# Hits that a task holds at once.
+BEST_ROWS = 4_000_000
 
 
 # The names of the four filters.
@@ -149,6 +151,39 @@ def _best_of(items: pa.Table, block: pa.Table, keys: list[str], k: int) -> pa.Ta
     return found.append_column("query_id", block["query_id"].take(pa.array(cols))).append_column("score", pa.array(scores[rows, cols]))
 
 
+class BestPerQuery:
+    """The ``k`` best items of each query over all that a task has seen.
+
+    Handed out once, at the end: at most queries x k rows. A task with more of them than ``most_rows`` hands out what it
+    holds and starts anew, which bounds its memory and changes no result.
+    """
+
+    def __init__(self, keys: Sequence[str], k: int, most_rows: int | None = None) -> None:
+        self.keys, self.k, self.most_rows = list(keys), k, most_rows or BEST_ROWS
+        self.held: dict[int, pa.Table] = {}
+
+    def add(self, number: int, items: pa.Table, block: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Score items (in the order of their keys) against the queries of block ``number``."""
+        if not items.num_rows or not block.num_rows:
+            return
+        new = _best_of(items, block, self.keys, self.k)
+        self.held[number] = self._cut(pa.concat_tables([self.held[number], new])) if number in self.held else new
+        if sum(t.num_rows for t in self.held.values()) > self.most_rows:
+            yield from self.flush()
+
+    def _cut(self, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("query_id", "ascending"), ("score", "descending"), *((c, "ascending") for c in self.keys)])
+        codes = rows["query_id"].combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        place = np.arange(len(codes)) - np.repeat(starts, np.diff(np.r_[starts, len(codes)]))
+        return rows.filter(pa.array(place < self.k))
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        for table in self.held.values():
+            yield from table.select([*self.keys, "query_id", "score"]).to_batches()
+        self.held = {}
+
+
 def semantic_search_multi(
     items: DataFrame,
     queries: DataFrame,
@@ -161,8 +196,8 @@ def semantic_search_multi(
 
     The queries are written to the shared folder, from which each task reads them block by block, so no query
     passes the driver and the plan is the same for any number of them. One pass over the items:
-    a task scores some of its items against a block as a matrix product and keeps ``k`` per query;
-    no pair of item and query leaves it otherwise. Queries without a vector have no hits.
+    a task scores its items against a block as a matrix product and keeps the ``k`` best per query,
+    so it hands out queries x k rows at most. Queries without a vector have no hits; ``query_id`` is unique.
     """
     spark, keys = items.sparkSession, list(key)
     candidates = searchable(items, filters, as_of).select(*keys, "embedding")
@@ -171,20 +206,22 @@ def semantic_search_multi(
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        kept = BestPerQuery(keys, k)
 
-        def ranked() -> Iterator[pa.RecordBatch]:
+        def scored() -> Iterator[pa.RecordBatch]:
             # In the order of the keys, which settles ties.
             table = pa.Table.from_batches(held).sort_by([(c, "ascending") for c in keys])
-            for block in _query_blocks(folder):
-                yield from _best_of(table, block, keys, k).select([*keys, "query_id", "score"]).to_batches()
+            for number, block in enumerate(_query_blocks(folder)):
+                yield from kept.add(number, table, block)
 
         for batch in batches:
             held.append(batch)
             if sum(b.num_rows for b in held) >= ITEMS_AT_ONCE:
-                yield from ranked()
+                yield from scored()
                 held = []
         if held:
-            yield from ranked()
+            yield from scored()
+        yield from kept.flush()
 
     schema = T.StructType(
         [items.schema[c] for c in keys] + [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("score", T.DoubleType())]

@@ -72,8 +72,16 @@ def source_of_lang() -> Column:
     return F.create_map(*[F.lit(x) for pair in SOURCE_OF_LANG.items() for x in pair])[F.col("lang")]
 
 
+def hashed(number: Column | str, n: int) -> Column:
+    """A number below n that does not depend on the order of the ids."""
+    text = (F.col(number) if isinstance(number, str) else number).cast("string")
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n
+
+
 def posted_at(number: str) -> Column:
-    return F.lit(AS_OF) - F.make_dt_interval(mins=F.col(number).cast("int"))
+    """A time of the last 30 days by a hash of the id, so any time filter keeps its share at every scale; no two are equal."""
+    micros = F.col(number).cast("decimal(18,6)") / 1_000_000
+    return F.lit(AS_OF) - F.make_dt_interval(mins=hashed(number, 43_200).cast("int")) - F.make_dt_interval(secs=micros)
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +124,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.element_at(F.array(*map(F.lit, SOURCE_OF_LANG.values())), F.col("label") % 4 + 1).alias("source"),
         F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("source_id"),
-        (F.lit(AS_OF) - F.make_dt_interval(hours=F.col("vec_id").cast("int"))).alias("published_at"),
+        (F.lit(AS_OF) - F.make_dt_interval(hours=hashed("vec_id", 720).cast("int"))).alias("published_at"),
         F.when(F.col("label") != 9, topics).alias("topics"),
         sentiment.alias("sentiment"),
         F.element_at(F.array(*map(F.lit, ("bearish", "neutral", "bullish"))), sentiment + 2).alias("stance"),
@@ -141,6 +149,12 @@ def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return table(spark, sf_dir, "embeddings").select(F.min_by("embedding", "vec_id")).first()[0]
 
 
+def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries of a search: every vector whose id is divisible by 100."""
+    rows = table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0")
+    return rows.select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 def label_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One query vector per label: its embedding with the lowest id."""
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))

@@ -10,6 +10,16 @@ from feedloom.functions import answers, language, lexicon
 from feedloom.plans.inputs import PHRASES, SINCE, SOURCE_OF_LANG
 
 AS_OF = "TIMESTAMP '2024-02-01 00:00:00'"
+
+
+def hashed(number: str, n: int) -> str:
+    return f"(('0x' || substr(md5({number}::VARCHAR), 1, 8))::BIGINT % {n})"
+
+
+def posted_at(number: str) -> str:
+    return f"{AS_OF} - to_minutes({hashed(number, 43200)}) - to_microseconds({number})"
+
+
 SINCE_SQL = f"TIMESTAMP '{SINCE}'"
 SPACE = (
     r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -153,9 +163,9 @@ SELECT 'truth_social' AS source, event_id::VARCHAR AS source_id,
 FROM events""")
 
 KEYWORDS = f"""
-WITH r AS (SELECT doc_id::VARCHAR AS source_id, {AS_OF} - to_minutes(doc_id) AS posted, lang, text FROM documents
+WITH r AS (SELECT doc_id::VARCHAR AS source_id, {posted_at('doc_id')} AS posted, lang, text FROM documents
            WHERE regexp_matches(lower(text), 'nicht|avec|which| ist | les ')),
-n AS (SELECT *, row_number() OVER (ORDER BY posted DESC, source_id) AS rn FROM r WHERE posted >= TIMESTAMP '2024-01-31 18:00:00')
+n AS (SELECT *, row_number() OVER (ORDER BY posted DESC, source_id) AS rn FROM r WHERE posted >= TIMESTAMP '2024-01-20 00:00:00')
 SELECT source_id, {stamp('posted')} AS published_at, lang, {cleaned('text')} AS text FROM n WHERE rn <= 100
 """
 
@@ -405,7 +415,7 @@ SOURCE_LIST = list_of(SOURCE_OF_LANG.values())
 SOURCE_CASE = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SOURCE_OF_LANG.items()) + " END"
 ITEMS = f"""
 v AS (
-  SELECT {SOURCE_LIST}[label % 4 + 1] AS source, 'v' || vec_id AS source_id, {AS_OF} - to_hours(vec_id) AS published_at,
+  SELECT {SOURCE_LIST}[label % 4 + 1] AS source, 'v' || vec_id AS source_id, {AS_OF} - to_hours({hashed('vec_id', 720)}) AS published_at,
     CASE WHEN label = 9 THEN NULL
          WHEN label % 3 = 0 AND label % 4 <> 3 THEN [['crypto', 'macro', 'regulation', 'markets'][label % 4 + 1], 'markets']
          ELSE [['crypto', 'macro', 'regulation', 'markets'][label % 4 + 1]] END AS topics,
@@ -413,7 +423,7 @@ v AS (
     'vector ' || vec_id AS text, embedding FROM embeddings),
 i AS (
   SELECT * FROM v UNION ALL
-  SELECT {SOURCE_CASE}, 'd' || doc_id, {AS_OF} - to_minutes(doc_id), NULL, NULL, NULL,
+  SELECT {SOURCE_CASE}, 'd' || doc_id, {posted_at('doc_id')}, NULL, NULL, NULL,
          '{{"doc_id":' || doc_id || ',"n_chars":' || n_chars || '}}', NULL FROM documents),
 q AS (SELECT arg_min(embedding, vec_id) AS q FROM embeddings)"""
 
@@ -433,8 +443,8 @@ SELECT vec_id, label, round({cosine('embedding', 'first')}, 6) AS score FROM emb
 """
 
 MULTI = f"""
-WITH {ITEMS}, f AS (SELECT label, arg_min(embedding, vec_id) AS first FROM embeddings GROUP BY 1),
-s AS (SELECT label AS query_id, source_id, round({cosine('embedding', 'first')}, 12) AS score FROM i, f WHERE len(embedding) > 0),
+WITH {ITEMS}, f AS (SELECT vec_id AS query_id, embedding AS first FROM embeddings WHERE vec_id % 100 = 0 AND len(embedding) > 0),
+s AS (SELECT query_id, source_id, round({cosine('embedding', 'first')}, 12) AS score FROM i, f WHERE len(embedding) > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_id) AS rank FROM s)
 SELECT query_id, source_id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10
 """
@@ -443,7 +453,7 @@ SELECT query_id, source_id, round(score, 6) AS score, rank::INTEGER AS rank FROM
 
 SEARCH_TEXT = f"""
 WITH p AS (
-  SELECT {SOURCE_CASE} AS source, doc_id::VARCHAR AS source_id, {AS_OF} - to_minutes(doc_id) AS published_at,
+  SELECT {SOURCE_CASE} AS source, doc_id::VARCHAR AS source_id, {posted_at('doc_id')} AS published_at,
     text || ' ' || {phrase('doc_id')} AS t FROM documents),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, t ORDER BY published_at DESC, source_id) AS rn FROM p) WHERE rn = 1),
 l AS ({lexicon_labels('k', 'source, source_id, published_at, t')}),
@@ -461,7 +471,7 @@ def enriched(earlier: str) -> str:
     return f"""
 WITH p AS (
   SELECT doc_id, {SOURCE_CASE} AS source, doc_id::VARCHAR AS source_id, d.source AS author,
-    {AS_OF} - to_minutes(doc_id) AS published_at, {cleaned(DECORATED.replace('source', 'd.source') + " || ' ' || " + phrase('doc_id'))} AS t,
+    {posted_at('doc_id')} AS published_at, {cleaned(DECORATED.replace('source', 'd.source') + " || ' ' || " + phrase('doc_id'))} AS t,
     '{{"doc_id":' || doc_id || ',"n_chars":' || n_chars || '}}' AS raw FROM documents d),
 h AS (SELECT *, sha256(source || '::' || t) AS content_hash FROM p),
 e AS (SELECT source_id FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY published_at DESC, source_id) AS rn FROM h WHERE {earlier}) WHERE rn = 1),
@@ -537,6 +547,7 @@ SQL: dict[str, str] = {
     ),
     "topic_overlap": f"WITH {ITEMS} SELECT source_id, coalesce(list_has_any(topics, ['crypto', 'macro']), false) AS overlaps FROM i",
     "semantic_search_multi": MULTI,
+    "search_indexed": MULTI,
     "search_text": SEARCH_TEXT,
     "enrich_items": enriched("false"),
     "enrich_into_store": enriched("doc_id % 5 = 0"),

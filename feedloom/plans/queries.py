@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import answers, language, lexicon, text, times
 from feedloom.functions import vectors as vec
-from feedloom.operators import constraints, dedup, inference, marks, merge, ranking, search
+from feedloom.operators import constraints, dedup, inference, marks, merge, ranking, search, vector_index
 from feedloom.plans import enrich as enrichment
 from feedloom.plans import inputs
 from feedloom.plans.inputs import AS_OF, SINCE, stamp, table, work_table
@@ -206,7 +206,7 @@ def ingest_keyword_or(spark, sf_dir):
         F.col("n_chars").alias("author_id"),
     )
     items = feeds.fetch_since(
-        records, feeds.FEEDS["twitter"], datetime(2024, 1, 31, 18, tzinfo=timezone.utc),
+        records, feeds.FEEDS["twitter"], datetime(2024, 1, 20, tzinfo=timezone.utc),
         keywords=["NICHT", "avec", "which", " ist ", " les "], newest=100,
     )
     return items.select("source_id", stamp("published_at").alias("published_at"), "lang", "text")
@@ -577,8 +577,15 @@ def topic_overlap(spark, sf_dir):
 
 @query
 def semantic_search_multi(spark, sf_dir):
-    queries = inputs.label_vectors(spark, sf_dir).select(F.col("label").alias("query_id"), "embedding")
-    hits = search.semantic_search_multi(inputs.stored_items(spark, sf_dir), queries, k=10)
+    hits = search.semantic_search_multi(inputs.stored_items(spark, sf_dir), inputs.asked_vectors(spark, sf_dir), k=10)
+    return hits.select("query_id", "source_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def search_indexed(spark, sf_dir):
+    """The same searches through the index of cells, in its exact mode."""
+    index = vector_index.build_index(inputs.stored_items(spark, sf_dir))
+    hits = vector_index.search_indexed(index, inputs.asked_vectors(spark, sf_dir), k=10)
     return hits.select("query_id", "source_id", F.round("score", 6).alias("score"), "rank")
 
 

@@ -4,10 +4,11 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from feedloom.functions import vectors
-from feedloom.operators import search
+from feedloom.operators import search, vector_index
 from feedloom.operators.search import SearchFilters
 
 AS_OF = datetime(2024, 2, 1, tzinfo=timezone.utc)
@@ -17,14 +18,18 @@ SCHEMA = (
 )
 
 
+WEST, EAST = [3.0, 0.0, 4.0, 0.0], [0.0, 5.0, 0.0, 12.0]
+
+
 @pytest.fixture(scope="module")
 def items(spark):
+    """Five posts of three feeds; two of them have no usable vector."""
     rows = [
-        ("reddit", "1", "mia", AS_OF - timedelta(hours=7), ["crypto"], 1, "bullish", 1, "Miners add capacity", [1.0, 0.0]),
-        ("reddit", "2", "omar", AS_OF - timedelta(days=9), ["macro"], -1, "bearish", 0, "Exports shrink", [0.0, 1.0]),
-        ("reddit", "3", None, AS_OF - timedelta(days=2), None, 0, "neutral", 0, "no topics", [1.0, 1.0]),
-        ("reddit", "4", None, AS_OF, ["crypto"], 1, "bullish", 0, "no vector", None),
-        ("reddit", "5", None, AS_OF, ["crypto", None], None, None, None, "empty vector", []),
+        ("telegram", "tg:70", "ilse", AS_OF - timedelta(hours=30), ["regulation", "markets"], 1, "bullish", 2, "Custody rules eased", WEST),
+        ("truth_social", "ts-8", None, AS_OF - timedelta(days=12), ["macro"], -1, "bearish", 1, "Freight rates slide", EAST),
+        ("reddit", "t3_z", "bo", AS_OF - timedelta(days=2), None, 0, "neutral", 0, "Weekly thread", [3.0, 5.0, 4.0, 12.0]),
+        ("telegram", "tg:71", "ilse", AS_OF, ["regulation"], 1, "bullish", 0, "Not embedded yet", None),
+        ("reddit", "t3_y", None, AS_OF, ["regulation", None], None, None, None, "Embedding came back empty", []),
     ]
     return spark.createDataFrame(rows, SCHEMA)
 
@@ -33,49 +38,51 @@ def ids(df):
     return [r.source_id for r in df.collect()]
 
 
-def test_filters_keep_one(items):
-    hits = search.semantic_search(
-        items, [1.0, 0.0], SearchFilters(topics=["crypto"], stance="bullish", since_days=2), as_of=AS_OF
-    ).collect()
-    assert [h.source_id for h in hits] == ["1"] and hits[0].score == pytest.approx(1.0)
+def test_three_filters_together(items):
+    filters = SearchFilters(topics=["markets", "macro"], stance="bullish", since_days=3)
+    hits = search.semantic_search(items, [6.0, 0.0, 8.0, 0.0], filters, as_of=AS_OF).collect()
+    assert [(h.source_id, round(h.score, 9)) for h in hits] == [("tg:70", 1.0)]
 
 
-class Fixed:
+class Compass:
+    """Points east or west, as the text says."""
+
     def embed(self, texts):
-        return [np.array([1.0, 0.0], dtype=np.float32) for _ in texts]
+        return [np.array(EAST if "east" in t else WEST, dtype=np.float32) for t in texts]
 
 
 def test_search_by_text(items):
-    assert ids(search.search_by_text(items, "bitcoin", Fixed, limit=2)) == ["1", "3"]
+    assert ids(search.search_by_text(items, "go west", Compass, limit=2)) == ["tg:70", "t3_z"]
+    assert ids(search.search_by_text(items, "back east", Compass, limit=2)) == ["ts-8", "t3_z"]
 
 
 def test_no_filter_skips_missing_vectors(items):
-    assert ids(search.semantic_search(items, [1.0, 0.0])) == ["1", "3", "2"]
-    assert ids(search.semantic_search(items, [1.0, 0.0], limit=1)) == ["1"]
+    assert ids(search.semantic_search(items, WEST)) == ["tg:70", "t3_z", "ts-8"]
+    assert ids(search.semantic_search(items, WEST, limit=1)) == ["tg:70"]
 
 
 @pytest.mark.parametrize(
     "filters, expected",
     [
-        (SearchFilters(sentiment=0), ["3"]),
-        (SearchFilters(stance="", since_days=0, topics=[]), ["1", "3", "2"]),
-        (SearchFilters(since_days=2), ["1", "3"]),
-        (SearchFilters(topics=["macro", "crypto"]), ["1", "2"]),
-        (SearchFilters(topics=["regulation"]), []),
+        (SearchFilters(sentiment=0), ["t3_z"]),
+        (SearchFilters(stance="", since_days=0, topics=[]), ["tg:70", "t3_z", "ts-8"]),
+        (SearchFilters(since_days=2), ["tg:70", "t3_z"]),
+        (SearchFilters(topics=["macro", "markets"]), ["tg:70", "ts-8"]),
+        (SearchFilters(topics=["crypto"]), []),
     ],
 )
 def test_single_filters(items, filters, expected):
-    assert ids(search.semantic_search(items, [1.0, 0.0], filters, as_of=AS_OF)) == expected
+    assert ids(search.semantic_search(items, WEST, filters, as_of=AS_OF)) == expected
 
 
 def test_recency_needs_as_of(items):
     with pytest.raises(ValueError):
-        search.semantic_search(items, [1.0, 0.0], SearchFilters(since_days=1))
+        search.semantic_search(items, WEST, SearchFilters(since_days=1))
 
 
 def test_result_view(items):
-    row = search.search_result_view(search.semantic_search(items, [2.0, 1.0])).first()
-    assert (row.item, row.score, row.topics, row.stance) == ("reddit:3", 0.949, [], "neutral")
+    row = search.search_result_view(search.semantic_search(items, [3.0, 5.0, 4.0, 12.5])).first()
+    assert (row.item, row.score, row.topics, row.stance) == ("reddit:t3_z", 1.0, [], "neutral")
 
 
 CASES = [
@@ -124,6 +131,82 @@ def test_many_queries_equal_brute_force(spark, monkeypatch, at_once):
     assert len(hits) == 6 * len(queries)
 
 
+def test_a_task_hands_out_queries_times_k_rows_at_most():
+    rng = np.random.default_rng(1)
+    kept, out, chunks = search.BestPerQuery(["source_id"], 5), [], 40
+    block = pa.table({"query_id": np.arange(30), "embedding": rng.normal(size=(30, 4)).tolist()})
+    rows = rng.normal(size=(chunks * 50, 4)).round(1)
+    for i in range(chunks):
+        names = [f"{j:05d}" for j in range(50 * i, 50 * i + 50)]
+        out += kept.add(0, pa.table({"source_id": names, "embedding": rows[50 * i : 50 * i + 50].tolist()}), block)
+        assert sum(t.num_rows for t in kept.held.values()) <= 150
+    assert out == []
+    out = pa.Table.from_batches(list(kept.flush()))
+    assert out.num_rows == 150 and not kept.held
+    queries = [(r["query_id"], r["embedding"]) for r in block.to_pylist()]
+    score = vectors.cosine_matrix(rows, np.array([v for _, v in queries])).round(12)
+    want = {(q, f"{j:05d}") for q in range(30) for j in sorted(range(len(rows)), key=lambda j: (-score[j, q], j))[:5]}
+    assert set(zip(out["query_id"].to_pylist(), out["source_id"].to_pylist())) == want
+    # Beyond its bound a task hands out early; nothing is lost.
+    small, early = search.BestPerQuery(["source_id"], 5, most_rows=200), []
+    for i in range(chunks):
+        names = [f"{j:05d}" for j in range(50 * i, 50 * i + 50)]
+        for number in (0, 1):
+            early += small.add(number, pa.table({"source_id": names, "embedding": rows[50 * i : 50 * i + 50].tolist()}), block.slice(15 * number, 15))
+    early += small.flush()
+    assert want <= {p for b in early for p in zip(b["query_id"].to_pylist(), b["source_id"].to_pylist())}
+
+
+# ---- index --------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("cells", [None, 1, 300])
+def test_the_index_is_exact(spark, cells):
+    """Copies of one vector in a third of the rows, zero vectors, vectors and queries of other lengths."""
+    rng = random.Random(3)
+    grid = [-1.0, 0.0, 0.5, 2.0]
+    rows = [(f"{i:04d}", [rng.choice(grid) for _ in range(rng.choice([2, 3, 3, 3]))]) for i in range(200)]
+    rows += [(f"{i:04d}", [1.0, 0.5, 0.0]) for i in range(200, 300)] + [("0300", [0.0, 0.0, 0.0]), ("0301", [0.0, 0.0])]
+    queries = [(i, [rng.choice(grid) for _ in range(rng.choice([2, 3]))]) for i in range(20)] + [(98, [0.0] * 3), (99, [1.0, 0.5, 0.0])]
+    items = spark.createDataFrame([*rows, ("0302", None), ("0303", [])], "source_id string, embedding array<float>").repartition(5)
+    asked = spark.createDataFrame([*queries, (100, None), (101, [])], "query_id long, embedding array<float>").repartition(3)
+    index = vector_index.build_index(items, cells=cells)
+    assert index.rows(spark).count() == len(rows)
+    for probes in (1, 3):
+        hits = vector_index.search_indexed(index, asked, k=6, probes=probes).collect()
+        assert {(h.query_id, h.rank, h.source_id, round(h.score, 6) + 0.0) for h in hits} == brute(rows, queries, 6)
+
+
+def test_the_index_prunes_and_its_recall_is_measured(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    points = centres.repeat(50, axis=0) + rng.normal(size=(2000, 16)) * 0.15
+    rows = [(f"{i:05d}", v.tolist()) for i, v in enumerate(points)]
+    items = spark.createDataFrame(rows, "source_id string, embedding array<float>").repartition(4)
+    asked = spark.createDataFrame([(i, points[i].tolist()) for i in range(0, 2000, 100)], "query_id long, embedding array<float>")
+    index = vector_index.build_index(items, sample_rows=500)
+    probes, reached = vector_index.probes_for(index, asked, 10)
+    assert reached >= 0.9 and probes < len(index.centroids) / 2
+    queries = [(i, points[i].tolist()) for i in range(0, 2000, 100)]
+    hits = vector_index.search_indexed(index, asked, k=10, probes=2).collect()
+    assert {(h.query_id, h.rank, h.source_id, round(h.score, 6)) for h in hits} == brute(rows, queries, 10)
+    # The second pass of a query reads few of the other cells.
+    block = pa.table({"query_id": [0], "embedding": [points[0].tolist()]})
+    first = vector_index._planned(index, block, 2, None)
+    second = vector_index._planned(index, block, 2, np.array([0.9]))
+    assert len(first) == 3 and len(second) < len(index.centroids) / 4
+    plan = index.rows(spark).filter("cell IN (1, 2)")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan
+
+
+def test_an_index_of_nothing(spark):
+    none = spark.createDataFrame([], "source_id string, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
+    assert vector_index.search_indexed(vector_index.build_index(none), asked).count() == 0
+    some = spark.createDataFrame([("a", [1.0, 0.0])], "source_id string, embedding array<float>")
+    assert vector_index.search_indexed(vector_index.build_index(some), asked.limit(0)).count() == 0
+
+
 def test_no_queries_no_hits(items, spark):
     none = spark.createDataFrame([], "query_id int, embedding array<float>")
     hits = search.semantic_search_multi(items, none)
@@ -137,9 +220,9 @@ def test_many_queries_are_one_pass(items, spark):
 
 
 def test_winners_are_joined_back(items):
-    hits = search.semantic_search(items.select("source", "source_id", "embedding"), [1.0, 0.0], limit=2)
+    hits = search.semantic_search(items.select("source", "source_id", "embedding"), WEST, limit=2)
     rows = search.join_winners(items, hits).collect()
-    assert [(r.source_id, r.author, round(r.score, 3)) for r in rows] == [("1", "mia", 1.0), ("3", None, 0.707)]
+    assert [(r.source_id, r.author, round(r.score, 3)) for r in rows] == [("tg:70", "ilse", 1.0), ("t3_z", "bo", 0.359)]
 
 
 def test_topic_condition_is_never_null(spark):
@@ -148,5 +231,5 @@ def test_topic_condition_is_never_null(spark):
 
 
 def test_plan_is_a_top_k(items):
-    plan = search.semantic_search(items, [1.0, 0.0], SearchFilters(sentiment=1))._jdf.queryExecution().toString()
+    plan = search.semantic_search(items, WEST, SearchFilters(sentiment=1))._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan.split("Physical Plan")[1]
