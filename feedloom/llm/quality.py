@@ -5,11 +5,13 @@ and digits shortened to one sign, other signs kept). Each is scaled by its log-c
 classes, and a support vector machine is fitted on these: the method of naive Bayes support vectors. The margin becomes a score by a
 logistic fit on labelled rows that the machine has not seen.
 
-The machine is fitted on about ``sample_rows`` labelled documents at most, drawn by a hash of the id; counts for the ratios
+The machine is fitted on about ``sample_rows`` labelled documents at most, drawn by a hash of the id, one text of each,
+and on ``sample_indicators`` indicators of theirs at most; both bound what reaches the driver. Counts for the ratios
 come from the same rows. Every document is scored whole.
 
 Defined results: null, empty and blank texts have no indicator and get the score of the intercept; rows of a null or
-other label than 0 and 1 teach nothing; repeated rows are scored alike; other columns are ignored; without labelled
+other label than 0 and 1 teach nothing; of conflicting labels of an id the larger counts, of several texts of an id the one of the least
+hash; repeated rows are scored alike; ids may be of any type; other columns are ignored; without labelled
 rows of both classes every score is 0.5.
 """
 
@@ -23,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import held_out, small_batches
+from feedloom.llm.common import held_out, small_batches, written
 from feedloom.llm.words import lower, mix, slices, span_hashes, spans
 
 BUCKETS = 1 << 18
 SAMPLE_ROWS = 20_000
+SAMPLE_INDICATORS = 20_000_000
 _SALTS = [np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F, 0x510E527FADE682D1, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0xBB67AE8584CAA73B)]
 
 
@@ -190,38 +193,57 @@ def training_labels(labels: DataFrame, label: str, sample_rows: int) -> DataFram
     return known.where(dice < share * 1_000_000)
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, label: str, sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS, cost: float = 1.0, passes: int = 20, smoothing: float = 1.0
-) -> Model:
-    """A model of docs (doc_id, text) from labels (doc_id, label).
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int) -> DataFrame | None:
+    """(doc_id, text, label, dice): the sampled ids, each with one text, in the shared folder; None without both classes.
 
-    The sampled labels are bounded, so they are broadcast to the documents, and their indicators reach the driver.
+    An id that fills a third of the table is one row of each task before it is shuffled, and one row here.
     """
     chosen = training_labels(labels, label, sample_rows)
     if chosen is None:
-        return Model(np.zeros(buckets), 0.0, 0.0, 0.0)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+        return None
+    # The sampled labels are bounded, so they may be broadcast.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"), F.first("label").alias("label"))
+    return written(one.select("doc_id", "t.text", "label", F.xxhash64("doc_id", F.lit("order")).alias("dice")), f"{label}-sample")
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, label: str, sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS, cost: float = 1.0, passes: int = 20, smoothing: float = 1.0,
+    sample_indicators: int = SAMPLE_INDICATORS,
+) -> Model:
+    """A model of docs (doc_id, text) from labels (doc_id, label). The indicators of the sampled rows reach the driver."""
+    nothing = Model(np.zeros(buckets), 0.0, 0.0, 0.0)
+    small_batches(docs.sparkSession)
+    sample = training_rows(docs, labels, label, sample_rows)
+    if sample is None:
+        return nothing
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, rows, bucket, owner in indicators(batch.column(1), buckets):
+            for first, rows, bucket, owner in indicators(batch.column(0), buckets):
                 edges = np.searchsorted(owner, np.arange(rows + 1))
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": batch.column(0).slice(first, rows),
-                        "label": batch.column(2).slice(first, rows),
+                        "label": batch.column(1).slice(first, rows),
+                        "dice": batch.column(2).slice(first, rows),
+                        "n": np.diff(edges),
                         "found": pa.array([bucket[a:b].astype("<i4").tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
                     }
                 )
 
-    small_batches(docs.sparkSession)
-    got = sample.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(gather, "doc_id long, label int, found binary").toArrow()
-    order = np.argsort(got["doc_id"].to_numpy(zero_copy_only=False), kind="stable")
+    gathered = written(sample.select("text", "label", "dice").mapInArrow(gather, "label int, dice long, n long, found binary"), "indicators")
+    sizes = gathered.select("dice", "n").orderBy("dice").toArrow()  # one row for each sampled id
+    inside = np.cumsum(sizes["n"].to_numpy()) <= sample_indicators
+    if not inside.any():
+        return nothing
+    last = int(sizes["dice"].to_numpy()[np.flatnonzero(inside)[-1]])
+    got = gathered.where(F.col("dice") <= last).select("label", "dice", "found").toArrow()
+    order = np.argsort(got["dice"].to_numpy(), kind="stable")
     classes = got["label"].to_numpy()[order]
     found = got["found"].combine_chunks()
     rows = [np.frombuffer(found[i].as_buffer(), "<i4") for i in order.tolist()]  # views of what was gathered
     if len(set(classes)) < 2:
-        return Model(np.zeros(buckets), 0.0, 0.0, 0.0)
+        return nothing
     return fit_rows(rows, classes, buckets, cost, passes, smoothing)
 
 

@@ -38,8 +38,8 @@ GRAM = 16
 # Text per bucket of suffixes, and suffixes that a scan holds before it sends them.
 BUCKET_BYTES = 8_000_000
 BUFFER_RUNS = 400_000
-# Documents whose suffixes are sampled for the splitters, and one in so many of their suffixes.
-SAMPLE_DOCS, SAMPLE_STEP = 2_000, 16
+# About so many rows are sampled for the splitters, and of each one in so many suffixes, or as many as bound it.
+SAMPLE_DOCS, SAMPLE_STEP, SAMPLE_MOST = 2_000, 16, 1_000
 SETTLED, PENDING, SOURCE = 1, 2, 4
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -221,18 +221,22 @@ def _bucket(lead: np.ndarray, after: np.ndarray, splitters: np.ndarray) -> np.nd
 
 
 def _splitters(docs: DataFrame, length: int, buckets: int, rows: int) -> np.ndarray:
-    """Quantiles of the leading bytes of sampled suffixes. They decide where work goes and not what is found."""
+    """Quantiles of the leading bytes of sampled suffixes. They decide where work goes and not what is found.
+
+    Rows are drawn one by one, so copies and rows of one id that fill a third of the table have their share only.
+    """
     share = max(1, rows // SAMPLE_DOCS)
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
-                place = runs(data, offsets, length)[1][::SAMPLE_STEP]
+                place = runs(data, offsets, length)[1]
+                place = place[:: max(SAMPLE_STEP, -(-len(place) // (SAMPLE_MOST * (len(offsets) - 1))))]
                 yield pa.RecordBatch.from_pydict({"lead": _leading(data, place)[0].view(np.int64)} if len(place) else {"lead": pa.array([], pa.int64())})
 
     if buckets < 2:
         return np.zeros(0, np.uint64)
-    picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(share)) == 0).select("text")
+    picked = docs.where(F.rand(7) * share < 1).select("text")
     lead = np.sort(picked.mapInArrow(leads, "lead long").toArrow()["lead"].to_numpy().view(np.uint64))
     return lead[np.linspace(0, len(lead), buckets + 1).astype(int)[1:-1]] if len(lead) >= buckets else lead
 

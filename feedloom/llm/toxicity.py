@@ -7,11 +7,12 @@ entries at one word the heaviest counts. A hit inside an exception phrase does n
 pairs of words around hits that clean documents use are learned. The weights of a document's hits are summed, as they are and per
 word, and a logistic fit of both on the labelled rows gives the score.
 
-Labels are learned from about ``sample_rows`` documents at most, drawn by a hash of the id; the lexicon has at most
-``MAX_ENTRIES`` entries. Every document is scored whole.
+Labels are learned from about ``sample_rows`` documents at most, drawn by a hash of the id, one text of each, which bounds
+the lexicon as well. Every document is scored whole, in time of its length and its hits.
 
 Defined results: null, empty and blank texts have no hit and the score of a text without hits; without labels of both classes,
-every score is 0.5 and predicted 1; rows of one id are scored one by one; other columns are ignored.
+every score is 0.5 and predicted 1; of conflicting labels of an id the larger counts, of several texts of an id the one of the least
+hash; rows of one id, repeated or not, are scored one by one; ids may be of any type; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import held_out, small_batches
-from feedloom.llm.quality import training_labels
+from feedloom.llm.quality import training_rows
 
 SAMPLE_ROWS = 20_000
-MAX_ENTRIES = 2_000
 STEMS = (4, 5, 6, 7, 8)
 
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
@@ -91,9 +91,17 @@ def hits(machine: ahocorasick.Automaton, text: str) -> dict[int, float]:
             excused.append((start, last))
         elif weight > found.get(start, 0.0):
             found[start] = weight
-    for a, b in excused:
-        found = {s: w for s, w in found.items() if not a <= s < b}
-    return found
+    if not excused or not found:
+        return found
+    # One sweep over the phrases and the hits in the order of their starts.
+    kept, reach, phrases = {}, -1, iter(sorted(excused))
+    phrase = next(phrases, None)
+    for start in sorted(found):
+        while phrase is not None and phrase[0] <= start:
+            reach, phrase = max(reach, phrase[1]), next(phrases, None)
+        if start >= reach:
+            kept[start] = found[start]
+    return kept
 
 
 def _features(total: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -190,12 +198,10 @@ def learn(
     least_deviation: float = 8.0,
 ) -> Lexicon | None:
     """A lexicon from docs (doc_id, text) and labels (doc_id, toxic); None without labels of both classes."""
-    chosen = training_labels(labels, "toxic", sample_rows)
-    if chosen is None:
-        return None
     small_batches(docs.sparkSession)
-    # The sampled labels are bounded, so they may be broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = training_rows(docs, labels, "toxic", sample_rows)
+    if rows is None:
+        return None
     number = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     if len(number) < 2:
         return None
@@ -207,17 +213,13 @@ def learn(
         _count_terms(rows, [folded(p) for p in exceptions])
         .where((F.col("toxic") >= least_documents) & (deviation >= least_deviation) & (weight >= float(np.log(least_ratio))))
         .select("term", weight.alias("weight"))
-        .orderBy(F.desc("weight"), "term")
-        .limit(MAX_ENTRIES)
     )
     lexicon = Lexicon(_pruned({r[0]: r[1] for r in terms.collect()}), [folded(p) for p in exceptions])
     benign = (
         _count_phrases(rows, lexicon)
         .where((F.col("clean") >= least_documents) & (F.col("clean") * number[1] >= 2 * F.col("toxic") * number[0]))
-        .orderBy(F.desc("clean"), "phrase")
-        .limit(MAX_ENTRIES)
     )
-    lexicon.exceptions += [r[0] for r in benign.select("phrase").collect()]
+    lexicon.exceptions += sorted(r[0] for r in benign.select("phrase").collect())
     table = _weighed(rows, lexicon, "label").select("label", "total", "words").toArrow()  # bounded by sample_rows
     lexicon.calibration = _logistic(
         _features(table["total"].to_numpy(), table["words"].to_numpy()), table["label"].to_numpy()

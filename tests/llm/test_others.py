@@ -277,3 +277,78 @@ def test_chats_round_trip_and_train_only_replies(spark):
         assert len(own) - len(trained) == (turns[-1][0] != "assistant")
         assert all(r.formatted[r.loss_end :] == chat.END for r in trained)
     assert chat.chat_examples(frame.limit(0)).count() == 0
+
+
+def test_an_id_of_a_third_of_all_rows_is_one_row_of_the_sample(spark):
+    rows = spark.range(100_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text")
+    )
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    sample = quality.training_rows(rows, labels, "quality", 500)
+    ids = [r.doc_id for r in sample.select("doc_id").collect()]
+    assert len(ids) == len(set(ids)) <= 600
+    assert 7 in {r.doc_id for r in quality.training_rows(rows, labels, "quality", 10_000).collect()}
+    small = quality.fit(rows, labels, "quality", 500, sample_indicators=200)
+    assert np.isfinite(small.slope) and quality.fit(rows, labels, "quality", 500, sample_indicators=1).slope == 0
+
+
+def plain_toxicity(lexicon, text):
+    """The score by looking at each word start by itself."""
+    text = toxicity.folded(text)
+    starts = [i for i, c in enumerate(text) if c == " " and i + 1 < len(text)]
+    excused = [(i, i + len(p) - 1) for p in lexicon.exceptions for i in starts if text.startswith(p, i)]
+    total = 0.0
+    for i in starts:
+        best = max((w for e, w in lexicon.entries.items() if text.startswith(e, i)), default=0.0)
+        if best and not any(a <= i < b for a, b in excused):
+            total += best
+    words = text.count(" ") - 1
+    a, b, c = lexicon.calibration
+    return 1 / (1 + np.exp(-(a * np.log1p(total) + b * np.log1p(1000 * total / max(words, 1)) + c)))
+
+
+def test_toxicity_equals_a_plain_scorer(spark):
+    rng = random.Random(18)
+    rows = []
+    for i in range(400):
+        words = [rng.choice(["aa", "bone", "cord", "dusk", "elm", "cake"]) + rng.choice(["", "s"]) for _ in range(rng.randrange(0, 60))]
+        for _ in range(rng.randrange(1, 4) if i % 3 == 0 else 0):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(["gromble", "zarkish", "zarkol", "Gr0mbles"]))
+        rows.append((i, " ".join(words + ["gromble", "cake"] * (i % 7 == 0)), int(i % 3 == 0)))
+    rows += [(500, None, None), (501, "", None), (3, rows[3][1], None), (3, "zarkol zarkol cake", None), (502, "gromble cake " * 20_000 + "zarkol", None)]
+    docs, labels = judged(spark, rows, "toxic")
+    lexicon = toxicity.learn(docs, labels, exceptions=("gromble cake",))
+    assert lexicon.entries and lexicon.exceptions
+    got = toxicity.toxicity_scores(docs, labels, exceptions=("gromble cake",)).collect()
+    short = [(i, t) for i, t, _ in rows if i != 502]
+    want = sorted((i, round(float(plain_toxicity(lexicon, t)), 9)) for i, t in short)
+    assert sorted((r.doc_id, round(r.score, 9)) for r in got if r.doc_id != 502) == want
+
+
+def test_many_exceptions_in_a_long_text_take_linear_time():
+    import time
+
+    lexicon = toxicity.Lexicon({" gromble": 2.0, " zark ": 1.0}, [" gromble cake ", " cake gromble cake "])
+    text = toxicity.folded("gromble cake zark " * 120_000)
+    begin = time.time()
+    got = toxicity.hits(lexicon.automaton(), text)
+    assert len(got) == 120_000 and set(got.values()) == {1.0} and time.time() - begin < 20
+
+
+def test_quality_equals_a_plain_scorer(spark):
+    rng = random.Random(28)
+    rows = [(i, " ".join(rng.choice(["Aa", "b!", "c1", "dd", "é"]) for _ in range(rng.randrange(0, 40))), i % 2) for i in range(200)]
+    rows += [(300, None, None), (301, " \t", None), (302, "x " * 30_000, None), (5, "other text", None), (5, "other text", None)]
+    docs, labels = judged(spark, rows, "quality")
+    model = quality.fit(docs, labels, "quality")
+    want = []
+    for i, text, _ in rows:  # each text by itself, sums in plain Python
+        import pyarrow as pa
+
+        ((_, _, bucket, _),) = list(quality.indicators(pa.array([text], pa.string())))
+        assert len(set(bucket.tolist())) == len(bucket)
+        total, norm = (sum(model.weights[b, k] for b in bucket.tolist()) for k in (0, 1))
+        margin = total / max(norm**0.5, 1e-12) + model.intercept
+        want.append((i, round(float(1 / (1 + np.exp(-(model.slope * margin + model.offset)))), 9)))
+    got = quality.quality_scores(docs, labels).collect()
+    assert sorted((r.doc_id, round(r.score, 9)) for r in got) == sorted(want)
