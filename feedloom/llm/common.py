@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_part(folder: str, name: str, columns: list[str] | None = None, filters=None) -> pa.Table:
+    """The rows of a folder of Parquet files in the shared folder, read inside a task."""
+    system, root = fs.FileSystem.from_uri(f"{folder}/{name}" if name else folder)
+    parts = []
+    for info in sorted(system.get_file_info(fs.FileSelector(root)), key=lambda i: i.path):
+        if info.path.endswith(".parquet"):
+            with system.open_input_file(info.path) as source:
+                parts.append(pq.read_table(source, columns=columns, filters=filters))
+    return pa.concat_tables(parts)
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_ARROW_BATCH))
 

@@ -52,7 +52,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 # ---- sums over all tasks ------------------------------------------------------------
 
 
-def _added(parts: DataFrame, dtype: str) -> dict[int, np.ndarray]:
+def added(parts: DataFrame, dtype: str) -> dict[int, np.ndarray]:
     """i -> the sum of ``data`` over the rows (i, slot, data) of parts; one row for each i reaches the driver."""
 
     def add(rows: pa.Table) -> pa.Table:
@@ -67,7 +67,7 @@ def _added(parts: DataFrame, dtype: str) -> dict[int, np.ndarray]:
     return {r.i: np.frombuffer(r.data, dtype) for r in near.groupBy("i", "slot").applyInArrow(add, schema).collect()}
 
 
-def _with_slot(frame: DataFrame) -> DataFrame:
+def with_slot(frame: DataFrame) -> DataFrame:
     return frame.withColumn("slot", F.spark_partition_id() % SLOTS).select("i", "slot", "data")
 
 
@@ -88,7 +88,7 @@ def count_and_sums(fit: DataFrame, size: int) -> tuple[int, np.ndarray]:
         data = np.concatenate([low, high, [n]]).astype(np.int64).tobytes()
         yield pa.RecordBatch.from_pydict({"i": pa.array([0], pa.int32()), "data": pa.array([data], pa.binary())})
 
-    total = _added(_with_slot(fit.select("x").mapInArrow(local, "i int, data binary")), "i8")[0]
+    total = added(with_slot(fit.select("x").mapInArrow(local, "i int, data binary")), "i8")[0]
     largest = fit.select(F.max(F.greatest(F.abs(F.array_max("x")), F.abs(F.array_min("x"))))).first()[0]
     n, sums = int(total[-1]), total[:size].astype(object) + total[size : 2 * size].astype(object) * 2**20
     return n, sums.astype(np.int64) if n * largest < 2**62 else sums
@@ -107,7 +107,7 @@ def covariance(fit: DataFrame, n: int, sums: np.ndarray) -> np.ndarray:
         for i, row in enumerate(total):
             yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), "data": pa.array([row.tobytes()], pa.binary())})
 
-    rows = _added(_with_slot(fit.select("x").mapInArrow(local, "i int, data binary")), "f8")
+    rows = added(with_slot(fit.select("x").mapInArrow(local, "i int, data binary")), "f8")
     full = np.vstack([rows[i] for i in range(size)]) / n
     return (full + full.T) / 2
 
@@ -284,7 +284,7 @@ def identity_error(fit: DataFrame, n: int, sums: np.ndarray, components: np.ndar
             if not np.isscalar(total):
                 yield pa.RecordBatch.from_pydict({"i": pa.array([0], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
 
-        return _added(_with_slot(fit.select("x").mapInArrow(local, "i int, data binary")), "f8")[0] / n
+        return added(with_slot(fit.select("x").mapInArrow(local, "i int, data binary")), "f8")[0] / n
 
     mean = sums_of(lambda y: y.sum(axis=0))
     spread = sums_of(lambda y: (y - mean).T @ (y - mean)).reshape(k, k)
