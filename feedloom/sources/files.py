@@ -43,6 +43,11 @@ def claimed(spark: SparkSession, path: str) -> Iterator[None]:
         fs.delete(where, False)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    where, fs = _filesystem(spark, path)
+    fs.mkdirs(where)
+
+
 def remove(spark: SparkSession, folders: list[str]) -> None:
     for folder in folders:
         where, fs = _filesystem(spark, folder)

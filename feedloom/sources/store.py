@@ -17,6 +17,7 @@ rewrites only the sources that have waiting batches.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from datetime import datetime
 from functools import reduce
@@ -29,7 +30,7 @@ from feedloom.functions.times import utc
 from feedloom.operators.dedup import keep_first
 from feedloom.operators.merge import KEY, item_id, merge_versions, reduce_batch
 from feedloom.schemas import ITEMS, LABELS, NORMALIZED, PAYLOAD
-from feedloom.sources.files import claimed, committed, listed, remove, remove_all_but_newest
+from feedloom.sources.files import claimed, committed, listed, make_folder, remove, remove_all_but_newest
 
 LOG = T.StructType(
     [T.StructField(c, ITEMS[c].dataType) for c in PAYLOAD if c != "source"]
@@ -286,57 +287,73 @@ class BatchTable:
 
 
 class VectorCache:
-    """Stored vectors by content hash: <root>/source=<s>/batch=<key>/prefix=<first digits of the hash>.
+    """Stored vectors by content hash, a bucketed table for each source: <root>/buckets=<n>/source=<s>/batch=<key>.
 
-    A batch of items needs the prefixes of its own hashes only, at most 16 ** ``digits`` names, and these are
-    partitions, so no more is read.
+    Rows lie in ``buckets`` sorted by their hash, so a batch is dealt into as many parts by its own hashes and meets the
+    vectors where they lie: the history is never shuffled. A batch is one partition and replaces itself when it is
+    replayed. The table is declared in the session's catalog at first use; the folder is all that lasts. The number of
+    buckets is part of the path, as vectors of another number would not meet.
     """
 
-    def __init__(self, spark: SparkSession, root: str, digits: int = 2) -> None:
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
-        self.digits = digits
-
-    def _batches(self, source: str) -> list[str]:
-        return committed(self.spark, f"{self.root}/source={source}/batch=*")
-
-    def _prefix(self) -> Column:
-        return F.substring("content_hash", 1, self.digits)
-
-    def write(self, rows: DataFrame, source: str, batch_key: str) -> None:
-        laid = rows.select(*VECTORS.fieldNames(), self._prefix().alias("prefix")).repartition("prefix")
-        laid.write.mode("overwrite").partitionBy("prefix").parquet(f"{self.root}/source={source}/batch={batch_key}")
+        self.buckets = buckets
+
+    def path(self, source: str) -> str:
+        return f"{self.root}/buckets={self.buckets}/source={source}"
+
+    def table(self, source: str) -> str:
+        """The name of a source's table, which is declared if this session does not know it."""
+        name = f"feedloom_vectors_{hashlib.md5(self.path(source).encode()).hexdigest()}"
+        if not self.spark.catalog.tableExists(name):
+            make_folder(self.spark, self.path(source))
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in VECTORS.fields)
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {name} ({columns}, batch string) USING parquet PARTITIONED BY (batch) "
+                f"CLUSTERED BY (content_hash) SORTED BY (content_hash) INTO {self.buckets} BUCKETS LOCATION '{self.path(source)}'"
+            )
+            self.spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+        return name
+
+    def write(self, rows: DataFrame, source: str, batch_key: str, how: str = "OVERWRITE") -> None:
+        name = self.table(source)
+        # One file for each bucket: a task has one bucket.
+        laid = rows.select(*VECTORS.fieldNames()).repartition(self.buckets, "content_hash")
+        session = rows.sparkSession
+        view = f"{name}_new"
+        laid.createOrReplaceTempView(view)
+        session.sql(f"INSERT {how} TABLE {name} PARTITION (batch = '{batch_key}') SELECT * FROM {view}")
+        session.catalog.dropTempView(view)
 
     def read(self, source: str, without: str | None = None) -> DataFrame:
-        """All stored vectors of a source, with their prefix, leaving out one batch (the one being replayed)."""
-        schema = T.StructType(VECTORS.fields + [T.StructField(c, T.StringType()) for c in ("batch", "prefix")])
-        paths = [p for p in self._batches(source) if not p.endswith(f"/batch={without}")]
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", f"{self.root}/source={source}").parquet(*paths)
+        """All stored vectors of a source, leaving out one batch (the one being replayed)."""
+        rows = self.spark.table(self.table(source))
+        return rows if without is None else rows.filter(F.col("batch") != without)
 
-    def for_hashes(
-        self, items: DataFrame, source: str, without: str | None = None, written_after: datetime | None = None
-    ) -> DataFrame:
-        """The stored vectors that can match the items (content_hash); items are read for their prefixes."""
-        wanted = [r[0] for r in items.select(self._prefix()).distinct().collect()]
-        rows = self.read(source, without).filter(F.col("prefix").isin(wanted))
+    def for_hashes(self, items: DataFrame, source: str, without: str | None = None, written_after: datetime | None = None) -> DataFrame:
+        """The stored vectors of a source that items (content_hash) may be joined with."""
+        rows = self.read(source, without)
         if written_after is not None:
             rows = rows.filter(F.col("written_at") >= F.lit(utc(written_after)))
         return rows.select(*VECTORS.fieldNames())
 
     def compact(self, source: str, batch_key: str) -> None:
-        """Put all vectors of a source into one batch, the one written last per hash.
+        """Put all vectors of a source into one batch, the one written last per hash; buckets are folded where they lie.
 
         Until the old folders are gone, readers see both, which does no harm. Do not run it beside the
         query of the same source.
         """
-        old = self._batches(source)
+        name = self.table(source)
+        old = [r[0].split("=", 1)[1] for r in self.spark.sql(f"SHOW PARTITIONS {name}").collect()]
         newest = self.read(source).groupBy("content_hash").agg(
             F.max_by("embedding", "written_at").alias("embedding"), F.max("written_at").alias("written_at")
         )
-        self.write(newest, source, batch_key)
-        remove(self.spark, old)
+        self.write(newest, source, batch_key, "INTO")
+        for batch in old:
+            if batch != batch_key:
+                self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION (batch = '{batch}')")
+        remove(self.spark, [f"{self.path(source)}/batch={b}" for b in old if b != batch_key])
 
 
 VECTORS = T.StructType(

@@ -89,6 +89,8 @@ class IngestJob:
     # How far back stored vectors are looked up. An older text is embedded anew,
     # with the same result; the bound keeps a batch from reading the whole history.
     vector_lookback: timedelta | None = None
+    # Parts that stored vectors lie in, and tasks that look them up; more for a longer history.
+    vector_buckets: int = 64
     # Tasks that call the models. Slow models need more than the size of the texts suggests.
     model_tasks: int | None = None
     clock: Callable[[], datetime] = utc_now
@@ -98,7 +100,7 @@ class IngestJob:
     def __post_init__(self) -> None:
         self.root = self.root.rstrip("/")
         self.store = self.store or ItemStore(self.spark, f"{self.root}/items")
-        self.vectors = VectorCache(self.spark, f"{self.root}/vectors")
+        self.vectors = VectorCache(self.spark, f"{self.root}/vectors", self.vector_buckets)
         self.prepared = BatchTable(self.spark, f"{self.root}/prepared", PREPARED)
         self.marks = BatchTable(self.spark, f"{self.root}/marks", MARKS)
         self.rejects = BatchTable(self.spark, f"{self.root}/rejects", REJECTS)

@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.operators import merge
+from feedloom.operators.dedup import attach_cached
 from feedloom.schemas import ITEMS, LABELS, PAYLOAD
-from feedloom.sources.store import ItemStore, create_items_table, declare_items, lookup_by_source_id
+from feedloom.sources.store import ItemStore, VectorCache, create_items_table, declare_items, lookup_by_source_id
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 BATCH = "source string, source_id string, text string, published_at timestamp, sentiment int, stance string, impact int, topics array<string>, embedding array<float>, raw string, content_hash string"
@@ -197,3 +198,45 @@ def test_create_table(spark, tmp_path):
     parts = [c.name for c in spark.catalog.listColumns("items_declared") if c.isPartition]
     spark.sql("DROP TABLE items_declared")
     assert parts == ["source"]
+
+
+# ---- stored vectors --------------------------------------------------------------------
+
+MANY = "content_hash string, embedding array<float>, written_at timestamp"
+
+
+def hashes(spark, first, n, at="2024-01-01 00:00:00"):
+    rows = spark.range(first, first + n).select(F.sha2(F.col("id").cast("string"), 256).alias("content_hash"), "id")
+    return rows.select("content_hash", F.array(F.col("id").cast("float")).alias("embedding"), F.lit(at).cast("timestamp").alias("written_at"))
+
+
+def test_a_batch_meets_stored_vectors_where_they_lie(spark, tmp_path):
+    cache = VectorCache(spark, str(tmp_path / "vectors"), buckets=6)
+    assert cache.read("reddit").count() == 0
+    cache.write(hashes(spark, 0, 150_000), "reddit", "a")
+    cache.write(hashes(spark, 100_000, 60_000, "2024-01-02 00:00:00"), "reddit", "b")
+    items = hashes(spark, 120_000, 100_000).select("content_hash", F.lit("x").alias("text"))
+    items.write.parquet(str(tmp_path / "items"))
+    items = spark.read.parquet(str(tmp_path / "items"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = attach_cached(items, cache.for_hashes(items, "reddit"))
+        got = joined.agg(F.count("*").alias("n"), F.count("cached_embedding").alias("hits"), F.sum(F.col("cached_embedding")[0].cast("double")).alias("s")).first()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert (got.n, got.hits, got.s) == (100_000, 40_000, sum(range(120_000, 160_000)))
+    # Exchanges lie over the items only; the cache is read bucket by bucket.
+    assert plan.count("Exchange") > 0 and "Bucketed: true" in plan
+    for part in plan.split("Exchange")[1:]:
+        scan = next(line for line in part.splitlines() if "FileScan" in line)
+        assert "tmp" in scan and "/items" in scan, scan
+    # A replay replaces its batch; another session declares the table anew; compaction keeps the newest.
+    cache.write(hashes(spark, 100_000, 5, "2024-01-03 00:00:00"), "reddit", "b")
+    assert cache.read("reddit").count() == 150_005 and cache.read("reddit", without="b").count() == 150_000
+    spark.sql(f"DROP TABLE {cache.table('reddit')}")
+    assert VectorCache(spark, str(tmp_path / "vectors"), buckets=6).read("reddit").count() == 150_005
+    cache.compact("reddit", "all")
+    assert cache.read("reddit").count() == 150_000
+    assert cache.read("reddit").filter("written_at = timestamp '2024-01-03 00:00:00'").count() == 5
+    assert [p.name for p in (tmp_path / "vectors/buckets=6/source=reddit").glob("batch=*")] == ["batch=all"]
