@@ -162,6 +162,22 @@ SELECT 'truth_social' AS source, event_id::VARCHAR AS source_id,
            'account': CASE WHEN event_type <> 'view' THEN {{'acct': user_id::VARCHAR}} END}})::VARCHAR AS raw
 FROM events""")
 
+LEARNED = rf"""
+WITH w AS (SELECT doc_id, lang, ' ' || unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}]+'), lambda x: x <> '')) || ' ' AS p FROM documents),
+g AS (SELECT doc_id, lang, unnest(flatten([{", ".join(f"list_transform(range(1, len(p) - {n - 2}), lambda i: substr(p, i, {n}))" for n in (2, 3, 4))}])) AS gram FROM w),
+t AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) AS r
+      FROM documents WHERE lang IS NOT NULL AND {hashed('doc_id', 5)} <> 0) WHERE r <= 2000),
+c AS (SELECT lang, gram, count(*) AS n FROM g SEMI JOIN t USING (doc_id) GROUP BY ALL),
+k AS (SELECT gram, sum(n) AS n FROM c GROUP BY gram HAVING sum(n) >= 2 ORDER BY n DESC, gram LIMIT 50000),
+l AS (SELECT lang, sum(c.n)::DOUBLE + (SELECT count(*) FROM k) AS total FROM c SEMI JOIN k USING (gram) GROUP BY lang),
+f AS (SELECT k.gram, l.lang, ln((coalesce(c.n, 0) + 1) / l.total) AS weight FROM k CROSS JOIN l LEFT JOIN c ON c.gram = k.gram AND c.lang = l.lang),
+n AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL),
+s AS (SELECT n.doc_id, l.lang, sum(n.n * coalesce(f.weight, ln(1 / l.total))) / sum(n.n) AS score
+      FROM n CROSS JOIN l LEFT JOIN f ON f.gram = n.gram AND f.lang = l.lang GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS r FROM s)
+SELECT d.doc_id, b.lang AS detected, round(b.score, 6) AS score FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND b.r = 1
+"""
+
 KEYWORDS = f"""
 WITH r AS (SELECT doc_id::VARCHAR AS source_id, {posted_at('doc_id')} AS posted, lang, text FROM documents
            WHERE regexp_matches(lower(text), 'nicht|avec|which| ist | les ')),
@@ -500,6 +516,7 @@ SQL: dict[str, str] = {
     "truncate_tokens": TRUNCATE,
     "ensure_max_length": "SELECT doc_id, CASE WHEN length(text) <= 280 THEN text ELSE left(text, 279) || chr(8230) END AS text FROM documents",
     "detect_language": f"SELECT doc_id, {detected('text')} AS detected FROM documents",
+    "detect_language_learned": LEARNED,
     "content_hash": f"SELECT doc_id, {HASH} AS content_hash FROM documents",
     "dedup_keep_first": DEDUP,
     "parse_iso8601": f"""SELECT event_id, {stamp("CASE event_type WHEN 'click' THEN ts WHEN 'view' THEN ts WHEN 'purchase' THEN ts - to_hours(3) WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN date_trunc('day', ts) WHEN event_id % 60 BETWEEN 1 AND 52 THEN TIMESTAMP '2024-01-03 10:30:00' + to_days(7 * (event_id % 60 - 1)::INTEGER) END END")} AS parsed FROM events""",

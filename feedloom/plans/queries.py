@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import answers, language, lexicon, text, times
 from feedloom.functions import vectors as vec
-from feedloom.operators import constraints, dedup, inference, marks, merge, ranking, search, vector_index
+from feedloom.operators import constraints, dedup, inference, language_model, marks, merge, ranking, search, vector_index
 from feedloom.plans import enrich as enrichment
 from feedloom.plans import inputs
 from feedloom.plans.inputs import AS_OF, SINCE, stamp, table, work_table
@@ -85,6 +85,15 @@ def detect_language(spark, sf_dir):
     return work_table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", language.detect_language("text").alias("detected"))
 
 
+@query
+def detect_language_learned(spark, sf_dir):
+    """Profiles from four fifths of the documents, scores of all."""
+    docs = work_table(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    model = language_model.fit_language_model(docs.filter(inputs.hashed("doc_id", 5) != 0))
+    found = language_model.detect_languages(docs, model)
+    return found.select("doc_id", "detected", F.round("score", 6).alias("score"))
+
+
 @query
 def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.content_hash("source", "text").alias("content_hash"))
