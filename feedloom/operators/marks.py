@@ -30,17 +30,3 @@ def resume_points(sources: DataFrame, marks: DataFrame, as_of: datetime, interva
     return sources.join(marks, "source", "left").select(
         "source", F.coalesce(explicit, F.col("mark"), start).alias("since")
     )
-
-
-def split_late(items: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items after their source's mark, late items); a source without a mark has no late items."""
-    marked = items.join(marks.select("source", F.col("mark").alias("_mark")), "source", "left")
-    late = F.coalesce(F.col("published_at") <= F.col("_mark"), F.lit(False))
-    return marked.filter(~late).drop("_mark"), marked.filter(late).drop("_mark")
-
-
-def late_counts(items: DataFrame, marks: DataFrame) -> DataFrame:
-    """(source, n_new, n_late): every item of a source is counted once, as new or as late."""
-    new, late = split_late(items.select("source", "published_at"), marks)
-    both = new.select("source", F.lit(0).alias("late")).unionByName(late.select("source", F.lit(1).alias("late")))
-    return both.groupBy("source").agg(F.count_if(F.col("late") == 0).alias("n_new"), F.count_if(F.col("late") == 1).alias("n_late"))

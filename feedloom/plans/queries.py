@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -16,9 +17,10 @@ from feedloom.plans import enrich as enrichment
 from feedloom.plans import inputs
 from feedloom.plans.inputs import AS_OF, SINCE, stamp, table, work_table
 from feedloom.schemas import LABELS, PAYLOAD
-from feedloom.session import staged
+from feedloom.session import shared_dir, staged
 from feedloom.sources import feeds
 from feedloom.sources.store import lookup_by_source_id
+from feedloom.streaming import lateness
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -350,10 +352,16 @@ def upsert_labelled(spark, sf_dir):
 
 @query
 def late_rows(spark, sf_dir):
-    """A second run against the marks of a first one: new and late rows per source."""
-    rows = inputs.events(spark, sf_dir).withColumn("odd", F.col("event_id") % 2 == 1)
-    bounds = marks.high_water_marks(rows.filter(~F.col("odd") & (F.col("published_at") <= since())))
-    return marks.late_counts(rows.filter("odd"), bounds)
+    """Two runs of a stream over landed events: the second is judged by what the first has left in the state."""
+    rows = inputs.events(spark, sf_dir).select("source", "source_id", "published_at", "event_id")
+    odd = F.col("event_id") % 2 == 1
+    landing = f"{shared_dir(spark)}/late-rows-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema("source string, source_id string, published_at timestamp_ntz").parquet(f"{landing}/landed/*")
+    judge = lateness.LatenessStream(spark, f"{landing}/job", slices=4)
+    for run, some in (("1", ~odd & (F.col("published_at") <= since())), ("2", odd)):
+        rows.filter(some).drop("event_id").write.parquet(f"{landing}/landed/{run}")
+        judged = judge.run(stream, run)
+    return lateness.late_counts(judged)
 
 
 @query

@@ -91,6 +91,8 @@ class IngestJob:
     vector_lookback: timedelta | None = None
     # Parts that stored vectors lie in, and tasks that look them up; more for a longer history.
     vector_buckets: int = 64
+    # Such as "7 days": a line that landed within that time before, in any batch, is passed over. Off by default.
+    drop_relanded: str | None = None
     # Tasks that call the models. Slow models need more than the size of the texts suggests.
     model_tasks: int | None = None
     clock: Callable[[], datetime] = utc_now
@@ -331,8 +333,11 @@ class IngestJob:
             if not once and not files_per_batch:
                 self.finish_run(source)
 
+        lines = stream_lines(self.spark, landing, files_per_batch)
+        if self.drop_relanded is not None:
+            lines = once_within(lines, self.drop_relanded)
         writer = (
-            stream_lines(self.spark, landing, files_per_batch)
+            lines
             .writeStream.queryName(f"feed-{source}-{stream_id}")
             .foreachBatch(store)
             .option("checkpointLocation", f"{self.root}/checkpoints/{source}/{stream_id}")
@@ -368,6 +373,16 @@ class IngestJob:
         return outcome
 
 
+def once_within(lines: DataFrame, time: str) -> DataFrame:
+    """Landed lines without those that landed before, within ``time``.
+
+    The state holds a hash for each line until the watermark passes it. A line's time is that of its batch, which is part
+    of the query's log, so no line is late whatever its file's time, and a replay sees the same.
+    """
+    stamped = lines.select("value", F.sha2("value", 256).alias("_hash"), F.current_timestamp().alias("_landed"))
+    return stamped.withWatermark("_landed", time).dropDuplicatesWithinWatermark(["_hash"]).select("value")
+
+
 def _from_micros(micros: int) -> datetime:
     seconds, rest = divmod(micros, 1_000_000)
     return datetime.fromtimestamp(seconds, tz=timezone.utc).replace(microsecond=rest)

@@ -13,6 +13,7 @@ import providers
 from feedloom.operators.inference import classify_two_pass
 from feedloom.schemas import JobSettings
 from feedloom.streaming.ingest import IngestJob
+from feedloom.streaming.lateness import LatenessStream, late_counts
 from feedloom.streaming.supervise import Supervisor
 
 T0 = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
@@ -392,3 +393,48 @@ def test_observed_counts_equal_the_tables(spark, job, tmp_path):
     remove(spark, [job.counts.path("reddit", batch), *job.store._stored("reddit", batch)])
     job.process(spark.read.text(str(landing / "2.json")), "reddit", batch)
     assert job.counts.read_batch("reddit", batch).first().asDict() == {k: v for k, v in got[batch].asDict().items() if k != "batch"}
+
+
+def test_lines_that_land_again_are_passed_over_after_a_restart(job, tmp_path):
+    job.drop_relanded = "7 days"
+    landing = landing_with(tmp_path / "reddit", "1.json", [submission(1, 10, "one"), submission(1, 10, "one"), submission(2, 20, "two")])
+    assert job.run_once({"reddit": str(landing)}, since=T0) == {"reddit": None}
+    land(landing, "2.json", [submission(2, 20, "two"), submission(3, 30, "three"), submission(1, 40, "edited")])
+    assert job.run_once({"reddit": str(landing)}) == {"reddit": None}
+    # Batches without data, which only move the watermark, store nothing.
+    assert sum(r.stored for r in job.batch_metrics("reddit").collect()) == 4 and job.late.read("reddit").count() == 0
+    assert texts(job) == {"t3_1": "edited", "t3_2": "two", "t3_3": "three"}
+    assert IngestJob.drop_relanded is None
+
+
+LATE_ROW = "source string, source_id string, published_at timestamp, note string"
+
+
+def landed(spark, folder, name, rows):
+    times = [(s, i, None if t is None else T0 + timedelta(seconds=t), "n") for s, i, t in rows]
+    spark.createDataFrame(times, LATE_ROW).coalesce(1).write.parquet(str(folder / name))
+
+
+def test_keyed_lateness_holds_its_bounds_for_a_run(spark, tmp_path):
+    stream = spark.readStream.schema(LATE_ROW).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/landing/*")
+    judge = LatenessStream(spark, str(tmp_path / "job"), slices=3)
+    assert judge.marks().count() == 0
+    landed(spark, tmp_path / "landing", "1", [("a", "1", 50), ("a", "2", 10), ("b", "3", 5), (None, "9", 7)])
+    landed(spark, tmp_path / "landing", "2", [("a", "4", 20), ("b", "5", None), ("a", "6", 60)])
+    first = judge.run(stream, "r1")
+    assert first.columns == ["source", "source_id", "published_at", "note", "late"]
+    # Without a mark nothing is late, in whatever order the files land.
+    assert first.filter("late").count() == 0 and first.count() == 7
+    base = int(T0.timestamp() * 1e6)
+    assert {r.source: r.mark for r in judge.marks().collect()} == {"a": base + 60_000_000, "b": base + 5_000_000, None: base + 7_000_000}
+    # The bounds of the second run are stored when it starts and stay, also after an interruption.
+    assert judge.bounds("r2") == {"a": base + 60_000_000, "b": base + 5_000_000, None: base + 7_000_000}
+    landed(spark, tmp_path / "landing", "3", [("a", "7", 100), ("a", "8", 60), ("c", "10", 1), (None, "11", 7)])
+    judge.run(stream, "r2")
+    landed(spark, tmp_path / "landing", "4", [("a", "12", 70), ("b", "13", 5), ("b", "14", 6), ("c", "15", 0), ("a", "16", None)])
+    second = LatenessStream(spark, str(tmp_path / "job"), slices=3).run(stream, "r2")
+    assert {r.source_id for r in second.filter("late").collect()} == {"8", "11", "13"} and second.count() == 9
+    assert {(r.source, r.n_new, r.n_late) for r in late_counts(second).collect()} == {("a", 3, 1), ("b", 1, 1), ("c", 2, 0), (None, 0, 1)}
+    landed(spark, tmp_path / "landing", "5", [("a", "17", 80), ("c", "18", 1)])
+    third = judge.run(stream, "r3", since=T0 + timedelta(seconds=90))
+    assert {r.source_id: r.late for r in third.collect()} == {"17": True, "18": True}

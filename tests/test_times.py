@@ -57,14 +57,3 @@ def test_resume_points(spark):
         "known": "2023-12-31 00:00:00",
         "forced": "2023-01-01 00:00:00",
     }
-
-
-def test_late_rows_are_counted_once(spark):
-    from feedloom.operators.marks import late_counts, split_late
-
-    rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 1), ("a", None)], "source string, t int")
-    rows = rows.select("source", F.timestamp_seconds("t").alias("published_at"))
-    marks = spark.createDataFrame([("a", 2)], "source string, t int").select("source", F.timestamp_seconds("t").alias("mark"))
-    new, late = split_late(rows, marks)
-    assert (new.count(), late.count()) == (3, 2)
-    assert {tuple(r) for r in late_counts(rows, marks).collect()} == {("a", 2, 2), ("b", 1, 0)}
