@@ -6,12 +6,14 @@ two documents can share a window only where they have a suffix with the same lea
 
 1. A scan makes the runs of each document and sends (leading bytes, hash of the run's whole stretch, document,
    place) in compressed blocks to buckets, whose splitters are quantiles of sampled leading bytes; a heavy prefix
-   that fills several splitters is spread by the bytes after it. Runs whose stretch occurs in an earlier document of the same scan
+   that fills several splitters is spread by the bytes after it and, once each, by the nearest bytes to the right and
+   to the left of the 16, so a gram of a third of all documents fills no bucket. Runs whose stretch occurs in an earlier document of the same scan
    buffer are settled there, so a passage of a third of all documents sends a row per buffer.
 2. A bucket sorts its suffixes eight bytes at a time and only among equals (multikey quicksort). A run whose stretch an earlier
    document has is settled as a whole. Runs that share the leading bytes with an earlier document, but no whole
    stretch, are pending, and the first of each stretch are their sources.
-3. Pending runs and sources fetch their bytes, meet by leading bytes, and their windows are compared in full.
+3. Pending runs and sources fetch their bytes, meet by leading bytes and the nearest bytes of one side, and their windows
+   that hold these bytes are compared in full. Every window holds the nearest bytes of one side at least.
 4. All windows found are laid over the texts.
 
 Two stretches are taken for equal by 16 bytes of text and a 48-bit hash; the windows of step 3 are compared byte for byte.
@@ -89,16 +91,20 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
 def _hashes(
     data: np.ndarray, offsets: np.ndarray, row: np.ndarray, place: np.ndarray, first: np.ndarray, count: np.ndarray, length: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """A 48-bit hash of each run's stretch and the gram's place in it, and one byte for each side of the gram.
+    """A 48-bit hash of each run's stretch and the gram's place in it, and 16 bits for each side of the gram.
 
     A window has ``length`` - 16 bytes beside its gram, so at least half of them on one side: documents that share a
     window have the same gram and the same nearest half on one side at least.
     """
-    total, half = prefix_sums(data), -(-(length - GRAM) // 2)
+    total, half = prefix_sums(data), _half(length)
     stretch = spans_of(total, first, first + count - 1 + length) + (place - first).astype(np.uint64) * _MULT
     right = spans_of(total, place + GRAM, np.minimum(place + GRAM + half, offsets[row + 1]))
     left = spans_of(total, np.maximum(place - half, offsets[row]), place)
-    return mix(stretch) >> np.uint64(16), ((right & np.uint64(255)) | (left & np.uint64(0xFF00))).astype(np.uint16)
+    return mix(stretch) >> np.uint64(16), ((right & np.uint64(0xFFFF)) | (left & np.uint64(0xFFFF0000))).astype(np.uint32)
+
+
+def _half(length: int) -> int:
+    return -(-(length - GRAM) // 2)
 
 
 def _leading(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,8 +158,10 @@ def _unpack(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-# lead, next, stretch, sides, document, text hash, first window, windows
-_RUN = ["<u8", "<u8", "<u8", "<u2", "<i8", "<i8", "<u4", "<u2"]
+# lead, next, stretch, sides, document, text hash, first window, windows, place of the gram from the first window, copy
+_RUN = ["<u8", "<u8", "<u8", "<u4", "<i8", "<i8", "<u4", "<u2", "<u2", "<u1"]
+# A run is sent once, or under a heavy prefix once for each side.
+BOTH, RIGHT, LEFT = 0, 1, 2
 # document, text hash, gram, first window, windows, role
 _FLAG = ["<i8", "<i8", "<u8", "<u4", "<u2", "<u1"]
 
@@ -169,12 +177,14 @@ def _scan(docs: DataFrame, length: int, splitters: np.ndarray, parts: int) -> Da
         columns = tuple(np.concatenate(c) for c in zip(*held))
         order = multikey_order(*columns[:3], columns[4])
         columns = tuple(c[order] for c in columns)
-        lead, after, stretch, _, doc, text, first, count = columns
+        lead, after, stretch, sides, doc, text, first, count, _ = columns
         new = np.ones(len(lead), bool)
         new[1:] = (lead[1:] != lead[:-1]) | (after[1:] != after[:-1]) | (stretch[1:] != stretch[:-1])
         known = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         keep, gone = np.flatnonzero(~known), np.flatnonzero(known)
-        out = [(0, b, _typed(columns, _RUN, keep[at])) for b, at in _groups(_bucket(lead[keep], after[keep], splitters))]
+        row, bucket, copy = _buckets(lead[keep], after[keep], sides[keep], splitters)
+        sent = (*(c[keep[row]] for c in columns), copy)
+        out = [(0, b, _typed(sent, _RUN, at)) for b, at in _groups(bucket)]
         settled = (doc, text, np.zeros(len(doc), np.uint64), first, count, np.full(len(doc), SETTLED))
         out += [(1, p, _typed(settled, _FLAG, gone[at])) for p, at in _groups(_part(doc[gone], text[gone], parts))]
         for s in range(0, len(out), 256):
@@ -190,7 +200,7 @@ def _scan(docs: DataFrame, length: int, splitters: np.ndarray, parts: int) -> Da
                 if not len(row):
                     continue
                 stretch, sides = _hashes(data, offsets, row, place, first, count, length)
-                held.append((*_leading(data, place), stretch, sides, ids[first_row + row], hashes[first_row + row], first - offsets[row], count))
+                held.append((*_leading(data, place), stretch, sides, ids[first_row + row], hashes[first_row + row], first - offsets[row], count, place - first))
                 size += len(row)
             if size >= BUFFER_RUNS:
                 yield from send(held)
@@ -213,11 +223,28 @@ def _part(doc: np.ndarray, text: np.ndarray, parts: int) -> np.ndarray:
     return (mix(doc.view(np.uint64) + text.view(np.uint64) * _MULT) % np.uint64(parts)).astype(np.int64)
 
 
-def _bucket(lead: np.ndarray, after: np.ndarray, splitters: np.ndarray) -> np.ndarray:
-    """The bucket of each suffix; a prefix equal to several splitters is spread over their buckets."""
+def _side(sides: np.ndarray, copy: int) -> np.ndarray:
+    """A number for the nearest bytes on one side of the gram."""
+    sides = sides.astype(np.uint64)
+    return (sides & np.uint64(0xFFFF)) + np.uint64(1) if copy == RIGHT else (sides >> np.uint64(16)) + np.uint64(1 << 32)
+
+
+def _buckets(lead: np.ndarray, after: np.ndarray, sides: np.ndarray, splitters: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, bucket, copy) of each suffix sent; a prefix equal to several splitters is spread over their buckets.
+
+    Two splitters or more are a heavy prefix: its suffixes are sent twice, spread by what is on the right and on the left.
+    """
     low = np.searchsorted(splitters, lead, "left")
     high = np.searchsorted(splitters, lead, "right")
-    return low + (mix(after + _MULT) % (high - low + 1).astype(np.uint64)).astype(np.int64)
+    width = (high - low + 1).astype(np.uint64)
+    heavy = high - low >= 2
+    rows, buckets, copies = [], [], []
+    for copy, at in ((BOTH, np.flatnonzero(~heavy)), (RIGHT, np.flatnonzero(heavy)), (LEFT, np.flatnonzero(heavy))):
+        spread = after[at] + _MULT if copy == BOTH else after[at] + mix(_side(sides[at], copy) * _MULT)
+        rows.append(at)
+        buckets.append(low[at] + (mix(spread) % width[at]).astype(np.int64))
+        copies.append(np.full(len(at), copy, np.uint8))
+    return np.concatenate(rows), np.concatenate(buckets), np.concatenate(copies)
 
 
 def _splitters(docs: DataFrame, length: int, buckets: int, rows: int) -> np.ndarray:
@@ -255,8 +282,10 @@ def _shared(keys: list[np.ndarray], doc: np.ndarray, settled: np.ndarray) -> tup
     return pending[back], source[back]
 
 
-def _resolved(blocks: DataFrame, parts: int) -> DataFrame:
+def _resolved(blocks: DataFrame, parts: int, length: int) -> DataFrame:
     """(bucket, data): the roles, by part of the documents, of the runs that any document shares with an earlier one."""
+    # So many bytes before the gram a window may begin and still hold the whole right half.
+    reach = length - GRAM - _half(length)
 
     def resolve(group: pa.Table) -> pa.Table:
         data = group.column("data").to_pylist()
@@ -264,18 +293,27 @@ def _resolved(blocks: DataFrame, parts: int) -> DataFrame:
             return pa.table({"bucket": group.column("bucket"), "data": pa.array(data, pa.binary())})
         columns = tuple(np.concatenate(c) for c in zip(*(_unpack(b, _RUN) for b in data)))
         order = multikey_order(*columns[:3], columns[4])
-        lead, after, stretch, sides, doc, text, first, count = (c[order] for c in columns)
+        lead, after, stretch, sides, doc, text, first, count, gram_at, copy = (c[order] for c in columns)
         new = np.ones(len(lead), bool)
         new[1:] = (lead[1:] != lead[:-1]) | (after[1:] != after[:-1]) | (stretch[1:] != stretch[:-1])
         settled = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        right, right_source = _shared([lead, after, sides & np.uint16(255)], doc, settled)
-        left, left_source = _shared([lead, after, sides >> np.uint16(8)], doc, settled)
-        # The first document of each stretch is a source for the pending ones with the same leading bytes.
-        pending, source = right | left, right_source | left_source
-        role = settled * SETTLED + pending * PENDING + source * SOURCE
-        gram = np.where(settled, np.uint64(0), mix(lead + mix(after)))
-        keep = np.flatnonzero(role)
-        out = [(p, _typed((doc, text, gram, first, count, role), _FLAG, keep[at])) for p, at in _groups(_part(doc[keep], text[keep], parts))]
+        out = []
+
+        def add(keep: np.ndarray, gram: np.ndarray, begin: np.ndarray, windows: np.ndarray, role: np.ndarray) -> None:
+            keep = keep & (windows > 0)
+            at = np.flatnonzero(keep)
+            for p, own in _groups(_part(doc[at], text[at], parts)):
+                out.append((p, _typed((doc, text, gram, begin, windows, role), _FLAG, at[own])))
+
+        add(settled & (copy != LEFT), np.zeros(len(doc), np.uint64), first, count, np.full(len(doc), SETTLED))
+        # The earlier windows hold the whole left half.
+        split = np.clip(gram_at.astype(np.int64) - reach, 0, count.astype(np.int64))
+        spans = {RIGHT: (first + split, count - split), LEFT: (first, split)}
+        for side, (begin, windows) in spans.items():
+            near = _side(sides, side)
+            # The first document of each stretch is a source for the pending ones with the same bytes.
+            pending, source = _shared([lead, after, near], doc, settled | (copy == (LEFT if side == RIGHT else RIGHT)))
+            add(pending | source, mix(mix(lead + mix(after)) + near * _MULT), begin, windows, pending * PENDING + source * SOURCE)
         return pa.table({"bucket": pa.array([p for p, _ in out], pa.int64()), "data": pa.array([d for _, d in out], pa.binary())})
 
     return blocks.groupBy("kind", "bucket").applyInArrow(resolve, "bucket long, data binary")
@@ -396,7 +434,7 @@ def repeated_bytes(docs: DataFrame, length: int = 50, with_kept: bool = False) -
     rows, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     buckets = max(1, -(-size // BUCKET_BYTES))
     splitters = _splitters(texts, length, buckets, rows)
-    flags = _resolved(_scan(texts, length, splitters, buckets), buckets)
+    flags = _resolved(_scan(texts, length, splitters, buckets), buckets, length)
     per_doc = written(_per_document(flags), "flags").withColumnRenamed("doc_id", "key")
     # One exchange of the texts serves both joins; the key is never null, so that both ask for the same rows.
     keyed = texts.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")))

@@ -193,6 +193,38 @@ def test_repeated_bytes_equal_brute_force(spark, monkeypatch, length):
     assert sorted(((*r[:5], bytes(r.kept)) for r in got), key=repr) == sorted(removed(rows, length), key=repr)
 
 
+@pytest.mark.parametrize("length", [17, 50, 51])
+def test_heavy_grams_are_spread_and_nothing_is_lost(spark, monkeypatch, length):
+    """A third of the texts share a passage, whole or too short, in surroundings of their own; its prefixes are all heavy."""
+    rng = random.Random(length)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, ends = text(46), [text(30) for _ in range(3)]
+    rows = [(i, text(rng.randrange(120))) for i in range(40)]
+    rows += [(100 + i, text(60) + rng.choice(["", ends[0]]) + shared[rng.randrange(4) :] + rng.choice(["", *ends]) + text(60)) for i in range(30)]
+    data = np.frombuffer((ends[0] + shared + ends[1] + shared + ends[2]).encode(), np.uint8)
+    place = suffixes.runs(data, np.array([0, len(data)]), length)[1]
+    heavy = np.sort(np.repeat(suffixes._leading(data, place)[0], 6))
+    monkeypatch.setattr(suffixes, "_splitters", lambda *_: heavy)
+    got = suffixes.repeated_bytes(frame(spark, rows), length, with_kept=True).collect()
+    assert sorted((*r[:5], bytes(r.kept)) for r in got) == sorted(removed(rows, length))
+
+
+def test_a_gram_of_a_third_of_all_texts_fills_no_bucket():
+    rng = np.random.default_rng(1)
+    n = 30_000
+    lead = rng.integers(0, 2**63, n).astype(np.uint64)
+    lead[: n // 3] = 5
+    after = np.where(lead == 5, np.uint64(7), rng.integers(0, 2**63, n).astype(np.uint64))
+    sides = rng.integers(0, 2**32, n).astype(np.uint32)
+    splitters = np.sort(rng.choice(lead, 90))
+    row, bucket, copy = suffixes._buckets(lead, after, sides, splitters)
+    assert np.bincount(bucket[copy != suffixes.BOTH]).max() < 4 * n / 90
+    once, twice = np.flatnonzero(lead != 5), np.flatnonzero(lead == 5)
+    assert sorted(row[copy == suffixes.BOTH]) == once.tolist()
+    for side in (suffixes.RIGHT, suffixes.LEFT):
+        assert sorted(row[copy == side]) == twice.tolist()
+
+
 def test_repeated_bytes_of_nothing(spark):
     assert suffixes.repeated_bytes(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
