@@ -565,6 +565,7 @@ SQL: dict[str, str] = {
     "topic_overlap": f"WITH {ITEMS} SELECT source_id, coalesce(list_has_any(topics, ['crypto', 'macro']), false) AS overlaps FROM i",
     "semantic_search_multi": MULTI,
     "search_indexed": MULTI,
+    "search_by_topic": top("sentiment = 1 AND coalesce(list_has_any(topics, ['macro', 'regulation']), false)", 20, HIT),
     "search_text": SEARCH_TEXT,
     "enrich_items": enriched("false"),
     "enrich_into_store": enriched("doc_id % 5 = 0"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import answers, language, lexicon, text, times
 from feedloom.functions import vectors as vec
-from feedloom.operators import constraints, dedup, inference, language_model, marks, merge, ranking, search, vector_index
+from feedloom.operators import constraints, dedup, inference, language_model, marks, merge, ranking, search, topic_index, vector_index
 from feedloom.plans import enrich as enrichment
 from feedloom.plans import inputs
 from feedloom.plans.inputs import AS_OF, SINCE, stamp, table, work_table
@@ -598,6 +598,14 @@ def semantic_search_multi(spark, sf_dir):
     return hits.select("query_id", "source_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query
+def search_by_topic(spark, sf_dir):
+    """A filtered search that reads only the folders that the posting lists of its topics name."""
+    index = topic_index.build_topic_index(inputs.stored_items(spark, sf_dir))
+    items = topic_index.items_with_topics(index, spark, ["macro", "regulation"])
+    return _hits(search.semantic_search(items, inputs.first_vector(spark, sf_dir), search.SearchFilters(sentiment=1)))
+
+
 @query
 def search_indexed(spark, sf_dir):
     """The same searches through the index of cells, in its exact mode."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,15 +26,11 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach for written intermediate tables, as a URI.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session that does
-    not name one (a test) gets a temporary folder.
+    The session names it in ``spark.checkpoint.dir``; a cluster's folder, and for a local session one of the caller's choice.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="feedloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     where = spark._jvm.org.apache.hadoop.fs.Path(named)
     full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
     return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from feedloom.functions import vectors
-from feedloom.operators import search, vector_index
+from feedloom.operators import search, topic_index, vector_index
 from feedloom.operators.search import SearchFilters
 
 AS_OF = datetime(2024, 2, 1, tzinfo=timezone.utc)
@@ -207,6 +207,30 @@ def test_an_index_of_nothing(spark):
     assert vector_index.search_indexed(vector_index.build_index(some), asked.limit(0)).count() == 0
 
 
+def test_topics_cut_folders_and_rows(spark):
+    rng = random.Random(12)
+    names = ["crypto", "macro", "regulation", None]
+    rows = []
+    for i in range(900):
+        source = "reddit" if i % 3 else rng.choice(["telegram", None])
+        day = None if i % 50 == 0 else AS_OF - timedelta(days=rng.randrange(5))
+        topics = None if i % 11 == 0 else rng.sample(names, rng.randrange(0, 4)) + ["macro"] * (i % 2)
+        rows.append((source, f"s{i}", day, ["rare"] if i == 77 else topics, i))
+    items = spark.createDataFrame(rows, "source string, source_id string, published_at timestamp, topics array<string>, bucket int").repartition(4)
+    index = topic_index.build_topic_index(items)
+    for wanted in (["macro"], ["crypto", "regulation"], ["rare"], ["none"], []):
+        got = topic_index.items_with_topics(index, spark, wanted)
+        assert sorted(got.columns) == sorted(items.columns)
+        assert {r.source_id for r in got.collect()} == {r[1] for r in rows if set(wanted) & set(r[3] or [])}
+        assert got.count() == len({r[1] for r in rows if set(wanted) & set(r[3] or [])})
+    # One folder holds the rare topic, and only its files are read.
+    plan = topic_index.items_with_topics(index, spark, ["rare"])._jdf.queryExecution().executedPlan().toString()
+    filters = [line.split("PartitionFilters: [")[1].split("]")[0] for line in plan.splitlines() if "PartitionFilters: [" in line]
+    assert any("source#" in f and "day#" in f for f in filters)
+    empty = topic_index.build_topic_index(items.limit(0))
+    assert topic_index.items_with_topics(empty, spark, ["macro"]).count() == 0
+
+
 def test_no_queries_no_hits(items, spark):
     none = spark.createDataFrame([], "query_id int, embedding array<float>")
     hits = search.semantic_search_multi(items, none)
