@@ -1,6 +1,6 @@
 """A language detector learned from labelled texts: naive Bayes over the character n-grams of words.
 
-Words are lower-cased runs of letters between two spaces; their n-grams of 2, 3 and 4 characters are the features. The
+Words are lower-cased runs of letters between two spaces; their runs of three characters are the features. The
 profiles are counted in Spark on a bounded sample (``sample_rows`` texts of each language, those of the least hashes) and
 hold the ``most_grams`` most frequent n-grams, so they are small enough to be broadcast. A text's score for a language is
 the sum of its n-grams' log probabilities; a text is exploded, weighed and summed inside one task, and only one row for each
@@ -24,7 +24,7 @@ from feedloom.functions.text import as_column
 from feedloom.operators.ranking import top_k_per_group
 from feedloom.session import staged
 
-SIZES = (2, 3, 4)
+SIZES = (3,)
 SAMPLE_ROWS = 2_000
 MOST_GRAMS = 50_000
 

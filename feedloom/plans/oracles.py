@@ -164,7 +164,7 @@ FROM events""")
 
 LEARNED = rf"""
 WITH w AS (SELECT doc_id, lang, ' ' || unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}]+'), lambda x: x <> '')) || ' ' AS p FROM documents),
-g AS (SELECT doc_id, lang, unnest(flatten([{", ".join(f"list_transform(range(1, len(p) - {n - 2}), lambda i: substr(p, i, {n}))" for n in (2, 3, 4))}])) AS gram FROM w),
+g AS (SELECT doc_id, lang, unnest(flatten([{", ".join(f"list_transform(range(1, len(p) - {n - 2}), lambda i: substr(p, i, {n}))" for n in (3,))}])) AS gram FROM w),
 t AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) AS r
       FROM documents WHERE lang IS NOT NULL AND {hashed('doc_id', 5)} <> 0) WHERE r <= 2000),
 c AS (SELECT lang, gram, count(*) AS n FROM g SEMI JOIN t USING (doc_id) GROUP BY ALL),
