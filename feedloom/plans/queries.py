@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import answers, language, lexicon, text, times
 from feedloom.functions import vectors as vec
-from feedloom.operators import constraints, dedup, inference, language_model, marks, merge, ranking, search, topic_index, vector_index
+from feedloom.operators import constraints, dedup, inference, language_model, latent, marks, merge, ranking, search, topic_index, vector_index
 from feedloom.plans import enrich as enrichment
 from feedloom.plans import inputs
 from feedloom.plans.inputs import AS_OF, SINCE, stamp, table, work_table
@@ -536,6 +536,16 @@ def embed_texts(spark, sf_dir):
     return vectors.select("content_hash", F.size("e.embedding").alias("dim"), _weighted("e.embedding").alias("total"))
 
 
+@query
+def embed_latent(spark, sf_dir):
+    """An embedder fitted on the documents, and the vectors of all of them: their size and length."""
+    docs = work_table(spark, sf_dir, "documents", "doc_id", "text")
+    provider = latent.fit_latent(docs, f"{shared_dir(spark)}/latent-{uuid.uuid4().hex}")
+    vectors = docs.select("doc_id", inference.embed("text", provider).embedding.alias("v"))
+    squares = F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x)
+    return vectors.select("doc_id", F.size("v").alias("dim"), F.round(F.sqrt(squares), 4).alias("length"))
+
+
 def _weighted(vector: str) -> Column:
     terms = F.transform(F.col(vector).cast("array<double>"), lambda x, i: x * (i + 1))
     return F.round(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), 4)
