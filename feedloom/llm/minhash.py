@@ -264,8 +264,10 @@ def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     wordless = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     rows = units.groupBy("unit").agg(F.min("doc_id").alias("doc_id"), F.count_if(~wordless).alias("n"))
     rows = written(rows.join(parts, "unit"), "unit-rows")
-    firsts = rows.groupBy("component_id").agg(F.min(order).alias("m")).select("component_id", F.col("m.unit").alias("first"))
-    judged = written(rows.join(firsts, "component_id").select(F.col("unit").alias("k"), "n", (F.col("unit") == F.col("first")).alias("kept")), "judged")
+    # The first of each group is found by an aggregate and met by its own key, so a large group is in no one task.
+    firsts = rows.groupBy("component_id").agg(F.min(order).alias("m")).select(F.col("m.unit").alias("unit"), F.lit(True).alias("kept"))
+    judged = rows.join(firsts, "unit", "left").select(F.col("unit").alias("k"), "n", F.coalesce("kept", F.lit(False)).alias("kept"))
+    judged = written(judged, "judged")
     # Most rows are the only one of their text and no near copy: they stay where they are.
     alone = having_key(docs, row_key(), judged.where("not kept or n > 1").select("k"), keep=False)
     # Of repeated rows the one of the least hash of all columns, so a replay keeps the same.
