@@ -244,7 +244,11 @@ def fit(
     rows = [np.frombuffer(found[i].as_buffer(), "<i4") for i in order.tolist()]  # views of what was gathered
     if len(set(classes)) < 2:
         return nothing
-    return fit_rows(rows, classes, buckets, cost, passes, smoothing)
+    model = fit_rows(rows, classes, buckets, cost, passes, smoothing)
+    # What was gathered is given back to the system and not kept for later.
+    del rows, found, got
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def fit_rows(rows: list[np.ndarray], labels: np.ndarray, buckets: int, cost: float, passes: int, smoothing: float) -> Model:
