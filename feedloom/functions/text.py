@@ -53,7 +53,8 @@ def as_column(col: Column | str) -> Column:
 @F.arrow_udf(T.StringType())
 def _compose(values: pa.Array) -> pa.Array:
     # Arrow's own utf8_normalize leaves NFC text decomposed, hence unicodedata.
-    composed = [None if v is None else unicodedata.normalize("NFC", v) for v in values.to_pylist()]
+    # One text at a time is a Python string, of up to four bytes a sign; the others stay UTF-8.
+    composed = [unicodedata.normalize("NFC", v.as_py()).encode() if v.is_valid else None for v in values]
     return pa.array(composed, pa.string())
 
 

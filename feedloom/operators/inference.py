@@ -15,6 +15,7 @@ import hashlib
 import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache
 from typing import Any, Protocol
 
 import numpy as np
@@ -42,6 +43,8 @@ LONGEST_PAUSE = 10.0
 
 # Texts in one request, and chat requests that a task keeps going at once.
 BATCH_SIZE = 256
+# A request for vectors ends with the text that brings it to so many bytes; whoever embeds works on these at once.
+REQUEST_BYTES = 1 << 20
 CONCURRENCY = 8
 # After so many single texts in a row that failed, the provider is asked for one that it should be able to answer.
 FAILURES_TO_STOP = 16
@@ -223,7 +226,7 @@ def embed(
     pause: Callable[[float], None] = time.sleep,
     batch_size: int = BATCH_SIZE,
 ) -> Column:
-    """struct(embedding, error) of texts, at most ``batch_size`` in a request.
+    """struct(embedding, error) of texts, at most ``batch_size`` in a request and not many more bytes than ``REQUEST_BYTES``.
 
     NULL and empty texts are not sent and get NULL. When a request fails, or returns another number of vectors, its
     halves are sent, so that only the bad texts stay without a vector. Raises ``ProviderDown`` when failures are not the
@@ -258,9 +261,9 @@ def embed(
         for batch in batches:
             vectors: list[Any] = [None] * len(batch)
             errors: list[str | None] = [None] * len(batch)
-            rows = np.flatnonzero(pc.fill_null(pc.greater(pc.utf8_length(batch), 0), False).to_numpy(False))
-            for s in range(0, len(rows), size):
-                part = rows[s : s + size]
+            lengths = pc.fill_null(pc.binary_length(batch), 0).to_numpy(False)
+            rows = np.flatnonzero(lengths > 0)
+            for part in requests(rows, lengths, size):
                 for i, (v, e) in zip(part, each(client, batch.take(pa.array(part)).to_pylist(), gate, True, known)):
                     vectors[i], errors[i] = v, e
             gate.check(lambda: call(client, known), at_end=True)
@@ -272,13 +275,30 @@ def embed(
     return run.asNondeterministic()(as_column(text))
 
 
+def requests(rows: np.ndarray, lengths: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The rows in order, in parts of at most ``size``; a part ends with the row that brings it to ``REQUEST_BYTES``."""
+    before = np.concatenate([[0], np.cumsum(lengths[rows], dtype=np.int64)])
+    first = 0
+    while first < len(rows):
+        full = int(np.searchsorted(before, before[first] + REQUEST_BYTES))
+        end = min(first + size, full, len(rows))
+        yield rows[first:end]
+        first = end
+
+
 WORD_BREAK = r"[^\pL\pN]+"
 
 
+@lru_cache(maxsize=1 << 16)
+def hashed(word: str) -> int:
+    """The first 32 bits of the word's MD5; frequent words are met in every request."""
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+
+
 class HashingEmbedder:
     """Bag of words hashed into ``dim`` buckets, scaled to unit length; needs no model."""
 
-    # Nothing is sent anywhere, so whole Arrow batches are taken at once.
+    # Nothing is sent anywhere, so the bytes alone bound what is taken at once.
     batch_size = 1 << 16
 
     def __init__(self, dim: int = 64) -> None:
@@ -287,10 +307,7 @@ class HashingEmbedder:
     def embed(self, texts: list[str]) -> list[Sequence[float]]:
         words = pc.split_pattern_regex(pc.utf8_lower(pa.array(texts, pa.large_string())), WORD_BREAK)
         coded = words.flatten().dictionary_encode()
-        buckets = np.array(
-            [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % self.dim if w else -1 for w in coded.dictionary.to_pylist()],
-            dtype=np.int64,
-        )[np.asarray(coded.indices)]
+        buckets = np.array([hashed(w) % self.dim if w else -1 for w in coded.dictionary.to_pylist()], dtype=np.int64)[np.asarray(coded.indices)]
         owner = np.repeat(np.arange(len(texts)), np.asarray(words.value_lengths()))
         used = buckets >= 0
         counts = np.bincount(

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,37 @@ def test_cached_texts_are_not_embedded_again(spark):
     rows = enrich(unique, cache, embedder=providers.NoNewTexts).collect()
     assert [r.embedding for r in rows] == [[7.0], [7.0]] and all(r.embedding_reused for r in rows)
     assert all(r.embedding_error is None for r in rows)
+
+
+class Measured:
+    """Answers with how many texts and bytes it was asked for at once."""
+
+    batch_size = 1 << 16
+
+    def embed(self, texts):
+        return [[float(len(texts)), float(sum(len(t.encode()) for t in texts))] for _ in texts]
+
+
+def test_requests_are_bounded_in_bytes(spark):
+    texts = ["é" * 5_000] * 700 + ["", None] + ["x" * 3_000_000] + ["y" * 10] * 3_000
+    got = embedded(spark, Measured, texts)
+    assert [r.embedding is None for r in got] == [not t for t in texts]
+    most = inference.REQUEST_BYTES
+    # One request has the long text, and no more of others than a request holds; short texts still go together.
+    over = {tuple(r.embedding) for r in got if r.embedding and r.embedding[1] >= most + 10_000}
+    assert len(over) == 1 and got[702].embedding[1] < 3_000_000 + most and got[-1].embedding[0] > 500
+
+
+def test_python_gets_batches_bounded_in_bytes(spark):
+    @F.arrow_udf("long")
+    def size(batch: pa.Array) -> pa.Array:
+        return pa.array([batch.nbytes] * len(batch), pa.int64())
+
+    long = spark.range(9_000, numPartitions=1).select(F.repeat(F.lit("x"), 3_000).alias("t"))
+    assert long.select(F.max(size("t"))).first()[0] < 5 << 20
+
+
+def test_hashing_in_parts_equals_hashing_at_once(spark):
+    texts = [f"w{i % 700} w{i % 31} up, w{i} " * 60 for i in range(5_000)]
+    got = embedded(spark, inference.HashingEmbedder, texts)
+    assert [r.embedding for r in got] == [v.tolist() for v in inference.HashingEmbedder().embed(texts)]
