@@ -34,7 +34,7 @@ TERMS = 20_000
 SIZE = 64
 # More directions than are kept, and how often they go through the matrix and back.
 EXTRA, PASSES = 16, 4
-# Terms whose partial products are added in one task.
+# Terms whose partial products are one row, added by one group.
 TERMS_AT_ONCE = 1_024
 SLOTS = 32
 _BREAK = re.compile(r"[\W_]+")
@@ -83,18 +83,18 @@ def tf_idf(text: str | None, place: dict[str, int], idf: np.ndarray) -> tuple[np
     return places, weight / np.linalg.norm(weight)
 
 
-def _decoded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, weight) of the entries of a batch of rows."""
-    at = [np.frombuffer(a.as_buffer(), np.int32) for a in batch.column(0)]
-    weight = [np.frombuffer(v.as_buffer(), np.float64) for v in batch.column(1)]
-    return np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate(at), np.concatenate(weight)
+def _decoded(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, weights) of each row, one at a time; a row has a place once."""
+    for at, weight in zip(*batch.columns):
+        yield np.frombuffer(at.as_buffer(), np.int32), np.frombuffer(weight.as_buffer(), np.float64)
 
 
-def _times(batch: pa.RecordBatch, directions: np.ndarray) -> tuple[np.ndarray, tuple]:
-    row, term, weight = entries = _decoded(batch)
+def _times(batch: pa.RecordBatch, directions: np.ndarray) -> np.ndarray:
+    """The rows' products with the directions; only one row's part of the directions is copied at once."""
     out = np.zeros((batch.num_rows, directions.shape[1]))
-    np.add.at(out, row, weight[:, None] * directions[term])
-    return out, entries
+    for i, (at, weight) in enumerate(_decoded(batch)):
+        out[i] = weight @ directions[at]
+    return out
 
 
 def _back_and_forth(rows: DataFrame, directions: np.ndarray) -> np.ndarray:
@@ -105,16 +105,19 @@ def _back_and_forth(rows: DataFrame, directions: np.ndarray) -> np.ndarray:
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((terms, width))
         for batch in batches:
-            if batch.num_rows:
-                product, (row, term, weight) = _times(batch, shared.value)
-                np.add.at(total, term, weight[:, None] * product[row])
+            for at, weight in _decoded(batch):
+                total[at] += np.outer(weight, weight @ shared.value[at])
         for first in range(0, terms, TERMS_AT_ONCE):
             part = total[first : first + TERMS_AT_ONCE]
             yield pa.RecordBatch.from_pydict({"first": pa.array([first], pa.int32()), "data": pa.array([part.tobytes()], pa.binary())})
 
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(d.as_buffer(), np.float64) for d in group.column("data"))
-        return pa.table({"first": group.column("first")[:1], "data": pa.array([total.tobytes()], pa.binary())})
+    def add(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The parts of more tasks than a batch holds are never together.
+        first, total = None, 0.0
+        for batch in group:
+            for f, d in zip(batch.column("first"), batch.column("data")):
+                first, total = f, total + np.frombuffer(d.as_buffer(), np.float64)
+        yield pa.RecordBatch.from_pydict({"first": pa.array([first.as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
 
     sums = rows.mapInArrow(local, "first int, data binary").groupBy("first").applyInArrow(add, "first int, data binary").collect()
     parts = [np.frombuffer(r.data, np.float64).reshape(-1, width) for r in sorted(sums, key=lambda r: r.first)]
@@ -134,7 +137,7 @@ def tsqr(rows: DataFrame, directions: np.ndarray) -> np.ndarray:
         r = np.zeros((0, width))
         for batch in batches:
             if batch.num_rows:
-                r = triangle([r, _times(batch, shared.value)[0]])
+                r = triangle([r, _times(batch, shared.value)])
         if len(r):
             yield pa.RecordBatch.from_pydict({"data": pa.array([r.tobytes()], pa.binary())})
 
@@ -168,7 +171,7 @@ def fit_latent(
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weights = shared.value
         for batch in batches:
-            rows = [tf_idf(t, known, weights) for t in batch.column(0).to_pylist()]
+            rows = [tf_idf(t.as_py(), known, weights) for t in batch.column(0)]
             rows = [(a.astype(np.int32).tobytes(), v.tobytes()) for a, v in rows if len(a)]
             if rows:
                 yield pa.RecordBatch.from_pydict({"at": pa.array([a for a, _ in rows], pa.binary()), "weight": pa.array([v for _, v in rows], pa.binary())})

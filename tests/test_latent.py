@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from feedloom.operators import inference, latent
@@ -78,3 +80,29 @@ def test_neighbours_share_a_topic_more_often_than_by_hashed_words(spark, tmp_pat
     by_meaning, by_hash = share(provider().embed(texts)), share(inference.HashingEmbedder(64).embed(texts))
     assert by_meaning > 0.85 and by_meaning > by_hash + 0.2, (by_meaning, by_hash)
     assert docs.select(inference.embed("text", provider).alias("e")).filter(F.size("e.embedding") == 16).count() == len(rows)
+
+
+def test_a_batch_takes_little_memory_over_its_own(spark):
+    rng = np.random.default_rng(0)
+    rows = [(np.sort(rng.choice(5_000, 400, replace=False)).astype(np.int32), rng.random(400)) for _ in range(1_000)]
+    batch = pa.RecordBatch.from_pydict({"at": pa.array([a.tobytes() for a, _ in rows], pa.binary()), "weight": pa.array([w.tobytes() for _, w in rows], pa.binary())})
+    directions = rng.random((5_000, 80))
+    tracemalloc.start()
+    got = latent._times(batch, directions)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, [w @ directions[a] for a, w in rows])
+    # The entries' directions all at once would be 256 MB.
+    assert most < 10e6, most
+
+
+def test_passes_equal_plain_products_over_many_tasks(spark):
+    rng = np.random.default_rng(1)
+    full = np.where(rng.random((500, 2_500)) < 0.02, rng.random((500, 2_500)), 0)
+    entries = [(bytearray(np.flatnonzero(r).astype(np.int32).tobytes()), bytearray(r[r > 0].tobytes())) for r in full]
+    rows = spark.createDataFrame(entries, "at binary, weight binary").repartition(37)
+    directions = rng.random((2_500, 6))
+    assert np.allclose(latent._back_and_forth(rows, directions), full.T @ (full @ directions))
+    triangle = latent.tsqr(rows, directions)
+    product = full @ directions
+    assert np.allclose(triangle.T @ triangle, product.T @ product)
