@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import held_out, small_batches, written
-from feedloom.llm.words import lower, mix, slices, span_hashes, spans
+from feedloom.llm.words import WORDS_SLICE_BYTES, lower, mix, slices, span_hashes, spans
 
 BUCKETS = 1 << 18
 SAMPLE_ROWS = 20_000
@@ -70,7 +70,7 @@ def _shapes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def indicators(texts: pa.Array, buckets: int = BUCKETS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, bucket, row): the distinct indicators of each text."""
     size = np.uint64(buckets)
-    for first, end, data, offsets in slices(texts):
+    for first, end, data, offsets in slices(texts, WORDS_SLICE_BYTES):
         start, stop, row = spans(data, offsets)
         word = span_hashes(lower(data), start, stop)
         shape = _shapes(data, start, stop)

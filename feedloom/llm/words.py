@@ -11,6 +11,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 # Texts are taken together up to so many bytes; a longer text is taken alone.
 SLICE_BYTES = 2_000_000
+# Where every word gets several numbers, memory is some fifty times the bytes; workers keep it while others run.
+WORDS_SLICE_BYTES = 400_000
 # The white space of words: space, tab, line feed, vertical tab, form feed, carriage return.
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -139,7 +141,7 @@ def shingles(word: np.ndarray, row: np.ndarray, rows: int, width: int) -> tuple[
 
 def text_shingles(texts: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, hash, row) for slices of the texts; words are lower-cased in A-Z."""
-    for first, end, data, offsets in slices(texts):
+    for first, end, data, offsets in slices(texts, WORDS_SLICE_BYTES):
         data = lower(data)
         start, stop, row = spans(data, offsets)
         value, owner = shingles(span_hashes(data, start, stop), row, end - first, width)

@@ -352,3 +352,26 @@ def test_quality_equals_a_plain_scorer(spark):
         want.append((i, round(float(1 / (1 + np.exp(-(model.slope * margin + model.offset)))), 9)))
     got = quality.quality_scores(docs, labels).collect()
     assert sorted((r.doc_id, round(r.score, 9)) for r in got) == sorted(want)
+
+
+def test_numbers_of_words_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from feedloom.llm import words
+
+    text = " ".join(f"Word{i % 997} und {i % 89}" for i in range(700))
+    texts = pa.array([f"{text} {i}" for i in range(600)], pa.string())  # 6 MB
+    for each, most in ((lambda t: quality.indicators(t), 60e6), (lambda t: words.text_shingles(t, 5), 40e6)):
+        alone = [(i, *(x.tolist() for x in part[2:3])) for i in (0, 599) for part in each(texts.slice(i, 1))]
+        tracemalloc.start()
+        found = {}
+        for first, rows, value, owner in each(texts):
+            for i in (0, 599):
+                if first <= i < first + rows:
+                    found[i] = value[owner == i - first].tolist()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert [(i, found[i]) for i in (0, 599)] == alone
+        assert peak < most, peak
