@@ -176,3 +176,12 @@ def test_hashing_in_parts_equals_hashing_at_once(spark):
     texts = [f"w{i % 700} w{i % 31} up, w{i} " * 60 for i in range(5_000)]
     got = embedded(spark, inference.HashingEmbedder, texts)
     assert [r.embedding for r in got] == [v.tolist() for v in inference.HashingEmbedder().embed(texts)]
+
+
+def test_requests_beside_a_cache_are_bounded_in_bytes(spark):
+    unique = prepare(item(spark, *[f"{i} " + "x" * 20_000 for i in range(400)])).coalesce(1)
+    cache = unique.filter("source_id % 2 = 0").select("content_hash", F.array(F.lit(7.0).cast("float")).alias("embedding"), F.lit(1).alias("written_at"))
+    got = enrich(unique, cache, embedder=Measured).select("embedding", "embedding_reused").collect()
+    new = [r.embedding for r in got if not r.embedding_reused]
+    assert len(new) == 200 == len(got) - len(new)
+    assert all(size < inference.REQUEST_BYTES + 25_000 for _, size in new)
