@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 import providers
 from feedloom.operators import inference
 from feedloom.plans.enrich import enrich, prepare
+from feedloom.schemas import CLASSIFICATION
 
 
 def test_retry_pauses_and_gives_up():
@@ -185,3 +189,33 @@ def test_requests_beside_a_cache_are_bounded_in_bytes(spark):
     new = [r.embedding for r in got if not r.embedding_reused]
     assert len(new) == 200 == len(got) - len(new)
     assert all(size < inference.REQUEST_BYTES + 25_000 for _, size in new)
+
+
+class Peaked(inference.HashingEmbedder):
+    """Answers with the MB by which its process has grown at most since the embedder was made."""
+
+    def __init__(self):
+        super().__init__()
+        Path("/proc/self/clear_refs").write_text("5")
+        self.before = self.peak()
+
+    def peak(self):
+        return int(re.search(r"VmHWM:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    def embed(self, texts):
+        super().embed(texts)
+        return [[self.peak() - self.before] for _ in texts]
+
+
+def test_memory_of_embedding_beside_a_cache_does_not_follow_the_batch(spark, tmp_path):
+    # 20 MB of posts whose words differ, a fifth of them stored before, as enrich_into_store meets them.
+    words = F.transform(F.sequence(F.lit(1), F.lit(2_500)), lambda i: F.concat(F.hex(F.col("id") * 2_500 + i), F.lit("-é")))
+    posts = spark.range(1_000, numPartitions=1).select(F.lit("reddit").alias("source"), F.array_join(words, " ").alias("text"), F.md5(F.col("id").cast("string")).alias("content_hash"))
+    posts.write.parquet(str(tmp_path / "posts"))
+    unique = spark.read.parquet(str(tmp_path / "posts"))
+    cache = spark.range(0, 1_000, 5).select(F.md5(F.col("id").cast("string")).alias("content_hash"), F.array(F.lit(-1.0).cast("float")).alias("embedding"), F.lit(1).alias("written_at"))
+    unlabelled = {"classification": F.lit(None).cast(CLASSIFICATION), "classification_error": F.lit(None).cast("string")}
+    got = enrich(unique, cache, lambda df: df.withColumns(unlabelled), Peaked).select(F.col("embedding")[0].alias("mb"), "embedding_reused").collect()
+    grown = [r.mb for r in got if not r.embedding_reused]
+    assert len(got) == 1_000 and len(grown) == 800
+    assert max(grown) < 120
