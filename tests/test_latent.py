@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -106,3 +107,55 @@ def test_passes_equal_plain_products_over_many_tasks(spark):
     triangle = latent.tsqr(rows, directions)
     product = full @ directions
     assert np.allclose(triangle.T @ triangle, product.T @ product)
+
+
+def test_every_text_is_fitted(spark, tmp_path):
+    many = 110_000
+    texts = [f"a{i % 50} b{i % 7}" + (" seldom" if i in (7, many - 7) else "") for i in range(many)]
+    seldom = F.when(F.col("id").isin(7, many - 7), "seldom")
+    text = F.concat_ws(" ", F.concat(F.lit("a"), F.col("id") % 50), F.concat(F.lit("b"), F.col("id") % 7), seldom)
+    docs = spark.range(0, many, 1, 4).select(F.col("id").alias("doc_id"), text.alias("text"))
+    model = latent.fit_latent(docs, str(tmp_path / "model"), size=8)()
+    df = Counter(w for t in texts for w in t.split())
+    assert set(model.place) == set(df)
+    assert all(abs(model.idf[i] - (np.log((1 + many) / (1 + df[w])) + 1)) < 1e-12 for w, i in model.place.items())
+    square = np.zeros((len(df), len(df)))
+    for t, n in Counter(texts).items():
+        at, weight = latent.tf_idf(t, model.place, model.idf)
+        square[np.ix_(at, at)] += n * np.outer(weight, weight)
+    best = np.sqrt(np.linalg.eigvalsh(square)[::-1][:8])
+    got = np.sqrt(np.einsum("ij,ij->j", model.axes, square @ model.axes))
+    assert np.allclose(got, best, rtol=0.005), (got, best)
+
+
+def test_counts_in_parts_add_up():
+    texts = [["b a b", None, "A!"], ["", "c d e", "a_c"]]
+    parts = list(latent.text_counts((pa.RecordBatch.from_pydict({"text": pa.array(t, pa.string())}) for t in texts), at_once=2))
+    assert len(parts) > 1
+    total = {}
+    for term, n in ((t, n) for p in parts for t, n in zip(p["term"].to_pylist(), p["n"].to_pylist())):
+        total[term] = total.get(term, 0) + n
+    assert total == {None: 6, "a": 3, "b": 1, "c": 2, "d": 1, "e": 1}
+
+
+def test_terms_of_equal_counts_are_kept_by_name(spark):
+    df = {f"w{i:02d}": 1 + i % 5 for i in range(40)}
+    docs = spark.createDataFrame([(" ".join(w for w, n in df.items() if n > i),) for i in range(5)], "text string").repartition(3)
+    order = sorted((-n, w) for w, n in df.items() if n >= 2)
+    for terms in (0, 1, 8, 11, 24, 32, 99):
+        count, kept = latent.frequent_terms(docs, terms, 2)
+        assert (count, [(-r.n, r.term) for r in kept]) == (5, order[:terms])
+    assert latent.frequent_terms(docs.limit(0), 5, 2) == (0, [])
+
+
+def test_staged_rows_weigh_as_the_embedder_does():
+    place, idf = {w: i for i, w in enumerate("abcdef")}, np.linspace(1, 2, 6)
+    texts = ["f a a", "b", "c c c e d a", "e f"]
+    rows = [latent.known_words(t, place) for t in texts]
+    batch = pa.RecordBatch.from_pydict({name: pa.array([r[k].tolist() for r in rows], pa.list_(pa.int32())) for k, name in enumerate(("at", "n"))})
+    for part, some in ((batch, texts), (batch.slice(1, 2), texts[1:3])):
+        got = list(latent._weighed(part, idf))
+        assert len(got) == len(some)
+        for (at, weight), text in zip(got, some):
+            plain_at, plain_weight = latent.tf_idf(text, place, idf)
+            assert (at == plain_at).all() and np.allclose(weight, plain_weight)
